@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,78 @@ from pyspark.sql import functions as F
 from .series import time_cell
 
 
+@dataclass(frozen=True)
+class Source:
+    """One right-hand side of an as-of join.
+
+    ``order`` breaks ties between rows of the same time; a match older than
+    ``max_age_seconds`` counts as missing (``None`` means no limit).
+    """
+
+    frame: DataFrame
+    time: str
+    max_age_seconds: int | None
+    order: Sequence[str] = ()
+    prefix: str = ""
+    source_time: str = "source_ts"
+    age: str = "age_seconds"
+
+
+def asof_many(left: DataFrame, sources: Sequence[Source], *, by: Sequence[str] = (), left_time: str, cell_seconds: int = 86400) -> DataFrame:
+    """Attach to every left row the newest row of each source at or before its time.
+
+    All source columns but the keys come over (with the source's prefix), with
+    the matched time and its age.  A matched row keeps its NULL values and never
+    falls through to an older row.
+
+    Left rows and all sources go through one shuffle on (keys, time cell).  The
+    newest source row of each cell is carried forward over a table that has one
+    row per key and cell, so neither a long tolerance nor one very long key puts
+    a whole key into one task.
+    """
+    keys = [*by, "_cell"]
+    rights, carries = [], []
+    for k, s in enumerate(sources):
+        packed = F.struct(F.col(s.time).alias("_t"), *[F.col(c).alias(f"v_{c}") for c in s.frame.columns if c not in by])
+        rank = F.struct(F.col(s.time), *[F.col(c) for c in s.order])
+        cells = s.frame.where(F.col(s.time).isNotNull()).select(
+            *by, F.col(s.time).alias("_time"), packed.alias(f"_src{k}"), rank.alias("_rank"), time_cell(s.time, cell_seconds).alias("_cell")
+        )
+        # One row per source time: the last of equal times is the only one a match can see.
+        newest = cells.groupBy(*keys, "_time").agg(F.max_by(f"_src{k}", "_rank").alias(f"_src{k}")) if s.order else cells.drop("_rank")
+        rights.append(newest.withColumn("_side", F.lit(0)))
+        carries.append(newest.groupBy(*keys).agg(F.max_by(f"_src{k}", "_time").alias(f"_src{k}")))
+    both = left.select(
+        *by,
+        F.col(left_time).alias("_time"),
+        time_cell(left_time, cell_seconds).alias("_cell"),
+        F.lit(1).alias("_side"),
+        F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
+    )
+    ends = left.select(*by, time_cell(left_time, cell_seconds).alias("_cell")).distinct()
+    for right, carry in zip(rights, carries):
+        both = both.unionByName(right, allowMissingColumns=True)
+        ends = ends.unionByName(carry, allowMissingColumns=True)
+    names = [f"_src{k}" for k in range(len(sources))]
+    inside = Window.partitionBy(*keys).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = ends.groupBy(*keys).agg(*[F.max_by(n, n + "._t").alias(n) for n in names])
+    carried = per_cell.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"_carry{n}") for n in names])
+    hit = both.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).where(F.col("_side") == 1)
+    joined = hit.join(carried, keys).select("_left", *[F.coalesce(n, f"_carry{n}").alias(n) for n in names])
+
+    out = [F.col(f"_left.{c}").alias(c) for c in left.columns]
+    at = F.unix_micros(F.col(f"_left.{left_time}").cast("timestamp"))
+    for n, s in zip(names, sources):
+        seconds = (at - F.unix_micros(F.col(f"{n}._t").cast("timestamp"))) / F.lit(1e6)
+        fresh = F.col(n).isNotNull() if s.max_age_seconds is None else seconds <= s.max_age_seconds
+        out += [
+            F.when(fresh, F.col(f"{n}.v_{c}")).alias(f"{s.prefix}{c}") for c in s.frame.columns if c not in by and c != s.time
+        ]
+        out += [F.when(fresh, F.col(f"{n}._t")).alias(s.source_time), F.when(fresh, seconds).alias(s.age)]
+    return joined.select(*out)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -21,67 +94,16 @@ def asof_join(
     order: Sequence[str] = (),
     prefix: str = "",
     cell_seconds: int = 86400,
-    source_time: str = "source_ts",
-    age: str = "age_seconds",
 ) -> DataFrame:
-    """Attach to every left row the newest right row with ``right_time <= left_time``.
-
-    All right columns but the keys come over (with ``prefix``) together with
-    the matched time and its age.  A match older than ``max_age_seconds`` is
-    dropped; a matched row keeps its NULL values and never falls through to an
-    older row.  ``order`` breaks ties between source rows of the same time.
-
-    Work is split on (keys, time cell).  The newest source row of each cell is
-    carried forward over a table that has one row per key and cell, so neither
-    a long tolerance nor one very long key puts a whole key into one task.
-    """
-    values = [c for c in right.columns if c not in by]
-    source = F.struct(F.col(right_time).alias("_t"), *[F.col(c).alias(f"v_{c}") for c in values])
-    right_side = right.where(F.col(right_time).isNotNull()).select(
-        *by,
-        F.col(right_time).alias("_time"),
-        F.lit(0).alias("_side"),
-        F.struct(*[F.col(c) for c in order]).alias("_rank") if order else F.lit(None).cast("int").alias("_rank"),
-        source.alias("_src"),
-        time_cell(right_time, cell_seconds).alias("_cell"),
-    )
-    rank_type = right_side.schema["_rank"].dataType
-    src_type = right_side.schema["_src"].dataType
-    payload = F.struct(*[F.col(c) for c in left.columns])
-    left_side = left.select(
-        *by,
-        F.col(left_time).alias("_time"),
-        F.lit(1).alias("_side"),
-        F.lit(None).cast(rank_type).alias("_rank"),
-        F.lit(None).cast(src_type).alias("_src"),
-        time_cell(left_time, cell_seconds).alias("_cell"),
-        payload.alias("_left"),
-    )
-    both = left_side.unionByName(right_side, allowMissingColumns=True)
-    keys = [*by, "_cell"]
-    inside = Window.partitionBy(*keys).orderBy("_time", "_side", "_rank").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-
-    newest = right_side.groupBy(*keys).agg(F.max_by("_src", F.struct("_time", "_rank")).alias("_end"))
-    cells = left_side.select(*keys).distinct().join(newest, keys, "full")
-    carried = cells.select(*keys, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-
-    hit = both.withColumn("_in", F.last("_src", ignorenulls=True).over(inside)).where(F.col("_side") == 1)
-    joined = hit.join(carried, keys, "left").select("_left", F.coalesce("_in", "_carry").alias("_m"))
-    matched_time = F.col("_m._t")
-    seconds = (F.unix_micros(F.col(f"_left.{left_time}").cast("timestamp")) - F.unix_micros(matched_time.cast("timestamp"))) / F.lit(1e6)
-    fresh = F.col("_m").isNotNull() if max_age_seconds is None else seconds <= max_age_seconds
-    return joined.select(
-        "_left.*",
-        *[F.when(fresh, F.col(f"_m.v_{c}")).alias(f"{prefix}{c}") for c in values if c != right_time],
-        F.when(fresh, matched_time).alias(source_time),
-        F.when(fresh, seconds).alias(age),
-    )
+    """As-of join with a single source; see ``asof_many``."""
+    source = Source(right, right_time, max_age_seconds, order, prefix)
+    return asof_many(left, [source], by=by, left_time=left_time, cell_seconds=cell_seconds)
 
 
-def asof_audit(joined: DataFrame, *, family: str, left_time: str, source_time: str = "source_ts", age: str = "age_seconds") -> DataFrame:
-    """Coverage and causality summary of an as-of result; one row per family."""
-    return joined.groupBy(F.lit(family).alias("family") if isinstance(family, str) else family).agg(
+def asof_audit(joined: DataFrame, *, left_time: str, family: str | None = None, keys: Sequence[str] = (), source_time: str = "source_ts", age: str = "age_seconds") -> DataFrame:
+    """Coverage and causality summary of an as-of result, one row per family."""
+    grouping = [F.lit(family).alias("family")] if family else [F.col(k) for k in keys]
+    return joined.groupBy(*grouping).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(source_time).alias("matched_rows"),
         F.max(age).alias("max_age_seconds"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import candle_asymmetry, centred_location, ratio, ratio_or_zero
-from .asof import asof_join
+from .asof import Source, asof_many
 from .price_features import pct_change, true_range
 from .series import over_series, rolling
 
@@ -152,12 +152,11 @@ def cross_market(
     ``home`` needs ``return_4`` and ``return_12``; each entry of ``others`` is a
     ``market_features`` frame of one series without its key column.
     """
-    out = home
-    for name, frame in others.items():
-        out = asof_join(
-            out, frame, left_time=time, right_time="ts", max_age_seconds=max_age_seconds,
-            prefix=f"{name}_", source_time=f"{name}_source_ts", age=f"{name}_age_seconds",
-        )
+    sources = [
+        Source(frame, "ts", max_age_seconds, prefix=f"{name}_", source_time=f"{name}_source_ts", age=f"{name}_age_seconds")
+        for name, frame in others.items()
+    ]
+    out = asof_many(home, sources, left_time=time)
     h4, h12 = F.col("return_4"), F.col("return_12")
     names = list(others)
     made: dict[str, Column] = {}

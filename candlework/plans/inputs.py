@@ -84,7 +84,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff("source_time_utc", F.lit("1970-01-01"))
     published = F.array(
         F.struct(F.lit("initial").alias("revision_id"), F.lit(0).alias("late"), F.lit(1.0).alias("scale")),
-        F.struct(F.lit("revision_1").alias("revision_id"), F.lit(10).alias("late"), F.lit(1.01).alias("scale")),
+        F.struct(F.lit("revision_1").alias("revision_id"), F.lit(10).alias("late"), F.lit(1.0123457).alias("scale")),
     )
     chosen = F.when(day % 7 == 0, published).otherwise(F.slice(published, 1, 1))
     return daily.withColumn("p", F.explode(chosen)).select(
@@ -109,7 +109,7 @@ observations AS (
   SELECT instrument_or_event_id, 'avg_price' AS field, source_time_utc, value, 'initial' AS revision_id,
          source_time_utc + INTERVAL 18 HOUR AS available_time_utc FROM obs_base
   UNION ALL
-  SELECT instrument_or_event_id, 'avg_price', source_time_utc, value * 1.01, 'revision_1',
+  SELECT instrument_or_event_id, 'avg_price', source_time_utc, value * CAST(1.0123457 AS DOUBLE), 'revision_1',
          source_time_utc + INTERVAL 10 DAY + INTERVAL 18 HOUR FROM obs_base
   WHERE date_diff('day', DATE '1970-01-01', CAST(source_time_utc AS DATE)) % 7 = 0)"""
 
