@@ -131,7 +131,7 @@ def forward_rows(spark, sf_dir):
 
 def study_rows(spark, sf_dir):
     """Labelled bars with a chronological split."""
-    return sp.chronological_split(forward_rows(spark, sf_dir).where(F.col("atr_pct").isNotNull()))
+    return sp.chronological_split(stage(forward_rows(spark, sf_dir).where(F.col("atr_pct").isNotNull())))
 
 
 STUDY_SQL = f"""{FORWARD_SQL}, returned AS (SELECT *, close / before - 1 AS returns FROM labelled),
@@ -226,7 +226,7 @@ BOUNDARY_SPLIT = BAR_SPLIT.replace("SRC", "(SELECT * EXCLUDE (i) FROM boundary)"
 
 
 def boundary_split(spark, sf_dir):
-    return stage(sp.chronological_split(boundary_rows(spark, sf_dir)).where(F.col("target").isNotNull()))
+    return sp.chronological_split(stage(boundary_rows(spark, sf_dir))).where(F.col("target").isNotNull())
 
 
 @query(
