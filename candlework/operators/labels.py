@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ratio
 from .series import over_series
 
 # Class codes.
@@ -130,7 +131,7 @@ def directional_label(
         long_side = resolve_touch(F.col("long_first_upper"), F.col("long_first_lower"), F.lit(1), F.lit(0), both, none)
         short_side = resolve_touch(F.col("short_win"), F.col("short_loss"), F.lit(1), F.lit(0), both, none)
         last = F.col("last_close")
-        move = last / c - 1.0
+        move = ratio(last, c) - 1.0
         fallback = (
             F.when(last.isNull(), NO_TRADE)
             .when(last >= c + tp, BUY)
@@ -148,7 +149,7 @@ def directional_label(
 def forward_atr_column(w: WindowSpec, horizon: int = 5, multiplier: float = 1.0, *, atr_pct: str = "atr_pct") -> Column:
     """Sign of the forward close return beyond a volatility threshold."""
     ahead = F.lead("close", horizon).over(w)
-    move = ahead / F.col("close") - 1.0
+    move = ratio(ahead, F.col("close")) - 1.0
     limit = F.abs(F.coalesce(F.col(atr_pct), F.lit(0.0)) * multiplier)
     return (
         F.when(F.col("close") == 0, NO_TRADE)
@@ -305,7 +306,7 @@ def boundary_columns(multiplier: float = 1.0) -> dict[str, Column]:
     Needs ``forward_return``, ``atr`` and ``atr_pct``.
     """
     move, rel = F.col("forward_return"), F.abs(F.col("atr_pct"))
-    in_atr = move / rel
+    in_atr = ratio(move, rel)
     limit = rel * multiplier
     return {
         "threshold_return": limit,
@@ -313,7 +314,7 @@ def boundary_columns(multiplier: float = 1.0) -> dict[str, Column]:
         "absolute_move_atr": F.abs(in_atr),
         "boundary_distance_atr": F.abs(F.abs(in_atr) - multiplier),
         "threshold_price_points": F.abs(F.col("atr")) * multiplier,
-        "forward_move_price_points": move * F.col("atr") / F.col("atr_pct"),
+        "forward_move_price_points": ratio(move * F.col("atr"), F.col("atr_pct")),
         "reconstructed_target": F.when(move > limit, BUY).when(move < -limit, SELL).otherwise(NO_TRADE).cast("int"),
     }
 

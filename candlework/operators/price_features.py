@@ -53,7 +53,7 @@ def feature_family(name: str) -> str:
 
 
 def pct_change(x: Column, w: WindowSpec, n: int = 1) -> Column:
-    return x / F.lag(x, n).over(w) - 1.0
+    return scalar.ratio(x, F.lag(x, n).over(w)) - 1.0
 
 
 def true_range(w: WindowSpec) -> Column:
@@ -66,7 +66,7 @@ def return_columns(w: WindowSpec) -> dict[str, Column]:
     return {
         "returns": pct_change(c, w),
         **{f"returns_{n}": pct_change(c, w, n) for n in (2, 5, 10)},
-        "log_returns": F.ln(c / F.lag(c).over(w)),
+        "log_returns": F.ln(scalar.ratio(c, F.lag(c).over(w))),
         **scalar.bar_ratios(),
     }
 
@@ -121,7 +121,7 @@ def ema_columns(w: WindowSpec) -> dict[str, Column]:
 def add_atr(df: DataFrame, w: WindowSpec) -> DataFrame:
     df = df.withColumn("_tr", true_range(w))
     atr = _ewm(F.col("_tr"), 1.0 / ATR_PERIOD, w, adjust=True, min_periods=ATR_PERIOD)
-    return df.withColumn("atr", atr).withColumn("atr_pct", F.col("atr") / F.col("close")).drop("_tr")
+    return df.withColumn("atr", atr).withColumn("atr_pct", scalar.ratio(F.col("atr"), F.col("close"))).drop("_tr")
 
 
 def add_volatility(df: DataFrame, w: WindowSpec) -> DataFrame:

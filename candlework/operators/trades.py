@@ -43,7 +43,7 @@ def _first_child(up: Column, down: Column, after: Column | None) -> Column:
         hit = (x["high"] >= up) | (x["low"] <= down)
         return hit if after is None else hit & (x["k"] > after)
 
-    return F.element_at(F.transform(F.filter("_kids", reached), lambda x: x["k"]), 1)
+    return F.try_element_at(F.transform(F.filter("_kids", reached), lambda x: x["k"]), F.lit(1))
 
 
 def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index") -> DataFrame:

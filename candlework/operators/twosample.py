@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import bin_by_edges
 from . import ecdf as ed
+from .staging import stage
 from .tables import inner_edges
 
 DECILES = [k / 10 for k in range(11)]
@@ -36,8 +37,9 @@ def moments(df: DataFrame, features: Sequence[str], groups: dict[str, Column]) -
 
 
 def _table(df: DataFrame, features: Sequence[str], groups: dict[str, Column], keep: Sequence[str], cells: int) -> DataFrame:
+    """Stored distribution rows: several statistics are read off them."""
     long = ed.unpivot(df, features, keep=keep, cells=ed.value_cells(df, features, cells))
-    return ed.ecdf(long, groups)
+    return stage(ed.ecdf(long, groups))
 
 
 def stability_index(table: DataFrame, a: str, b: str) -> DataFrame:

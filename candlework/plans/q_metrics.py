@@ -10,6 +10,7 @@ from ..operators import metrics as mt
 from ..operators import price_features as pf
 from ..operators import tables as tb
 from ..operators import twosample as ts
+from ..operators.staging import stage
 from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, scored
 from .q_tables import scored_split
 from .registry import query
@@ -18,6 +19,11 @@ NUMBERS = ["quantity", "extendedprice", "discount", "tax"]
 LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value, split, target FROM split_rows" for f in NUMBERS) + ")"
 
 
+def study_split(spark, sf_dir):
+    """Split rows stored once: the two-sample statistics read them several times."""
+    return stage(scored_split(spark, sf_dir).select("split", "target", *NUMBERS))
+
+
 def ks_sql(cond_a: str, cond_b: str, keys: str = "feature", source: str = "long") -> str:
     """(keys, ks, w1, n, m) from running shares over distinct values."""
     return f"""SELECT {keys}, max(abs(fa - fb)) AS ks, coalesce(sum(abs(fa - fb) * (nx - value)), 0) AS w1, max(ta) AS n, max(tb) AS m FROM (
@@ -46,7 +52,7 @@ PVALUE_SQL = """least(1.0, greatest(0.0, 2 * (SELECT sum(CASE WHEN j % 2 = 1 THE
     FROM k JOIN psi USING (feature) JOIN m USING (feature)""",
 )
 def drift_features(spark, sf_dir):
-    return ts.drift_table(scored_split(spark, sf_dir), NUMBERS, family=pf.feature_family)
+    return ts.drift_table(study_split(spark, sf_dir), NUMBERS, family=pf.feature_family)
 
 
 @query(
@@ -99,7 +105,7 @@ MI_SQL = f"""e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value,
     FROM a JOIN b USING (feature) JOIN mi USING (feature) JOIN s USING (feature)""",
 )
 def separability_classes(spark, sf_dir):
-    rows = scored_split(spark, sf_dir).where(F.col("split") == "train")
+    rows = study_split(spark, sf_dir).where(F.col("split") == "train")
     return ts.class_separability(rows, NUMBERS)
 
 
@@ -118,7 +124,7 @@ pairs AS (SELECT feature, split, comparison, n AS left_count, m AS right_count,
     SELECT *, CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, p)) END AS ks_pvalue FROM pairs JOIN pv USING (feature, split, comparison)""",
 )
 def separability_pairs(spark, sf_dir):
-    return ts.pairwise_separation(scored_split(spark, sf_dir), NUMBERS)
+    return ts.pairwise_separation(study_split(spark, sf_dir), NUMBERS)
 
 
 @query(
