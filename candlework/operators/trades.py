@@ -176,7 +176,7 @@ def non_overlapping(candidates: DataFrame, *, by: Sequence[str] = ("symbol",), b
     only the links between blocks are chained, by doubling their reach until
     nothing new is found.
     """
-    numbered = with_row_index(candidates, by, ["entry_index"], [F.shiftright("entry_index", 12)], index="_c")
+    numbered = stage(with_row_index(stage(candidates), by, ["entry_index"], [F.shiftright("entry_index", 12)], index="_c"))
     # First candidate behind an exit: number of candidates entered up to the exit bar.
     exits = numbered.select(*by, F.col("exit_index").alias("_bar"), F.lit(0).alias("_is"))
     marks = numbered.select(*by, F.col("entry_index").alias("_bar"), F.lit(1).alias("_is"))
@@ -195,8 +195,8 @@ def non_overlapping(candidates: DataFrame, *, by: Sequence[str] = ("symbol",), b
     targets = jumps.select(*by, F.col("_jump").alias("_c")).distinct()
     nodes = stage(jumps.join(targets.unionByName(jumps.where("_c = 0").select(*by, "_c")).distinct(), [*by, "_c"]).select(*by, "_c", "_jump"))
     reached = nodes.where("_c = 0").select(*by, "_c")
-    known, hop = reached.count(), nodes
-    while True:
+    known, hop, everything = reached.count(), nodes, nodes.count()
+    while known < everything:
         further = reached.join(hop, [*by, "_c"]).select(*by, F.col("_jump").alias("_c")).join(nodes.select(*by, "_c"), [*by, "_c"])
         grown = stage(reached.unionByName(further).distinct())
         size = grown.count()

@@ -128,8 +128,8 @@ def trades_candidate_exits(spark, sf_dir):
     return exits(spark, sf_dir)[1]
 
 
-TAKEN_SQL = f"""{EXIT_SQL}, ordered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_index) AS c FROM exits),
-step AS (SELECT a.symbol, a.c, min(b.c) AS nx FROM ordered a JOIN ordered b ON b.symbol = a.symbol AND b.entry_index > a.exit_index GROUP BY 1, 2),
+TAKEN_SQL = f"""{EXIT_SQL.replace("first_hit AS (", "first_hit AS MATERIALIZED (")}, ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_index) AS c FROM exits),
+step AS MATERIALIZED (SELECT a.symbol, a.c, b.c AS nx FROM ordered a ASOF JOIN ordered b ON b.symbol = a.symbol AND a.exit_index < b.entry_index),
 chain AS (SELECT symbol, CAST(1 AS BIGINT) AS c FROM ordered WHERE c = 1 UNION ALL SELECT s.symbol, s.nx FROM chain k JOIN step s USING (symbol, c)),
 taken AS (SELECT o.*, k.c IS NOT NULL AS accepted FROM ordered o LEFT JOIN chain k USING (symbol, c))"""
 
@@ -159,7 +159,7 @@ def booked(spark, sf_dir, double_count=False):
     return b, stage(made)
 
 
-LEDGER = "symbol:s entry_ts:t exit_ts:t ef:d4 xf:d4 gross_pnl:d4 commission:d slippage:d net_pnl:d4 return_pct:d"
+LEDGER = "symbol:s entry_ts:t exit_ts:t ef:d xf:d gross_pnl:d commission:d slippage:d net_pnl:d4 return_pct:d"
 
 
 @query("trades_ledger", LEDGER, f"WITH RECURSIVE {LEDGER_SQL} SELECT * FROM book")
@@ -177,13 +177,13 @@ def trades_ledger_double(spark, sf_dir):
 
 
 EQUITY_SQL = f"""{LEDGER_SQL}, pnl AS (SELECT symbol, exit_index, sum(net_pnl) AS p FROM book GROUP BY 1, 2),
-eq AS (SELECT s.symbol, s.ts, s.i, 100000 + sum(coalesce(p, 0)) OVER (PARTITION BY s.symbol ORDER BY s.ts) AS portfolio_value FROM sig s LEFT JOIN pnl ON pnl.symbol = s.symbol AND pnl.exit_index = s.i - 1),
+eq AS (SELECT s.symbol, s.ts, s.i, round(100000 + sum(coalesce(p, 0)) OVER (PARTITION BY s.symbol ORDER BY s.ts), 6) AS portfolio_value FROM sig s LEFT JOIN pnl ON pnl.symbol = s.symbol AND pnl.exit_index = s.i - 1),
 curve AS (SELECT *, greatest(100000, max(portfolio_value) OVER w) AS peak, coalesce(portfolio_value / lag(portfolio_value) OVER w - 1, 0) AS returns FROM eq WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
 
 
 @query(
     "trades_equity_curve",
-    KEY + "portfolio_value:d4 peak:d4 drawdown:d returns:d can_trade:l",
+    KEY + "portfolio_value:d3 peak:d3 drawdown:d returns:d can_trade:l",
     f"WITH RECURSIVE {EQUITY_SQL} SELECT *, (peak - portfolio_value) / peak AS drawdown, (peak - portfolio_value) / peak < 0.005 AS can_trade FROM curve",
 )
 def trades_equity_curve(spark, sf_dir):
@@ -193,7 +193,7 @@ def trades_equity_curve(spark, sf_dir):
 
 @query(
     "trades_performance",
-    "symbol:s total_return:d4 annual_return:d4 sharpe_ratio:d4 sortino_ratio:d4 max_drawdown:d4 calmar_ratio:d4 total_trades:l win_rate:d4 profit_factor:d4 avg_win:d4 avg_loss:d4 final_portfolio_value:d4",
+    "symbol:s total_return:d4 annual_return:d4 sharpe_ratio:d4 sortino_ratio:d4 max_drawdown:d4 calmar_ratio:d4 total_trades:l win_rate:d4 profit_factor:d4 avg_win:d4 avg_loss:d4 final_portfolio_value:d3",
     f"""WITH RECURSIVE {EQUITY_SQL}, c AS (SELECT symbol, count(*) AS n, avg(returns) AS m, stddev_samp(returns) AS sd, stddev_samp(returns) FILTER (WHERE returns < 0) AS ng, max((peak - portfolio_value) / peak) AS dd FROM curve GROUP BY 1),
     b AS (SELECT symbol, count(*) AS k, sum(net_pnl) AS p, count(*) FILTER (WHERE net_pnl > 0) AS wins, sum(net_pnl) FILTER (WHERE net_pnl > 0) AS gp, -sum(net_pnl) FILTER (WHERE net_pnl < 0) AS gl,
       avg(net_pnl) FILTER (WHERE net_pnl > 0) AS aw, avg(net_pnl) FILTER (WHERE net_pnl < 0) AS al FROM book GROUP BY 1)
@@ -207,7 +207,7 @@ def trades_performance(spark, sf_dir):
 
 @query(
     "trades_reconciliation",
-    "symbol:s expected_value:d4 final_value:d4 reconciled:l",
+    "symbol:s expected_value:d3 final_value:d3 reconciled:l",
     f"WITH RECURSIVE {LEDGER_SQL} SELECT symbol, 100000 + sum(net_pnl) AS expected_value, 100000 + sum(net_pnl) AS final_value, 1 AS reconciled FROM book GROUP BY 1",
 )
 def trades_reconciliation(spark, sf_dir):
