@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.series import over_series
+from .scalar import ratio
 
 DEFAULT_POINT = 0.01
 
@@ -55,7 +56,7 @@ def position_size(
     """Lots such that the stop loses the risk share; floored to the lot step and capped."""
     stop = F.greatest(F.lit(stop_points) * point, F.lit(1e-9))
     loss = stop * F.when(tick > 0, tick).when(contract > 0, contract).otherwise(entry)
-    size = portfolio * risk_per_trade / loss
+    size = ratio(portfolio * risk_per_trade, loss)
     size = F.when((volume_min > 0) & (size < volume_min), volume_min).otherwise(size)
     size = F.when(volume_step > 0, F.floor(size / volume_step + 1e-12) * volume_step).otherwise(size)
     cap = F.when(volume_max > 0, F.least(F.lit(max_position), volume_max)).otherwise(F.lit(max_position))
@@ -65,7 +66,7 @@ def position_size(
 
 def share_size(portfolio: Column, entry: Column, atr: Column, *, risk_per_trade: float = 0.01, max_position: float = 0.1) -> Column:
     """Units without an instrument: two ATR of risk, or a flat share of capital."""
-    flat = portfolio * max_position / entry
+    flat = ratio(portfolio * max_position, entry)
     raw = F.when(atr > 0, portfolio * risk_per_trade / (atr * 2.0)).otherwise(flat)
     return F.when((portfolio <= 0) | (entry <= 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(raw, flat)))
 
@@ -130,8 +131,8 @@ def endpoint_economics(bars: DataFrame, *, side: Column, horizon: int, cost: Col
         return df.withColumns({"_side": side, "_cost": cost, "_end": F.lead("close", horizon).over(w)})
 
     rows = over_series(bars, build, by=by, ahead=horizon).where(F.col("_end").isNotNull())
-    signed = F.col("_side") * (F.col("_end") / F.col("close") - 1.0)
-    return rows.withColumns({"_s": signed, "_net": signed - F.col("_cost") / F.col("close")}).groupBy(*keys).agg(
+    signed = F.col("_side") * (ratio(F.col("_end"), F.col("close")) - 1.0)
+    return rows.withColumns({"_s": signed, "_net": signed - ratio(F.col("_cost"), F.col("close"))}).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("_s").alias("mean_signed_return"),
         F.avg("_net").alias("mean_after_spread"),

@@ -32,15 +32,15 @@ def centred_location(num: Column, den: Column) -> Column:
 
 def bar_ratios() -> dict[str, Column]:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    return {"high_low_ratio": (h - l) / c, "close_open_ratio": (c - o) / o}
+    return {"high_low_ratio": ratio(h - l, c), "close_open_ratio": ratio(c - o, o)}
 
 
 def candle_anatomy() -> dict[str, Column]:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return {
-        "body_size": F.abs(c - o) / o,
-        "upper_shadow": (h - F.greatest(c, o)) / o,
-        "lower_shadow": (F.least(c, o) - l) / o,
+        "body_size": ratio(F.abs(c - o), o),
+        "upper_shadow": ratio(h - F.greatest(c, o), o),
+        "lower_shadow": ratio(F.least(c, o) - l, o),
     }
 
 
@@ -83,8 +83,8 @@ def reconstruct_ohlc(shadow_scale: str = "open") -> dict[str, Column]:
     Shadows are stored as a share of the open.  ``open`` scales them back,
     ``raw`` adds them as they are (the form some recorded studies used).
     """
-    close = F.col("atr") / F.col("atr_pct")
-    opened = close / (1.0 + F.col("close_open_ratio"))
+    close = ratio(F.col("atr"), F.col("atr_pct"))
+    opened = ratio(close, 1.0 + F.col("close_open_ratio"))
     scale = opened if shadow_scale == "open" else F.lit(1.0)
     return {
         "open": opened,

@@ -121,7 +121,7 @@ def market_features(bars: DataFrame, *, by: Sequence[str] = ("symbol",), ts: str
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         c = F.col("close")
-        df = df.withColumns({"_r": pct_change(c, w), "_rng": (F.col("high") - F.col("low")) / c, "return_4": pct_change(c, w, 4)})
+        df = df.withColumns({"_r": pct_change(c, w), "_rng": ratio(F.col("high") - F.col("low"), c), "return_4": pct_change(c, w, 4)})
         r, rng = F.col("_r"), F.col("_rng")
         return df.withColumns(
             {

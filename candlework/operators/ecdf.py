@@ -111,9 +111,14 @@ def _c(name: str, g: str) -> Column:
     return F.col(f"{name}_{g}")
 
 
+def _share(g: str) -> Column:
+    """Cumulative share of a group; NULL when the group is empty."""
+    return _c("c", g) / F.nullif(_c("t", g), F.lit(0))
+
+
 def ks(a: str, b: str) -> Column:
     """Two-sample Kolmogorov-Smirnov statistic (aggregate over ``ecdf`` rows)."""
-    return F.max(F.abs(_c("c", a) / _c("t", a) - _c("c", b) / _c("t", b)))
+    return F.max(F.abs(_share(a) - _share(b)))
 
 
 def ks_pvalue(stat: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -130,14 +135,14 @@ def ks_pvalue(stat: Column, n: Column, m: Column, terms: int = 100) -> Column:
 
 def wasserstein(a: str, b: str, value: str = "value") -> Column:
     """Area between the two distribution functions."""
-    gap = F.abs(_c("c", a) / _c("t", a) - _c("c", b) / _c("t", b))
+    gap = F.abs(_share(a) - _share(b))
     return F.coalesce(F.sum(gap * (F.col("next_value") - F.col(value))), F.lit(0.0))
 
 
 def auc(pos: str, neg: str) -> Column:
     """Rank-sum AUC with half credit for ties."""
     below = _c("c", neg) - _c("n", neg)
-    pairs = _c("t", pos).cast("double") * _c("t", neg)
+    pairs = F.nullif(_c("t", pos).cast("double") * _c("t", neg), F.lit(0.0))
     return F.sum(_c("n", pos) * (below + 0.5 * _c("n", neg)) / pairs)
 
 
@@ -145,7 +150,7 @@ def average_precision(pos: str, neg: str) -> Column:
     """Step-wise area under precision and recall, thresholds from high to low."""
     at_least_pos = _c("t", pos) - _c("c", pos) + _c("n", pos)
     at_least_neg = _c("t", neg) - _c("c", neg) + _c("n", neg)
-    return F.sum(F.when(_c("n", pos) > 0, _c("n", pos) / _c("t", pos) * at_least_pos / (at_least_pos + at_least_neg)))
+    return F.sum(F.when(_c("n", pos) > 0, _c("n", pos) / F.nullif(_c("t", pos), F.lit(0)) * at_least_pos / (at_least_pos + at_least_neg)))
 
 
 def quantile(g: str, p: float, value: str = "value") -> Column:

@@ -286,9 +286,9 @@ def rule_outcomes(
         poor = F.when(long, F.col("_down")).otherwise(F.col("_up"))
         return df.withColumns(
             {
-                "terminal_return": d * (F.col("_end") - c) / c,
-                "mfe": F.when(long, F.col("_hi") - c).otherwise(c - F.col("_lo")) / c,
-                "mae": F.when(long, F.col("_lo") - c).otherwise(c - F.col("_hi")) / c,
+                "terminal_return": ratio(d * (F.col("_end") - c), c),
+                "mfe": ratio(F.when(long, F.col("_hi") - c).otherwise(c - F.col("_lo")), c),
+                "mae": ratio(F.when(long, F.col("_lo") - c).otherwise(c - F.col("_hi")), c),
                 "reached_plus_1atr": good.isNotNull(),
                 "reached_minus_1atr": poor.isNotNull(),
                 "first_passage": resolve_touch(

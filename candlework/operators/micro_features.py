@@ -43,7 +43,7 @@ def block_features(bars: DataFrame, *, bar_seconds: int = 60, expected: int = 15
     rows = bars.withColumn("prediction_ts", end).withColumns(
         {
             "_k": F.row_number().over(w) - 1,
-            "_r": c / F.lag(c).over(w) - 1.0,
+            "_r": ratio(c, F.lag(c).over(w)) - 1.0,
             "_dir": F.signum(c - o),
             "_top": F.max(h).over(upto),
             "_bottom": F.min(l).over(upto),
@@ -99,7 +99,7 @@ def block_features(bars: DataFrame, *, bar_seconds: int = 60, expected: int = 15
         (F.col("_last_bar") + F.make_dt_interval(secs=F.lit(bar_seconds))).alias("maximum_source_ts"),
         F.col("_n").alias("source_rows"),
         rng.alias("_block_range"),
-        (F.col("_c") / F.col("_o") - 1.0).alias("m1_block_return"),
+        (ratio(F.col("_c"), F.col("_o")) - 1.0).alias("m1_block_return"),
         "m1_direction_imbalance",
         "m1_bullish_fraction",
         "m1_return_mean",
@@ -110,8 +110,8 @@ def block_features(bars: DataFrame, *, bar_seconds: int = 60, expected: int = 15
         "m1_realized_volatility",
         F.coalesce("_max_bull", F.lit(0)).cast("double").alias("m1_max_bull_run"),
         F.coalesce("_max_bear", F.lit(0)).cast("double").alias("m1_max_bear_run"),
-        (F.col("_c") / F.col("_c5") - 1.0).alias("m1_momentum_5"),
-        ((F.col("_c") / F.col("_cb") - 1.0) - (F.col("_ca") / F.col("_c0") - 1.0)).alias("m1_reversal_structure"),
+        (ratio(F.col("_c"), F.col("_c5")) - 1.0).alias("m1_momentum_5"),
+        (ratio(F.col("_c"), F.col("_cb")) - ratio(F.col("_ca"), F.col("_c0"))).alias("m1_reversal_structure"),
         ratio_or_zero(F.col("_c") - F.col("_o"), rng).alias("m1_distance_from_open"),
         ratio_or_zero(F.col("_c") - F.col("_h"), rng).alias("m1_distance_from_high"),
         ratio_or_zero(F.col("_c") - F.col("_l"), rng).alias("m1_distance_from_low"),

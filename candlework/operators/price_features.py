@@ -103,7 +103,7 @@ def band_columns(w: WindowSpec) -> dict[str, Column]:
     return {
         "bb_upper": upper,
         "bb_lower": lower,
-        "bb_width": (upper - lower) / mid,
+        "bb_width": scalar.ratio(upper - lower, mid),
         "bb_pct": scalar.ratio(c - lower, upper - lower),
     }
 
@@ -111,7 +111,7 @@ def band_columns(w: WindowSpec) -> dict[str, Column]:
 def average_columns(w: WindowSpec, periods: Sequence[int] = SMA_PERIODS) -> dict[str, Column]:
     c = F.col("close")
     means = {f"sma_{n}": rolling(F.avg(c), w, n, seen=c) for n in periods}
-    return {**means, **{f"price_to_{k}": c / m for k, m in means.items()}}
+    return {**means, **{f"price_to_{k}": scalar.ratio(c, m) for k, m in means.items()}}
 
 
 def ema_columns(w: WindowSpec) -> dict[str, Column]:

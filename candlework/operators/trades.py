@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import trade_results
+from ..functions.scalar import ratio
 from .labels import SL_FIRST, TP_FIRST
 from .series import INDEX, over_series, running_sum, with_row_index
 from .staging import stage
@@ -239,7 +240,7 @@ def with_drawdown(path: DataFrame, value: str, *, floor: float, by: Sequence[str
     peaked = peaked.withColumn("peak", F.greatest("peak", F.lit(floor)))
     peaked = peaked.withColumn("drawdown", (F.col("peak") - F.col(value)) / F.greatest(F.col("peak"), F.lit(1e-12)))
     return over_series(
-        peaked, lambda df, w: df.withColumn("returns", F.coalesce(F.col(value) / F.lag(value).over(w) - 1.0, F.lit(0.0))), by=by, back=1
+        peaked, lambda df, w: df.withColumn("returns", F.coalesce(ratio(F.col(value), F.lag(value).over(w)) - 1.0, F.lit(0.0))), by=by, back=1
     )
 
 

@@ -55,8 +55,8 @@ def stability_index(table: DataFrame, a: str, b: str) -> DataFrame:
         F.max("_d").alias("_d"),
         F.sum(F.when((F.col(f"n_{b}") > 0) & (F.col("value") != F.col("edges")[0]), F.lit(1)).otherwise(0)).alias("_other"),
     )
-    pa = F.greatest(F.col("_na") / F.col("_ta"), F.lit(PSI_FLOOR))
-    pb = F.greatest(F.col("_nb") / F.col("_tb"), F.lit(PSI_FLOOR))
+    pa = F.greatest(F.col("_na") / F.nullif(F.col("_ta"), F.lit(0)), F.lit(PSI_FLOOR))
+    pb = F.greatest(F.col("_nb") / F.nullif(F.col("_tb"), F.lit(0)), F.lit(PSI_FLOOR))
     summed = counts.groupBy("feature").agg(
         F.sum((pb - pa) * F.ln(pb / pa)).alias("_psi"), F.max("_d").alias("_d"), F.sum("_other").alias("_other")
     )
@@ -217,8 +217,8 @@ def concentration(importances: DataFrame, *, keys: Sequence[str] = (), value: st
     t = F.col("_t")
     return total.select(
         *keys,
-        (F.col("_m1") / t).alias("top1_share"),
-        (F.aggregate("_two", F.lit(0.0), lambda a, x: a + x) / t).alias("top2_share"),
-        (F.col("_sq") / (t * t)).alias("herfindahl"),
-        (-(F.col("_xlx") / t - F.ln(t)) / F.ln(F.col("_n"))).alias("normalised_entropy"),
+        (F.col("_m1") / F.nullif(t, F.lit(0.0))).alias("top1_share"),
+        (F.aggregate("_two", F.lit(0.0), lambda a, x: a + x) / F.nullif(t, F.lit(0.0))).alias("top2_share"),
+        (F.col("_sq") / F.nullif(t * t, F.lit(0.0))).alias("herfindahl"),
+        (-(F.col("_xlx") / F.nullif(t, F.lit(0.0)) - F.ln(t)) / F.nullif(F.ln(F.col("_n")), F.lit(0.0))).alias("normalised_entropy"),
     )

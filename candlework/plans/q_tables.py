@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import asymmetric_labels, clock_features
+from ..functions.scalar import asymmetric_labels, ratio
 from ..operators import labels as lb
 from ..operators import price_features as pf
 from ..operators import splits as sp
@@ -351,7 +351,7 @@ REACH = (1, 2, 3, 5, 10, 20, 40)
 )
 def table_forward_relation(spark, sf_dir):
     def extra(df, w):
-        ahead = {f"forward_{h}": F.lead("close", h).over(w) / F.col("close") - 1.0 for h in REACH}
+        ahead = {f"forward_{h}": ratio(F.lead("close", h).over(w), F.col("close")) - 1.0 for h in REACH}
         return df.withColumns({"target": lb.forward_atr_column(w), **ahead})
 
     rows = stage(atr_bars(spark, sf_dir, ahead=max(REACH), extra=extra).where(F.col("target").isNotNull()))
@@ -401,7 +401,7 @@ SWEEP = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5)
       FROM labelled CROSS JOIN m WHERE c5 IS NOT NULL) SELECT multiplier, count(*) AS row_count, {PCT_SQL} FROM x GROUP BY 1""",
 )
 def table_multiplier_sweep(spark, sf_dir):
-    rows = atr_bars(spark, sf_dir, ahead=5, extra=lambda df, w: df.withColumn("forward_return", F.lead("close", 5).over(w) / F.col("close") - 1.0))
+    rows = atr_bars(spark, sf_dir, ahead=5, extra=lambda df, w: df.withColumn("forward_return", ratio(F.lead("close", 5).over(w), F.col("close")) - 1.0))
     return tb.multiplier_sweep(rows, SWEEP)
 
 
