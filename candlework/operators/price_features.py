@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -108,10 +108,17 @@ def band_columns(w: WindowSpec) -> dict[str, Column]:
     }
 
 
-def average_columns(w: WindowSpec, periods: Sequence[int] = SMA_PERIODS) -> dict[str, Column]:
+def add_averages(df: DataFrame, w: WindowSpec, periods: Sequence[int] = SMA_PERIODS) -> DataFrame:
+    """Moving averages as differences of one running sum per block.
+
+    The cost per row does not depend on the period.  The running sum starts at
+    the block's halo, so its magnitude (and rounding error) stays small.
+    """
     c = F.col("close")
-    means = {f"sma_{n}": rolling(F.avg(c), w, n, seen=c) for n in periods}
-    return {**means, **{f"price_to_{k}": scalar.ratio(c, m) for k, m in means.items()}}
+    df = df.withColumn("_run", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = {n: F.col("_run") - F.coalesce(F.lag("_run", n).over(w), F.lit(0.0)) for n in periods}
+    df = df.withColumns({f"sma_{n}": F.when(F.col(INDEX) >= n - 1, total[n] / n) for n in periods})
+    return df.withColumns({f"price_to_sma_{n}": scalar.ratio(c, F.col(f"sma_{n}")) for n in periods}).drop("_run")
 
 
 def ema_columns(w: WindowSpec) -> dict[str, Column]:
@@ -157,7 +164,7 @@ def price_features(
     frames reaching at most ``ahead`` rows forward.
     """
     decayed = {"rsi", "macd", "ema", "atr"} & set(families)
-    back = EWM_BACK if decayed else 199
+    back = EWM_BACK if decayed else max(SMA_PERIODS)
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         if "returns" in families:
@@ -169,7 +176,7 @@ def price_features(
         if "bands" in families:
             df = df.withColumns(band_columns(w))
         if "averages" in families:
-            df = df.withColumns(average_columns(w))
+            df = add_averages(df, w)
         if "ema" in families:
             df = df.withColumns(ema_columns(w))
         if "atr" in families:
