@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_context, q_features, q_labels, q_metrics, q_models, q_sources, q_tables, q_trades  # noqa: F401
+from . import q_context, q_features, q_labels, q_metrics, q_models, q_sources, q_studies, q_tables, q_trades  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
