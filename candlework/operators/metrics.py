@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bins
-from ..functions.scalar import activity_score, direction_score
+from ..functions.scalar import direction_score
 from . import ecdf as ed
 from .labels import CLASS_NAMES
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import with_row_index
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, times as UTC instants."""
@@ -158,11 +156,6 @@ scored AS (
 SCORED_ORDER = ("ts", "l_orderkey", "l_linenumber")
 
 
-def scored_index(df: DataFrame, total: str = "n_rows") -> DataFrame:
-    cells = [F.unix_timestamp("ts"), F.floor(F.col("l_orderkey") / 65536).cast("long")]
-    return with_row_index(df.withColumn("symbol", F.lit("ALL")), ["symbol"], list(SCORED_ORDER), cells, total=total)
-
-
 SCORED_SPLIT_SQL = (
     SCORED_SQL
     + """,

@@ -9,7 +9,6 @@ from ..functions.scalar import cash_session
 from ..operators import context_features as cf
 from ..operators import external_features as ef
 from ..operators import micro_features as mf
-from ..operators import price_features as pf
 from ..operators.asof import asof_audit, asof_join
 from .inputs import OBSERVATIONS_SQL, bars, bars_sql, observations, table
 from .q_features import ATR_SQL, KEY, W, roll

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import scalar
 from ..operators import price_features as pf
 from .inputs import bars, bars_sql

@@ -9,7 +9,6 @@ from ..functions.scalar import asymmetric_labels
 from ..operators import context_features as cf
 from ..operators import labels as lb
 from ..operators import price_features as pf
-from ..operators.series import time_cell, with_row_index
 from .inputs import bars, bars_sql
 from .q_features import ATR_SQL, KEY, NUMBERED, W, roll
 from .registry import query

@@ -16,7 +16,6 @@ from ..sources import readers as rd
 from ..sources import sinks as sk
 from .inputs import DAILY_SQL, OBSERVATIONS_SQL, SCORED_SPLIT_SQL, bars, bars_sql, daily_bars, observations, table
 from .q_features import KEY, NUMBERED
-from .q_labels import atr_bars
 from .q_tables import scored_split
 from .registry import query
 

@@ -12,7 +12,7 @@ from ..operators import tables as tb
 from ..operators.series import time_cell
 from ..operators.staging import stage
 from .inputs import SCORED_ORDER, SCORED_SPLIT_SQL, SCORED_SQL, bars, scored
-from .q_features import ATR_SQL, KEY, W, roll
+from .q_features import KEY, W, roll
 from .q_labels import BOUNDARY_SQL, FORWARD_SQL, HOLD, LONG_TOUCH, NUMBERED, SL, TP, atr_bars, boundary_rows, outcome_sql
 from .registry import query
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import levels as lv
 from ..operators import permute as pm
 from ..operators import trades as tr
-from ..operators.series import time_cell, with_row_index
+from ..operators.series import time_cell
 from ..operators.staging import stage
-from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, bars, bars_sql, scored, table
+from .inputs import SCORED_SQL, bars, bars_sql, scored
 from .q_features import KEY, NUMBERED
 from .q_labels import OUTCOMES_SQL, ruled_outcomes
 from .registry import query
