@@ -3,7 +3,7 @@
 A block is one self-contained byte string::
 
     b"TOKF" | version u4 | first document's start u8 | n documents u4 | n ids u8 | low bits u4 | n high words u4 | n samples u4
-    | low parts, packed u8 bytes | high parts, unary in 64-bit words | select samples u4 | ids u4
+    | bytes of an id u4 | low parts, packed u8 bytes | high parts, unary in 64-bit words | select samples u4 | ids u2 or u4
 
 The n + 1 boundaries of a block never decrease.  The low bits of each are packed; the rest is a unary string in which
 the i-th one stands at (boundary >> low) + i.  That takes about 2 + log2(ids / documents) bits a document.  Every
@@ -26,7 +26,7 @@ from candlework.llm.common import text_or_empty
 from candlework.operators.staging import staging_dir
 
 MAGIC, VERSION, SAMPLE = b"TOKF", 1, 256
-HEAD = struct.Struct("<4sIQIQIII")
+HEAD = "<4sIQIQIIII"
 #: Ids of a block at most, unless one document has more.
 BLOCK_IDS = 4_000_000
 END_ID = 2
@@ -77,27 +77,28 @@ class EliasFano:
         return ((places - np.arange(self.n)) << self.low) | self._lows(0, self.n)
 
 
-def pack(start: int, ids: list[bytes]) -> bytes:
-    """A block of documents given as bytes of 32-bit ids; ``start`` counts the ids before it."""
-    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])
+def pack(start: int, ids: list[np.ndarray]) -> bytes:
+    """A block of documents given as arrays of ids; ``start`` counts the ids before it."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
     e = EliasFano.of(ends)
-    head = HEAD.pack(MAGIC, VERSION, start, len(ids), int(ends[-1]), e.low, len(e.high), len(e.samples))
-    return b"".join([head, e.lows, e.high.tobytes(), e.samples.tobytes(), *ids])
+    body = np.concatenate(ids)
+    width = 2 if not len(body) or int(body.max()) < 1 << 16 else 4
+    head = struct.pack(HEAD, MAGIC, VERSION, start, len(ids), int(ends[-1]), e.low, len(e.high), len(e.samples), width)
+    return b"".join([head, e.lows, e.high.tobytes(), e.samples.tobytes(), body.astype(f"<u{width}").tobytes()])
 
 
-def unpack(block: bytes) -> tuple[int, EliasFano, memoryview]:
-    """First start, boundaries and id bytes of a block."""
-    magic, version, start, n, n_ids, low, high, samples = HEAD.unpack_from(block)
+def unpack(block: bytes) -> tuple[int, EliasFano, np.ndarray]:
+    """First start, boundaries and ids of a block."""
+    magic, version, start, n, n_ids, low, high, samples, width = struct.unpack_from(HEAD, block)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a block of token ids")
-    view, at = memoryview(block), HEAD.size
+    view, at = memoryview(block), struct.calcsize(HEAD)
     lows = bytes(view[at : (at := at + ((n + 1) * low + 7) // 8)])
     words = np.frombuffer(bytes(view[at : (at := at + 8 * high)]), "<u8")
     picks = np.frombuffer(bytes(view[at : (at := at + 4 * samples)]), "<u4")
-    body = view[at:]
-    if len(body) != 4 * n_ids:
+    if len(view) - at != width * n_ids:
         raise ValueError("a block of token ids is cut short")
-    return start, EliasFano(n + 1, low, lows, words, picks), body
+    return start, EliasFano(n + 1, low, lows, words, picks), np.frombuffer(view[at:], f"<u{width}")
 
 
 def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> str:
@@ -112,40 +113,31 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
     out = out or f"{staging_dir(spark)}/token-files-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def encode(batches):
-        import pyarrow as pa
-
-        encoder, tail = Encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            bounds, ids, _, _ = encoder.memory.encode_texts(batch.column("text"), blanks=False)
-            raw = memoryview(ids.tobytes())
-            ids = [bytes(raw[4 * a : 4 * b]) + tail for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
     def blocks(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, block, kept, doc_ids, size, before = TaskContext.get().partitionId(), 0, [], [], 0, 0
+        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
+        block, kept, doc_ids, size, before = 0, [], [], 0, 0
 
         def done():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_ids": size, "doc_ids": doc_ids, "payload": pack(before, kept)}], schema=arrow)
 
-        arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if kept and size + len(ids) // 4 > block_ids:
+            bounds, ids, _, _ = encoder.memory.encode_texts(batch.column("text"), blanks=False)
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                if kept and size + b - a + 1 > block_ids:
                     yield done()
                     before, block, kept, doc_ids, size = before + size, block + 1, [], [], 0
-                kept.append(ids)
+                kept.append(np.append(ids[a:b], np.uint32(end_id)))
                 doc_ids.append(doc_id)
-                size += len(ids) // 4
+                size += b - a + 1
         if kept:
             yield done()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    encoded = rows.mapInArrow(encode, "doc_id long, ids binary")
-    dealt = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(blocks, "part int, block int, n_ids long, doc_ids array<long>, payload binary").write.parquet(out)
     return out
 
@@ -164,7 +156,7 @@ def read_token_files(spark, out: str) -> DataFrame:
             for base, doc_ids, block in zip(*(batch.column(c).to_pylist() for c in ("base", "doc_ids", "payload"))):
                 start, bounds, body = unpack(block)
                 ends = bounds.all()
-                ids = [bytes(body[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                ids = [body[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(base + start + ends[:-1]), pa.array(np.diff(ends)), pa.array(ids, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
