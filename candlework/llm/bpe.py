@@ -27,7 +27,9 @@ LEAF_CHARS = 4096
 PIECE_CHARS = 65536
 #: Words up to this length are remembered, so many of them at a time.
 WORD_CHARS = 64
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 4 << 20
 
 IDS_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -119,7 +121,7 @@ class WordMemory:
         self.forget(words)
         return counts, ids, first, last
 
-    def encode_texts(self, texts, blanks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode_texts(self, texts, blanks: bool, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bounds of each text in the token arrays; ids, starts and ends, in characters of their texts.
 
         ``texts`` is an Arrow array of strings.  Words are found and told apart in whole columns.
@@ -129,10 +131,23 @@ class WordMemory:
         first = np.cumsum(counts) - counts
         n = counts[codes]
         total = np.cumsum(n)
-        pick = np.repeat(first[codes] - total + n, n) + np.arange(int(total[-1]) if len(total) else 0)
-        base = np.repeat(places, n)
+        pick = (np.repeat(first[codes] - total + n, n) + np.arange(int(total[-1]) if len(total) else 0)).astype(np.int32)
         bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(per_text)])]
-        return bounds, ids[pick].astype("<u4"), starts[pick] + base, ends[pick] + base
+        if not spans:
+            return bounds, ids[pick], None, None
+        base = np.repeat(places, n)
+        return bounds, ids[pick], starts[pick] + base, ends[pick] + base
+
+
+def slices(batches):
+    """Record batches cut so that their column ``text`` has about ``SLICE_BYTES`` each, or one row."""
+    for batch in batches:
+        size = np.frombuffer(batch.column("text").buffers()[1], np.int32)[batch.column("text").offset :][: batch.num_rows + 1]
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, size[a] + SLICE_BYTES, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 BLANK = np.isin(np.arange(256), [32, 9, 10, 13])
@@ -318,7 +333,7 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
         import pyarrow as pa
 
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             rows = finish(encoder, [g[0] for g in encoder.trees(texts, [0] * len(texts), leaf_chars)])
             columns = [pa.array(list(c)) for c in zip(*rows)]

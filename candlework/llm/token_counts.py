@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.bpe import WordMemory, load_tokenizer
+from candlework.llm.bpe import WordMemory, load_tokenizer, slices
 from candlework.llm.common import text_or_empty
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, n_shared double"
@@ -62,7 +62,7 @@ def section_token_counts(docs: DataFrame, path: str) -> DataFrame:
         tokenizer = load_tokenizer(path)
         tokenizer.encode_special_tokens = True
         memory = WordMemory(tokenizer, lower=False)
-        for batch in batches:
+        for batch in slices(batches):
             bounds, _, first, last = memory.encode_texts(batch.column("text"), blanks=True)
             out = [[] for _ in range(6)]
             lengths = []

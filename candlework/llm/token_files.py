@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlework.llm.bpe import Encoder
+from candlework.llm.bpe import Encoder, slices
 from candlework.llm.common import text_or_empty
 from candlework.operators.staging import staging_dir
 
 MAGIC, VERSION, SAMPLE = b"TOKF", 1, 256
 HEAD = "<4sIQIQIIII"
 #: Ids of a block at most, unless one document has more.
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 2_000_000
 END_ID = 2
 
 
@@ -124,8 +124,8 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
         def done():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_ids": size, "doc_ids": doc_ids, "payload": pack(before, kept)}], schema=arrow)
 
-        for batch in batches:
-            bounds, ids, _, _ = encoder.memory.encode_texts(batch.column("text"), blanks=False)
+        for batch in slices(batches):
+            bounds, ids, _, _ = encoder.memory.encode_texts(batch.column("text"), blanks=False, spans=False)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 if kept and size + b - a + 1 > block_ids:
                     yield done()
