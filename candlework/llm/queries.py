@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import bpe, token_counts, token_files
-from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, tokenizer_path
+from candlework.llm import bpe, quality, sharding, token_counts, token_files
+from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, table, tokenizer_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(spark, token_files.write_token_files(documents(spark, sf_dir), tokenizer_path(WORD_TOKENIZER)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_bpe, op7_token_files)}
-ORACLES: dict[str, str] = {}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_bpe, op5_quality_rules, op7_token_files, op9_sharding)}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL}
