@@ -139,10 +139,11 @@ class WordMemory:
         return bounds, ids[pick], starts[pick] + base, ends[pick] + base
 
 
-def slices(batches):
-    """Record batches cut so that their column ``text`` has about ``SLICE_BYTES`` each, or one row."""
+def slices(batches, *columns: str):
+    """Record batches cut so that their columns of text have about ``SLICE_BYTES`` each, or one row."""
     for batch in batches:
-        size = np.frombuffer(batch.column("text").buffers()[1], np.int32)[batch.column("text").offset :][: batch.num_rows + 1]
+        sizes = [np.frombuffer(c.buffers()[1], np.int32)[c.offset :][: batch.num_rows + 1].astype(np.int64) for c in map(batch.column, columns or ("text",))]
+        size = sum(sizes)
         a = 0
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(size, size[a] + SLICE_BYTES, "right")) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import bpe, quality, sharding, token_counts, token_files
+from candlework.llm import bpe, near_duplicates, quality, sharding, token_counts, token_files
 from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, table, tokenizer_path
 
 
@@ -29,5 +29,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_bpe, op5_quality_rules, op7_token_files, op9_sharding)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_bpe, op5_quality_rules, op7_token_files, op9_sharding, op10_near_duplicates)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL}
