@@ -69,10 +69,9 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[str
         row = row.withColumns({"loose": F.expr(_smallest(_LOOSE, shards)), "whole": F.expr(_smallest(_WHOLE, shards))})
         row = row.withColumns({"early": F.expr(_walk(_WHOLE, "loose", shards)), "late": F.expr(_walk(_LOOSE, "whole", shards))})
         # Cells that can hold a cut at some capacity between the bounds.
-        open_cells = row.withColumn("i", F.explode(F.expr("sequence(1, size(ends) - 1)")) if not cells.isEmpty() else F.lit(0)).where(
-            "i > 0 AND NOT atomic[i - 1] AND exists(sequence(1, size(early) - 1), j -> ends[i] > early[j] AND ends[i - 1] < late[j])"
-        )
-        split = stage(open_cells.select(F.expr("names[i]").alias("cell")))
+        near = "exists(sequence(1, size(early) - 1), j -> ends[i] > early[j] AND ends[i - 1] < late[j])"
+        picked = F.expr(f"transform(filter(sequence(0, size(ends) - 1), i -> i > 0 AND NOT atomic[i - 1] AND {near}), i -> names[i])")
+        split = stage(row.select(F.explode(picked).alias("cell")))
         if split.isEmpty():
             walk = F.expr(_walk(_WHOLE, "whole", shards))
             bounds = F.expr("transform(slice(walk, 2, size(walk) - 2), p -> names[array_position(ends, p) - 1])")
