@@ -12,7 +12,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-import struct
 import unicodedata
 
 import numpy as np
@@ -20,48 +19,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.common import text_or_empty
+from candlework.llm.common import kept, text_or_empty
 
 #: Characters of a leaf, and of a piece that is a row of its own so that other tasks can encode it.
 LEAF_CHARS = 4096
 PIECE_CHARS = 65536
-#: Words up to this length are remembered, so many of them at a time.
-WORD_CHARS = 64
-WORDS_KEPT = 250_000
 #: Bytes of text that a task works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 IDS_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class WordMemory:
-    """Encodings of words, each made once by the library.
+class WordEncoder:
+    """Encodes texts through their distinct words, each handed to the library once per slice of texts.
 
     Plain words (letters of Latin-1, then ASCII symbols) need no normalisation but case, and fall into the same two
-    parts by either public pattern, so the library's merge model is asked for the parts, and places follow from the
-    lengths of the tokens.  All other words go through the library's whole chain, and their places are kept.
+    parts by either public pattern, so the library's merge model is given the distinct parts, and places follow from
+    the lengths of the tokens.  All other words go through the library's whole chain.
     """
 
-    PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+    PLAIN = r"^(?P<stem> ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, tokenizer, lower: bool):
-        self.tokenizer, self.model, self.lower = tokenizer, tokenizer.model, lower
-        self.ids: dict[str, bytes] = {}
-        self.odd: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.lower = tokenizer, lower
+        self.merges = Tokenizer(tokenizer.model)  # the merge model alone, over parts between blanks
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         as_char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
-        self.shown = {c: "".join(as_char[b] for b in chr(c).encode()) for c in range(256)}
+        self.blank, self.hidden = as_char[32], [(chr(b), as_char[b]) for b in (*range(128, 161), 173)]
         n = tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(tokenizer.id_to_token(i).removesuffix("</w>")) for i in range(n)], np.int64)
 
-    def part(self, text: str) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            cased = text.lower() if self.lower else text
-            ids = [t.id for t in self.model.tokenize(cased.translate(self.shown))]
-            got = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
+    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of tokens of each part (letters or symbols, no blank but one in front), and all their ids."""
+        joined = " ".join(texts).lower() if self.lower else " ".join(texts)
+        joined = joined.encode().decode("latin-1")
+        for char, seen in self.hidden:
+            joined = joined.replace(char, seen)
+        if not self.lower:  # a second blank is the part's own
+            joined = joined.replace("  ", " " + self.blank)
+            joined = self.blank + joined[1:] if joined[:1] == " " else joined
+        got = self.merges.encode(joined, add_special_tokens=False)
+        return np.bincount(np.array(got.word_ids, np.int64), minlength=len(texts)), np.array(got.ids, "<u4")
 
     def direct(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first and one-past-last characters, by the library's whole chain."""
@@ -69,69 +70,59 @@ class WordMemory:
         spans = np.array(got.offsets, np.int64).reshape(-1, 2)
         return np.array(got.ids, "<u4"), spans[:, 0], spans[:, 1]
 
-    def learn(self, words) -> None:
-        """Know all the words; what is known is dropped before it outgrows its bound."""
-        if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-            self.odd.clear()
-            self.parts = {"": b""}
-        for w in set(words).difference(self.ids):
-            plain = self.PLAIN(w)
-            if plain:
-                stem, tail = plain.groups()
-                self.ids[w] = self.part(stem) + self.part(tail)
-            else:
-                ids, starts, ends = self.direct(w)
-                self.ids[w] = ids.tobytes()
-                self.odd[w] = (starts, ends)
-
-    def forget(self, words) -> None:
-        """Long words are not kept."""
-        for w in words:
-            if len(w) > WORD_CHARS:
-                self.ids.pop(w, None)
-                self.odd.pop(w, None)
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of tokens of each word; ids, starts and ends of all the tokens, in characters of their words."""
-        self.learn(words)
-        got = list(map(self.ids.__getitem__, words))
-        ids = np.frombuffer(b"".join(got), "<u4")
-        counts = np.array([len(g) >> 2 for g in got], np.int64)
-        lengths = np.array([len(w) for w in words], np.int64)
-        odd = [k for k, w in enumerate(words) if w in self.odd] if self.odd else []
-        text, own = "".join(words), self.bytes_of[ids]
-        if odd:
-            strange = np.zeros(len(words), bool)
-            strange[odd] = True
-            plain = ~np.repeat(strange, counts)
-            text, own = "".join([w for w in words if w not in self.odd]), own[plain]
-            lengths = np.where(strange, 0, lengths)
+    def encode(self, words, spans: bool):
+        """Number of tokens of each of the distinct words (Arrow strings), all their ids, and their places in the words."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.extract_regex(words, self.PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        found = found.filter(pa.array(plain))
+        stems, tails = found.field("stem").dictionary_encode(), found.field("tail").dictionary_encode()
+        stem_list, tail_list = stems.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        odd = [self.direct(w) for w in words.filter(pa.array(~plain)).to_pylist()]
+        # Parts: stems, tails, odd words, and an empty one; a word is a stem and a tail, or an odd word and nothing.
+        stem_n, stem_ids = self.parts(stem_list)
+        tail_got = [self.parts([t]) if t else (np.zeros(1, np.int64), np.zeros(0, "<u4")) for t in tail_list]
+        counts = np.concatenate([stem_n, *[n for n, _ in tail_got], [len(x[0]) for x in odd], [0]]).astype(np.int64)
+        ids = np.concatenate([stem_ids, *[i for _, i in tail_got], *[x[0] for x in odd]])
+        pair = np.empty((len(plain), 2), np.int64)
+        pair[plain, 0] = stems.indices.to_numpy()
+        pair[plain, 1] = tails.indices.to_numpy() + len(stem_list)
+        pair[~plain, 0] = np.arange(len(odd)) + len(stem_list) + len(tail_list)
+        pair[~plain, 1] = len(counts) - 1
+        first, n = np.cumsum(counts) - counts, counts[pair.ravel()]
+        pick = np.repeat(first[pair.ravel()] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        per_word = n.reshape(-1, 2).sum(1)
+        if not spans:
+            return per_word, ids[pick], None, None
+        texts = stem_list + tail_list
+        known = int(counts[: len(texts)].sum())
+        own = self.bytes_of[ids[:known]]
         ends = np.cumsum(own)
-        char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
-        before = np.repeat(np.cumsum(lengths) - lengths, counts)
-        if not odd:
-            first, last = char[ends - own] - before, char[ends - 1] + 1 - before
-        else:
-            first, last = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-            first[plain] = char[ends - own] - before[plain]
-            last[plain] = char[ends - 1] + 1 - before[plain]
-            first[~plain] = np.concatenate([self.odd[words[k]][0] for k in odd])
-            last[~plain] = np.concatenate([self.odd[words[k]][1] for k in odd])
-        self.forget(words)
-        return counts, ids, first, last
-
-    def encode_texts(self, texts, blanks: bool, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bounds of each text in the token arrays; ids, starts and ends, in characters of their texts.
+        char = np.cumsum((np.frombuffer("".join(texts).encode(), np.uint8) & 0xC0) != 0x80) - 1
+        length = np.array([len(t) for t in texts], np.int64)
+        before = np.repeat(np.cumsum(length) - length, counts[: len(texts)])
+        starts = np.concatenate([char[ends - own] - before, *[x[1] for x in odd]])
+        stops = np.concatenate([char[ends - 1] + 1 - before, *[x[2] for x in odd]])
+        shift = np.zeros((len(plain), 2), np.int64)
+        shift[plain, 1] = length[pair[plain, 0]]
+        shift = np.repeat(shift.ravel(), n)
+        return per_word, ids[pick], starts[pick] + shift, stops[pick] + shift
+
+    def encode_texts(self, texts, blanks: bool, spans: bool = True):
+        """Bounds of each text in the token arrays; ids, and starts and ends in characters of their texts.
 
         ``texts`` is an Arrow array of strings.  Words are found and told apart in whole columns.
         """
-        words, codes, per_text, places = split_words(texts, blanks)
-        counts, ids, starts, ends = self.encode(words) if words else (np.zeros(0, np.int64),) * 4
-        first = np.cumsum(counts) - counts
-        n = counts[codes]
+        words, codes, per_text, places = split_words(texts, blanks, spans)
+        if not len(words):
+            none = np.zeros(0, np.int64)
+            return np.zeros(len(texts) + 1, np.int64), none.astype("<u4"), none, none
+        counts, ids, starts, ends = self.encode(words, spans)
+        first, n = np.cumsum(counts) - counts, counts[codes]
         total = np.cumsum(n)
-        pick = (np.repeat(first[codes] - total + n, n) + np.arange(int(total[-1]) if len(total) else 0)).astype(np.int32)
+        pick = (np.repeat(first[codes] - total + n, n) + np.arange(int(total[-1]))).astype(np.int32)
         bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(per_text)])]
         if not spans:
             return bounds, ids[pick], None, None
@@ -139,14 +130,14 @@ class WordMemory:
         return bounds, ids[pick], starts[pick] + base, ends[pick] + base
 
 
-def slices(batches, *columns: str):
-    """Record batches cut so that their columns of text have about ``SLICE_BYTES`` each, or one row."""
+def slices(batches, *columns: str, size_bytes: int = SLICE_BYTES):
+    """Record batches cut so that their columns of text have about ``size_bytes`` each, or one row."""
     for batch in batches:
         sizes = [np.frombuffer(c.buffers()[1], np.int32)[c.offset :][: batch.num_rows + 1].astype(np.int64) for c in map(batch.column, columns or ("text",))]
         size = sum(sizes)
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(size, size[a] + SLICE_BYTES, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(size, size[a] + size_bytes, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
 
@@ -154,7 +145,7 @@ def slices(batches, *columns: str):
 BLANK = np.isin(np.arange(256), [32, 9, 10, 13])
 
 
-def split_words(texts, blanks: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def split_words(texts, blanks: bool, places: bool):
     """Distinct words; of each word in the texts its code and first character; words per text.
 
     Without ``blanks`` a word is a run without blank, tab or line end.  With ``blanks`` nothing is left out: a word
@@ -184,13 +175,15 @@ def split_words(texts, blanks: bool) -> tuple[list[str], np.ndarray, np.ndarray,
         blank = BLANK[raw]
         start = ~blank & (opens | np.concatenate([[True], blank[:-1]]))
         where, kept = np.flatnonzero(start), raw[~blank]
-        offsets = np.append(np.cumsum(~blank)[where] - 1, len(kept))
+        offsets = np.append(np.cumsum(~blank, dtype=np.int32)[where] - 1, len(kept))
     words = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept)))
     told = words.dictionary_encode()
-    char = np.cumsum((raw & 0xC0) != 0x80)
     per_text = np.diff(np.searchsorted(where, bounds))
+    if not places:
+        return told.dictionary, told.indices.to_numpy(), per_text, None
+    char = np.cumsum((raw & 0xC0) != 0x80)
     before = np.concatenate([[0], char])[bounds[:-1]]
-    return told.dictionary.to_pylist(), told.indices.to_numpy(), per_text, char[where] - 1 - np.repeat(before, per_text)
+    return told.dictionary, told.indices.to_numpy(), per_text, char[where] - 1 - np.repeat(before, per_text)
 
 
 def load_tokenizer(path: str):
@@ -210,7 +203,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.memory = WordMemory(self.tokenizer, lower=True)
+        self.words = WordEncoder(self.tokenizer, lower=True)
         self.pieces: np.ndarray | None = None
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
@@ -227,7 +220,7 @@ class Encoder:
             while j < len(rid) and rst[j] == rst[j - 1]:
                 j += 1
             a, b = int(lst[i]), int(rst[j]) if j < len(rid) else end
-            wid, wst, _ = self.memory.direct(text[a - base : b - base])
+            wid, wst, _ = self.words.direct(text[a - base : b - base])
             wst = wst + a
             same_left = i == 0 or (len(wid) and wid[0] == lid[i] and wst[0] == lst[i])
             same_right = j == len(rid) or (len(wid) and wid[-1] == rid[j - 1] and wst[-1] == rst[j - 1])
@@ -244,7 +237,7 @@ class Encoder:
 
         marks = [cuts(t, leaf_chars, self.special) for t in texts]
         leaves = [t[a:b] for t, mark in zip(texts, marks) for a, b in zip(mark, mark[1:])]
-        bounds, ids, starts, _ = self.memory.encode_texts(pa.array(leaves, pa.large_string()), blanks=False)
+        bounds, ids, starts, _ = self.words.encode_texts(pa.array(leaves, pa.large_string()), blanks=False)
         out, k = [], 0
         for text, at, mark in zip(texts, places, marks):
             parts = []
@@ -274,6 +267,11 @@ class Encoder:
         return " ".join(self.pieces[ids].tolist())
 
 
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder for a tokenizer file."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
+
+
 def cut_allowed(c: str) -> bool:
     """Whether a text may be cut before ``c`` without changing its composed form."""
     return c.isascii() or not (unicodedata.category(c)[0] == "M" or 0x1160 <= ord(c) <= 0x11FF or 0xD7B0 <= ord(c) <= 0xD7FF)
@@ -322,10 +320,10 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
 
     fields = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
 
-    def finish(encoder, arrays) -> list[tuple]:
+    def finish(own, arrays) -> list[tuple]:
         out = []
         for ids in arrays:
-            text = encoder.decode(ids)
+            text = own.decode(ids)
             row = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
             out.append(row + ((ids.astype("i4").tolist(), text) if keep_ids else ()))
         return out
@@ -333,10 +331,10 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
     def whole(batches):
         import pyarrow as pa
 
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            rows = finish(encoder, [g[0] for g in encoder.trees(texts, [0] * len(texts), leaf_chars)])
+            rows = finish(own, [g[0] for g in own.trees(texts, [0] * len(texts), leaf_chars)])
             columns = [pa.array(list(c)) for c in zip(*rows)]
             if keep_ids:
                 columns[3] = columns[3].cast(pa.list_(pa.int32()))
@@ -344,25 +342,25 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *fields])
 
     def pieces(batches):
-        special = Encoder(path).special
+        special = encoder(path).special
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 mark, name = cuts(text, piece_chars, special), hashlib.md5(text.encode()).hexdigest()
                 yield pd.DataFrame({"doc_id": doc_id, "name": name, "piece": range(len(mark) - 1), "at": mark[:-1], "text": [text[a:b] for a, b in zip(mark, mark[1:])]})
 
     def encoded(batches):
-        encoder = Encoder(path)
+        own = encoder(path)
         for pdf in batches:
-            got = encoder.trees(list(pdf["text"]), list(pdf["at"]), leaf_chars)
+            got = own.trees(list(pdf["text"]), list(pdf["at"]), leaf_chars)
             yield pdf.assign(ids=[i.tobytes() for i, _ in got], starts=[s.tobytes() for _, s in got])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        encoder = Encoder(path)
+        own = encoder(path)
         copies = int((pdf["piece"] == 0).sum())
         pdf = pdf.drop_duplicates("piece").sort_values("piece")
         text = "".join(pdf["text"])
         parts = [(a, a + len(t), (np.frombuffer(i, "<u4"), np.frombuffer(s, "<i8"))) for a, t, i, s in zip(pdf["at"], pdf["text"], pdf["ids"], pdf["starts"])]
-        out = pd.DataFrame(finish(encoder, [encoder.fold(text, 0, parts)[0]]) * copies, columns=fields)
+        out = pd.DataFrame(finish(own, [own.fold(text, 0, parts)[0]]) * copies, columns=fields)
         out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
         return out
 

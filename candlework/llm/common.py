@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
-__all__ = ["BYTE_TOKENIZER", "WORD", "WORD_TOKENIZER", "documents", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
+__all__ = ["BYTE_TOKENIZER", "WORD", "WORD_TOKENIZER", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def kept(name: str, make):
+    """An object that a worker process makes once and later tasks find again (functions come by value, globals do not stay)."""
+    home = sys.modules.setdefault("candlework_worker_objects", types.ModuleType("candlework_worker_objects"))
+    if name not in vars(home):
+        vars(home)[name] = make()
+    return vars(home)[name]
+
+
 def mounted_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, as a path that every worker can map into memory.
 

@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
     def sign(batches):
         import pyarrow as pa
 
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=4 << 20):
             words, hashes = word_hashes(batch.column("text"))
             text, ids, weights = weighted(*shingles(words, hashes))
             n = batch.num_rows
@@ -141,7 +141,7 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, simila
     def compare(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "left", "right"):
+        for batch in slices(batches, "left", "right", size_bytes=4 << 20):
             sides = [weighted(*shingles(*word_hashes(batch.column(c)))) for c in ("left", "right")]
             text = np.concatenate([s[0] for s in sides])
             ids = np.concatenate([s[1] for s in sides])

@@ -1,7 +1,7 @@
 """Token counts of the sections of a document from one encoding of the whole document.
 
 A document is encoded once; its token spans are joined to the spans of its sections by their characters.  (Its pattern never merges across the blank before a word, so
-encoding goes word by word with a memory; the spans are those of the whole text.)  Two rules
+encoding goes word by word; the spans are those of the whole text.)  Two rules
 for tokens that cross a boundary are explicit: ``n_tokens`` gives a token to the section of its first character, so
 counts of sections add up to the count of the document; ``n_shared`` is the exact share by characters.
 """
@@ -14,12 +14,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.bpe import WordMemory, load_tokenizer, slices
-from candlework.llm.common import text_or_empty
+from candlework.llm.bpe import WordEncoder, load_tokenizer, slices
+from candlework.llm.common import kept, text_or_empty
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, n_shared double"
 
 
+def span_encoder(path: str) -> WordEncoder:
+    tokenizer = load_tokenizer(path)
+    tokenizer.encode_special_tokens = True
+    return WordEncoder(tokenizer, lower=False)
+
+
 def line_sections(text: str) -> np.ndarray:
     """Spans of the lines of a text, each with its line end; one empty span for an empty text."""
     ends = [m.end() for m in re.finditer("\n", text)]
@@ -59,11 +65,9 @@ def section_token_counts(docs: DataFrame, path: str) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        tokenizer = load_tokenizer(path)
-        tokenizer.encode_special_tokens = True
-        memory = WordMemory(tokenizer, lower=False)
+        words = kept(f"spans {path}", lambda: span_encoder(path))
         for batch in slices(batches):
-            bounds, _, first, last = memory.encode_texts(batch.column("text"), blanks=True)
+            bounds, _, first, last = words.encode_texts(batch.column("text"), blanks=True)
             out = [[] for _ in range(6)]
             lengths = []
             for text, a, b in zip(batch.column("text").to_pylist(), bounds, bounds[1:]):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlework.llm.bpe import Encoder, slices
+from candlework.llm.bpe import encoder, slices
 from candlework.llm.common import text_or_empty
 from candlework.operators.staging import staging_dir
 
@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        own, part = encoder(path), TaskContext.get().partitionId()
         arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
         block, kept, doc_ids, size, before = 0, [], [], 0, 0
 
@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_ids": size, "doc_ids": doc_ids, "payload": pack(before, kept)}], schema=arrow)
 
         for batch in slices(batches):
-            bounds, ids, _, _ = encoder.memory.encode_texts(batch.column("text"), blanks=False, spans=False)
+            bounds, ids, _, _ = own.words.encode_texts(batch.column("text"), blanks=False, spans=False)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 if kept and size + b - a + 1 > block_ids:
                     yield done()
