@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import bpe, near_duplicates, quality, sharding, token_counts, token_files
+from candlework.llm import bpe, decontaminate, near_duplicates, quality, sharding, token_counts, token_files
 from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, table, tokenizer_path
 
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(documents(spark, sf_dir), tokenizer_path(BYTE_TOKENIZER)).withColumn("n_shared", F.round("n_shared", 9))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path(WORD_TOKENIZER))
 
@@ -33,5 +37,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_bpe, op5_quality_rules, op7_token_files, op9_sharding, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_quality_rules, op7_token_files, op9_sharding, op10_near_duplicates)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL}
