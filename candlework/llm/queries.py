@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import bpe, decontaminate, near_duplicates, quality, sharding, token_counts, token_files
+from candlework.llm import bpe, decontaminate, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_files
 from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, table, tokenizer_path
 
 
@@ -21,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path(WORD_TOKENIZER))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(spark, token_files.write_token_files(documents(spark, sf_dir), tokenizer_path(WORD_TOKENIZER)))
 
@@ -37,5 +41,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_quality_rules, op7_token_files, op9_sharding, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_quality_rules, op6_suffix_dedup, op7_token_files, op9_sharding, op10_near_duplicates)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL}
