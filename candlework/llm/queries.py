@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import bpe, decontaminate, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_files
+from candlework.llm import bpe, decontaminate, html_text, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_files
 from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, table, tokenizer_path
 
 
@@ -29,6 +29,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(spark, token_files.write_token_files(documents(spark, sf_dir), tokenizer_path(WORD_TOKENIZER)))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -41,5 +45,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_quality_rules, op6_suffix_dedup, op7_token_files, op9_sharding, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op4_html_extraction, op5_quality_rules, op6_suffix_dedup, op7_token_files, op9_sharding, op10_near_duplicates)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL}
