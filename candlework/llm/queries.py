@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.llm import bpe, decontaminate, html_text, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_files
+from candlework.llm import bpe, decontaminate, html_text, kneser_ney, near_duplicates, quality, sharding, suffix_dedup, token_counts, token_files
 from candlework.llm.common import BYTE_TOKENIZER, WORD_TOKENIZER, documents, table, tokenizer_path
 
 
@@ -37,6 +37,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -45,5 +49,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op4_html_extraction, op5_quality_rules, op6_suffix_dedup, op7_token_files, op9_sharding, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op4_html_extraction, op5_quality_rules, op6_suffix_dedup, op7_token_files, op8_kneser_ney, op9_sharding, op10_near_duplicates)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality.SQL}
