@@ -308,24 +308,24 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
     """Ids of every text by tree concatenation, with digests of ids and decoded text (``IDS_SCHEMA``).
 
     One row comes out per row that goes in; a null text counts as empty (0 tokens), repeated rows give repeated
-    results, other columns are left out.  ``keep_ids`` adds ``ids`` (array<int>) and ``decoded`` (string).
+    results, other columns are left out.  ``keep_ids`` adds ``ids`` (array<int>).
 
     Texts above ``piece_chars`` become rows of pieces, which other tasks encode; only those are shuffled, and a group
     is one document.
     """
-    schema = IDS_SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = IDS_SCHEMA + (", ids array<int>" if keep_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     short = rows.where(F.length("text") <= piece_chars)
     long = rows.where(F.length("text") > piece_chars)
 
-    fields = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def finish(own, arrays) -> list[tuple]:
         out = []
         for ids in arrays:
             text = own.decode(ids)
             row = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-            out.append(row + ((ids.astype("i4").tolist(), text) if keep_ids else ()))
+            out.append(row + ((ids.astype("i4"),) if keep_ids else ()))
         return out
 
     def whole(batches):
@@ -336,8 +336,6 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
             texts = batch.column("text").to_pylist()
             rows = finish(own, [g[0] for g in own.trees(texts, [0] * len(texts), leaf_chars)])
             columns = [pa.array(list(c)) for c in zip(*rows)]
-            if keep_ids:
-                columns[3] = columns[3].cast(pa.list_(pa.int32()))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *fields])
 
