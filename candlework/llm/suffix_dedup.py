@@ -29,7 +29,7 @@ WINDOW = LENGTH - GRAM + 1
 SHALLOW, CHUNK = 48, 8
 #: Different surroundings of one anchor hash that one task sorts; beyond that their strings are counted one by one.
 GROUP_ROWS = 20_000
-KEY = ["doc_id", "text_hash"]
+KEY = ["doc_key", "text_hash"]
 
 
 def anchors_of(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
@@ -201,44 +201,45 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             ids = [batch.column(c).take(pa.array(text)) for c in KEY]
             yield pa.RecordBatch.from_arrays([*ids, *[pa.array(x.astype(k)) for x, k in zip((place, anchor, around, before, after), ("i4", "i8", "i8", "i2", "i2"))]], names=names)
 
-    return docs.mapInArrow(find, "doc_id long, text_hash long, place int, anchor long, around long, before short, after short")
+    return docs.mapInArrow(find, "doc_key long, text_hash long, place int, anchor long, around long, before short, after short")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Spans of repeated strings (doc_id, text_hash, start, end), not merged, and the texts of the documents that can have some.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Spans of repeated strings (doc_key, text_hash, start, end), not merged.
 
-    ``docs`` has doc_id, text_hash and text (no null text).
+    ``docs`` has doc_key, text_hash and text, none of them null.
     """
     found = stage(anchor_rows(docs, length))
-    kinds = stage(found.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("one")))
+    row = F.xxhash64(*KEY, "place")
+    kinds = stage(found.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("one")))
     per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
-    open_anchors = per.where("kinds > 1 AND single > 0").select("anchor", "kinds")
-    twice = kinds.where("n > 1").select("anchor", "around")
-    whole = stage(found.join(twice, ["anchor", "around"], "left_semi").where(F.col("before") + F.col("after") >= length))
-    needed = kinds.join(open_anchors, "anchor").select("one.*", "anchor", "kinds", (F.col("n") == 1).alias("single"))
-    places = needed.groupBy(*KEY).agg(F.collect_list(F.struct("place", "anchor", "kinds", "single")).alias("places"))
-    touched = places.unionByName(whole.select(*KEY).distinct().withColumn("places", F.array().cast(places.schema["places"].dataType)))
-    touched = touched.groupBy(*KEY).agg(F.flatten(F.collect_list("places")).alias("places"))
-    texts = stage(docs.join(touched.select("doc_id", "text_hash", "places"), (docs["doc_id"].eqNullSafe(touched["doc_id"])) & (docs["text_hash"] == touched["text_hash"])).select(docs["doc_id"], docs["text_hash"], "text", "places"))
+    open_anchors = stage(per.where("kinds > 1 AND single > 0").select("anchor", "kinds"))
+    told = kinds.join(open_anchors, "anchor", "left").where("n > 1 OR kinds IS NOT NULL")
+    marked = found.join(told, ["anchor", "around"])
+    marked = stage(marked.select(*KEY, "place", "anchor", "before", "after", "kinds", (F.col("n") == 1).alias("single"), (F.col("kinds").isNotNull() & (row == F.col("one"))).alias("needed")))
+    places = marked.where("needed").groupBy(*KEY).agg(F.collect_set(F.struct("place", "anchor", "kinds", "single")).alias("places"))
+    texts = docs.select(*KEY, "text").join(places, KEY)
 
     def surroundings(batches):
         import pyarrow as pa
 
-        kind = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("anchor", pa.int64()), ("kinds", pa.int64()), ("single", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+        kind = pa.schema([("doc_key", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("anchor", pa.int64()), ("kinds", pa.int64()), ("single", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
         for batch in batches:
             for part in slices([batch], size_bytes=1 << 20):
                 rows = []
-                for doc_id, text_hash, text, places in zip(*(part.column(c).to_pylist() for c in (*KEY, "text", "places"))):
+                for doc_key, text_hash, text, places in zip(*(part.column(c).to_pylist() for c in (*KEY, "text", "places"))):
                     raw = text.encode()
                     for p in places:
                         at = p["place"]
-                        rows.append((doc_id, text_hash, at, p["anchor"], p["kinds"], p["single"], raw[max(0, at - length + GRAM) : at][::-1], raw[at : at + length]))
+                        rows.append((doc_key, text_hash, at, p["anchor"], p["kinds"], p["single"], raw[max(0, at - length + GRAM) : at][::-1], raw[at : at + length]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
 
-    fields = "doc_id long, text_hash long, place int, anchor long, kinds long, single boolean, left binary, right binary"
-    contexts = texts.where(F.size("places") > 0).select(*KEY, "text", "places").mapInArrow(surroundings, fields)
-    contexts = stage(contexts)
+    fields = "doc_key long, text_hash long, place int, anchor long, kinds long, single boolean, left binary, right binary"
+    contexts = texts.mapInArrow(surroundings, fields)
+    largest = open_anchors.agg(F.max("kinds")).first()[0] or 0
+    if largest > group_rows:
+        contexts = stage(contexts)
 
     def sorted_groups(batches):
         import pyarrow as pa
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROU
             got = reaches([r[4] for r in rows], [r[5] for r in rows], length)
             return [(d, h, p - a, p + b) for (d, h, p, single, _, _), (a, b) in zip(rows, got) if single and b]
 
-        kind = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+        kind = pa.schema([("doc_key", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             out = []
             for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", *KEY, "place", "single", "left", "right"))):
@@ -264,9 +265,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROU
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], schema=kind)
 
     small = contexts.where(F.col("kinds") <= group_rows).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    spans = small.mapInArrow(sorted_groups, "doc_id long, text_hash long, start long, end long")
-    full = whole.select(*KEY, (F.col("place") - F.col("before")).cast("long").alias("start"), (F.col("place") + F.col("after")).cast("long").alias("end"))
-    return spans.unionByName(counted_strings(contexts.where(F.col("kinds") > group_rows), length)).unionByName(full), texts
+    spans = small.mapInArrow(sorted_groups, "doc_key long, text_hash long, start long, end long")
+    full = marked.where("NOT single").where(F.col("before") + F.col("after") >= length)
+    full = full.select(*KEY, (F.col("place") - F.col("before")).cast("long").alias("start"), (F.col("place") + F.col("after")).cast("long").alias("end"))
+    if largest > group_rows:
+        spans = spans.unionByName(counted_strings(contexts.where(F.col("kinds") > group_rows), length))
+    return spans.unionByName(full)
 
 
 def counted_strings(contexts: DataFrame, length: int) -> DataFrame:
@@ -289,7 +293,7 @@ def counted_strings(contexts: DataFrame, length: int) -> DataFrame:
                     names = [*KEY, "place", "anchor", "single", "offset", "string"]
                     yield pa.RecordBatch.from_arrays([*[rows.column(c).take(pa.array(which)) for c in names[:5]], pa.array(offset, pa.int32()), pa.array(string, pa.int64())], names=names)
 
-    listed = contexts.mapInArrow(strings, "doc_id long, text_hash long, place int, anchor long, single boolean, offset int, string long")
+    listed = contexts.mapInArrow(strings, "doc_key long, text_hash long, place int, anchor long, single boolean, offset int, string long")
     twice = listed.groupBy("anchor", "offset", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return (
         listed.where("single")
@@ -300,40 +304,29 @@ def counted_strings(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+def keys() -> list:
+    """What tells a document: its id (a null id counts as -1) and the hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_key"), F.xxhash64(text_or_empty()).alias("text_hash")]
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, text_hash, n_removed, n_spans, kept_sha256, kept) of the distinct documents that lose bytes.
+def with_spans(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """The rows of ``docs`` with the column ``_spans`` of repeated spans, null where there are none."""
+    keyed = docs.select(*keys(), text_or_empty().alias("text"))
+    listed = repeated_spans(keyed, length, group_rows).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    listed = listed.withColumnsRenamed({"doc_key": "_doc_key", "text_hash": "_text_hash"})
+    doc_key, text_hash = keys()
+    named = docs.withColumns({"_own_key": doc_key, "_own_hash": text_hash})
+    return named.join(listed, (F.col("_own_key") == F.col("_doc_key")) & (F.col("_own_hash") == F.col("_text_hash")), "left")
 
-    ``kept`` is the text that is left; where a cut falls inside a character, the rest of it goes too.
-    """
-    spans, texts = repeated_spans(keyed(docs), length, group_rows)
-    listed = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    same = texts.select(*KEY, "text").dropDuplicates(KEY).alias("t")
-    joined = same.join(listed.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.text_hash") == F.col("l.text_hash"))).select("t.*", "l.spans")
-
-    def cut(batches):
-        import pyarrow as pa
-
-        kind = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
-        for batch in batches:
-            for part in slices([batch], size_bytes=2 << 20):
-                rows = []
-                for doc_id, text_hash, text, spans in zip(*(part.column(c).to_pylist() for c in (*KEY, "text", "spans"))):
-                    raw, at, left = text.encode(), 0, []
-                    gone = merged((s["start"], s["end"]) for s in spans)
-                    for a, b in gone:
-                        left.append(raw[at:a])
-                        at = b
-                    left = b"".join([*left, raw[at:]])
-                    rows.append((doc_id, text_hash, len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
 
-    return joined.mapInArrow(cut, "doc_id long, text_hash long, n_removed long, n_spans long, kept_sha256 string, kept string")
+def cut(text: str | None, spans) -> tuple[bytes, bytes, int]:
+    """A text's bytes, those left without the spans, and the number of merged spans."""
+    raw, at, left = (text or "").encode(), 0, []
+    gone = merged((s["start"], s["end"]) for s in spans or ())
+    for a, b in gone:
+        left.append(raw[at:a])
+        at = b
+    return raw, b"".join([*left, raw[at:]]), len(gone)
 
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -343,23 +336,35 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP
     documents of their own, so each makes the other's strings repeated; an empty table gives none; other columns are
     left out; strings are judged on the input and never cross documents.
     """
-    text = text_or_empty()
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole")
-    ).alias("r")
-    lost = stage(cut_texts(docs, length, group_rows).drop("kept")).alias("c")
-    both = rows.join(lost, F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.text_hash") == F.col("c.text_hash")), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return both.select("r.doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+    def digest(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices([batch], size_bytes=2 << 20):
+                got = [cut(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist())]
+                columns = [[len(raw) for raw, _, _ in got], [len(raw) - len(left) for raw, left, _ in got], [n for _, _, n in got]]
+                sums = pa.array([hashlib.sha256(left).hexdigest() for _, left, _ in got], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], sums], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), length, group_rows)
+    return rows.select("doc_id", "text", "_spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The documents with repeated strings cut out of their texts, with their columns.
 
-    A document that loses all its bytes goes.
+    A document that loses all its bytes goes.  Where a cut falls inside a character, the rest of the character goes too.
     """
-    lost = stage(cut_texts(docs, length, group_rows).select(*KEY, F.col("kept").alias("kept_text")))
-    lost = lost.withColumnsRenamed({"doc_id": "cut_doc", "text_hash": "cut_hash"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("cut_doc")) & (F.xxhash64(text_or_empty()) == F.col("cut_hash"))
-    left = F.when(F.col("cut_hash").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    return docs.join(lost, same, "left").where("cut_hash IS NULL OR kept_text <> ''").withColumn("text", left).select(*docs.columns)
+
+    def shorten(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+            left = [t if s is None else cut(t, s)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans)]
+            stays = pa.array([s is None or bool(t) for t, s in zip(left, spans)], pa.bool_())
+            columns = [pa.array(left, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(stays)
+
+    return with_spans(docs, length, group_rows).select(*docs.columns, "_spans").mapInArrow(shorten, docs.schema)
