@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import time_cell
+from .series import placeable, time_cell
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,15 @@ def asof_many(left: DataFrame, sources: Sequence[Source], *, by: Sequence[str] =
     Left rows and all sources go through one shuffle on (keys, time cell).  The
     newest source row of each cell is carried forward over a table that has one
     row per key and cell, so neither a long tolerance nor one very long key puts
-    a whole key into one task.
+    a whole key into one task.  A left row without a key or time matches nothing
+    and stays in the result; source rows without a key match nothing.
     """
     keys = [*by, "_cell"]
     rights, carries = [], []
     for k, s in enumerate(sources):
         packed = F.struct(F.col(s.time).alias("_t"), *[F.col(c).alias(f"v_{c}") for c in s.frame.columns if c not in by])
         rank = F.struct(F.col(s.time), *[F.col(c) for c in s.order])
-        cells = s.frame.where(F.col(s.time).isNotNull()).select(
+        cells = placeable(s.frame, [*by, s.time]).select(
             *by, F.col(s.time).alias("_time"), packed.alias(f"_src{k}"), rank.alias("_rank"), time_cell(s.time, cell_seconds).alias("_cell")
         )
         # One row per source time: the last of equal times is the only one a match can see.
@@ -69,7 +70,7 @@ def asof_many(left: DataFrame, sources: Sequence[Source], *, by: Sequence[str] =
     per_cell = ends.groupBy(*keys).agg(*[F.max_by(n, n + "._t").alias(n) for n in names])
     carried = per_cell.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"_carry{n}") for n in names])
     hit = both.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).where(F.col("_side") == 1)
-    joined = hit.join(carried, keys).select("_left", *[F.coalesce(n, f"_carry{n}").alias(n) for n in names])
+    joined = hit.join(carried, keys, "left").select("_left", *[F.coalesce(n, f"_carry{n}").alias(n) for n in names])
 
     out = [F.col(f"_left.{c}").alias(c) for c in left.columns]
     at = F.unix_micros(F.col(f"_left.{left_time}").cast("timestamp"))

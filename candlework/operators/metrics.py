@@ -15,6 +15,7 @@ from ..functions import bins
 from ..functions.scalar import direction_score
 from . import ecdf as ed
 from .labels import CLASS_NAMES
+from .series import same
 
 CLASSES = (0, 1, 2)
 
@@ -159,7 +160,7 @@ def binary_metrics(df: DataFrame, *, actual: str, score: str, threshold: float =
     )
     ranks = ranking_metrics(df, y == 1, score, keys=keys, cells=cells)
     if keys:
-        return base.join(ranks, list(keys))
+        return same(base, ranks, keys)
     one = F.lit(1)
     return base.withColumn("_one", one).join(ranks.withColumn("_one", one), "_one").drop("_one")
 
@@ -192,7 +193,7 @@ def quantile_calibration(df: DataFrame, *, actual: str, score: str, n: int = 10,
 
     edges = exact_quantiles(df, [score], [k / n for k in range(n + 1)], keys=keys, cells=cells)
     inner = edges.select(*keys, F.lit(1).alias("_one"), F.slice("edges", 2, n - 1).alias("_in"))
-    placed = df.withColumn("_one", F.lit(1)).join(inner, [*keys, "_one"])
+    placed = same(df.withColumn("_one", F.lit(1)), inner, [*keys, "_one"])
     return calibration(placed, bins.bin_by_edges(F.col(score), F.col("_in"), right_closed=True), actual=actual, score=score, keys=keys)
 
 
@@ -215,7 +216,7 @@ def three_views(df: DataFrame, *, keys: Sequence[str] = (), target: str = "targe
     )
     act = ranking_metrics(rows, traded, "_act", keys=keys).select(*keys, F.col("roc_auc").alias("filter_roc_auc"))
     way = ranking_metrics(rows.where(traded), t == 1, "_dir", keys=keys).select(*keys, F.col("roc_auc").alias("direction_roc_auc"))
-    return wide.join(act, list(keys)).join(way, list(keys))
+    return same(same(wide, act, keys, "left"), way, keys, "left") if keys else wide.join(act).join(way)
 
 
 def direction_metrics(df: DataFrame, *, keys: Sequence[str] = (), target: str = "target", buy: str = "buy_proba", sell: str = "sell_proba") -> DataFrame:

@@ -21,6 +21,8 @@ LEAD_BITS = 10
 NEXT_BITS = 12
 #: Largest number of (key, permutation) entries that is broadcast.
 BROADCAST_ENTRIES = 1_000_000
+#: Half the width of the bracket of a k-th hash, in deviations.
+BRACKET_DEVIATIONS = 8.0
 
 
 def _hash(seed: int, row_key: Sequence[str]) -> Column:
@@ -92,6 +94,30 @@ def random_selections(rows: DataFrame, cutoffs: DataFrame, *, keys: Sequence[str
     return spread.where(_flip(F.col("_h")) <= _flip(F.col("cutoff"))).drop("_h", "cutoff")
 
 
+def _bracketed_null(rows: DataFrame, sizes: DataFrame, *, keys: Sequence[str], row_key: Sequence[str], permutations: int, seed: int) -> DataFrame:
+    """Means of random selections in one pass over the rows.
+
+    The k-th of N even hashes lies within a few deviations of k / N.  Rows below
+    that bracket are only summed; the few inside keep their hash and are ranked.
+    A permutation whose k-th hash is not inside its bracket is left out, and the
+    caller counts them.
+    """
+    share = F.col("k") / F.col("rows")
+    spread = BRACKET_DEVIATIONS * F.sqrt(F.col("k") * (1 - share) + 1) / F.col("rows")
+    bounds = sizes.select(*keys, "k", (share - spread).alias("_low"), (share + spread).alias("_high"))
+    drawn = rows.join(bounds, list(keys)).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    drawn = drawn.withColumn("_h", _flip(_hash(seed, row_key)))
+    unit = (F.shiftrightunsigned(_flip(F.col("_h")), 11) * F.lit(2.0**-53)).alias("_u")
+    near = drawn.withColumn("_u", unit).where(F.col("_u") <= F.col("_high")).withColumn("_h", F.when(F.col("_u") >= F.col("_low"), F.col("_h")))
+    cells = near.groupBy(*keys, "perm", "k", "_h").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_v"), F.count("_v").alias("_m"), F.count_if(F.col("_v") > 0).alias("_up")
+    )
+    order = Window.partitionBy(*keys, "perm").orderBy(F.col("_h").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = cells.select(*keys, "perm", "k", "_h", *[F.sum(c).over(order).alias(c) for c in ("_n", "_v", "_m", "_up")])
+    found = upto.where((F.col("_n") == F.col("k")) & F.col("_h").isNotNull())
+    return found.select(*keys, "perm", F.col("k").alias("selected"), (F.col("_v") / F.col("_m")).alias("statistic"), (F.col("_up") / F.col("_m")).alias("win_rate"))
+
+
 def matched_selection_null(rows: DataFrame, *, value: str, selected: Column, keys: Sequence[str], row_key: Sequence[str], permutations: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Observed mean of the selected rows, and its null under random selections of equal size.
 
@@ -100,9 +126,13 @@ def matched_selection_null(rows: DataFrame, *, value: str, selected: Column, key
     slim = stage(rows.select(*keys, *row_key, F.col(value).alias("_v"), selected.alias("_sel")))
     observed = slim.groupBy(*keys).agg(F.count_if("_sel").alias("k"), F.avg(F.when(F.col("_sel"), F.col("_v"))).alias("observed"), F.count(F.lit(1)).alias("rows"))
     population = slim.drop("_sel")
+    sizes = stage(observed.where("k > 0").select(*keys, "k", "rows"))
+    null = stage(_bracketed_null(population, sizes, keys=keys, row_key=row_key, permutations=permutations, seed=seed))
+    if null.count() == sizes.count() * permutations:
+        return observed, null
     cut = selection_cutoffs(population, observed.select(*keys, "k"), keys=keys, row_key=row_key, permutations=permutations, seed=seed)
     null = random_selections(population, cut, keys=keys, row_key=row_key, seed=seed).groupBy(*keys, "perm").agg(
-        F.count(F.lit(1)).alias("selected"), F.avg("_v").alias("statistic")
+        F.count(F.lit(1)).alias("selected"), F.avg("_v").alias("statistic"), F.avg((F.col("_v") > 0).cast("double")).alias("win_rate")
     )
     return observed, null
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import FORBIDDEN_NAME_PARTS, SIDECAR_REQUIRED
 from .splits import SPLITS
+from .staging import stage
 
 PRICES = ("open", "high", "low", "close")
 
@@ -62,10 +63,12 @@ RULES = ("duplicate_times", "null_values", "non_positive", "high_below_body", "l
 
 
 def require_valid(report: DataFrame) -> None:
-    """Raise when any rule is broken; reads one row per series."""
-    bad = report.where(sum(F.col(r) for r in RULES) > 0).limit(5).collect()
-    if bad:
-        raise ContractError(f"bar contract broken: {[r.asDict() for r in bad]}")
+    """Raise when any rule is broken, with the number of broken series and where they are all listed."""
+    bad = report.where(sum(F.col(r) for r in RULES) > 0)
+    if not bad.isEmpty():
+        kept = stage(bad)
+        totals = kept.agg(F.count(F.lit(1)).alias("series"), *[F.sum(r).alias(r) for r in RULES]).first()
+        raise ContractError(f"bar contract broken: {totals.asDict()}, first {kept.first().asDict()}, all in {kept.inputFiles()[0].rsplit('/', 1)[0]}")
 
 
 def coverage(bars: DataFrame, *, start: Column, end: Column, slack_days: int = 7, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ INDEX = "bar_index"
 BLOCK = "_block"
 HOME = "_home"
 MIN_BLOCK_ROWS = 2048
+#: Steps of the first cell column that are scanned together.
+CELLS_PER_CHUNK = 4096
 
 
 def time_cell(ts: str, seconds: int = 86400) -> Column:
@@ -40,17 +43,17 @@ def with_row_index(
 
     ``cells`` are expressions that, read as a tuple, never decrease along
     ``order``.  Rows are numbered inside a cell and shifted by the number of
-    rows in earlier cells, so only the table of cell counts is ever scanned in
-    series order.
+    rows in earlier cells.  The table of cell counts is scanned in two levels as
+    well: ``CELLS_PER_CHUNK`` cells at a time, and the totals of those chunks.
+
+    A row without key or time has no place in a series: it is left
+    out before anything is counted, and ``unplaced_rows`` returns it.
     """
     names = [f"_cell{k}" for k in range(len(cells))]
-    celled = df.withColumns(dict(zip(names, cells)))
+    celled = placeable(df.withColumns(dict(zip(names, cells))), [*by, *names])
     keys = [*by, *names]
-    along = Window.partitionBy(*by).orderBy(*names)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
     counts = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    extra = [F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []
-    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *extra)
+    starts = _cell_starts(counts, by, names, total)
     local = celled.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return (
         local.join(starts, keys)
@@ -59,6 +62,41 @@ def with_row_index(
     )
 
 
+def placeable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows in which none of the columns is NULL."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
+
+
+def unplaced_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows that no series can hold because a key or an order column is NULL."""
+    return df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in [*by, *order]]))
+
+
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys equal each other; the keys come once, from the left."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, equal, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def _cell_starts(counts: DataFrame, by: Sequence[str], names: Sequence[str], total: str | None) -> DataFrame:
+    """Rows in earlier cells of the same series, for every cell.
+
+    The first cell column is coarsened to a chunk; chunks are summed first, so a
+    task scans the cells of one chunk or the chunks of one series.
+    """
+    chunk = F.floor(F.col(names[0]) / CELLS_PER_CHUNK).alias("_chunk")
+    chunked = counts.withColumn("_chunk", chunk)
+    sums = chunked.groupBy(*by, "_chunk").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_sum").over(Window.partitionBy(*by)).alias(total)] if total else []
+    bases = sums.select(*by, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), *extra)
+    inside = Window.partitionBy(*by, "_chunk").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    local = chunked.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    start = (F.col("_base") + F.col("_before")).alias("_start")
+    return local.join(bases, [*by, "_chunk"]).select(*by, *names, start, *([total] if total else []))
+
+
 def block_rows(back: int, ahead: int) -> int:
     """Rows per block: long enough that copied rows stay a small share."""
     return max(MIN_BLOCK_ROWS, 4 * (back + ahead))

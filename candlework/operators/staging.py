@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,19 @@ _FALLBACK: list[str] = []
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set."""
+    """The cluster's shared checkpoint folder.
+
+    Only a session that runs in one process may do without; it gets a folder of
+    its own, which is removed when Python ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _FALLBACK[0], ignore_errors=True)
     return _FALLBACK[0]
 
 

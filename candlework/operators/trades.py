@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,29 +142,21 @@ def candidate_exits(
 # ------------------------------------------------------------------ non-overlapping trades
 
 
-def _jump_out(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow the next-trade links inside one block until they leave it."""
-    pdf = pdf.sort_values("_c")
-    first = int(pdf["_c"].iloc[0])
-    nxt = (pdf["_next"].to_numpy() - first).astype(np.int64)
-    jump = np.empty(len(nxt), dtype=np.int64)
-    for i in range(len(nxt) - 1, -1, -1):
-        jump[i] = nxt[i] if nxt[i] >= len(nxt) else jump[nxt[i]]
-    return pdf.assign(_jump=jump + first)
+def _followed(links: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Per block its first candidate and, for every candidate in order, where its links leave the block.
 
-
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mark the trades met when the block is entered at its entry trade."""
-    pdf = pdf.sort_values("_c")
-    first = int(pdf["_c"].iloc[0])
-    taken = np.zeros(len(pdf), dtype=bool)
-    entry = pdf["_entry"].max()
-    if not pd.isna(entry):
-        i, nxt = int(entry) - first, (pdf["_next"].to_numpy() - first).astype(np.int64)
-        while i < len(nxt):
-            taken[i] = True
-            i = nxt[i]
-    return pdf.assign(accepted=taken)
+    ``_links`` and ``_jumps`` are places relative to the first candidate; a place
+    behind the last one is outside.  Following doubles its reach at each step.
+    """
+    packed = links.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_c", "_next"))).alias("_rows"))
+    out = packed.select(
+        *keys,
+        F.expr("_rows[0]._c").alias("_first"),
+        F.expr("transform(_rows, x -> CAST(x._next - _rows[0]._c AS INT))").alias("_links"),
+    ).withColumn("_jumps", F.col("_links"))
+    for _ in range(max(1, (block_rows - 1).bit_length())):
+        out = out.withColumn("_jumps", F.expr("transform(_jumps, x -> CASE WHEN x < size(_jumps) THEN _jumps[x] ELSE x END)"))
+    return out
 
 
 def non_overlapping(candidates: DataFrame, *, by: Sequence[str] = ("symbol",), block_rows: int = CHAIN_ROWS) -> DataFrame:
@@ -188,9 +178,11 @@ def non_overlapping(candidates: DataFrame, *, by: Sequence[str] = ("symbol",), b
     linked = stage(linked)
 
     keys = [*by, "_block"]
-    links = linked.select(*by, "_block", "_c", "_next")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema), "_jump long"])
-    jumps = stage(links.groupBy(*keys).applyInPandas(_jump_out, schema))
+    blocks = stage(_followed(linked.select(*by, "_block", "_c", "_next"), keys, block_rows))
+    jumps = blocks.select(*keys, "_first", F.posexplode("_jumps").alias("_at", "_to")).select(
+        *by, "_block", (F.col("_first") + F.col("_at")).cast("long").alias("_c"), (F.col("_first") + F.col("_to")).cast("long").alias("_jump")
+    )
+    jumps = stage(jumps)
 
     # Chain of block entries: starts at candidate 0, continues at jump targets.
     targets = jumps.select(*by, F.col("_jump").alias("_c")).distinct()
@@ -209,9 +201,14 @@ def non_overlapping(candidates: DataFrame, *, by: Sequence[str] = ("symbol",), b
         hop = stage(hop.join(far, [*by, "_jump"]).select(*by, "_c", F.col("_to").alias("_jump")))
 
     entries = reached.withColumn("_block", F.floor(F.col("_c") / block_rows).cast("long")).groupBy(*keys).agg(F.min("_c").alias("_entry"))
-    marked = linked.join(entries, keys, "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema), "accepted boolean"])
-    return marked.groupBy(*keys).applyInPandas(_walk, schema).drop("_c", "_next", "_block", "_entry")
+    path = (
+        "aggregate(sequence(1, size(_links)), array(CAST(_entry - _first AS INT)), "
+        "(p, z) -> CASE WHEN _links[element_at(p, -1)] < size(_links) THEN array_append(p, _links[element_at(p, -1)]) ELSE p END, "
+        "p -> array_distinct(p))"
+    )
+    met = blocks.join(entries, keys).select(*by, "_first", F.explode(F.expr(path)).alias("_at"))
+    met = met.select(*by, (F.col("_first") + F.col("_at")).cast("long").alias("_c"), F.lit(True).alias("_met"))
+    return linked.join(met, [*by, "_c"], "left").withColumn("accepted", F.coalesce("_met", F.lit(False))).drop("_c", "_next", "_block", "_met")
 
 
 # ------------------------------------------------------------------ ledger and equity
@@ -408,7 +405,7 @@ def filter_verdict(metrics: DataFrame, p_values: DataFrame, *, rules_key: str =
     )
 
 
-def confirmation_verdict(metrics: DataFrame, p_values: DataFrame, *, minimum_trades: int = 100) -> DataFrame:
+def confirmation_verdict(metrics: DataFrame, p_values: DataFrame, *, minimum_trades: int = 1000) -> DataFrame:
     """Verdict on a frozen filter from confirmation rows (one control, some thresholds)."""
     control = metrics.where(F.col("threshold").isNull()).select(
         F.lit(1).alias("_one"), F.col("average_return").alias("_avg"), F.col("win_rate").alias("_win"), F.col("profit_factor").alias("_pf")

@@ -27,7 +27,7 @@ def touches_sql(source: str, up: str, down: str, h: int) -> str:
       FROM {source} a LEFT JOIN {source} b ON b.symbol = a.symbol AND b.i > a.i AND b.i <= a.i + {h} GROUP BY 1, 2)"""
 
 
-TP, SL, HOLD = 40.0, 15.0, 12
+TP, SL, HOLD = 40.0, 15.0, 40
 LONG_TOUCH = touches_sql("numbered", f"a.close + {TP}", f"a.close - {SL}", HOLD)
 
 

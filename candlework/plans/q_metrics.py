@@ -440,7 +440,7 @@ MODEL_SQL = """models AS (SELECT 'stored' AS split, target, predicted FROM split
 @query(
     "comparison_models",
     "model:s metric:s value:d baseline_value:d difference:d",
-    f"""WITH {SCORED_SPLIT_SQL}, {MODEL_SQL}, {report_sql('models')} SELECT a.split AS model, a.metric, a.value, b.value AS baseline_value, a.value - b.value AS difference
+    f"""WITH {SCORED_SPLIT_SQL}, {MODEL_SQL.replace('models AS (', 'models AS MATERIALIZED (')}, {report_sql('models').replace('report AS (', 'report AS MATERIALIZED (')} SELECT a.split AS model, a.metric, a.value, b.value AS baseline_value, a.value - b.value AS difference
     FROM report a JOIN report b ON b.metric = a.metric AND b.split = 'stored'""",
 )
 def comparison_models(spark, sf_dir):

@@ -14,6 +14,8 @@ from .q_features import KEY, NUMBERED
 from .q_labels import OUTCOMES_SQL, ruled_outcomes
 from .registry import query
 
+PERMUTATIONS = 500
+
 # ---------------------------------------------------------------- instruments
 
 INSTRUMENTS = [
@@ -286,20 +288,26 @@ def strategy_filter_verdict(spark, sf_dir):
     metrics = stage(tr.strategy_metrics(grid, keys=["split", "rule", "threshold"], order=["ts", "symbol"], cells=[time_cell("ts")]))
     keys = ["split", "rule", "threshold"]
     treated = grid.where(F.col("threshold").isNotNull())
-    observed, null = pm.matched_selection_null(treated, value="terminal_return", selected=F.col("selected"), keys=keys, row_key=["symbol", "ts"], permutations=99)
-    p = pm.null_summary(observed, null, keys=keys).select(*keys, F.col("random_mean").alias("random_average_return"), "one_sided_p_value")
-    base = metrics.where(F.col("threshold").isNull()).select("split", "rule", F.col("win_rate").alias("random_win_rate"))
-    return tr.filter_verdict(metrics, p.join(base, ["split", "rule"]))
+    observed, null = pm.matched_selection_null(treated, value="terminal_return", selected=F.col("selected"), keys=keys, row_key=["symbol", "ts"], permutations=PERMUTATIONS)
+    null = stage(null)
+    # The matched random control is the first permutation.
+    control = null.where("perm = 1").select(*keys, F.col("statistic").alias("random_average_return"), F.col("win_rate").alias("random_win_rate"))
+    p = pm.null_summary(observed, null.drop("win_rate"), keys=keys).select(*keys, "one_sided_p_value")
+    return tr.filter_verdict(metrics, p.join(control, keys))
 
 
 @query("strategy_confirmation_verdict", "verdict:s thresholds:l supported:l")
 def strategy_confirmation_verdict(spark, sf_dir):
-    rows = scored_outcomes(spark, sf_dir).where(F.col("rule") == "ma_10_20")
+    """The frozen thresholds on the test rows only."""
+    from ..operators.splits import chronological_split
+
+    split = chronological_split(stage(scored_outcomes(spark, sf_dir).where(F.col("rule") == "ma_10_20")), by=("rule",), order=("ts", "symbol"))
+    rows = split.where("split = 'test'").drop("split", "bar_index", "n_rows")
     grid = stage(tr.threshold_grid(rows, score="score", thresholds=(0.6, 0.7)))
     metrics = tr.strategy_metrics(grid, keys=["threshold"], order=["ts", "symbol"], cells=[time_cell("ts")])
     treated = grid.where(F.col("threshold").isNotNull())
-    observed, null = pm.matched_selection_null(treated, value="terminal_return", selected=F.col("selected"), keys=["threshold"], row_key=["symbol", "ts"], permutations=199)
-    return tr.confirmation_verdict(metrics, pm.null_summary(observed, null, keys=["threshold"]))
+    observed, null = pm.matched_selection_null(treated, value="terminal_return", selected=F.col("selected"), keys=["threshold"], row_key=["symbol", "ts"], permutations=PERMUTATIONS)
+    return tr.confirmation_verdict(metrics, pm.null_summary(observed, null.drop("win_rate"), keys=["threshold"]))
 
 
 # ---------------------------------------------------------------- permutations
@@ -308,13 +316,13 @@ def strategy_confirmation_verdict(spark, sf_dir):
 @query(
     "permutation_selection_counts",
     "rule:s threshold:d k:l observed:d4 permutations:l fewest:l most:l",
-    f"""WITH RECURSIVE {GRID_SQL} SELECT rule, threshold, trades AS k, average_return AS observed, 99 AS permutations, trades AS fewest, trades AS most FROM strategy WHERE threshold IS NOT NULL""",
+    f"""WITH RECURSIVE {GRID_SQL} SELECT rule, threshold, trades AS k, average_return AS observed, {PERMUTATIONS} AS permutations, trades AS fewest, trades AS most FROM strategy WHERE threshold IS NOT NULL""",
 )
 def permutation_selection_counts(spark, sf_dir):
     """Every random selection must hold exactly as many rows as the filter kept."""
     grid = tr.threshold_grid(scored_outcomes(spark, sf_dir), score="score").where(F.col("threshold").isNotNull())
     keys = ["rule", "threshold"]
-    observed, null = pm.matched_selection_null(grid, value="terminal_return", selected=F.col("selected"), keys=keys, row_key=["symbol", "ts"], permutations=99)
+    observed, null = pm.matched_selection_null(grid, value="terminal_return", selected=F.col("selected"), keys=keys, row_key=["symbol", "ts"], permutations=PERMUTATIONS)
     counts = null.groupBy(*keys).agg(F.count(F.lit(1)).alias("permutations"), F.min("selected").alias("fewest"), F.max("selected").alias("most"))
     return observed.join(counts, keys)
 
@@ -326,8 +334,8 @@ NULL = "observed:d iterations:l random_mean:d random_std:d random_min:d random_q
 def permutation_selection_null(spark, sf_dir):
     grid = tr.threshold_grid(scored_outcomes(spark, sf_dir), score="score").where(F.col("threshold").isNotNull())
     keys = ["rule", "threshold"]
-    observed, null = pm.matched_selection_null(grid, value="terminal_return", selected=F.col("selected"), keys=keys, row_key=["symbol", "ts"], permutations=99)
-    return pm.null_summary(observed, null, keys=keys)
+    observed, null = pm.matched_selection_null(grid, value="terminal_return", selected=F.col("selected"), keys=keys, row_key=["symbol", "ts"], permutations=PERMUTATIONS)
+    return pm.null_summary(observed, null.drop("win_rate"), keys=keys)
 
 
 @query("permutation_labels", "metric:s " + NULL)
