@@ -5,10 +5,11 @@ where they fall depends on the shingle only.  The plane is cut into regions of w
 rank [0, R), [R, 2R), [2R, 4R) ..., each with a hashed Poisson number of darts, so a text throws only about
 k (ln k + 3) of them, not one per shingle and coordinate.  The earliest dart below a shingle's weight in each
 of k coordinates is the signature; two texts agree in a coordinate with the probability of their weighted Jaccard
-similarity.  Bands of the signature bring texts together.  In each band bucket texts are checked against a
-few representatives first (exactly, on their shingles); what stays in different classes there is then checked pair by pair, so no
-link between texts of a bucket is lost and a bucket of one class costs no pairs.  At similarity 0.8 a pair meets in
-no band with a probability of 8 in a million.
+similarity.  Bands of the signature bring texts together.  In each band bucket texts are checked (exactly, on their
+shingles) against one text first, then, where several classes are left, against the text that shares most with
+others; what stays apart is checked pair by pair, unless the weight of shingles that no other text has rules a link
+out.  So no link between texts of a bucket is lost, and a bucket of one class costs no pairs.  At similarity 0.8 a
+pair meets in no band with a probability of 8 in a million.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ ROWS, BANDS = 7, 50
 FIRST_RANK = 2.0**-10
 #: Bits in which the 128-bit sketches of a pair of similarity 0.8 differ: 12.8 on average, with a deviation of 3.4.
 SKETCH_BITS = 34
+#: Ids of texts that are sent to every task at most (8 bytes each).
+WANTED_ROWS = 500_000
 SIGNATURE = "doc_id long, name string, bands array<long>, sketch1 long, sketch2 long, weight long"
 
 
@@ -123,8 +126,11 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
     return rows_in.mapInArrow(sign, SIGNATURE)
 
 
-def similar_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is high enough; the sketch only spares clear cases."""
+def similar_pairs(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is high enough; the sketch only spares clear cases.
+
+    ``texts`` (rep, text) is stored; where only a few texts are wanted, their ids go to it instead of it to them.
+    """
     side = lambda c: sketches.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sketch1", "sketch2", "weight")])
     near = (
         pairs.join(side("a"), "a")
@@ -134,9 +140,12 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, simila
         .select("a", "b")
     )
     near = stage(near)
-    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(wanted, "rep", "left_semi")
-    texts = stage(texts.dropDuplicates(["rep"]))
+    if near.isEmpty():
+        return near
+    wanted = stage(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct())
+    if wanted.count() <= WANTED_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = stage(texts.join(wanted, "rep", "left_semi"))
 
     def compare(batches):
         import pyarrow as pa
@@ -173,32 +182,68 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, r
     reps = stage(named.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), one).select("name", "rep", "n_copies", "s.*"))
     sketches = reps.select("rep", "sketch1", "sketch2", "weight")
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    spread = F.xxhash64("rep")
-    heads = banded.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rep").alias("head1"), F.max("rep").alias("head2"), F.min_by("rep", spread).alias("head3"), F.max_by("rep", spread).alias("head4")
-    )
-    hits = stage(banded.join(heads.where("n > 1"), "bucket"))
-    links, tested = None, None
-    for turn in range(1, 5):
-        pairs = hits.selectExpr(f"least(rep, head{turn}) AS a", f"greatest(rep, head{turn}) AS b").where("a <> b").distinct()
-        if links is not None:
-            label = components(links)
-            pairs = across(pairs, label).join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        found = similar_pairs(pairs, sketches, docs, similarity)
-        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+    heads = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).where("n > 1")
+    hits = stage(banded.join(heads.drop("n"), "bucket"))
+    met = stage(hits.select("rep").distinct())
+    few = met.count() <= WANTED_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(F.broadcast(met) if few else met, "rep", "left_semi")
+    texts = stage(texts.dropDuplicates(["rep"]) if docs_repeat(signed) else texts)
+    # First every text of a bucket against the bucket's smallest id.
+    pairs = stage(hits.where("rep <> head").selectExpr("head AS a", "rep AS b").distinct())
+    links = similar_pairs(pairs, sketches, texts, similarity)
     label = components(links)
-    placed = hits.select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("bucket", "rep", "coalesce(label, rep) AS label")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_rows = stage(placed.join(mixed, "bucket"))
-    other = open_rows.selectExpr("bucket", "rep AS b", "label AS label_b")
-    pairs = open_rows.join(other, "bucket").where("rep < b AND label <> label_b").selectExpr("rep AS a", "b").distinct()
-    rest = similar_pairs(stage(pairs.join(tested, ["a", "b"], "left_anti")), sketches, docs, similarity)
-    label = components(links.union(rest)).withColumnRenamed("node", "rep")
+    tested = pairs
+    # Then, in buckets that hold several classes yet, against the text that shares most with others.
+    open_rows = stage(several_classes(hits.select("bucket", "rep"), label))
+    if not open_rows.isEmpty():
+        apart = unshared_weight(texts.join(open_rows.select("rep").distinct(), "rep", "left_semi"))
+        weighed = open_rows.join(apart, "rep", "left").join(reps.select("rep", "weight"), "rep").withColumn("shared", F.expr("weight - coalesce(apart, 0)"))
+        # What a text shares with others bounds its similarity to any of them; without enough of it, it links nothing.
+        open_rows = stage(weighed.where(F.col("shared") >= similarity * F.col("weight")).select("bucket", "rep", "weight", "shared"))
+        centres = open_rows.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("shared") / F.col("weight"), "rep")).alias("head"))
+        pairs = open_rows.join(centres, "bucket").selectExpr("least(rep, head) AS a", "greatest(rep, head) AS b").where("a <> b").distinct()
+        pairs = stage(across(pairs, label).join(tested, ["a", "b"], "left_anti"))
+        links, tested = links.union(similar_pairs(pairs, sketches, texts, similarity)), tested.union(pairs)
+        label = components(links)
+        # Last, what is in different classes still, pair by pair.
+        left = stage(several_classes(open_rows, label))
+        other = left.selectExpr("bucket", "rep AS b", "label AS label_b", "weight AS weight_b", "shared AS shared_b")
+        both = left.join(other, "bucket").where("rep < b AND label <> label_b")
+        both = both.where(F.least("shared", "shared_b") >= similarity / (1 + similarity) * (F.col("weight") + F.col("weight_b")))
+        pairs = stage(both.selectExpr("rep AS a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            label = components(links.union(similar_pairs(pairs, sketches, texts, similarity)))
+    label = label.withColumnRenamed("node", "rep")
     classes = reps.select("name", "rep", "n_copies").join(label, "rep", "left").selectExpr("name", "coalesce(label, rep) AS class_id", "n_copies")
     return signed.select("doc_id", "name").join(classes, "name", "left").select("doc_id", "class_id", F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
+def several_classes(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (bucket, rep, ...) of buckets that hold more than one class, with their labels."""
+    placed = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return placed.join(mixed, "bucket")
+
+
+def unshared_weight(texts: DataFrame) -> DataFrame:
+    """(rep, apart): weight of the shingles of a text that no other of ``texts`` has."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, size_bytes=4 << 20):
+            text, ids, weights = weighted(*shingles(*word_hashes(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(text)), pa.array(ids.view(np.int64)), pa.array(weights.astype(np.int64))], names=["rep", "shingle", "weight"])
+
+    once = texts.select("rep", "text").mapInArrow(rows, "rep long, shingle long, weight long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("rep").alias("rep"), F.sum("weight").alias("weight"))
+    return once.where("n = 1").groupBy("rep").agg(F.sum("weight").alias("apart"))
+
+
+def docs_repeat(signed: DataFrame) -> bool:
+    """Whether any doc_id comes more than once."""
+    return not signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose sides have different labels."""
     first, second = label.selectExpr("node AS a", "label AS x"), label.selectExpr("node AS b", "label AS y")
@@ -207,8 +252,10 @@ def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, that of the smallest doc_id; rows without an id stay."""
-    classes = near_duplicate_classes(docs, **options)
+    classes = stage(near_duplicate_classes(docs, **options))
     dropped = stage(classes.where("doc_id <> class_id").select("doc_id").distinct())
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if not docs_repeat(classes):
+        return kept
     named, unnamed = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
     return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
