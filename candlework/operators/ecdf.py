@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import same
+
 
 def value_cells(df: DataFrame, columns: Sequence[str], cells: int = 32) -> dict[str, tuple[Column, Column]]:
     """Per column, a monotone cell number and a flag for single-value cells.
@@ -97,7 +99,7 @@ def ecdf(df: DataFrame, groups: dict[str, Column], *, keys: Sequence[str] = ("fe
             **{f"c_{g}": F.sum(f"n_{g}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for g in names},
         }
     )
-    return local.join(offsets, keyed).select(
+    return same(local, offsets, keyed).select(
         *keyed,
         value,
         F.coalesce("_lead", "_next").alias("next_value"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import bin_by_edges, rank_bin
 from . import ecdf as ed
-from .series import time_cell, with_row_index
+from .series import same, time_cell, with_row_index
 from .staging import stage
 
 SHARES = ("sell_pct", "buy_pct", "no_trade_pct")
@@ -150,7 +150,7 @@ def regime_table(df: DataFrame, *, ts: str = "ts", target: str = "target", split
         F.avg("returns").alias("returns_mean"),
         F.avg("atr_pct").alias("atr_pct_mean"),
     )
-    return stats.join(medians(long, ["close", "returns"], keys, cuts=cuts), keys, "left")
+    return same(stats, medians(long, ["close", "returns"], keys, cuts=cuts), keys, "left")
 
 
 def rank_bins(df: DataFrame, columns: Sequence[str], q: int, *, tie_order: Sequence[str], keep: Sequence[str], ts: str = "ts", cells: int = 32) -> DataFrame:
@@ -209,7 +209,7 @@ def boundary_summary(rows: DataFrame, *, keys: Sequence[str] = ("split", "target
     )
     with_abs = rows.withColumn("absolute_forward_move_points", F.abs("forward_move_price_points"))
     mids = medians(with_abs, ["boundary_distance_atr", "absolute_move_atr", "threshold_price_points", "absolute_forward_move_points"], keys)
-    return shares.join(mids, list(keys), "left")
+    return same(shares, mids, keys, "left") if keys else shares.join(mids)
 
 
 def direction_symmetry(rows: DataFrame, *, key: str = "split", target: str = "target") -> DataFrame:
