@@ -24,8 +24,10 @@ from candlework.llm.common import kept, text_or_empty
 #: Characters of a leaf, and of a piece that is a row of its own so that other tasks can encode it.
 LEAF_CHARS = 4096
 PIECE_CHARS = 65536
+#: Parts of words that a worker remembers, twice.
+PARTS_KEPT = 120_000
 #: Bytes of text that a task works on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 IDS_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -44,6 +46,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.lower = tokenizer, lower
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.merges = Tokenizer(tokenizer.model)  # the merge model alone, over parts between blanks
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,7 +57,24 @@ class WordEncoder:
         self.bytes_of = np.array([len(tokenizer.id_to_token(i).removesuffix("</w>")) for i in range(n)], np.int64)
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of tokens of each part (letters or symbols, no blank but one in front), and all their ids."""
+        """Number of tokens of each part (letters or symbols, no blank but one in front), and all their ids.
+
+        Parts are remembered in two generations of bounded size; what is asked for again moves to the younger one.
+        """
+        young, old = self.young, self.old
+        got = [young.get(t) or old.get(t) for t in texts]
+        fresh = [t for t, g in zip(texts, got) if g is None]
+        if fresh:
+            counts, ids = self.new_parts(fresh)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            found = iter([raw[a:b] for a, b in zip([0, *ends], ends)])
+            got = [next(found) if g is None else g for g in got]
+        young.update(zip(texts, got))
+        if len(young) > PARTS_KEPT:
+            self.young, self.old = {}, young
+        return np.array([len(g) >> 2 for g in got], np.int64), np.frombuffer(b"".join(got), "<u4")
+
+    def new_parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = " ".join(texts).lower() if self.lower else " ".join(texts)
         joined = joined.encode().decode("latin-1")
         for char, seen in self.hidden:
