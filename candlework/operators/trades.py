@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ def _first_child(up: Column, down: Column, after: Column | None) -> Column:
     return F.try_element_at(F.transform(F.filter("_kids", reached), lambda x: x["k"]), F.lit(1))
 
 
-def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index") -> DataFrame:
-    """Index of the first later bar with ``high >= up`` or ``low <= down``, however far away.
+def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index", start: str = INDEX) -> DataFrame:
+    """Index of the first bar after ``start`` with ``high >= up`` or ``low <= down``, however far away.
 
     Bars are summarised in groups of 64, those again in groups of 64, and so on.
     A query climbs while its group holds no touch and then descends, so it
@@ -59,7 +60,7 @@ def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("sy
     levels = _extreme_levels(bars, by, depth)
     # Negative keys match nothing and spread the rows that need no lookup.
     idle = -1 - F.col(INDEX)
-    q = queries.withColumns({"_cur": F.col(INDEX), "_lvl": F.lit(-1)})
+    q = queries.withColumns({"_cur": F.col(start), "_lvl": F.lit(-1)})
     for k, level in enumerate(levels):
         searching = F.col("_lvl") < 0
         here = F.shiftright("_cur", 6)
@@ -84,6 +85,20 @@ def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("sy
     return q.withColumn(out, F.when(F.col("_lvl") == 0, F.col("_cur"))).drop("_cur", "_lvl")
 
 
+def _past_double_touches(touched: DataFrame, bars: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Move touches on from bars that reach both levels."""
+    columns, done = touched.columns, []
+    bar = bars.select(*by, F.col(INDEX).alias("touch_index"), F.col("high").alias("_high"), F.col("low").alias("_low"))
+    while True:
+        both = F.coalesce((F.col("_high") >= F.col("up")) & (F.col("_low") <= F.col("down")), F.lit(False))
+        seen = stage(touched.join(bar, [*by, "touch_index"], "left").withColumn("_both", both))
+        done.append(seen.where("NOT _both").select(*columns))
+        again = seen.where("_both").select(*columns)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        touched = first_touch(again.withColumnRenamed("touch_index", "_start"), bars, by=by, start="_start").drop("_start")
+
+
 def candidate_exits(
     bars: DataFrame,
     *,
@@ -97,10 +112,11 @@ def candidate_exits(
     """Exit bar, price and reason of a trade opened at every signal's close.
 
     ``bars`` is an indexed, stored bar table.  A trade that never touches its
-    levels ends at the close of the series' last bar.
+    levels ends at the close of the series' last bar.  A rule that names neither
+    level keeps a trade open over bars that reach both, and the search goes on
+    from there for the trades concerned until none is left.
     """
-    if same_bar_rule not in (*TP_FIRST, *SL_FIRST):
-        raise ValueError(f"Unsupported same_bar_rule for exits: {same_bar_rule}")
+    same_bar_rule = same_bar_rule.lower()
     long = F.col(signal) > 0
     opened = bars.where(F.col(signal) != 0).select(
         *by,
@@ -112,6 +128,8 @@ def candidate_exits(
         F.when(long, F.col("close") - sl).otherwise(F.col("close") - tp).alias("down"),
     )
     touched = first_touch(opened, bars, by=by)
+    if same_bar_rule not in (*TP_FIRST, *SL_FIRST):
+        touched = _past_double_touches(touched, bars, by)
     last = bars.groupBy(*by).agg(F.max(INDEX).alias("_last"), F.max_by("close", INDEX).alias("_last_close"), F.max(ts).alias("_last_ts"))
     hit = bars.select(*by, F.col(INDEX).alias("_hit"), F.col(ts).alias("_hit_ts"), "high", "low")
     # A trade without a touch looks up a negative bar: no match, and evenly spread.

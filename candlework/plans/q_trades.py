@@ -130,6 +130,16 @@ def trades_candidate_exits(spark, sf_dir):
     return exits(spark, sf_dir)[1]
 
 
+@query(
+    "trades_exits_kept_open",
+    "symbol:s entry_index:l entry_ts:t entry_price:d direction:l exit_index:l exit_ts:t exit_price:d exit_reason:s",
+    f"WITH {EXIT_SQL.replace('(b.high >= o.up OR b.low <= o.down)', '((b.high >= o.up) <> (b.low <= o.down))')} SELECT * FROM exits",
+)
+def trades_exits_kept_open(spark, sf_dir):
+    """A bar that reaches both levels decides nothing."""
+    return tr.candidate_exits(signal_bars(spark, sf_dir), tp=F.lit(TP), sl=F.lit(SL), same_bar_rule="drop")
+
+
 TAKEN_SQL = f"""{EXIT_SQL.replace("first_hit AS (", "first_hit AS MATERIALIZED (")}, ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_index) AS c FROM exits),
 step AS MATERIALIZED (SELECT a.symbol, a.c, b.c AS nx FROM ordered a ASOF JOIN ordered b ON b.symbol = a.symbol AND a.exit_index < b.entry_index),
 chain AS (SELECT symbol, CAST(1 AS BIGINT) AS c FROM ordered WHERE c = 1 UNION ALL SELECT s.symbol, s.nx FROM chain k JOIN step s USING (symbol, c)),
