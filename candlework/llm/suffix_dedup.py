@@ -356,6 +356,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GRO
 
     A document that loses all its bytes goes.  Where a cut falls inside a character, the rest of the character goes too.
     """
+    names = docs.columns
 
     def shorten(batches):
         import pyarrow as pa
@@ -364,7 +365,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_rows: int = GRO
             texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
             left = [t if s is None else cut(t, s)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans)]
             stays = pa.array([s is None or bool(t) for t, s in zip(left, spans)], pa.bool_())
-            columns = [pa.array(left, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(stays)
+            columns = [pa.array(left, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(stays)
 
-    return with_spans(docs, length, group_rows).select(*docs.columns, "_spans").mapInArrow(shorten, docs.schema)
+    return with_spans(docs, length, group_rows).select(*names, "_spans").mapInArrow(shorten, docs.schema)
