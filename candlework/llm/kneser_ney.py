@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import kept, mounted_dir, text_or_empty
+from candlework.llm.common import kept, mounted_dir, stage, text_or_empty
 from candlework.llm.shingles import mix, word_hashes
 
 #: Bytes of training text for each part of the vocabulary, and occurrences of pairs for each part of the pairs.
 VOCABULARY_BYTES, PAIRS_PER_PART = 32 << 20, 2_000_000
 #: Ids of each part of the tables by id.
 IDS_PER_PART = 1 << 20
-SLICE = 8 << 20
+SLICE = 4 << 20
 MERGE_ROWS = 4_000_000
 
 BLOCK = "part long, payload binary"
@@ -275,7 +275,6 @@ def train(docs: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["part", "types", "c1", "c2", "c3", "c4"])
 
     # The blocks by id are stored: the totals of the pairs and the tables by id both come from them.
-    from candlework.llm.common import stage
 
     by_id = stage(in_parts(rows.mapInArrow(pairs, BLOCK), pair_parts).mapInArrow(write_pairs, BLOCK + ", c1 long, c2 long, c3 long, c4 long"))
     seen = by_id.agg(*[F.coalesce(F.sum(f"c{c}"), F.lit(0)).alias(f"c{c}") for c in (1, 2, 3, 4)]).first()

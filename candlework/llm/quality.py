@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
 Base counts and five scores are computed per document.  A score rejects a document above a cutoff.  Each cutoff is
-chosen per stratum (language) from labelled documents: of a fixed grid, walked from lax to strict, it is the last one
-at which a false rejection rate of ``ALPHA`` or more is refuted by the exact binomial test.  The tests of one score
-and stratum form a fixed sequence, and the level ``DELTA`` is divided by the number of scores times strata, so with
-probability 1 - DELTA no score rejects more than ``ALPHA`` of the good documents of any stratum.  A stratum with too
-few good labels for that gets no cutoff.  Only DataFrame functions are used.
+chosen per stratum (language) from labelled documents: a fixed grid is walked from lax to strict for as long as the
+exact binomial test refutes a false rejection rate of ``ALPHA`` or more.  The tests of one score and stratum form a
+fixed sequence, and the level ``DELTA`` is divided by the number of scores times strata, so with probability
+1 - DELTA no score rejects more than ``ALPHA`` of the good documents of any stratum, whichever of the cutoffs that
+passed is taken.  The one taken rejects the most bad documents, a good one counting ``GOOD_COSTS`` times against it;
+of equals the laxest.  A stratum with too few good labels gets no cutoff.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from candlework.llm.common import stage
 
 #: Highest rate of good documents that one score may reject in a stratum, and the chance that any cutoff breaks it.
 ALPHA, DELTA = 0.002, 0.05
+GOOD_COSTS = 10
 MIN_WORDS = 50
 
 #: Scores are integers that grow as a text gets worse; cutoffs are steps * step with 1 <= steps <= levels.
@@ -66,28 +68,27 @@ def features(docs: DataFrame) -> DataFrame:
 def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with ``_q_cut_<score>``, the chosen cutoff or null.
 
-    Calibrates on the documents with a label of quality 1 that do not fail the base rule; repeated labels of a
-    document count once.
+    Calibrates on the labelled documents that do not fail the base rule; a document with several labels counts once,
+    as good if any of them says so.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_q_doc")).where("_q_doc IS NOT NULL").distinct()
-    held = scored.where(~F.col("_q_failed")).join(good, F.col("doc_id") == F.col("_q_doc"), "left_semi")
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_q_doc")).agg(F.max("quality").cast("long").alias("_q_good"))
+    held = scored.where(~F.col("_q_failed")).join(known, F.col("doc_id") == F.col("_q_doc"))
     levels = [f"least({n} + 1, (greatest(0, {score}) + {step} - 1) div {step})" for score, step, n in SCORES.values()]
     named = ", ".join(f"'{name}', {level}" for name, level in zip(SCORES, levels))
     # ``above`` counts the cutoffs below the score: the document is rejected at cutoff s * step exactly if above > s.
-    long = held.select("_q_stratum", F.expr(f"stack({len(SCORES)}, {named}) AS (score, above)"))
-    counts = long.groupBy("_q_stratum", "score", "above").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("_q_stratum", "score").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("above", "n"))).alias("at"))
+    long = held.select("_q_stratum", "_q_good", F.expr(f"stack({len(SCORES)}, {named}) AS (score, above)"))
+    counts = long.groupBy("_q_stratum", "score", "above").agg(F.sum("_q_good").alias("good"), F.sum(1 - F.col("_q_good")).alias("bad"))
+    per = counts.groupBy("_q_stratum", "score").agg(F.sum("good").alias("n"), F.collect_list(F.struct("above", "good", "bad")).alias("at"))
     size = F.expr("CASE score " + " ".join(f"WHEN '{k}' THEN {n}" for k, (_, _, n) in SCORES.items()) + " END")
-    grid = per.withColumn("s", F.explode(F.sequence(F.lit(1), size))).withColumn(
-        "k", F.expr("aggregate(filter(map_entries(at), e -> e.key > s), 0L, (a, e) -> a + e.value)")
-    )
+    beyond = "aggregate(filter(at, e -> e.above > s), 0L, (a, e) -> a + e.{})"
+    grid = per.withColumn("s", F.explode(F.sequence(F.lit(1), size))).withColumns({"k": F.expr(beyond.format("good")), "bad": F.expr(beyond.format("bad"))})
     whole = W.partitionBy(F.lit(1))  # scores times strata times levels: a table that does not grow with the documents
     tests = grid.withColumn("m", F.size(F.collect_set(F.struct("_q_stratum", "score")).over(whole)))
     log_top = f"aggregate(CASE WHEN k > 0 THEN sequence(1L, k) ELSE array() END, 0D, (a, j) -> a + ln((n - k + j) / j)) + k * ln({alpha}D) + (n - k) * ln(1 - {alpha}D)"
     tail = f"aggregate(CASE WHEN k > 0 THEN reverse(sequence(1L, k)) ELSE array() END, struct(1D AS t, 1D AS sum), (a, i) -> struct(a.t * i / (n - i + 1) * (1 - {alpha}D) / {alpha}D AS t, a.sum + a.t * i / (n - i + 1) * (1 - {alpha}D) / {alpha}D AS sum), a -> a.sum)"
     passed = tests.where(F.expr(f"k <= n * {alpha}D")).where(F.expr(f"exp({log_top}) * {tail} <= {delta}D / m"))
-    # k falls as s grows, so the passing cutoffs are the lax end of the sequence and the strictest is the smallest.
-    chosen = passed.groupBy("_q_stratum", "score").agg(F.min("s").alias("s"))
+    # k falls as s grows, so the passing cutoffs are the lax end of the sequence.
+    chosen = passed.groupBy("_q_stratum", "score").agg(F.max_by("s", F.struct(F.col("bad") - GOOD_COSTS * F.col("k"), "s")).alias("s"))
     return chosen.groupBy("_q_stratum").agg(
         *[F.max(F.when(F.col("score") == name, F.col("s") * step)).cast("long").alias(f"_q_cut_{name}") for name, (_, step, _) in SCORES.items()]
     )
@@ -136,9 +137,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def _sql() -> str:
     score = {k: v[0].replace(" div ", " // ") for k, v in SCORES.items()}
     levels = " UNION ALL ".join(
-        f"SELECT stratum, '{k}' AS score, least({n} + 1, (greatest(0, {score[k]}) + {step} - 1) // {step}) AS above, {n} AS levels, {step} AS step FROM held" for k, (_, step, n) in SCORES.items()
+        f"SELECT stratum, '{k}' AS score, least({n} + 1, (greatest(0, {score[k]}) + {step} - 1) // {step}) AS above, {n} AS levels, {step} AS step, good FROM held" for k, (_, step, n) in SCORES.items()
     )
-    cuts = " AND ".join(f"NOT coalesce({score[k]} > (SELECT min(c.s * c.step) FROM chosen c WHERE c.stratum = f.stratum AND c.score = '{k}'), false)" for k in SCORES)
+    cuts = " AND ".join(f"NOT coalesce({score[k]} > (SELECT max(c.s * c.step) FROM chosen c WHERE c.stratum = f.stratum AND c.score = '{k}'), false)" for k in SCORES)
     blank = r"[\x20\x09-\x0D]"
     return f"""
 WITH base AS (
@@ -156,13 +157,13 @@ f0 AS (
     len(l) AS _q_lines, len(l) - len(list_distinct(l)) AS _q_dup_lines, coalesce(c.n, 0) AS _q_repeats
   FROM base b LEFT JOIN covered c ON c.doc_id = b.doc_id),
 f AS (SELECT *, _q_words < {MIN_WORDS} OR 100 * _q_repeats > 50 * _q_words AS failed FROM f0),
-held AS (SELECT * FROM f WHERE NOT failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+held AS (SELECT f.*, l.good FROM f JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) l USING (doc_id) WHERE NOT failed),
 lev AS ({levels}),
-per AS (SELECT stratum, score, levels, step, count(*) AS n, list(above) AS ups FROM lev GROUP BY ALL),
+per AS (SELECT stratum, score, levels, step, sum(good) AS n, list(above) FILTER (WHERE good = 1) AS ups, list(above) FILTER (WHERE good = 0) AS bad_ups FROM lev GROUP BY ALL),
 grid AS (SELECT *, unnest(range(1, levels + 1)) AS s FROM per),
-tests AS (SELECT *, len(list_filter(ups, lambda x: x > s)) AS k, (SELECT count(*) FROM per) AS m FROM grid),
+tests AS (SELECT *, coalesce(len(list_filter(ups, lambda x: x > s)), 0) AS k, coalesce(len(list_filter(bad_ups, lambda x: x > s)), 0) AS bad, (SELECT count(*) FROM per) AS m FROM grid),
 chosen AS (
-  SELECT stratum, score, step, min(s) AS s FROM tests
+  SELECT stratum, score, step, arg_max(s, (bad - {GOOD_COSTS} * k) * 1000 + s) AS s FROM tests
   WHERE k <= n * {ALPHA} AND list_sum(list_transform(range(0, k + 1), lambda i:
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) <= {DELTA} / m
   GROUP BY ALL)
