@@ -26,8 +26,9 @@ LEAF_CHARS = 4096
 PIECE_CHARS = 65536
 #: Parts of words that a worker remembers, twice.
 PARTS_KEPT = 120_000
-#: Bytes of text that a task works on at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are encoded at once, and those that other work takes at once.
+ENCODED_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 IDS_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -161,6 +162,19 @@ def slices(batches, *columns: str, size_bytes: int = SLICE_BYTES):
             b = max(a + 1, int(np.searchsorted(size, size[a] + size_bytes, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on and would keep the largest it ever had."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 BLANK = np.isin(np.arange(256), [32, 9, 10, 13])
@@ -353,7 +367,7 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
         import pyarrow as pa
 
         own = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=ENCODED_BYTES):
             texts = batch.column("text").to_pylist()
             rows = finish(own, [g[0] for g in own.trees(texts, [0] * len(texts), leaf_chars)])
             columns = [pa.array(list(c)) for c in zip(*rows)]

@@ -29,7 +29,7 @@ from candlework.llm.shingles import mix, word_hashes
 VOCABULARY_BYTES, PAIRS_PER_PART = 32 << 20, 2_000_000
 #: Ids of each part of the tables by id.
 IDS_PER_PART = 1 << 20
-SLICE = 4 << 20
+SLICE = 3 << 20
 MERGE_ROWS = 4_000_000
 
 BLOCK = "part long, payload binary"
@@ -341,7 +341,7 @@ def score(docs: DataFrame, state: dict) -> DataFrame:
         import pyarrow as pa
 
         model = loaded(state)
-        for batch in slices(batches, size_bytes=SLICE // 2):
+        for batch in slices(batches, size_bytes=SLICE):
             bounds, hashes = tokens_of(batch.column("text"))
             ids, counts = model.ids(hashes)
             base = np.log10((counts + 0.1) / (tokens + 0.1 * (size + 1)))

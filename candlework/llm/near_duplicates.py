@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
     def sign(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, size_bytes=4 << 20):
+        for batch in slices(batches, size_bytes=2 << 20):
             words, hashes = word_hashes(batch.column("text"))
             text, ids, weights = weighted(*shingles(words, hashes))
             n = batch.num_rows
@@ -150,7 +150,7 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, simil
     def compare(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "left", "right", size_bytes=4 << 20):
+        for batch in slices(batches, "left", "right", size_bytes=2 << 20):
             sides = [weighted(*shingles(*word_hashes(batch.column(c)))) for c in ("left", "right")]
             text = np.concatenate([s[0] for s in sides])
             ids = np.concatenate([s[1] for s in sides])
@@ -231,7 +231,7 @@ def unshared_weight(texts: DataFrame) -> DataFrame:
     def rows(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, size_bytes=4 << 20):
+        for batch in slices(batches, size_bytes=2 << 20):
             text, ids, weights = weighted(*shingles(*word_hashes(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(text)), pa.array(ids.view(np.int64)), pa.array(weights.astype(np.int64))], names=["rep", "shingle", "weight"])
 

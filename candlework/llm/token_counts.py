@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.bpe import WordEncoder, load_tokenizer, slices
+from candlework.llm.bpe import ENCODED_BYTES, WordEncoder, load_tokenizer, slices
 from candlework.llm.common import kept, text_or_empty
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, n_shared double"
@@ -66,7 +66,7 @@ def section_token_counts(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         words = kept(f"spans {path}", lambda: span_encoder(path))
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=ENCODED_BYTES):
             bounds, _, first, last = words.encode_texts(batch.column("text"), blanks=True)
             out = [[] for _ in range(6)]
             lengths = []

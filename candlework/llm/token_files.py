@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candlework.llm.bpe import encoder, slices
+from candlework.llm.bpe import ENCODED_BYTES, encoder, give_back, slices
 from candlework.llm.common import text_or_empty
 from candlework.operators.staging import staging_dir
 
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
         def done():
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "n_ids": size, "doc_ids": doc_ids, "payload": pack(before, kept)}], schema=arrow)
 
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=ENCODED_BYTES):
             bounds, ids, _, _ = own.words.encode_texts(batch.column("text"), blanks=False, spans=False)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 if kept and size + b - a + 1 > block_ids:
@@ -142,8 +142,8 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
     return out
 
 
-def read_token_files(spark, out: str) -> DataFrame:
-    """Rows of doc_id, start, n_tokens and ids (binary) from a folder of blocks, bounds by select on each block."""
+def read_token_files(spark, out: str, checksums: bool = False) -> DataFrame:
+    """Rows of doc_id, start, n_tokens and ids (binary) from a folder of blocks; with ``checksums``, ids_crc32 instead of ids."""
     files = spark.read.parquet(out)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -153,27 +153,20 @@ def read_token_files(spark, out: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for base, doc_ids, block in zip(*(batch.column(c).to_pylist() for c in ("base", "doc_ids", "payload"))):
+            for k in range(batch.num_rows):
+                base, doc_ids, block = (batch.column(c)[k].as_py() for c in ("base", "doc_ids", "payload"))
                 start, bounds, body = unpack(block)
                 ends = bounds.all()
                 ids = [body[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(base + start + ends[:-1]), pa.array(np.diff(ends)), pa.array(ids, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                last = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if checksums else pa.array(ids, pa.binary())
+                arrays = [pa.array(doc_ids, pa.int64()), pa.array(base + start + ends[:-1]), pa.array(np.diff(ends)), last]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"])
+            give_back()
 
     joined = files.join(F.broadcast(base), "part")  # one row per file of the folder
-    return joined.select("base", "doc_ids", "payload").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
+    return joined.select("base", "doc_ids", "payload").mapInArrow(rows, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if checksums else "ids binary"))
 
 
 def token_rows(spark, out: str) -> DataFrame:
     """Per document its place, length and the checksum of its ids, read back from the blocks."""
-
-    def check(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sums = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, out).mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, out, checksums=True)
