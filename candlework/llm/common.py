@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from candlework.operators.staging import stage, staging_dir
 
-#: A word is a run of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
-__all__ = ["BYTE_TOKENIZER", "WORD", "WORD_TOKENIZER", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
+__all__ = ["BYTE_TOKENIZER", "WORD_TOKENIZER", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
