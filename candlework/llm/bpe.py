@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.common import kept, text_or_empty
+from candlework.llm.common import in_small_batches, kept, text_or_empty
 
 #: Characters of a leaf, and of a piece that is a row of its own so that other tasks can encode it.
 LEAF_CHARS = 4096
@@ -349,7 +349,7 @@ def encode_documents(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS
     is one document.
     """
     schema = IDS_SCHEMA + (", ids array<int>" if keep_ids else "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     short = rows.where(F.length("text") <= piece_chars)
     long = rows.where(F.length("text") > piece_chars)
 

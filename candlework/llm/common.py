@@ -14,6 +14,7 @@ from candlework.operators.staging import stage, staging_dir
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+BATCH_ROWS = 1000
 
 __all__ = ["BYTE_TOKENIZER", "WORD_TOKENIZER", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
 
@@ -40,6 +41,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python at most ``BATCH_ROWS`` rows at once.
+
+    A batch is held by the JVM and by the worker, outside the heap; with long texts the usual 10,000 rows are too many.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def kept(name: str, make):
     """An object that a worker process makes once and later tasks find again (functions come by value, globals do not stay)."""
     home = sys.modules.setdefault("candlework_worker_objects", types.ModuleType("candlework_worker_objects"))

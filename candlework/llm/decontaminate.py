@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import text_or_empty
+from candlework.llm.common import in_small_batches, text_or_empty
 from candlework.llm.shingles import mix, word_hashes
 
 #: Fixed masks: seven of twelve words each, two masks share at most four.
@@ -142,7 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WOR
     in the text, then in the item); empty tables give none; other columns are left out.  The benchmark travels to the
     tasks in slices of bounded size, and each slice is one scan of the documents.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     context, out = docs.sparkSession.sparkContext, None
     for seeds in benchmark_slices(benchmark, slice_words):
         shared = context.broadcast(vars(seeds))
@@ -166,7 +166,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WOR
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
     """The documents without an overlap, with their columns; rows are judged one by one, without a shuffle."""
-    context = docs.sparkSession.sparkContext
+    context = in_small_batches(docs).sparkSession.sparkContext
     for seeds in benchmark_slices(benchmark, slice_words):
         shared = context.broadcast(vars(seeds))
 

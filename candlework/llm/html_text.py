@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import stage
+from candlework.llm.common import in_small_batches, stage
 
 #: A subtree is template on at least so many pages of its host, and at least this share of them.
 MIN_PAGES, MIN_SHARE = 8, 0.1
@@ -226,7 +226,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     Null html counts as empty and gives empty text; pages without a host (null or odd url) share one; repeated rows
     give repeated results (and count as pages of their own); an empty table gives none; other columns are left out.
     """
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of("url").alias("host"))
+    rows = in_small_batches(pages).select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of("url").alias("host"))
     templates = stage(site_templates(rows, min_pages, min_share))
     if templates.select(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         templates = F.broadcast(templates)

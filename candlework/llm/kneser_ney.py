@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import kept, mounted_dir, stage, text_or_empty
+from candlework.llm.common import in_small_batches, kept, mounted_dir, stage, text_or_empty
 from candlework.llm.shingles import mix, word_hashes
 
 #: Bytes of training text for each part of the vocabulary, and occurrences of pairs for each part of the pairs.
@@ -202,7 +202,7 @@ def train(docs: DataFrame) -> dict:
     """Count a model from doc texts; returns its folder and its few totals.  An empty table gives an empty model."""
     spark = docs.sparkSession
     folder = mounted_dir(spark, "kneser-ney")
-    rows = docs.select(text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(text_or_empty().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // VOCABULARY_BYTES
 
@@ -334,7 +334,7 @@ def held_out():
 
 def score(docs: DataFrame, state: dict) -> DataFrame:
     """Scores of every text under a trained model (``SCHEMA``)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
     tokens, size = state["tokens"], state["vocabulary"]
 
     def scores(batches):

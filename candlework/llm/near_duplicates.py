@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import stage, text_or_empty
+from candlework.llm.common import in_small_batches, stage, text_or_empty
 from candlework.llm.components import components
 from candlework.llm.shingles import mix, shingles, weighted, word_hashes
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
             )
 
     text = text_or_empty()
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("name"))
+    rows_in = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("name"))
     return rows_in.mapInArrow(sign, SIGNATURE)
 
 

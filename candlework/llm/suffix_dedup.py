@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import stage, text_or_empty
+from candlework.llm.common import in_small_batches, stage, text_or_empty
 from candlework.llm.shingles import BASE, INVERSE, mix, powers, text_bytes
 
 LENGTH, GRAM = 400, 16
@@ -311,7 +311,7 @@ def keys() -> list:
 
 def with_spans(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
     """The rows of ``docs`` with the column ``_spans`` of repeated spans, null where there are none."""
-    keyed = docs.select(*keys(), text_or_empty().alias("text"))
+    keyed = in_small_batches(docs).select(*keys(), text_or_empty().alias("text"))
     listed = repeated_spans(keyed, length, group_rows).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     listed = listed.withColumnsRenamed({"doc_key": "_doc_key", "text_hash": "_text_hash"})
     doc_key, text_hash = keys()

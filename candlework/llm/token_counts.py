@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import ENCODED_BYTES, WordEncoder, load_tokenizer, slices
-from candlework.llm.common import kept, text_or_empty
+from candlework.llm.common import in_small_batches, kept, text_or_empty
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, n_shared double"
 
@@ -81,5 +81,5 @@ def section_token_counts(docs: DataFrame, path: str) -> DataFrame:
                 arrays = [pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing", "n_shared"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(count, SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import ENCODED_BYTES, encoder, give_back, slices
-from candlework.llm.common import text_or_empty
+from candlework.llm.common import in_small_batches, text_or_empty
 from candlework.operators.staging import staging_dir
 
 MAGIC, VERSION, SAMPLE = b"TOKF", 1, 256
@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, *, end
         if kept:
             yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(blocks, "part int, block int, n_ids long, doc_ids array<long>, payload binary").write.parquet(out)
     return out
