@@ -6,7 +6,9 @@ exact binomial test refutes a false rejection rate of ``ALPHA`` or more.  The te
 fixed sequence, and the level ``DELTA`` is divided by the number of scores times strata, so with probability
 1 - DELTA no score rejects more than ``ALPHA`` of the good documents of any stratum, whichever of the cutoffs that
 passed is taken.  The one taken rejects the most bad documents, a good one counting ``GOOD_COSTS`` times against it;
-of equals the laxest.  A stratum with too few good labels gets no cutoff.  Only DataFrame functions are used.
+of equals the laxest.  A stratum with fewer than ln(DELTA / tests) / ln(1 - ALPHA) good labels that pass the base
+rule gets no cutoff (297 for 20 tests): there even no false rejection at all proves nothing.  Only DataFrame functions
+are used.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from candlework.llm.common import stage
 
 #: Highest rate of good documents that one score may reject in a stratum, and the chance that any cutoff breaks it.
-ALPHA, DELTA = 0.002, 0.05
+#: The rate sets how many labels a stratum needs: 0.2 % would take 2,993 good ones for 20 tests, 1 % 597, 2 % 297.
+ALPHA, DELTA = 0.02, 0.05
 GOOD_COSTS = 10
 MIN_WORDS = 50
 

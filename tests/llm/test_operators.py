@@ -171,6 +171,23 @@ def test_cutoffs_hold_the_risk(spark):
     assert sum(not got[k] for k in got if k % 6 == 0) > 900
 
 
+def test_small_strata_get_cutoffs(spark):
+    rng = random.Random(8)
+    sizes = {"es": (320, 30), "xx": (200, 20)}  # good and bad labels; 10 tests need 263 good ones
+    rows, good = [], {}
+    for lang, (n, m) in sizes.items():
+        for k in range(n + m):
+            text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) + (" $$$" if k >= n and rng.random() < 0.6 else "") for _ in range(80))
+            good[len(rows)] = k < n
+            rows.append((len(rows), text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(g)) for k, g in good.items()], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(docs, labels).collect()}
+    assert not any(kept[k] for k, _, lang in rows if lang == "es" and not good[k])
+    assert sum(not kept[k] for k, _, lang in rows if lang == "es" and good[k]) <= 0.02 * 320
+    assert all(kept[k] for k, _, lang in rows if lang == "xx")
+
+
 def test_shards_are_minimax(docs, rows, empty):
     got = sharding.shard_documents(docs).collect()
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
