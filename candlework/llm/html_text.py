@@ -3,7 +3,9 @@
 A page is read into a small element tree.  Every subtree with text outside prose is hashed (tag, class, id, text,
 children); Spark counts on how many pages of its host each hash stands.  A subtree on many pages of its host is
 template and deleted, like elements whose kind says what they are (menus, headers, footers, sidebars, forms, scripts,
-notices, adverts, comments).  What is left of the article (or main element, or body) is the text.  Prose
+notices, adverts, comments).  A kind is a whole name of class, id or role (or one all of whose parts are kinds).
+What is left of all top-level articles (or main elements, or the body) is the text; those inside an element of such
+a kind count where the page has no others.  Prose
 (paragraphs, headings, quotes) inside an article is never taken for template, however often it is reprinted.
 """
 
@@ -35,7 +37,8 @@ NOISE = frozenset("ad ads adv advert adverts advertisement adbox banner sidebar
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?
-    |<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?:svg|math)(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*/>
+    |<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)
     |(?P<text>[^<]+|<)""",
     re.X | re.S | re.I,
@@ -44,12 +47,13 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 
 
 class Element:
-    __slots__ = ("children", "hash", "name", "tag", "words")
+    __slots__ = ("children", "hash", "name", "names", "tag")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.children, self.hash = tag, [], 0
         found = [(a or b or c).lower() for _, a, b, c in ATTRIBUTE.findall(attrs)] if attrs else []
-        self.name, self.words = " ".join(found), frozenset(w for x in found for w in re.split(r"[^a-z0-9]+", x))
+        self.name = " ".join(found)
+        self.names = [frozenset(re.findall(r"[a-z0-9]+", x)) for x in self.name.split()]
 
 
 def parse(page: str) -> Element:
@@ -102,7 +106,31 @@ def walk(root: Element):
 def dropped(element: Element, in_article: bool) -> bool:
     if element.tag in DROPPED or element.tag == "header" and not in_article:
         return True
-    return bool(element.words & NOISE) or "header" in element.words and not in_article and element.tag not in ("article", "main")
+    kinds = NOISE if in_article else NOISE | {"header"}
+    return any(x and x <= kinds for x in element.names)
+
+
+def kind_of(element: Element) -> str | None:
+    """"article" or "main", also for a div or section with such a name."""
+    if element.tag in ("article", "main"):
+        return element.tag
+    return "main" if element.tag in ("div", "section") and any("main" in x and not x & NOISE for x in element.names) else None
+
+
+def top_elements(root: Element) -> list[Element]:
+    """Top-level articles in page order, or main elements, or the root; those in dropped elements if there are no others."""
+    found: dict[tuple[bool, str], list[Element]] = {}
+    stack = [(root, False, False)]
+    while stack:
+        element, noise, in_main = stack.pop()
+        kind = kind_of(element)
+        if kind is None:
+            noise = noise or element is not root and dropped(element, False)
+        elif kind == "article" or not in_main:
+            found.setdefault((noise, kind), []).append(element)
+        if kind != "article":
+            stack += [(c, noise, in_main or kind == "main") for c in reversed(element.children) if isinstance(c, Element)]
+    return next((found[k] for k in ((False, "article"), (False, "main"), (True, "article"), (True, "main")) if k in found), [root])
 
 
 def hash_subtrees(root: Element) -> None:
@@ -140,27 +168,12 @@ def has_prose(element: Element) -> bool:
     return any(e.tag in PROSE or e.tag in ("article", "main") for e in walk(element))
 
 
-def text_length(element: Element) -> int:
-    return sum(len(c) for e in walk(element) for c in e.children if isinstance(c, str))
-
-
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text in page order, one to a line."""
     root = parse(page)
     hash_subtrees(root)
-    roots: dict[str, list[Element]] = {"article": [], "main": []}
-    stack = [root]
-    while stack:
-        element = stack.pop()
-        if element is not root and dropped(element, False):
-            continue
-        kind = "article" if element.tag == "article" else "main" if element.tag == "main" or "main" in element.words and element.tag in ("div", "section") else None
-        if kind:
-            roots[kind].append(element)
-        if kind != "article":
-            stack += [c for c in element.children if isinstance(c, Element)]
-    top = max(roots["article"] or roots["main"] or [root], key=text_length)
-    in_article = top is not root
+    tops = top_elements(root)
+    in_article = tops[0] is not root
     blocks, line = [], []
 
     def end() -> None:
@@ -169,14 +182,15 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
         if joined:
             blocks.append(joined)
 
-    todo: list = [top]
+    todo: list = tops[::-1]
+    own = {id(x) for x in tops}
     while todo:
         node = todo.pop()
         if isinstance(node, str):
             line.append(node)
         elif node is None:
             end()
-        elif node is not top and (dropped(node, in_article) or node.hash in templates and not (in_article and (node.tag in PROSE or has_prose(node)))):
+        elif id(node) not in own and (dropped(node, in_article) or node.hash in templates and not (in_article and (node.tag in PROSE or has_prose(node)))):
             if node.tag in BLOCK:
                 end()
         elif node.tag == "br":

@@ -144,6 +144,25 @@ def test_html_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], frame.schema)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<div class='layout has-sidebar'><article><p>a</article></div>", "a"),
+        ("<article class='post comment-open'><p>a</article>", "a"),
+        ("<article class='comments'><p>a</article>", "a"),
+        ("<div class='sidebar'><form><article><p>a</article></form></div><div class='cookie-banner'>c</div>", "a"),
+        ("<article><p class='share-price'>12 up</p><p>a<div class='share'>s</div><div class='social-share'>t</div></article>", "12 up\na"),
+        ("<article><p>a</article><aside><article>card</article></aside><article><p>longer b</article>", "a\nlonger b"),
+        ("<article>a<svg class='x' viewBox='0 0 1 1'/> b <math/>c<svg><text>no</text></svg></article>", "a b c"),
+        ("<article>a <svg-icon>i</svg-icon> b<template-x name='t'> c</template-x></article>", "a i b c"),
+        ("<div id='main-content'>a</div><div class='main-nav'>n</div>", "a"),
+        ("<div class='sidebar'>s</div><div class='header'>h</div>a<nav>n</nav>", "a"),
+    ],
+)
+def test_wrappers_and_names_keep_the_article(body, want):
+    assert html_text.main_text(f"<html><body>{body}</body></html>") == want
+
+
 def test_quality_base_counts(spark, docs, rows, empty):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
     got = quality.verdicts(docs, labels)
