@@ -4,6 +4,8 @@ A seed hashes the words under the ones of a fixed mask and ignores those under t
 only the seeds that look at it.  Every position of every text is hashed under every mask and looked up among the
 seeds of the benchmark.  A hit names a diagonal (place in the text minus place in the item); on it the stretch of the highest score
 (+1 a matching word, -4 a substituted one) through the hit is taken, and it is an overlap if it has enough matching words.
+With ``share``, a diagonal without such a stretch is an overlap too, from its first matching word to its last, if that
+share of the item matches on it, or all words but one of an item of 8 to 12 words, whose halves are seeds as well.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ MASKS = ("110100110101", "111010001011", "101101011001")
 SPAN = 12
 #: Matching words an overlap needs (all the words of a shorter item), and the cost of a substitution.
 MIN_WORDS, PENALTY = 12, 4
+#: Per cent of the words of an item (of more than MIN_WORDS) that make an overlap wherever on one diagonal they match;
+#: the fewest words of a short item in which one may differ.
+SHARE, ONE_OFF = 70, 8
 #: Words of a piece of a long item, and the words that neighbouring pieces share.
 PIECE, SHARED = 2048, 128
 #: Benchmark words that are looked up at once.
@@ -49,7 +54,7 @@ def shapes(short: list[int]) -> list[tuple[int, list[int], int]]:
 class Seeds:
     """Sorted seeds of one slice of the benchmark, and the words of its pieces."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], share: int | None = None):
         import pyarrow as pa
 
         words, hashes = word_hashes(pa.array([t for _, t in items], pa.string()), lower=True)
@@ -60,7 +65,7 @@ class Seeds:
                 self.first.append(at)
                 self.last.append(min(at + PIECE, b))
                 base.append(at - a)
-        self.hashes, self.base = hashes, base
+        self.hashes, self.base, self.share = hashes, base, share
         self.shapes = shapes(sorted({b - a for a, b in zip(self.first, self.last) if b - a < SPAN}))
         keys, pieces, places = [], [], []
         for p, (a, b) in enumerate(zip(self.first, self.last)):
@@ -70,6 +75,16 @@ class Seeds:
                     keys.append(got)
                     pieces.append(np.full(len(got), p))
                     places.append(np.arange(len(got)))
+        halves = set()
+        for p, (a, b) in enumerate(zip(self.first, self.last)):
+            if share and ONE_OFF <= b - a <= MIN_WORDS:
+                middle = (a + b) // 2
+                for x, y in ((a, middle), (middle, b)):
+                    keys.append(seed_hashes(hashes[x:y], list(range(y - x)), 200 + y - x))
+                    pieces.append(np.full(1, p))
+                    places.append(np.full(1, x - a))
+                    halves.add(y - x)
+        self.shapes += [(200 + n, list(range(n)), n) for n in sorted(halves)]
         none = [np.zeros(0, np.uint64)]
         self.keys = np.concatenate(keys or none)
         order = np.argsort(self.keys, kind="stable")
@@ -105,11 +120,26 @@ class Seeds:
                     found = self.stretch(hashes, int(words[t]), int(words[t + 1]), p, piece, place)
                     if found is None or found[4] > 0:
                         tried.add((t, piece, p - place))
-                    if found and found[3] >= min(MIN_WORDS, self.last[piece] - self.first[piece]):
+                    size = self.last[piece] - self.first[piece]
+                    least = min(MIN_WORDS, size)
+                    if self.share and found and found[3] < least and size >= ONE_OFF:
+                        least = size - 1 if size <= MIN_WORDS else self.share * size / 100
+                        found = self.spread(hashes, int(words[t]), int(words[t + 1]), p, piece, place)
+                    if found and found[3] >= least:
                         key = (t, self.item[piece])
                         best[key] = max(best.get(key, ()), (found[3], found[2], -found[0], -found[1]))
         return [(t, item, -d, -i, n, m) for (t, item), (m, n, d, i) in best.items()]
 
+    def spread(self, hashes: np.ndarray, a: int, b: int, p: int, piece: int, place: int):
+        """The diagonal through a hit from its first matching word to its last."""
+        first, last = self.first[piece], self.last[piece]
+        low, high = -min(place, p - a), min(last - first - place, b - p)
+        same = np.flatnonzero(hashes[p + low : p + high] == self.hashes[first + place + low : first + place + high])
+        if not len(same):
+            return None
+        left, right = int(same[0]), int(same[-1]) + 1
+        return p + low + left - a, self.base[piece] + place + low + left, right - left, len(same)
+
     def stretch(self, hashes, a: int, b: int, p: int, piece: int, place: int):
         """The best-scoring stretch of the diagonal through a hit, and whether it is the best of the whole diagonal."""
         first, last = self.first[piece], self.last[piece]
@@ -125,16 +155,16 @@ class Seeds:
         return p + low + left - a, self.base[piece] + place + low + left, right - left, matched, int(whole)
 
 
-def benchmark_slices(benchmark: DataFrame, slice_words: int = SLICE_WORDS):
+def benchmark_slices(benchmark: DataFrame, slice_words: int = SLICE_WORDS, share: int | None = None):
     """Slices of the benchmark of about ``slice_words`` words each, one after another; null items have no words."""
     rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = 1 + total // (6 * slice_words)
     for k in range(count):
-        yield Seeds([(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).toLocalIterator()])
+        yield Seeds([(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).toLocalIterator()], share)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS, share: int | None = None) -> DataFrame:
     """The longest overlap of every document with every benchmark item (``SCHEMA``); all rows against all items.
 
     Words are told apart by ASCII white space, A-Z folded.  Null or empty texts on either side overlap nothing;
@@ -144,7 +174,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WOR
     """
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     context, out = docs.sparkSession.sparkContext, None
-    for seeds in benchmark_slices(benchmark, slice_words):
+    for seeds in benchmark_slices(benchmark, slice_words, share):
         shared = context.broadcast(vars(seeds))
 
         def scan(batches, shared=shared):
@@ -164,10 +194,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WOR
     return out.groupBy("doc_id", "item_id").agg(best).selectExpr("doc_id", "item_id", "CAST(-s.d AS INT) AS doc_word", "CAST(-s.i AS INT) AS item_word", "s.n_words AS n_words", "s.n_matched AS n_matched")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS, share: int | None = None) -> DataFrame:
     """The documents without an overlap, with their columns; rows are judged one by one, without a shuffle."""
     context = in_small_batches(docs).sparkSession.sparkContext
-    for seeds in benchmark_slices(benchmark, slice_words):
+    for seeds in benchmark_slices(benchmark, slice_words, share):
         shared = context.broadcast(vars(seeds))
 
         def keep(batches, shared=shared):

@@ -14,7 +14,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), share=decontaminate.SHARE)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), share=decontaminate.SHARE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

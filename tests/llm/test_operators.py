@@ -325,6 +325,30 @@ def test_overlaps_equal_every_diagonal(spark, docs, rows, empty):
     assert clean.columns == docs.columns and collections.Counter(r["doc_id"] for r in clean.collect()) == collections.Counter(i for i, _ in rows if i not in {i for i, _ in want})
 
 
+def planted_copies(length, changes, rng):
+    """Share of items found in texts that hold a copy with words at ``changes(rng)`` replaced."""
+    items = [[f"w{rng.randrange(5000)}" for _ in range(length)] for _ in range(300)]
+    seeds = decontaminate.Seeds([(k, " ".join(w)) for k, w in enumerate(items)], share=decontaminate.SHARE)
+    texts = []
+    for w in items:
+        w = list(w)
+        for p in changes(rng):
+            w[p] = "other"
+        texts.append(" ".join([f"v{rng.randrange(5000)}" for _ in range(20)] + w + [f"v{rng.randrange(5000)}" for _ in range(20)]))
+    found = seeds.overlaps(pa.array(texts))
+    assert all(t == item for t, item, *_ in found)
+    return len(found) / len(items)
+
+
+def test_planted_substitutions_are_found():
+    for length in (8, 9, 11, 12, 13, 15):
+        for p in range(length):
+            assert planted_copies(length, lambda rng: [p], random.Random(p)) == 1, (length, p)  # noqa: B023
+    for length, rate, least in ((15, 0.1, 0.9), (20, 0.1, 0.97), (20, 0.15, 0.9), (38, 0.15, 0.98), (38, 0.2, 0.94)):
+        got = planted_copies(length, lambda rng: [p for p in range(length) if rng.random() < rate], random.Random(1))  # noqa: B023
+        assert got >= least, (length, rate, got)
+
+
 def test_scores_equal_plain_kneser_ney(docs, rows, empty):
     got = kneser_ney.score_documents(docs).collect()
     want = brute.kneser_ney(rows, kneser_ney.discounts)
