@@ -14,9 +14,10 @@ from candlework.operators.staging import stage, staging_dir
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 BATCH_ROWS = 1000
 
-__all__ = ["BYTE_TOKENIZER", "WORD_TOKENIZER", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
+__all__ = ["BYTE_TOKENIZER", "PIECE_MODEL", "WORD_TOKENIZER", "arrow_schema", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def arrow_schema(ddl: str):
+    """Arrow's form of a schema; to be called on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def kept(name: str, make):
     """An object that a worker process makes once and later tasks find again (functions come by value, globals do not stay)."""
     home = sys.modules.setdefault("candlework_worker_objects", types.ModuleType("candlework_worker_objects"))

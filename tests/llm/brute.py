@@ -119,3 +119,66 @@ def kneser_ney(rows, discounts):
             base += math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1)))
         out.append((h, len(t), sum(one[w] > 0 for w in t), n, base, full))
     return out
+
+
+def runs(w):
+    """(start, length, period) of every run of a list of words, every lag tried."""
+    out = []
+    for q in range(1, len(w) // 3 + 1):
+        i = q
+        while i < len(w):
+            j = i
+            while j < len(w) and w[j] == w[j - q]:
+                j += 1
+            s, n = i - q, j - i + q
+            if n >= max(24, 3 * q) and all(any(w[k] != w[k - p] for k in range(s + p, s + n)) for p in range(1, q)):
+                out.append((s, n, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def with_period(doc_id, w):
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n, w = h // 10, len(w), list(w)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def run_row(doc_id, text):
+    w = with_period(doc_id, words(text))
+    found, gone = runs(w), set()
+    for s, n, q in found:
+        gone |= {*range(s + q, s + n)}
+    best = min(found, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=None)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    listed = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    return (doc_id, len(w), len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha(listed), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def trie(turns, again):
+    """(conv_id, depth, parent, convs, children, leaves, saved, digest of ends) of every node; ``turns`` are (conv_id, turn, role, text)."""
+    convs = collections.defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            convs[c].append((turn is not None, turn or 0, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest(), role, text))
+    lists = {c: [(r, t) for *_, r, t in sorted(rows)] for c, rows in convs.items()}
+    if again:
+        h = {c: zlib.crc32(str(c).encode()) % 9 for c in lists}
+        lists = {c: [*lists.get(c - c % 5, [])[: h[c]], *rows[h[c] :]] for c, rows in lists.items()}
+    members = collections.defaultdict(list)
+    for c in sorted(lists):
+        for d in range(len(lists[c]) + 1):
+            members[tuple(lists[c][:d])].append(c)
+    out = collections.Counter()
+    for node, who in members.items():
+        under = [x for x in members if x[: len(node)] == node]
+        saved = sum((len(members[x]) - 1) * len(x[-1][1].encode()) for x in under if x)
+        leaves = sum(1 for x in under if not any(y[:-1] == x for y in under if y))
+        ends = ",".join(str(c) for c in who if len(lists[c]) == len(node))
+        children = sum(1 for x in under if len(x) == len(node) + 1)
+        out[(who[0], len(node), members[node[:-1]][0] if node else None, len(who), children, leaves, saved, hashlib.sha256(ends.encode()).hexdigest())] += 1
+    return out
