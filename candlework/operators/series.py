@@ -92,7 +92,7 @@ def _cell_starts(counts: DataFrame, by: Sequence[str], names: Sequence[str], tot
     extra = [F.sum("_sum").over(Window.partitionBy(*by)).alias(total)] if total else []
     bases = sums.select(*by, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), *extra)
     inside = Window.partitionBy(*by, "_chunk").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    local = chunked.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    local = chunked.select(*by, "_chunk", *names, F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_before"))
     start = (F.col("_base") + F.col("_before")).alias("_start")
     return local.join(bases, [*by, "_chunk"]).select(*by, *names, start, *([total] if total else []))
 

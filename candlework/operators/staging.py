@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_SCOPES: list[list[DataFrame]] = []
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -37,4 +39,28 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{staging_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    for made in _SCOPES:
+        made.append(out)
+    return out
+
+
+@contextmanager
+def collecting():
+    """A list that gets every table staged while it is open, for a caller who knows when their last reader has run."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables; only for frames whose last reader has run (others are left as they are)."""
+    for df in frames:
+        path = vars(df).pop("_staged_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
