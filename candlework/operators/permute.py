@@ -8,12 +8,12 @@ shuffled per permutation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ecdf as ed
 from .series import with_row_index
 from .staging import stage
 
@@ -23,6 +23,11 @@ NEXT_BITS = 12
 BROADCAST_ENTRIES = 1_000_000
 #: Half the width of the bracket of a k-th hash, in deviations.
 BRACKET_DEVIATIONS = 8.0
+#: Distinct scores of a cell, the unit of work of shuffled labels.
+VALUES_PER_CELL = 20_000
+#: Keyed bijections: a prime below 2**31 (products of residues fit a long), rounds, and passes that bring a number back
+#: inside (after one pass in a small table, and with a probability below 1e-24 otherwise, all numbers are).
+MODULUS, ROUNDS, WALKS = 2147483647, 6, 24
 
 
 def _hash(seed: int, row_key: Sequence[str]) -> Column:
@@ -159,61 +164,138 @@ def null_summary(observed: DataFrame, null: DataFrame, *, keys: Sequence[str], s
     )
 
 
-def label_permutation_null(rows: DataFrame, *, positive: Column, score: str, row_key: Sequence[str], permutations: int = 199, seed: int = 42, cells: int = 32) -> tuple[DataFrame, DataFrame]:
-    """ROC-AUC and average precision under shuffled labels.
+def label_permutation_null(rows: DataFrame, *, positive: Column, score: str, row_key: Sequence[str] = (), permutations: int = 199, seed: int = 42, values_per_cell: int = VALUES_PER_CELL) -> tuple[DataFrame, DataFrame]:
+    """ROC-AUC and average precision under shuffled labels, without shuffling a row.
 
-    Shuffling labels is choosing as many rows as there are positives, so the
-    score's distribution is computed once: a selection's AUC follows from the
-    sum of its average ranks, its average precision from its own running count
-    against the fixed running count of all rows.
+    Rows of equal score are alike, so a shuffled labelling is only the number of positives at every distinct score: a
+    multivariate hypergeometric draw.  It is drawn down a tree: first the positives of a range of scores (a cell), then
+    those of its scores, with a generator seeded by (seed, permutation, cell).  A draw costs one step per distinct score
+    whatever the number of rows.  Cells hold ``values_per_cell`` scores on average, so their number follows the data;
+    one row per cell (three numbers) reaches the driver.  ``row_key`` is not needed any more.  Rows without a score or a label take no part.  At most 10^9
+    rows, numpy's bound for such draws.
     """
-    cut = ed.value_cells(rows, [score], cells)[score][0]
-    slim = rows.select(F.lit(0).alias("_key"), *row_key, F.col(score).alias("value"), positive.alias("_pos"), cut.alias("cell"))
-    table = ed.ecdf(slim, {"pos": F.col("_pos"), "all": F.lit(True), "neg": ~F.col("_pos")}, keys=["_key"])
-    real = table.groupBy("_key").agg(ed.auc("pos", "neg").alias("roc_auc"), ed.average_precision("pos", "neg").alias("pr_auc"), F.max("t_pos").alias("k"))
-    at = table.select(
-        "_key", "cell", "value",
-        (F.col("c_all") - (F.col("n_all") - 1) / 2.0).alias("avg_rank"),
-        (F.col("t_all") - F.col("c_all") + F.col("n_all")).alias("at_least"),
-        F.col("t_all").alias("n"),
+    slim = rows.select(F.col(score).cast("double").alias("value"), positive.alias("_pos")).where("value IS NOT NULL AND NOT isnan(value) AND _pos IS NOT NULL")
+    hist = stage(slim.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if("_pos").alias("pos")))
+    cells = max(1, -(-hist.count() // values_per_cell))
+    hist = stage(hist.repartitionByRange(cells, "value").withColumn("cell", F.spark_partition_id()))
+    sizes = hist.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).orderBy("cell").collect()
+    numbers, n = [r["cell"] for r in sizes], [r["n"] for r in sizes]
+    total, k = sum(n), sum(r["pos"] for r in sizes)
+
+    def split(batches):
+        import numpy as np
+        import pandas as pd
+
+        below = np.cumsum([0, *n[:-1]])
+        for pdf in batches:
+            for perm in pdf["perm"]:
+                got = np.random.default_rng([seed, int(perm)]).multivariate_hypergeometric(n, k)
+                above = got.sum() - np.cumsum(got)
+                yield pd.DataFrame({"cell": numbers, "perm": perm, "k": got, "above": above, "below": below})
+
+    def inside(values, draws):
+        import numpy as np
+        import pandas as pd
+
+        values = values.sort_values("value")
+        own = values["n"].to_numpy()
+        out = []
+        for cell, perm, drawn, above, below in draws[["cell", "perm", "k", "above", "below"]].itertuples(index=False):
+            got = values["pos"].to_numpy() if perm == 0 else np.random.default_rng([seed, int(perm), int(cell)]).multivariate_hypergeometric(own, drawn)
+            upto = below + np.cumsum(own)
+            higher = above + drawn - np.cumsum(got) + got
+            out.append((perm, float(got @ (upto - (own - 1) / 2)), float((got * higher / (total - upto + own)).sum())))
+        return pd.DataFrame(out, columns=["perm", "ranks", "shares"])
+
+    perms = rows.sparkSession.range(1, permutations + 1, 1, min(permutations, max(1, cells))).select(F.col("id").alias("perm"))
+    drawn = perms.mapInPandas(split, "cell int, perm long, k long, above long, below long")
+    real, upto, above = [], 0, k
+    for r in sizes:
+        above -= r["pos"]
+        real.append((r["cell"], 0, r["pos"], above, upto))
+        upto += r["n"]
+    drawn = drawn.unionByName(rows.sparkSession.createDataFrame(real, "cell int, perm long, k long, above long, below long"))
+    parts = hist.groupBy("cell").cogroup(drawn.groupBy("cell")).applyInPandas(inside, "perm long, ranks double, shares double")
+    found = parts.groupBy("perm").agg(
+        ((F.sum("ranks") - k * (k + 1) / 2) / F.nullif(F.lit(float(k) * (total - k)), F.lit(0.0))).alias("roc_auc"), (F.sum("shares") / F.nullif(F.lit(float(k)), F.lit(0.0))).alias("pr_auc")
     )
-    placed = stage(slim.select("_key", *row_key, "cell", "value").join(at, ["_key", "cell", "value"]))
-    cutoffs = selection_cutoffs(placed, real.select("_key", "k"), keys=["_key"], row_key=row_key, permutations=permutations, seed=seed)
-    chosen = random_selections(placed, cutoffs, keys=["_key"], row_key=row_key, seed=seed)
-    per_value = chosen.groupBy("perm", "cell", "value").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("avg_rank").alias("_rank"), F.max("at_least").alias("_all"), F.max("n").alias("_total")
-    )
-    down = Window.partitionBy("perm", "cell").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy("perm").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    tops = per_value.groupBy("perm", "cell").agg(F.sum("_n").alias("_s")).select(
-        "perm", "cell", F.coalesce(F.sum("_s").over(above), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy("perm")).alias("_k")
-    )
-    run = per_value.withColumn("_c", F.sum("_n").over(down)).join(tops, ["perm", "cell"])
-    k, n = F.max("_k"), F.max("_total")
-    null = run.groupBy("perm").agg(
-        k.alias("selected"),
-        ((F.sum(F.col("_n") * F.col("_rank")) - k * (k + 1) / 2.0) / (k * (n - k))).alias("roc_auc"),
-        F.sum(F.col("_n") / F.col("_k") * (F.col("_c") + F.col("_o")) / F.col("_all")).alias("pr_auc"),
-    )
-    long = null.select("perm", "selected", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("statistic")) for m in ("roc_auc", "pr_auc")])).alias("_m"))
-    observed = real.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("observed")) for m in ("roc_auc", "pr_auc")])).alias("_m")).select("_m.*")
-    return observed, long.select("perm", "selected", "_m.*")
+    long = stage(found.select("perm", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("statistic")) for m in ("roc_auc", "pr_auc")])).alias("_m")).select("perm", F.lit(k).cast("long").alias("selected"), "_m.*"))
+    return long.where("perm = 0").select("metric", F.col("statistic").alias("observed")), long.where("perm > 0")
 
 
-def shuffled_columns(rows: DataFrame, columns: Sequence[str], *, row_key: Sequence[str], permutations: int, seed: int = 42) -> DataFrame:
-    """Rows whose named columns come, as one block, from another random row.
+def _round_key(seed: int, perm: Column, number: int) -> Column:
+    """A residue from seed, permutation and round; both engines of the tests compute it alike."""
+    x = (F.lit(seed % MODULUS) + perm * 7919 + 104729 * number) % MODULUS
+    return ((x * x) % MODULUS * 48271 + 11) % MODULUS
+
+
+def _feistel(left: Column, right: Column, width: int, height: int, number: int, seed: int, perm: Column) -> tuple[Column, Column]:
+    """One round on (left below ``width``, right below ``height``); rounds turn the halves in turn."""
+    moved, by, size = (left, right, width) if number % 2 == 0 else (right, left, height)
+    turned = (moved + (by + _round_key(seed, perm, 2 * number)) * (by + _round_key(seed, perm, 2 * number + 1)) % MODULUS) % size
+    return (turned, right) if number % 2 == 0 else (left, turned)
+
 
-    One copy of the table per permutation.  Both orders are numbered in hash
-    cells, so no permutation is sorted in one task.
+def permuted_numbers(df: DataFrame, index: str, n: int, *, perm: str = "perm", seed: int = 42, out: str = "_source") -> DataFrame:
+    """``out``: where permutation ``perm`` of the numbers 0 .. n - 1 sends ``index``.
+
+    A keyed bijection: the number is a place in a rectangle of about the square root of ``n`` on a side, whose two
+    coordinates turn each other for ``ROUNDS`` rounds.  What leaves the range (one number in the square root of ``n``)
+    goes round again until it is inside; that ends, since the way leads through a cycle that starts inside.  Nothing is sorted or
+    moved, and any permutation can be asked for any number.
     """
-    perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
-    keep = [c for c in rows.columns if c not in columns]
+    width = max(1, math.isqrt(n - 1) + 1 if n else 1)
+    height = max(1, -(-n // width))
+    p = F.col(perm).cast("long")
+    step = df.withColumns({"_left": F.col(index) % width, "_right": F.floor(F.col(index) / width)})
+    for k in range(ROUNDS):
+        left, right = _feistel(F.col("_left"), F.col("_right"), width, height, k, seed, p)
+        step = step.withColumns({"_left": left, "_right": right})
+
+    def turned(k: int):
+        return lambda b: F.struct(*[c.alias(side) for side, c in zip("lr", _feistel(b["l"], b["r"], width, height, k, seed, p))])
+
+    def again(x: Column) -> Column:
+        both = F.struct((x % width).alias("l"), F.floor(x / width).alias("r"))
+        for k in range(ROUNDS):  # a one-element array binds the value that a round reads twice
+            both = F.transform(F.array(both), turned(k))[0]
+        return both["r"] * width + both["l"]
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("_at"), lambda x, _: F.when(x < n, x).otherwise(again(x)))
+    placed = step.withColumn("_at", F.col("_right") * width + F.col("_left")).drop("_left", "_right")
+    return placed.withColumn(out, F.when(F.col("_at") < n, F.col("_at")).otherwise(walked)).drop("_at")
+
+
+def permuted_numbers_sql(table: str, index: str, n: str, *, perm: str = "perm", seed: int = 42, out: str = "_source", name: str = "permuted") -> str:
+    """The same in SQL: CTEs that end in ``name``, with the columns of ``table`` and ``out``; ``n`` names a column."""
+    base = lambda k: f"(({seed % MODULUS} + {perm} * 7919 + {104729 * k}) % {MODULUS})"
+    square = lambda k: f"((({base(k)} * {base(k)}) % {MODULUS} * 48271 + 11) % {MODULUS})"
+    size = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    ctes = [f"{name}_0 AS (SELECT *, CAST({index} AS BIGINT) AS at_, {size} AS width_, CAST(ceil({n} / CAST({size} AS DOUBLE)) AS BIGINT) AS height_ FROM {table})"]
+    last = f"{name}_0"
+    for walk in range(4):
+        ctes.append(f"{name}_w{walk} AS (SELECT *, at_ % width_ AS l_, at_ // width_ AS r_ FROM {last})")
+        last = f"{name}_w{walk}"
+        for k in range(ROUNDS):
+            a, b, s = ("l_", "r_", "width_") if k % 2 == 0 else ("r_", "l_", "height_")
+            ctes.append(f"{name}_w{walk}_{k} AS (SELECT * REPLACE (({a} + (({b} + {square(2 * k)}) * ({b} + {square(2 * k + 1)})) % {MODULUS}) % {s} AS {a}) FROM {last})")
+            last = f"{name}_w{walk}_{k}"
+        moved = "r_ * width_ + l_" if walk == 0 else f"CASE WHEN at_ < {n} THEN at_ ELSE r_ * width_ + l_ END"
+        ctes.append(f"{name}_{walk + 1} AS (SELECT * EXCLUDE (l_, r_) REPLACE ({moved} AS at_) FROM {last})")
+        last = f"{name}_{walk + 1}"
+    return ", ".join([*ctes, f"{name} AS (SELECT * EXCLUDE (at_, width_, height_), at_ AS {out} FROM {last})"])
+
 
-    def ordered(cols: Sequence[str], salt: int) -> DataFrame:
-        spread = rows.select(*dict.fromkeys([*cols, *row_key]), perms).withColumn("_h", _hash(salt, row_key))
-        cells = [F.shiftright("_h", 56)]
-        return with_row_index(spread, ["perm"], ["_h", *row_key], cells, index="_at")
+def shuffled_columns(rows: DataFrame, columns: Sequence[str], *, row_key: Sequence[str], permutations: int, seed: int = 42) -> DataFrame:
+    """Rows whose named columns come, as one block, from another row: for each of the permutations, each row once.
 
-    home = ordered(keep, seed).select(*keep, "perm", "_at")
-    away = ordered(columns, seed + 1).select(*columns, "perm", "_at")
-    return home.join(away, ["perm", "_at"]).drop("_at")
+    The rows are numbered once, in hash cells.  A permutation is a bijection of the numbers that is computed where it is
+    needed (``permuted_numbers``), so no copy of the table is sorted or numbered; the block columns are joined by number, and
+    only the other side has a row per permutation.
+    """
+    keep = [c for c in rows.columns if c not in columns]
+    hashed = rows.withColumns({"_one": F.lit(0), "_h": F.xxhash64(F.lit(seed), *[F.col(c) for c in row_key])})
+    numbered = stage(with_row_index(hashed, ["_one"], ["_h", *row_key], [F.shiftright("_h", 48)], index="_i").drop("_one", "_h"))
+    home = numbered.select(*keep, "_i").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    away = numbered.select(*columns, F.col("_i").alias("_source"))
+    return permuted_numbers(home, "_i", numbered.count(), seed=seed).drop("_i").join(away, "_source").drop("_source")

@@ -53,13 +53,10 @@ def with_row_index(
     celled = placeable(df.withColumns(dict(zip(names, cells))), [*by, *names])
     keys = [*by, *names]
     counts = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    starts = _cell_starts(counts, by, names, total)
+    starts = _cell_starts(counts, by, names, "_index_total" if total else None)
     local = celled.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return (
-        local.join(starts, keys)
-        .withColumn(index, (F.col("_start") + F.col("_pos") - 1).cast("long"))
-        .drop("_start", "_pos", *names)
-    )
+    placed = local.join(starts, keys).withColumn("_index", (F.col("_start") + F.col("_pos") - 1).cast("long"))
+    return placed.drop("_start", "_pos", *names).withColumnsRenamed({"_index": index, **({"_index_total": total} if total else {})})
 
 
 def placeable(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -15,78 +15,90 @@ from .series import INDEX, over_series, running_sum, with_row_index
 from .staging import stage
 
 FANOUT = 64
+#: Copies of a group of bars at most.
+SALTS = 4096
 CHAIN_ROWS = 4096
 
 
 # ------------------------------------------------------------------ unbounded exits
 
 
-def _extreme_levels(bars: DataFrame, by: Sequence[str], depth: int) -> list[DataFrame]:
-    """Per level, one row per node holding the (high, low) extremes of up to 64 children."""
-    child = bars.select(*by, F.col(INDEX).alias("_at"), "high", "low")
-    levels = []
-    for _ in range(depth):
+def extreme_levels(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> list[DataFrame]:
+    """Bars in groups of 64, those again in groups of 64, and so on; one stored table per level, a row per group.
+
+    A group holds the extremes of its children, and two staircases: the children that set a new high (low) among those
+    before them.  A search that may start at the first child needs the few steps of a staircase only.
+    """
+    top = bars.agg(F.max(INDEX)).first()[0] or 0
+    child, levels = bars.select(*by, F.col(INDEX).alias("_at"), "high", "low"), []
+    stairs = "aggregate(_kids, cast(array() AS array<struct<k: bigint, v: double>>), (s, x) -> CASE WHEN x.{0} IS NOT NULL AND (size(s) = 0 OR x.{0} {1} element_at(s, -1).v) THEN array_append(s, struct(x.k AS k, cast(x.{0} AS double) AS v)) ELSE s END)"
+    while not levels or top >> (6 * len(levels)):
         node = child.withColumn("_node", F.shiftright("_at", 6)).groupBy(*by, "_node").agg(
             F.array_sort(F.collect_list(F.struct((F.col("_at") % FANOUT).alias("k"), "high", "low"))).alias("_kids"),
             F.max("high").alias("high"),
             F.min("low").alias("low"),
         )
-        levels.append(node.select(*by, "_node", "_kids"))
-        child = node.select(*by, F.col("_node").alias("_at"), "high", "low")
+        levels.append(stage(node.withColumns({"_highs": F.expr(stairs.format("high", ">")), "_lows": F.expr(stairs.format("low", "<"))})))
+        child = levels[-1].select(*by, F.col("_node").alias("_at"), "high", "low")
     return levels
 
 
-def _first_child(up: Column, down: Column, after: Column | None) -> Column:
-    """Lowest child (beyond ``after``) whose extremes reach a level."""
+def _first_child(up: Column, down: Column, after: Column) -> Column:
+    """Lowest child beyond ``after`` whose extremes reach a level."""
+    hit = F.filter("_kids", lambda x: ((x["high"] >= up) | (x["low"] <= down)) & (x["k"] > after))
+    return F.try_element_at(F.transform(hit, lambda x: x["k"]), F.lit(1))
 
-    def reached(x: Column) -> Column:
-        hit = (x["high"] >= up) | (x["low"] <= down)
-        return hit if after is None else hit & (x["k"] > after)
 
-    return F.try_element_at(F.transform(F.filter("_kids", reached), lambda x: x["k"]), F.lit(1))
+def _first_step(up: Column, down: Column) -> Column:
+    """Lowest child whose extremes reach a level, off the staircases."""
+    rising = F.try_element_at(F.filter("_highs", lambda x: x["v"] >= up), F.lit(1))["k"]
+    falling = F.try_element_at(F.filter("_lows", lambda x: x["v"] <= down), F.lit(1))["k"]
+    return F.least(rising, falling)
 
 
-def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index", start: str = INDEX) -> DataFrame:
+def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index", start: str = INDEX, levels: list[DataFrame] | None = None) -> DataFrame:
     """Index of the first bar after ``start`` with ``high >= up`` or ``low <= down``, however far away.
 
-    Bars are summarised in groups of 64, those again in groups of 64, and so on.
-    A query climbs while its group holds no touch and then descends, so it
-    meets one node per level; no pair of rows is ever enumerated.
+    A query climbs the levels of groups while its group holds no touch and then descends, so it meets one group per
+    level; no pair of rows is ever enumerated.  A group of a higher level covers many bars and would get all their
+    queries: each level above the first is dealt out in salted copies, one per 64 bars that a group covers (up to
+    ``SALTS``), and a query takes one of them.  So no key has many more than 64 x 64 queries, also not in a single long series.
     """
-    top = bars.agg(F.max(INDEX)).first()[0] or 0
-    depth = 1
-    while top >> (6 * depth):
-        depth += 1
-    levels = _extreme_levels(bars, by, depth)
+    levels = levels or extreme_levels(bars, by)
     # Negative keys match nothing and spread the rows that need no lookup.
     idle = -1 - F.col(INDEX)
     q = queries.withColumns({"_cur": F.col(start), "_lvl": F.lit(-1)})
-    for k, level in enumerate(levels):
+
+    def looked_up(q: DataFrame, k: int, asks: Column, node: Column, columns: Sequence[str]) -> DataFrame:
+        salts = min(FANOUT**k, SALTS)
+        copies = levels[k].select(*by, "_node", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), *columns)
+        salt = F.when(asks, F.pmod(F.xxhash64(INDEX, up, down), F.lit(salts)).cast("int")).otherwise(0)
+        return q.withColumns({"_node": F.when(asks, node).otherwise(idle), "_salt": salt}).join(copies, [*by, "_node", "_salt"], "left")
+
+    for k in range(len(levels)):
         searching = F.col("_lvl") < 0
         here = F.shiftright("_cur", 6)
-        q = q.withColumn("_node", F.when(searching, here).otherwise(idle)).join(level, [*by, "_node"], "left")
-        kid = _first_child(F.col(up), F.col(down), F.col("_cur") % FANOUT)
-        q = q.withColumn("_kid", kid).withColumns(
+        q = looked_up(q, k, searching, here, ["_kids"]).withColumn("_kid", _first_child(F.col(up), F.col(down), F.col("_cur") % FANOUT))
+        q = q.withColumns(
             {
                 "_cur": F.when(searching & F.col("_kid").isNotNull(), here * FANOUT + F.col("_kid")).when(searching, here).otherwise(F.col("_cur")),
                 "_lvl": F.when(searching & F.col("_kid").isNotNull(), F.lit(k)).otherwise(F.col("_lvl")),
             }
-        ).drop("_kids", "_node", "_kid")
-    for k in range(depth - 1, 0, -1):
+        ).drop("_kids", "_node", "_salt", "_kid")
+    for k in range(len(levels) - 1, 0, -1):
         inside = F.col("_lvl") == k
-        q = q.withColumn("_node", F.when(inside, F.col("_cur")).otherwise(idle)).join(levels[k - 1], [*by, "_node"], "left")
-        kid = _first_child(F.col(up), F.col(down), None)
-        q = q.withColumn("_kid", kid).withColumns(
+        q = looked_up(q, k - 1, inside, F.col("_cur"), ["_highs", "_lows"]).withColumn("_kid", _first_step(F.col(up), F.col(down)))
+        q = q.withColumns(
             {
                 "_cur": F.when(inside, F.col("_cur") * FANOUT + F.col("_kid")).otherwise(F.col("_cur")),
                 "_lvl": F.when(inside, F.lit(k - 1)).otherwise(F.col("_lvl")),
             }
-        ).drop("_kids", "_node", "_kid")
+        ).drop("_highs", "_lows", "_node", "_salt", "_kid")
     return q.withColumn(out, F.when(F.col("_lvl") == 0, F.col("_cur"))).drop("_cur", "_lvl")
 
 
-def _past_double_touches(touched: DataFrame, bars: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Move touches on from bars that reach both levels."""
+def _past_double_touches(touched: DataFrame, bars: DataFrame, by: Sequence[str], levels: list[DataFrame]) -> DataFrame:
+    """Move touches on from bars that reach both levels, for the trades concerned, over the same groups of bars."""
     columns, done = touched.columns, []
     bar = bars.select(*by, F.col(INDEX).alias("touch_index"), F.col("high").alias("_high"), F.col("low").alias("_low"))
     while True:
@@ -96,7 +108,7 @@ def _past_double_touches(touched: DataFrame, bars: DataFrame, by: Sequence[str])
         again = seen.where("_both").select(*columns)
         if again.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        touched = first_touch(again.withColumnRenamed("touch_index", "_start"), bars, by=by, start="_start").drop("_start")
+        touched = first_touch(again.withColumnRenamed("touch_index", "_start"), bars, by=by, start="_start", levels=levels).drop("_start")
 
 
 def candidate_exits(
@@ -127,9 +139,10 @@ def candidate_exits(
         F.when(long, F.col("close") + tp).otherwise(F.col("close") + sl).alias("up"),
         F.when(long, F.col("close") - sl).otherwise(F.col("close") - tp).alias("down"),
     )
-    touched = first_touch(opened, bars, by=by)
+    levels = extreme_levels(bars, by)
+    touched = first_touch(opened, bars, by=by, levels=levels)
     if same_bar_rule not in (*TP_FIRST, *SL_FIRST):
-        touched = _past_double_touches(touched, bars, by)
+        touched = _past_double_touches(touched, bars, by, levels)
     last = bars.groupBy(*by).agg(F.max(INDEX).alias("_last"), F.max_by("close", INDEX).alias("_last_close"), F.max(ts).alias("_last_ts"))
     hit = bars.select(*by, F.col(INDEX).alias("_hit"), F.col(ts).alias("_hit_ts"), "high", "low")
     # A trade without a touch looks up a negative bar: no match, and evenly spread.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels as lv
+from ..operators import metrics as mt
 from ..operators import permute as pm
 from ..operators import trades as tr
-from ..operators.series import time_cell
+from ..operators.series import time_cell, with_row_index
 from ..operators.staging import stage
 from .inputs import SCORED_SQL, bars, bars_sql, scored
 from .q_features import KEY, NUMBERED
@@ -350,11 +351,81 @@ def permutation_selection_null(spark, sf_dir):
 
 @query("permutation_labels", "metric:s " + NULL)
 def permutation_labels(spark, sf_dir):
-    rows = scored(spark, sf_dir).select("l_orderkey", "l_linenumber", "target", "buy_proba")
-    observed, null = pm.label_permutation_null(rows, positive=F.col("target") == 1, score="buy_proba", row_key=["l_orderkey", "l_linenumber"], permutations=25)
+    rows = scored(spark, sf_dir).select("target", "buy_proba")
+    observed, null = pm.label_permutation_null(rows, positive=F.col("target") == 1, score="buy_proba")
     return pm.null_summary(observed, null.select("metric", "perm", "statistic"), keys=["metric"], sample=True)
 
 
+@query(
+    "permutation_labels_against_theory",
+    "observed:d iterations:l mean_within:l spread_within:l",
+    f"""WITH {SCORED_SQL}, v AS (SELECT buy_proba AS value, count(*) AS n, count(*) FILTER (WHERE target = 1) AS pos FROM scored GROUP BY 1),
+    c AS (SELECT *, sum(n) OVER (ORDER BY value) AS upto, sum(n) OVER () AS total, sum(pos) OVER () AS k FROM v)
+    SELECT (sum(pos * (upto - (n - 1) / 2.0)) - max(k) * (max(k) + 1) / 2.0) / (max(k) * (max(total) - max(k))) AS observed, 199 AS iterations, 1 AS mean_within, 1 AS spread_within FROM c""",
+)
+def permutation_labels_against_theory(spark, sf_dir):
+    """The AUC of 199 shuffled labellings must have mean 1/2 and the variance of the rank sum with ties."""
+    rows = scored(spark, sf_dir).select("target", "buy_proba")
+    observed, null = pm.label_permutation_null(rows, positive=F.col("target") == 1, score="buy_proba")
+    ties = rows.groupBy("buy_proba").agg(F.count(F.lit(1)).cast("double").alias("t"), F.count_if(F.col("target") == 1).alias("pos"))
+    exact = ties.agg(F.sum("t").alias("n"), F.sum("pos").cast("double").alias("k"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
+    n, k = F.col("n"), F.col("k")
+    exact = exact.select(F.sqrt((n + 1) / (12 * k * (n - k)) * (1 - F.col("tied") / (n * n * n - n))).alias("sd"))
+    drawn = null.where("metric = 'roc_auc'").agg(F.count(F.lit(1)).alias("iterations"), F.avg("statistic").alias("mean"), F.stddev_samp("statistic").alias("got"))
+    one = observed.where("metric = 'roc_auc'").crossJoin(drawn).crossJoin(exact)  # three single rows
+    near = (F.abs(F.col("mean") - 0.5) <= 4 * F.col("sd") / F.sqrt("iterations")).cast("int")
+    return one.select("observed", "iterations", near.alias("mean_within"), F.col("got").between(0.75 * F.col("sd"), 1.25 * F.col("sd")).cast("int").alias("spread_within"))
+
+
+COLUMN_BARS = """WITH {bars}, b AS (SELECT row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n, close / open AS own, (high - low) / open AS other,
+        CAST(high - greatest(open, close) > least(open, close) - low AS INT) AS up FROM bars),
+    spread AS (SELECT b.*, CAST(perm AS BIGINT) AS perm FROM b, range(1, 200) AS r(perm)), """.replace("{bars}", bars_sql()) + pm.permuted_numbers_sql("spread", "i", "n")
+
+
+def numbered_bars(spark, sf_dir):
+    b = bars(spark, sf_dir).select(
+        F.lit(0).alias("_one"), "symbol", "ts", (F.col("close") / F.col("open")).alias("own"), ((F.col("high") - F.col("low")) / F.col("open")).alias("other"),
+        (F.col("high") - F.greatest("open", "close") > F.least("open", "close") - F.col("low")).cast("int").alias("up"),
+    )
+    return stage(with_row_index(b, ["_one"], ["ts", "symbol"], [time_cell("ts")], index="i"))
+
+
+@query(
+    "permutation_bijection",
+    "perm:l rows:l sources:l first:l last:l moments:l",
+    COLUMN_BARS + " SELECT perm, count(*) AS rows, count(DISTINCT _source) AS sources, min(_source) AS first, max(_source) AS last, sum(i * _source % 1000003) AS moments FROM permuted GROUP BY perm",
+)
+def permutation_bijection(spark, sf_dir):
+    """199 permutations of the bars' numbers: every one uses every row once, and both engines compute the same ones."""
+    b = numbered_bars(spark, sf_dir)
+    spread = b.select("i").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(199))))
+    drawn = pm.permuted_numbers(spread, "i", b.count())
+    once = drawn.groupBy("perm", "_source").agg(F.sum(F.col("i") * F.col("_source") % 1000003).alias("m"), F.count(F.lit(1)).alias("n"))
+    return once.groupBy("perm").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("sources"), F.min("_source").alias("first"), F.max("_source").alias("last"), F.sum("m").alias("moments"))
+
+
+@query(
+    "permutation_columns_null",
+    "observed:d iterations:l random_mean:d random_std:d random_min:d random_max:d one_sided_p_value:d",
+    COLUMN_BARS
+    + """, s AS (SELECT p.perm, p.up, p.own - 0.5 * o.other AS score FROM permuted p JOIN b o ON o.i = p._source UNION ALL SELECT 0, up, own - 0.5 * other FROM b),
+    v AS (SELECT perm, score, count(*) AS n, sum(up) AS pos FROM s GROUP BY 1, 2),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY perm ORDER BY score) AS upto, sum(n) OVER (PARTITION BY perm) AS total, sum(pos) OVER (PARTITION BY perm) AS k FROM v),
+    a AS (SELECT perm, (sum(pos * (upto - (n - 1) / 2.0)) - max(k) * (max(k) + 1) / 2.0) / (max(k) * (max(total) - max(k))) AS auc FROM c GROUP BY 1),
+    o AS (SELECT auc AS observed FROM a WHERE perm = 0)
+    SELECT observed, count(*) AS iterations, avg(auc) AS random_mean, stddev_samp(auc) AS random_std, min(auc) AS random_min, max(auc) AS random_max,
+        (count(*) FILTER (WHERE auc >= observed) + 1) / (count(*) + 1.0) AS one_sided_p_value FROM a, o WHERE perm > 0 GROUP BY observed""",
+)
+def permutation_columns_null(spark, sf_dir):
+    """AUC of a fixed score after its second column is permuted, 199 times."""
+    b = numbered_bars(spark, sf_dir)
+    drawn = pm.permuted_numbers(b.select("i", "own", "up").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(199)))), "i", b.count())
+    mixed = drawn.join(b.select(F.col("i").alias("_source"), "other"), "_source")
+    auc = lambda df: mt.ranking_metrics(df.withColumn("score", F.col("own") - 0.5 * F.col("other")), F.col("up") == 1, "score", keys=["perm"]).select("perm", F.col("roc_auc").alias("statistic"))
+    observed = auc(b.withColumn("perm", F.lit(0))).select(F.col("statistic").alias("observed"))
+    return pm.null_summary(observed, auc(stage(mixed)), keys=[], sample=True)
+
+
 @query(
     "permutation_shuffled_columns",
     "perm:l rows:l quantity_total:d target_total:l",

@@ -23,6 +23,12 @@ def test_row_index_is_exact(spark, walk):
     assert got.groupby("symbol")["n"].first().to_dict() == {"A": 700, "B": 45}
 
 
+@pytest.mark.parametrize("total", ["_n", "_sum", "_base", "_chunk", "_before", "_start", "_pos"])
+def test_row_index_takes_any_name_for_its_total(spark, walk, total):
+    got = with_row_index(spark.createDataFrame(walk), ["symbol"], ["ts"], [time_cell("ts", 7200)], total=total)
+    assert {(r.symbol, r[total]) for r in got.select("symbol", total).distinct().collect()} == {("A", 700), ("B", 45)}
+
+
 @pytest.mark.parametrize("rows", [64, 300, 5000])
 def test_rolling_does_not_depend_on_blocks(spark, walk, rows):
     def build(df, w):
@@ -142,6 +148,30 @@ def test_shuffled_columns_keep_values(spark):
         assert (g["v"] != 2 * g["id"]).mean() > 0.9
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 26, 50, 101, 1000, 4099])
+def test_permuted_numbers_are_permutations(spark, n):
+    spread = spark.range(n).withColumn("perm", F.explode(F.array(F.lit(1), F.lit(2), F.lit(77))))
+    got = pm.permuted_numbers(spread, "id", n).toPandas()
+    orders = {p: tuple(g.sort_values("id")["_source"]) for p, g in got.groupby("perm")}
+    assert all(sorted(o) == list(range(n)) for o in orders.values())
+    if n >= 50:
+        assert len(set(orders.values())) == 3
+        assert all(abs(np.corrcoef(np.arange(n), o)[0, 1]) < 5 / np.sqrt(n) for o in orders.values())
+
+
+def test_label_permutation_follows_the_exact_law(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"s": np.round(rng.random(3000) ** 2, 2), "y": rng.random(3000) < 0.2})
+    pdf.loc[::400, "s"] = None
+    df = spark.createDataFrame(pdf).withColumn("s", F.when(~F.isnan("s"), F.col("s")))
+    _, null = pm.label_permutation_null(df, positive=F.col("y"), score="s", permutations=199, values_per_cell=9)
+    auc = np.array([r.statistic for r in null.where("metric = 'roc_auc'").collect()])
+    kept = pdf.dropna()
+    n, k, t = len(kept), int(kept.y.sum()), kept.groupby("s").size().to_numpy().astype(float)
+    sd = np.sqrt((n + 1) / (12 * k * (n - k)) * (1 - (t**3 - t).sum() / (n**3 - n)))
+    assert len(auc) == 199 and abs(auc.mean() - 0.5) < 4 * sd / np.sqrt(199) and 0.8 < auc.std(ddof=1) / sd < 1.2
+
+
 def test_first_touch_matches_scan(spark, walk):
     bars = with_row_index(spark.createDataFrame(walk), ["symbol"], ["ts"], [time_cell("ts")]).cache()
     queries = bars.select("symbol", "bar_index", (F.col("close") + 6).alias("up"), (F.col("close") - 9).alias("down"))
