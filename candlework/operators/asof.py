@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import placeable, time_cell
+from .series import placeable
+from .staging import stage, unstage
 
 
 @dataclass(frozen=True)
@@ -16,7 +17,8 @@ class Source:
     """One right-hand side of an as-of join.
 
     ``order`` breaks ties between rows of the same time; a match older than
-    ``max_age_seconds`` counts as missing (``None`` means no limit).
+    ``max_age_seconds`` counts as missing (``None`` means no limit).  ``only``
+    keeps some rows; sources that differ in it (and in names) but share a frame are read from it together.
     """
 
     frame: DataFrame
@@ -26,50 +28,68 @@ class Source:
     prefix: str = ""
     source_time: str = "source_ts"
     age: str = "age_seconds"
+    only: Column | None = None
+    without: Sequence[str] = ()
 
+    def columns(self, by: Sequence[str]) -> list[str]:
+        return [c for c in self.frame.columns if c not in by and c not in self.without]
 
-def asof_many(left: DataFrame, sources: Sequence[Source], *, by: Sequence[str] = (), left_time: str, cell_seconds: int = 86400) -> DataFrame:
+
+def require_predictions(left: DataFrame, by: Sequence[str], left_time: str) -> None:
+    """Raise unless the moments asked for are instants and come once per key (rows without a time apart)."""
+    kind = left.schema[left_time].dataType.typeName()
+    if kind != "timestamp":
+        raise TypeError(f"{left_time} is {kind}; prediction times must be UTC instants")
+    twice = left.where(F.col(left_time).isNotNull()).groupBy(*by, left_time).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    found = twice.agg(F.count(F.lit(1)).alias("times"), F.min(left_time).alias("first")).first()
+    if found["times"]:
+        raise ValueError(f"{found['times']} prediction times come more than once, the first is {found['first']}")
+
+
+def asof_many(left: DataFrame, sources: Sequence[Source], *, by: Sequence[str] = (), left_time: str, strict: bool = False, partitions: int | None = None) -> DataFrame:
     """Attach to every left row the newest row of each source at or before its time.
 
     All source columns but the keys come over (with the source's prefix), with
     the matched time and its age.  A matched row keeps its NULL values and never
-    falls through to an older row.
+    falls through to an older row.  ``strict`` asks for unique instants on the left.
 
-    Left rows and all sources go through one shuffle on (keys, time cell).  The
-    newest source row of each cell is carried forward over a table that has one
-    row per key and cell, so neither a long tolerance nor one very long key puts
-    a whole key into one task.  A left row without a key or time matches nothing
-    and stays in the result; source rows without a key match nothing.
+    Every table is read once, into one union of left and source rows that is dealt to range partitions of (keys, time).
+    A partition's state is the last row it holds of each source; states are merged along the partitions, and rows look
+    back inside their own partition, then at the state before it.  Partitions follow the rows, so neither a long key nor a busy
+    day, nor many left rows at one moment, land in one task.  A left row without a key or time matches nothing
+    and stays in the result; source rows without a key or time match nothing.
     """
-    keys = [*by, "_cell"]
-    rights, carries = [], []
+    if strict:
+        require_predictions(left, by, left_time)
+    own = F.struct(*[F.col(c) for c in left.columns])
+    both = left.select(*by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), own.alias("_left"), F.xxhash64(own).alias("_tie"))
+    shared: dict[tuple, list[int]] = {}
     for k, s in enumerate(sources):
-        packed = F.struct(F.col(s.time).alias("_t"), *[F.col(c).alias(f"v_{c}") for c in s.frame.columns if c not in by])
-        rank = F.struct(F.col(s.time), *[F.col(c) for c in s.order])
-        cells = placeable(s.frame, [*by, s.time]).select(
-            *by, F.col(s.time).alias("_time"), packed.alias(f"_src{k}"), rank.alias("_rank"), time_cell(s.time, cell_seconds).alias("_cell")
-        )
-        # One row per source time: the last of equal times is the only one a match can see.
-        newest = cells.groupBy(*keys, "_time").agg(F.max_by(f"_src{k}", "_rank").alias(f"_src{k}")) if s.order else cells.drop("_rank")
-        rights.append(newest.withColumn("_side", F.lit(0)))
-        carries.append(newest.groupBy(*keys).agg(F.max_by(f"_src{k}", "_time").alias(f"_src{k}")))
-    both = left.select(
-        *by,
-        F.col(left_time).alias("_time"),
-        time_cell(left_time, cell_seconds).alias("_cell"),
-        F.lit(1).alias("_side"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
-    )
-    ends = left.select(*by, time_cell(left_time, cell_seconds).alias("_cell")).distinct()
-    for right, carry in zip(rights, carries):
+        shared.setdefault((id(s.frame), s.time, tuple(s.order)), []).append(k)
+    ranks = []
+    for g, (members, (_, time, tied)) in enumerate((m, key) for key, m in shared.items()):
+        frame = sources[members[0]].frame
+        packed = []
+        for k in members:
+            own = F.struct(F.col(time).alias("_t"), *[F.col(c).alias(f"v_{c}") for c in sources[k].columns(by)])
+            packed.append((own if sources[k].only is None else F.when(sources[k].only, own)).alias(f"_src{k}"))
+        # Equal times are told apart by the source's own order; the last one is what a match sees.
+        rank = [F.struct(*[F.col(c) for c in tied]).alias(f"_rank{g}")] if tied else []
+        ranks += [f"_rank{g}"] if tied else []
+        right = placeable(frame, [*by, time]).select(*by, F.col(time).alias("_time"), F.lit(0).alias("_side"), *packed, *rank)
         both = both.unionByName(right, allowMissingColumns=True)
-        ends = ends.unionByName(carry, allowMissingColumns=True)
     names = [f"_src{k}" for k in range(len(sources))]
-    inside = Window.partitionBy(*keys).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = ends.groupBy(*keys).agg(*[F.max_by(n, n + "._t").alias(n) for n in names])
-    carried = per_cell.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"_carry{n}") for n in names])
-    hit = both.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).where(F.col("_side") == 1)
+    order = ["_time", "_side", *ranks]
+    read = stage(both)
+    shards = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(read.repartitionByRange(shards, *by, *order, "_tie").withColumn("_part", F.spark_partition_id()).drop("_tie"))
+    unstage(read)
+    keys = [*by, "_part"]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    states = dealt.groupBy(*keys).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.struct("_time", *ranks))).alias(n) for n in names])
+    carried = states.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"_carry{n}") for n in names])
+    hit = dealt.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).where(F.col("_side") == 1)
     joined = hit.join(carried, keys, "left").select("_left", *[F.coalesce(n, f"_carry{n}").alias(n) for n in names])
 
     out = [F.col(f"_left.{c}").alias(c) for c in left.columns]
@@ -78,7 +98,7 @@ def asof_many(left: DataFrame, sources: Sequence[Source], *, by: Sequence[str] =
         seconds = (at - F.unix_micros(F.col(f"{n}._t").cast("timestamp"))) / F.lit(1e6)
         fresh = F.col(n).isNotNull() if s.max_age_seconds is None else seconds <= s.max_age_seconds
         out += [
-            F.when(fresh, F.col(f"{n}.v_{c}")).alias(f"{s.prefix}{c}") for c in s.frame.columns if c not in by and c != s.time
+            F.when(fresh, F.col(f"{n}.v_{c}")).alias(f"{s.prefix}{c}") for c in s.columns(by) if c != s.time
         ]
         out += [F.when(fresh, F.col(f"{n}._t")).alias(s.source_time), F.when(fresh, seconds).alias(s.age)]
     return joined.select(*out)
@@ -94,11 +114,12 @@ def asof_join(
     max_age_seconds: int | None,
     order: Sequence[str] = (),
     prefix: str = "",
-    cell_seconds: int = 86400,
+    strict: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """As-of join with a single source; see ``asof_many``."""
     source = Source(right, right_time, max_age_seconds, order, prefix)
-    return asof_many(left, [source], by=by, left_time=left_time, cell_seconds=cell_seconds)
+    return asof_many(left, [source], by=by, left_time=left_time, strict=strict, partitions=partitions)
 
 
 def asof_audit(joined: DataFrame, *, left_time: str, family: str | None = None, keys: Sequence[str] = (), source_time: str = "source_ts", age: str = "age_seconds") -> DataFrame:

@@ -13,9 +13,13 @@ from .price_features import pct_change
 from .series import over_series, rolling
 
 
-def widen(observations: DataFrame, *, column: str, values: Sequence[str], time: str = "available_time_utc", value: str = "value") -> DataFrame:
-    """One row per publication time, one column per instrument or field."""
-    return observations.groupBy(time).pivot(column, list(values)).agg(F.max(value))
+#: Of several rows of an instrument published at one moment, the latest revision counts, then that of the latest source time.
+PUBLISHED = ("revision_id", "source_time_utc")
+
+
+def widen(observations: DataFrame, *, column: str, values: Sequence[str], time: str = "available_time_utc", value: str = "value", order: Sequence[str] = PUBLISHED) -> DataFrame:
+    """One row per publication time, one column per instrument or field; all revisions take part."""
+    return observations.groupBy(time).pivot(column, list(values)).agg(F.max_by(value, F.struct(*order)))
 
 
 def _single(wide: DataFrame) -> DataFrame:
@@ -80,7 +84,8 @@ def volatility_features(wide: DataFrame, *, index: str, terms: Sequence[str], ex
 
 
 def instrument_moves(observations: DataFrame, *, by: Sequence[str] = ("instrument_or_event_id",), time: str = "available_time_utc") -> DataFrame:
-    """Return over 1 and 4 rows and 16-row return deviation of every instrument."""
+    """Return over 1 and 4 rows and 16-row return deviation of every instrument, over the values as they were published."""
+    published = observations.groupBy(*by, time).agg(F.max_by("value", F.struct(*PUBLISHED)).alias("value"))
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         v = F.col("value")
@@ -88,7 +93,7 @@ def instrument_moves(observations: DataFrame, *, by: Sequence[str] = ("instrumen
         r = F.col("return_1")
         return df.withColumns({"return_4": pct_change(v, w, 4), "volatility_16": rolling(F.stddev_samp(r), w, 16, seen=r)})
 
-    out = over_series(observations, build, by=by, ts=time, back=17)
+    out = over_series(published, build, by=by, ts=time, back=17)
     return out.select(*by, time, "return_1", "return_4", "volatility_16")
 
 
@@ -96,16 +101,16 @@ def market_context(predictions: DataFrame, moves: DataFrame, instruments: dict[s
     """Newest moves of several instruments at each prediction time, side by side.
 
     ``instruments`` maps an instrument to the prefix of its columns.  All of
-    them are matched in a single as-of pass.
+    them are matched in a single as-of pass that reads the moves once.
     """
     sources = [
         Source(
-            moves.where(F.col(key) == name).drop(key), time, max_age_seconds, prefix=f"market_{short}_",
-            source_time=f"market_{short}_source_ts", age=f"market_{short}_age_seconds",
+            moves, time, max_age_seconds, prefix=f"market_{short}_", source_time=f"market_{short}_source_ts", age=f"market_{short}_age_seconds",
+            only=F.col(key) == name, without=(key,),
         )
         for name, short in instruments.items()
     ]
-    return asof_many(predictions, sources, left_time=left_time)
+    return asof_many(predictions, sources, left_time=left_time, strict=True)
 
 
 CALENDAR_FLAGS = [

@@ -114,7 +114,7 @@ def predictions(spark, sf_dir, per_type=False):
 def htf_context(spark, sf_dir):
     features = cf.timeframe_features(cf.completed_bars(bars(spark, sf_dir, per_type=False), width="1 hour", expected=4), "h1")
     return asof_join(
-        predictions(spark, sf_dir), features, by=["symbol"], left_time="prediction_ts", right_time="ts", max_age_seconds=2 * 3600
+        predictions(spark, sf_dir), features, by=["symbol"], left_time="prediction_ts", right_time="ts", max_age_seconds=2 * 3600, strict=True
     )
 
 
@@ -164,7 +164,7 @@ def observed(spark, sf_dir, days=7):
     source = observations(spark, sf_dir).select("instrument_or_event_id", "value", "source_time_utc", "available_time_utc", "revision_id")
     return asof_join(
         ship_times(spark, sf_dir), source, by=["instrument_or_event_id"], left_time="prediction_ts",
-        right_time="available_time_utc", max_age_seconds=days * 86400, order=["revision_id"],
+        right_time="available_time_utc", max_age_seconds=days * 86400, order=["revision_id"], strict=True,
     )
 
 
@@ -199,22 +199,26 @@ def asof_wide_summary(spark, sf_dir):
     return asof_audit(observed(spark, sf_dir), left_time="prediction_ts", keys=["instrument_or_event_id"])
 
 
-LEVELS = {"r2": "1-URGENT", "r5": "2-HIGH", "r10": "3-MEDIUM", "r30": "5-LOW"}
-WIDE_SQL = (
+LEVELS = {"r2": "1-URGENT", "r5": "2-HIGH", "r10": "3-MEDIUM", "r20": "4-NOT SPECIFIED", "r30": "5-LOW"}
+PUBLISHED_SQL = (
     OBSERVATIONS_SQL
+    + """, published AS (SELECT * FROM observations
+    QUALIFY row_number() OVER (PARTITION BY instrument_or_event_id, available_time_utc ORDER BY revision_id DESC, source_time_utc DESC) = 1)"""
+)
+WIDE_SQL = (
+    PUBLISHED_SQL
     + ", wide AS (SELECT 0 AS symbol, available_time_utc AS ts, "
     + ", ".join(f"max(value) FILTER (WHERE instrument_or_event_id = '{v}') AS {k}" for k, v in LEVELS.items())
-    + " FROM observations WHERE revision_id = 'initial' GROUP BY 2)"
+    + " FROM published GROUP BY 2)"
 )
 
 
 def wide_levels(spark, sf_dir):
-    obs = observations(spark, sf_dir).where(F.col("revision_id") == "initial")
-    wide = ef.widen(obs, column="instrument_or_event_id", values=list(LEVELS.values()))
+    wide = ef.widen(observations(spark, sf_dir), column="instrument_or_event_id", values=list(LEVELS.values()))
     return wide.withColumnsRenamed({v: k for k, v in LEVELS.items()})
 
 
-@query("pivot_observations", "ts:t r2:d4 r5:d4 r10:d4 r30:d4", f"WITH {WIDE_SQL} SELECT * FROM wide")
+@query("pivot_observations", "ts:t " + " ".join(f"{k}:d4" for k in LEVELS), f"WITH {WIDE_SQL} SELECT * FROM wide")
 def pivot_observations(spark, sf_dir):
     return wide_levels(spark, sf_dir).withColumnRenamed("available_time_utc", "ts")
 
@@ -242,28 +246,28 @@ def _frame(n):
 
 @query(
     "features_volatility_index",
-    "ts:t r2_level:d4 r2_daily_change:d4 r2_percentile_252d:d r2_high_regime:d r5_minus_r2:d4 r10_minus_r2:d4 r30_level:d4",
+    "ts:t r2_level:d4 r2_daily_change:d4 r2_percentile_252d:d r2_high_regime:d r5_minus_r2:d4 r10_minus_r2:d4 r20_minus_r2:d4 r30_level:d4",
     f"""WITH {WIDE_SQL}, x AS (SELECT *, row_number() OVER w AS i, r2 - lag(r2) OVER w AS r2_daily_change,
       CASE WHEN count(r2) OVER {_frame(60)} >= 20 THEN quantile_cont(r2, 0.5) OVER {_frame(60)} END AS med FROM wide {W}),
     k AS (SELECT a.i, count(b.r2) AS n, count(*) FILTER (WHERE b.r2 < a.r2) AS lt, count(*) FILTER (WHERE b.r2 = a.r2) AS eq
           FROM x a JOIN x b ON b.i BETWEEN a.i - 251 AND a.i GROUP BY 1)
     SELECT ts, r2 AS r2_level, r2_daily_change, CASE WHEN r2 IS NOT NULL AND n >= 60 THEN (lt + (eq + 1) / 2.0) / n END AS r2_percentile_252d,
-      CASE WHEN r2 > med THEN 1 ELSE 0 END AS r2_high_regime, r5 - r2 AS r5_minus_r2, r10 - r2 AS r10_minus_r2, r30 AS r30_level
+      CASE WHEN r2 > med THEN 1 ELSE 0 END AS r2_high_regime, r5 - r2 AS r5_minus_r2, r10 - r2 AS r10_minus_r2, r20 - r2 AS r20_minus_r2, r30 AS r30_level
     FROM x JOIN k USING (i)""",
 )
 def features_volatility_index(spark, sf_dir):
-    made = ef.volatility_features(wide_levels(spark, sf_dir), index="r2", terms=["r5", "r10"], extra=["r30"])
+    made = ef.volatility_features(wide_levels(spark, sf_dir), index="r2", terms=["r5", "r10", "r20"], extra=["r30"])
     return made.withColumnRenamed("available_time_utc", "ts")
 
 
-MOVES_SQL = f"""{OBSERVATIONS_SQL}, series AS (
-  SELECT instrument_or_event_id AS symbol, available_time_utc AS ts, value FROM observations WHERE revision_id = 'initial'),
+MOVES_SQL = f"""{PUBLISHED_SQL}, series AS (
+  SELECT instrument_or_event_id AS symbol, available_time_utc AS ts, value FROM published),
 m0 AS (SELECT *, value / lag(value) OVER w - 1 AS return_1, value / lag(value, 4) OVER w - 1 AS return_4 FROM series {W}),
 moves AS (SELECT *, {roll('stddev_samp', 'return_1', 16)} AS volatility_16 FROM m0)"""
 
 
 def instrument_moves(spark, sf_dir):
-    return ef.instrument_moves(observations(spark, sf_dir).where(F.col("revision_id") == "initial"))
+    return ef.instrument_moves(observations(spark, sf_dir))
 
 
 @query(
@@ -275,7 +279,7 @@ def features_market_moves(spark, sf_dir):
     return instrument_moves(spark, sf_dir).withColumnsRenamed({"instrument_or_event_id": "symbol", "available_time_utc": "ts"})
 
 
-MARKETS = {"1-URGENT": "urgent", "5-LOW": "low"}
+MARKETS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
 
 
 def _market_side(name, short):
@@ -294,7 +298,7 @@ def _market_side(name, short):
         f"{s}.m.return_1 AS market_{s}_return_1, {s}.m.return_4 AS market_{s}_return_4, {s}.m.volatility_16 AS market_{s}_volatility_16, {s}.m.ts AS market_{s}_source_ts"
         for s in MARKETS.values()
     )
-    + " FROM urgent JOIN low USING (prediction_ts)",
+    + " FROM urgent " + " ".join(f"JOIN {s} USING (prediction_ts)" for s in [*MARKETS.values()][1:]),
 )
 def features_market_context(spark, sf_dir):
     times = table(spark, sf_dir, "lineitem").select((F.col("l_shipdate") + F.expr("INTERVAL 15 MINUTES")).alias("prediction_ts")).distinct()

@@ -9,7 +9,7 @@ from candlework.operators import ecdf as ed
 from candlework.operators import permute as pm
 from candlework.operators import price_features as pf
 from candlework.operators import trades as tr
-from candlework.operators.asof import asof_join
+from candlework.operators.asof import Source, asof_join, asof_many
 from candlework.operators.series import over_series, rolling, running_sum, time_cell, with_row_index
 
 
@@ -67,8 +67,8 @@ def test_running_sum_and_maximum(spark, walk):
     assert np.allclose(got["peak"], walk.groupby("symbol")["close"].cummax())
 
 
-@pytest.mark.parametrize("cell", [600, 86400])
-def test_asof_matches_merge_asof(spark, cell):
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_asof_matches_merge_asof(spark, partitions):
     rng = np.random.default_rng(1)
     t0 = pd.Timestamp("2024-01-01")
     src = pd.DataFrame({"at": t0 + pd.to_timedelta(np.sort(rng.integers(0, 200_000, 80)), unit="s"), "v": rng.normal(size=80)})
@@ -79,12 +79,37 @@ def test_asof_matches_merge_asof(spark, cell):
     left = left.sort_values("t")
     want = pd.merge_asof(left, src, left_on="t", right_on="at", tolerance=pd.Timedelta(seconds=3000))
     right = spark.createDataFrame(src).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    got = asof_join(spark.createDataFrame(left), right, left_time="t", right_time="at", max_age_seconds=3000, cell_seconds=cell)
+    got = asof_join(spark.createDataFrame(left), right, left_time="t", right_time="at", max_age_seconds=3000, partitions=partitions)
     got = got.toPandas().sort_values("t").reset_index(drop=True)
     pd.testing.assert_series_equal(got["v"].astype(float), want["v"], check_names=False)
     assert (got["source_ts"].fillna(t0) == want["at"].fillna(t0)).all()
 
 
+def test_asof_rejects_bad_prediction_times(spark):
+    at = F.timestamp_seconds(F.floor(F.col("id") / 2) * 60)
+    left, right = spark.range(6).select(at.alias("t")), spark.range(3).select(F.timestamp_seconds("id").alias("at"), F.col("id").alias("v"))
+    join = lambda df: asof_join(df, right, left_time="t", right_time="at", max_age_seconds=None, strict=True)
+    with pytest.raises(ValueError, match="3 prediction times"):
+        join(left)
+    with pytest.raises(TypeError, match="UTC"):
+        join(left.distinct().withColumn("t", F.col("t").cast("timestamp_ntz")))
+    assert join(left.distinct()).count() == 3
+
+
+def test_asof_splits_a_heavy_moment_and_reads_shared_frames_once(spark):
+    moment = F.timestamp_seconds(F.lit(1_000_000))
+    left = spark.range(4000).select(F.col("id").alias("row"), moment.alias("t"))
+    moves = spark.range(3000).select(F.timestamp_seconds(F.lit(999_000) + F.col("id") % 1000).alias("at"), (F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    sources = [Source(moves, "at", None, order=("v",), prefix=f"s{k}_", source_time=f"s{k}_at", age=f"s{k}_age", only=F.col("k") == k, without=("k",)) for k in range(3)]
+    got = asof_many(left, sources, left_time="t", partitions=8)
+    want = {k: max((999_000 + i % 1000, i) for i in range(3000) if i % 3 == k)[1] for k in range(3)}
+    assert [tuple(r) for r in got.select("s0_v", "s1_v", "s2_v").distinct().collect()] == [tuple(want[k] for k in range(3))]
+    assert got.count() == 4000
+    (stored,) = {x.split("/stage-")[0] + "/stage-" + x.split("/stage-")[1].split("/")[0] for x in got.inputFiles()}
+    sizes = [r["count"] for r in spark.read.parquet(stored).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+
+
 def test_asof_revision_only_after_publication(spark):
     rows = [("2024-01-01", "initial", 1.0), ("2024-01-05", "revision_1", 2.0)]
     src = spark.createDataFrame(rows, "d string, revision string, v double").select(F.col("d").cast("timestamp").alias("at"), "revision", "v")
