@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FORBIDDEN_NAME_PARTS, SIDECAR_REQUIRED
+from .asof import asof_join
+from .series import time_cell, with_row_index
 from .splits import SPLITS
 from .staging import stage
 
 PRICES = ("open", "high", "low", "close")
+#: Probe windows that are sent to every task at most.
+BROADCAST_WINDOWS = 100_000
 
 
 class ContractError(ValueError):
@@ -150,38 +154,77 @@ def judge_sidecars(sidecars: DataFrame, requests: DataFrame) -> DataFrame:
     return sidecars.join(r, "symbol").select("symbol", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+def window_counts(series: DataFrame, windows: DataFrame, *, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """(keys, window_id, lo, hi, rows): rows of every series in every closed window, however many windows there are.
+
+    A window's rows are the series' row number at its end less that before its start.  Row numbers come from the index
+    of the series and are looked up as of both moments in one as-of pass, so rows are never paired with windows.  The
+    result has a row per series and window, empty ones too.
+    """
+    cells = [time_cell(ts)]
+    numbered = with_row_index(series.select(*keys, ts), keys, [ts], cells, index="_number").withColumnRenamed(ts, "_seen_ts")
+    asked = series.select(*keys).distinct().join(F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows, how="cross")
+    edges = F.array(F.struct(F.lit(0).alias("end"), (F.col("lo") - F.expr("INTERVAL 1 MICROSECOND")).alias("t")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("t")))
+    left = asked.select(*keys, "window_id", "lo", "hi", F.explode(edges).alias("_e")).select(*keys, "window_id", "lo", "hi", F.col("_e.end").alias("_end"), F.col("_e.t").alias("_at"))
+    met = asof_join(left, numbered, by=list(keys), left_time="_at", right_time="_seen_ts", max_age_seconds=None, order=["_number"])
+    upto = F.coalesce(F.col("_number") + 1, F.lit(0))
+    return met.groupBy(*keys, "window_id", "lo", "hi").agg(F.sum(F.when(F.col("_end") == 1, upto).otherwise(-upto)).alias("rows"))
+
+
 def history_probe(series: DataFrame, windows: DataFrame, *, endpoint: Column, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Has a series rows in every probe window and does it reach the endpoint?
+    """Has a series rows in every probe window (window_id, lo, hi) and does it reach the endpoint?
 
-    ``windows`` is a small list (window_id, lo, hi); every row is tested against
-    it in place, so the series is aggregated once and never joined.
+    The reason names the first empty window by start, then id.
     """
-    probes = [(r["window_id"], r["lo"], r["hi"]) for r in windows.collect()]
-    t = F.col(ts)
-    seen = series.groupBy(*keys).agg(
-        F.max(ts).alias("last_ts"), *[F.count_if(t.between(F.lit(lo), F.lit(hi))).alias(f"w_{w}") for w, lo, hi in probes]
-    )
-    empty = F.filter(F.array(*[F.when(F.col(f"w_{w}") == 0, F.lit(w)) for w, _, _ in probes]), lambda x: x.isNotNull())
-    reason = F.when(F.size(empty) > 0, F.concat(F.lit("no_rows_in_"), empty[0].cast("string"))).when(F.col("last_ts") < endpoint, "ends_early")
-    return seen.select(*keys, *[f"w_{w}" for w, _, _ in probes], reason.isNull().alias("accepted"), reason.alias("reason"))
+    counts = window_counts(series, windows, keys=keys, ts=ts)
+    first = F.min_by("window_id", F.struct("lo", "window_id"))
+    empty = counts.where("rows = 0").groupBy(*keys).agg(first.alias("_empty"))
+    last = series.groupBy(*keys).agg(F.max(ts).alias("last_ts"))
+    reason = F.when(F.col("_empty").isNotNull(), F.concat(F.lit("no_rows_in_"), F.col("_empty").cast("string"))).when(F.col("last_ts") < endpoint, "ends_early")
+    return last.join(empty, list(keys), "left").select(*keys, reason.isNull().alias("accepted"), reason.alias("reason"))
+
 
+def exposed_rows(holdout: DataFrame, lineage: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """(report_id, read_rows, exposed_rows): how many rows of a sealed holdout earlier reports have read.
 
-def holdout_rules(metadata: DataFrame, *, columns: Sequence[str], exposed_rows: int = 0) -> DataFrame:
-    """One row per eligibility rule of a sealed holdout."""
+    ``lineage`` has a row per report and row key that it read.  Keys are counted once per report, however often they
+    were read; keys that are in no holdout are what a report may read.
+    """
+    read = lineage.select("report_id", *keys).distinct()
+    sealed = holdout.select(*keys).distinct().withColumn("_sealed", F.lit(1))
+    return read.join(sealed, list(keys), "left").groupBy("report_id").agg(F.count(F.lit(1)).alias("read_rows"), F.count("_sealed").alias("exposed_rows"))
+
+
+def holdout_rules(metadata: DataFrame, *, columns: Sequence[str], exposure: DataFrame | None = None) -> DataFrame:
+    """One row per eligibility rule of a sealed holdout; ``exposure`` is what ``exposed_rows`` found."""
     wide = metadata.agg(
         *[F.max(F.when(F.col("split") == s, F.col("last_ts"))).alias(f"{s}_last") for s in SPLITS],
         *[F.min(F.when(F.col("split") == s, F.col("first_ts"))).alias(f"{s}_first") for s in SPLITS],
     )
+    seen = exposure.agg(F.coalesce(F.sum("exposed_rows"), F.lit(0)).alias("_seen")).first()["_seen"] if exposure is not None else 0
     rules = {
         "holdout_after_validation": F.col("test_first") > F.col("validation_last"),
         "train_before_validation": F.col("train_last") < F.col("validation_first"),
-        "holdout_not_exposed": F.lit(exposed_rows == 0),
+        "holdout_not_exposed": F.lit(seen == 0),
         "no_forbidden_columns": F.lit(not forbidden_names(columns)),
     }
     parts = F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("passed")) for n, v in rules.items()])
     return wide.select(F.explode(parts).alias("_r")).select("_r.*")
 
 
+def assert_boundary(df: DataFrame, *, ts: str = "ts", until: Column | None = None, since: Column | None = None) -> DataFrame:
+    """``df``, or an error if any of its rows lies outside the allowed range or has no time."""
+    outside = F.col(ts).isNull()
+    if until is not None:
+        outside = outside | (F.col(ts) > until)
+    if since is not None:
+        outside = outside | (F.col(ts) < since)
+    found = df.where(outside).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")).first()
+    if found["n"]:
+        raise ValueError(f"{found['n']} rows outside the sealed range, from {found['first']} to {found['last']}")
+    return df
+
+
 def missing_keys(required: DataFrame, available: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``required`` without a partner: empty when the alignment is complete."""
     return required.join(available, list(keys), "left_anti")

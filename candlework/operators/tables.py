@@ -290,9 +290,12 @@ def importance_summary(importances: DataFrame, *, folds: Sequence[int]) -> DataF
         F.max("importance").alias("importance_max"),
         F.avg("rank").alias("rank_mean"),
         F.stddev_samp("rank").alias("rank_std"),
+        F.min("rank").alias("rank_min"),
+        F.max("rank").alias("rank_max"),
+        *[F.max(F.when(F.col("fold") == f, F.col("importance"))).alias(f"fold_{f}") for f in folds],
+        *[F.max(F.when(F.col("fold") == f, F.col("rank"))).alias(f"fold_{f}_rank") for f in folds],
     )
-    by_fold = ranked.groupBy("feature").pivot("fold", list(folds)).agg(F.max("importance"))
-    return stats.join(by_fold.withColumnsRenamed({str(f): f"fold_{f}" for f in folds}), "feature")
+    return stats
 
 
 def top_rows(df: DataFrame, metric: str, k: int, *, keys: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:

@@ -194,10 +194,7 @@ def features_volume(spark, sf_dir):
     return features(spark, sf_dir, "volume")
 
 
-@query(
-    "features_all",
-    KEY + " ".join(f"{f}:l" if f in pf.SESSION_FEATURES else f"{f}:d4" if f in ("rsi", "macd", "macd_signal", "macd_hist", "ema_12", "ema_26", "atr", "atr_pct") else f"{f}:d" for f in pf.FEATURES),
-    f"""WITH RECURSIVE {NUMBERED}, {ewm_sql('numbered', 'gain', '(1.0::DOUBLE / 14)', adjust=True, out='g')}, {ewm_sql('numbered', 'loss', '(1.0::DOUBLE / 14)', adjust=True, out='l')},
+FEATURES_ALL_SQL = f"""WITH RECURSIVE {NUMBERED}, {ewm_sql('numbered', 'gain', '(1.0::DOUBLE / 14)', adjust=True, out='g')}, {ewm_sql('numbered', 'loss', '(1.0::DOUBLE / 14)', adjust=True, out='l')},
     {ewm_sql('numbered', 'tr', '(1.0::DOUBLE / 14)', adjust=True, out='a')}, {ewm_sql('numbered', 'close', '(2.0::DOUBLE / 13)', adjust=False, out='f')}, {ewm_sql('numbered', 'close', '(2.0::DOUBLE / 27)', adjust=False, out='s')},
     m AS (SELECT f.symbol, f.i, f.y - s.y AS macd FROM f JOIN s USING (symbol, i)), {ewm_sql('m', 'macd', '(2.0::DOUBLE / 10)', adjust=False, out='sig')},
     base AS (SELECT n.*, CASE WHEN n.i < 14 OR l.num = 0 THEN 50 ELSE 100 - 100 / (1 + (g.num / g.den) / (l.num / l.den)) END AS rsi, macd, sig.y AS macd_signal, macd - sig.y AS macd_hist, f.y AS ema_12, s.y AS ema_26,
@@ -209,7 +206,13 @@ def features_volume(spark, sf_dir):
       {', '.join(f"close / sma_{n} AS price_to_sma_{n}" for n in pf.SMA_PERIODS)}, atr / close AS atr_pct, {roll('stddev_samp', 'returns', 5)} AS volatility_5, {roll('stddev_samp', 'returns', 20)} AS volatility_20,
       volume / nullif(volume_sma, 0) AS volume_ratio, sum(step) OVER w AS obv, abs(close - open) / open AS body_size, (high - greatest(open, close)) / open AS upper_shadow, (least(open, close) - low) / open AS lower_shadow,
       isodow(ts) - 1 AS day_of_week, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend, hour(ts) AS hour_of_day, 1 AS is_market_open, CASE WHEN hour(ts) <= 7 THEN 1 ELSE 0 END AS is_asia_session,
-      CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN 1 ELSE 0 END AS is_london_session, CASE WHEN hour(ts) BETWEEN 13 AND 20 THEN 1 ELSE 0 END AS is_new_york_session FROM w1 {W}""",
+      CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN 1 ELSE 0 END AS is_london_session, CASE WHEN hour(ts) BETWEEN 13 AND 20 THEN 1 ELSE 0 END AS is_new_york_session FROM w1 {W}"""
+
+
+@query(
+    "features_all",
+    KEY + " ".join(f"{f}:l" if f in pf.SESSION_FEATURES else f"{f}:d4" if f in ("rsi", "macd", "macd_signal", "macd_hist", "ema_12", "ema_26", "atr", "atr_pct") else f"{f}:d" for f in pf.FEATURES),
+    FEATURES_ALL_SQL,
 )
 def features_all(spark, sf_dir):
     """All 42 features in one blocked pass."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import labels as lb
+from ..operators import linear as ln
 from ..operators import metrics as mt
 from ..operators import models as ml
 from ..operators import permute as pm
@@ -14,18 +15,45 @@ from ..operators import price_features as pf
 from ..operators import splits as sp
 from ..operators import tables as tb
 from ..operators.staging import stage, staging_dir
-from .inputs import bars
+from .inputs import bars, bars_sql
+from .q_features import FEATURES_ALL_SQL
 from .registry import query
 
-FEATURES = ["returns", "returns_5", "high_low_ratio", "close_open_ratio", "bb_width", "bb_pct", "price_to_sma_10", "atr_pct", "volatility_5", "volume_ratio"]
-NORMALIZED = FEATURES[:6]
-SMALL = {"trees": 5, "depth": 3, "step": 0.2}
+FEATURES = list(pf.FEATURES)
+NORMALIZED = list(pf.NORMALIZED_FEATURES)
+#: Trees of a class model; the full size (500 trees) takes the times named in the README.
+SMALL = {"trees": 20, "depth": 6, "step": 0.2}
+FOLDS = 5
+#: Feature subsets of the fold comparison; no features is the training majority.
+TREATMENTS = {
+    "all": FEATURES,
+    "majority": [],
+    "session_only": list(pf.SESSION_FEATURES),
+    "normalized_only": NORMALIZED,
+    "without_session": [f for f in FEATURES if f not in pf.SESSION_FEATURES],
+    "without_normalized": [f for f in FEATURES if f not in NORMALIZED],
+    "without_price_levels": [*NORMALIZED, *pf.SESSION_FEATURES],
+}
 
+_MADE: dict[tuple, object] = {}
 
+
+def once(make):
+    """``make(spark, sf_dir)``, kept for the session: several queries read the same stored table or model."""
+
+    def get(spark, sf_dir):
+        key = (make.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _MADE:
+            _MADE[key] = make(spark, sf_dir)
+        return _MADE[key]
+
+    return get
+
+
+@once
 def dataset(spark, sf_dir):
-    """Stored, labelled and split feature table (features, target, split)."""
-    families = ("returns", "bands", "averages", "atr", "volatility", "volume")
-    rows = pf.price_features(bars(spark, sf_dir), families=families, ahead=5, extra=lambda df, w: df.withColumn("target", lb.forward_atr_column(w)))
+    """Stored, labelled and split feature table (all features, target, split)."""
+    rows = pf.price_features(bars(spark, sf_dir), ahead=5, extra=lambda df, w: df.withColumn("target", lb.forward_atr_column(w)))
     kept = pf.complete_rows(rows.select("symbol", "ts", *FEATURES, "target"), FEATURES)
     return stage(sp.chronological_split(stage(kept)).withColumn("up", (F.col("target") == 1).cast("int")))
 
@@ -35,6 +63,7 @@ def parts(spark, sf_dir):
     return rows.where("split = 'train'"), rows.where("split = 'validation'")
 
 
+@once
 def scored(spark, sf_dir):
     train, validation = parts(spark, sf_dir)
     model = ml.fit_classes(train, FEATURES, **SMALL)
@@ -64,8 +93,8 @@ def model_three_views(spark, sf_dir):
 @query("model_early_stopping", "trees_kept:l trees_allowed:l")
 def model_early_stopping(spark, sf_dir):
     rows = dataset(spark, sf_dir).where("split <> 'test'").withColumn("is_validation", F.col("split") == "validation")
-    model = ml.fit_classes(rows, FEATURES, classes=(1,), trees=20, depth=3, step=0.3, validation="is_validation", patience=0.01)
-    return spark.createDataFrame([(model.models[1].getNumTrees, 20)], "trees_kept long, trees_allowed long")
+    model = ml.fit_classes(rows, FEATURES, classes=(1,), trees=60, depth=6, step=0.3, validation="is_validation", patience=0.01)
+    return spark.createDataFrame([(model.models[1].getNumTrees, 60)], "trees_kept long, trees_allowed long")
 
 
 @query("model_asymmetric_pair", "split:s actual_directional_rows:l buy_dominates_rate:d neither_dominates_rate:d probability_correlation:d")
@@ -81,7 +110,7 @@ def model_asymmetric_pair(spark, sf_dir):
 @query("model_small_network", "rows:l accuracy:d roc_auc:d brier_score:d")
 def model_small_network(spark, sf_dir):
     train, validation = (x.where("target < 2") for x in parts(spark, sf_dir))
-    model = ml.fit_binary(train, FEATURES, label="up", estimator=ml.small_network(FEATURES, hidden=(8, 4), rounds=15))
+    model = ml.fit_binary(train, FEATURES, label="up", estimator=ml.small_network(FEATURES))
     return mt.binary_metrics(ml.binary_score(model, validation, label="up"), actual="up", score="score")
 
 
@@ -94,20 +123,68 @@ def model_reload(spark, sf_dir):
 
 @query("model_single_features", "feature:s accuracy:d roc_auc:d")
 def model_single_features(spark, sf_dir):
+    """A model per feature, all 42 fitted together on the training rows and scored on the validation rows."""
     train, validation = parts(spark, sf_dir)
-    return ml.single_feature_models(train, validation, FEATURES[:4], label="up")
+    fits = ln.single_feature_fits(train, FEATURES, label="up")
+    return mt.binary_metrics(stage(ln.single_feature_scores(fits, validation, FEATURES, label="up")), actual="y", score="score", keys=["feature"])
+
+
+def _newton_sql(steps):
+    """Unrolled Newton steps over the long table of features, as CTEs that end in ``fit``."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, y FROM labelled WHERE {f} IS NOT NULL" for f in FEATURES)
+    out = [
+        f"long AS ({long})",
+        "sized AS (SELECT feature, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std FROM long GROUP BY 1)",
+        "z AS (SELECT feature, y, CASE WHEN std > 0 THEN (x - mean) / std ELSE 0 END AS z FROM long JOIN sized USING (feature))",
+        "b0 AS (SELECT feature, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM sized)",
+    ]
+    for k in range(steps):
+        out += [
+            f"p{k} AS (SELECT feature, b0, b1, z, y, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM z JOIN b{k} USING (feature))",
+            f"s{k} AS (SELECT feature, b0, b1, sum(y - p) AS g0, sum((y - p) * z) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01, sum(p * (1 - p) * z * z) AS h11 FROM p{k} GROUP BY 1, 2, 3)",
+            f"d{k} AS (SELECT *, h00 * h11 - h01 * h01 AS det FROM s{k})",
+            f"b{k + 1} AS (SELECT feature, CASE WHEN det > 1e-12 * h00 * h00 THEN b0 + (h11 * g0 - h01 * g1) / det ELSE b0 + g0 / h00 END AS b0, CASE WHEN det > 1e-12 * h00 * h00 THEN b1 + (h00 * g1 - h01 * g0) / det ELSE b1 END AS b1 FROM d{k})",
+        ]
+    return ", ".join([*out, f"fit AS (SELECT feature, n AS rows, b0 AS intercept, b1 AS slope, 1 AS flat FROM b{steps} JOIN sized USING (feature))"])
+
+
+@query(
+    "model_single_feature_fits",
+    "feature:s rows:l intercept:d4 slope:d4 flat:l",
+    FEATURES_ALL_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE all_features AS (WITH RECURSIVE ", 1)
+    + "), labelled AS (SELECT *, CAST(coalesce((close - low) / nullif(high - low, 0) > 0.5, false) AS INT) AS y FROM all_features), "
+    + _newton_sql(14)
+    + " SELECT * FROM fit",
+)
+def model_single_feature_fits(spark, sf_dir):
+    """Coefficients of all 42 one-feature models of a bar that closes high; the mean gradient must be zero there."""
+    rows = pf.price_features(bars(spark, sf_dir), extra=lambda df, w: df.withColumn("y", F.coalesce((F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) > 0.5, F.lit(False)).cast("int")))
+    fits = ln.single_feature_fits(rows.select(*FEATURES, "y"), FEATURES, label="y")
+    return fits.withColumn("flat", (F.col("gradient") <= 1e-9).cast("int"))
 
 
 @query("model_ablation_folds", "treatment:s metric:s mean:d std:d min:d max:d folds:l")
 def model_ablation_folds(spark, sf_dir):
-    """Walk-forward comparison of feature subsets."""
-    rows = dataset(spark, sf_dir).drop("bar_index", "n_rows").where("split = 'train'").withColumn("series", F.lit("ALL"))
-    from ..operators.series import time_cell, with_row_index
-
-    indexed = with_row_index(rows, ["series"], ["ts", "symbol"], [time_cell("ts")], total="n_rows")
-    folds = stage(sp.walk_forward(indexed, n_splits=3))
-    metrics = ml.treatment_folds(folds, {"all": FEATURES, "normalized": NORMALIZED}, label="up", n_folds=3)
-    return mt.fold_summary(metrics)
+    """Walk-forward comparison of feature subsets: all folds and subsets from one pass over the rows."""
+    rows = _numbered(dataset(spark, sf_dir).drop("bar_index", "n_rows").where("split = 'train'"))
+    return mt.fold_summary(ln.fold_ablation(rows, TREATMENTS, label="up", n_splits=FOLDS))
+
+
+@query(
+    "model_fold_baselines",
+    "treatment:s fold:l accuracy:d brier_score:d",
+    f"""WITH {bars_sql()}, r AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n, CAST(high - greatest(open, close) > least(open, close) - low AS INT) AS y, close / open AS x FROM bars),
+    s AS (SELECT *, CAST(greatest(0, 6 - ceil((n - i) / CAST(n // 6 AS DOUBLE))) AS BIGINT) AS segment FROM r),
+    f AS (SELECT fold, avg(y) AS share, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM s, range(1, 6) AS t(fold) WHERE segment < fold GROUP BY 1),
+    p AS (SELECT 'majority' AS treatment, fold, y, share AS score FROM s JOIN f ON fold = segment UNION ALL SELECT 'bar_return', fold, y, greatest(0, least(1, intercept + slope * x)) FROM s JOIN f ON fold = segment)
+    SELECT treatment, fold, avg(CAST(CAST(score >= 0.5 AS INT) = y AS INT)) AS accuracy, avg((score - y) * (score - y)) AS brier_score FROM p GROUP BY 1, 2""",
+)
+def model_fold_baselines(spark, sf_dir):
+    """Five folds of the majority and of a one-feature score."""
+    b = bars(spark, sf_dir).select("symbol", "ts", (F.col("close") / F.col("open")).alias("bar_return"), (F.col("high") - F.greatest("open", "close") > F.least("open", "close") - F.col("low")).cast("int").alias("y"))
+    found = ln.fold_ablation(_numbered(b), {"majority": [], "bar_return": ["bar_return"]}, label="y", n_splits=FOLDS)
+    wide = found.where("metric IN ('accuracy', 'brier_score')").groupBy("treatment", "fold").pivot("metric", ["accuracy", "brier_score"]).agg(F.max("value"))
+    return wide
 
 
 @query("model_column_permutation", "observed:d iterations:l random_mean:d random_std:d one_sided_p_value:d")
@@ -115,7 +192,7 @@ def model_column_permutation(spark, sf_dir):
     train, validation = parts(spark, sf_dir)
     model = ml.fit_binary(train, FEATURES, label="up")
     rows = stage(validation.select("symbol", "ts", *FEATURES, "up"))
-    observed, null = ml.column_permutation_auc(model, rows, ["atr_pct", "volatility_5", "volume_ratio"], label="up", row_key=["symbol", "ts"], permutations=9)
+    observed, null = ml.column_permutation_auc(model, rows, ["atr_pct", "volatility_5", "volume_ratio"], label="up", row_key=["symbol", "ts"], permutations=199)
     return pm.null_summary(observed, null, keys=[], sample=True)
 
 
@@ -128,16 +205,16 @@ def model_shuffled_target_control(spark, sf_dir):
     return mt.binary_metrics(ml.binary_score(model, validation, label="up"), actual="up", score="score")
 
 
-@query("model_importance_by_fold", "feature:s importance_mean:d importance_std:d rank_mean:d fold_1:d fold_2:d")
+@query("model_importance_by_fold", "feature:s importance_mean:d importance_std:d rank_mean:d rank_min:l rank_max:l " + " ".join(f"fold_{k}:d fold_{k}_rank:l" for k in range(1, FOLDS + 1)))
 def model_importance_by_fold(spark, sf_dir):
     train, _ = parts(spark, sf_dir)
-    folds = stage(sp.walk_forward(train.drop("bar_index", "n_rows").transform(_numbered), n_splits=2))
+    folds = stage(sp.walk_forward(train.drop("bar_index", "n_rows").transform(_numbered), n_splits=FOLDS))
     rows = []
-    for fold in (1, 2):
+    for fold in range(1, FOLDS + 1):
         fitted = ml.fit_classes(folds.where(f"fold = {fold} AND role = 'train'"), FEATURES, classes=(1,), **SMALL)
         rows += [(fold, f, v) for f, v in fitted.importances(FEATURES)]
     table = spark.createDataFrame(rows, "fold int, feature string, importance double")
-    return tb.importance_summary(table, folds=(1, 2))
+    return tb.importance_summary(table, folds=tuple(range(1, FOLDS + 1)))
 
 
 def _numbered(df):

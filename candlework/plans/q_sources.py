@@ -282,7 +282,7 @@ def scan_sealed_train_validation(spark, sf_dir):
     """Only two columns and only the allowed range leave the file scan."""
     until = F.lit("1999-06-30").cast("timestamp_ntz")
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rows = rd.sealed_scan(raw, columns=["l_shipdate", "l_quantity"], until=until, ts="l_shipdate")
+    rows = ql.assert_boundary(rd.sealed_scan(raw, columns=["l_shipdate", "l_quantity"], until=until, ts="l_shipdate"), ts="l_shipdate", until=until)
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.min("l_shipdate").alias("first_ts"), F.max("l_shipdate").alias("last_ts"), F.sum("l_quantity").alias("quantity_total"))
 
 
@@ -311,17 +311,60 @@ PROBES = [("w1", "1995-01-01", "1995-01-10"), ("w2", "1998-03-01", "1998-03-03")
 )
 def probe_history(spark, sf_dir):
     windows = spark.createDataFrame(PROBES, "window_id string, lo string, hi string").withColumns({c: F.col(c).cast("timestamp") for c in ("lo", "hi")})
-    return ql.history_probe(daily_bars(spark, sf_dir), windows, endpoint=F.lit("2001-07-31").cast("timestamp"))
+    daily = stage(daily_bars(spark, sf_dir).select("symbol", "ts"))
+    counts = ql.window_counts(daily, windows).groupBy("symbol").pivot("window_id", [w for w, _, _ in PROBES]).agg(F.max("rows"))
+    judged = ql.history_probe(daily, windows, endpoint=F.lit("2001-07-31").cast("timestamp"))
+    return judged.join(counts.withColumnsRenamed({w: f"w_{w}" for w, _, _ in PROBES}), "symbol")
+
+
+@query(
+    "probe_many_windows",
+    "symbol:s window_id:l rows:l",
+    f"""WITH {DAILY_SQL}, w AS (SELECT i AS window_id, TIMESTAMP '1992-01-01' + to_hours(CAST(i * 7 AS INTEGER)) AS lo, TIMESTAMP '1992-01-01' + to_hours(CAST(i * 7 + i % 900 AS INTEGER)) AS hi FROM range(10000) AS r(i))
+    SELECT d.symbol, window_id, count(*) FILTER (WHERE d.ts BETWEEN lo AND hi) AS rows FROM daily d, w GROUP BY 1, 2""",
+)
+def probe_many_windows(spark, sf_dir):
+    """Ten thousand overlapping windows of up to 900 hours."""
+    hours = lambda c: F.timestamp_seconds(F.unix_timestamp(F.lit("1992-01-01").cast("timestamp")) + c * 3600)
+    windows = spark.range(10_000).select(F.col("id").alias("window_id"), hours(F.col("id") * 7).alias("lo"), hours(F.col("id") * 7 + F.col("id") % 900).alias("hi"))
+    return ql.window_counts(stage(daily_bars(spark, sf_dir).select("symbol", "ts")), windows)
+
+
+LINEAGE_SQL = """lineage AS (
+  SELECT 'features' AS report_id, l_orderkey, l_linenumber FROM split_rows WHERE split <> 'test' UNION ALL
+  SELECT 'tuning', l_orderkey, l_linenumber FROM split_rows WHERE split = 'validation' OR (split = 'test' AND l_orderkey % 97 = 0) UNION ALL
+  SELECT 'tuning', l_orderkey, l_linenumber FROM split_rows WHERE split = 'validation')"""
+
+
+def lineage(rows):
+    """What two earlier reports read; the second has looked at some rows of the holdout, and at others twice."""
+    read = lambda name, where: rows.where(where).select(F.lit(name).alias("report_id"), "l_orderkey", "l_linenumber")
+    return read("features", "split <> 'test'").unionByName(read("tuning", "split = 'validation' OR (split = 'test' AND l_orderkey % 97 = 0)")).unionByName(read("tuning", "split = 'validation'"))
+
+
+@query(
+    "audit_exposed_rows",
+    "report_id:s read_rows:l exposed_rows:l",
+    f"WITH {SCORED_SPLIT_SQL}, {LINEAGE_SQL} SELECT report_id, count(DISTINCT (l_orderkey, l_linenumber)) AS read_rows, count(DISTINCT (l_orderkey, l_linenumber)) FILTER (WHERE split = 'test') AS exposed_rows FROM lineage JOIN split_rows USING (l_orderkey, l_linenumber) GROUP BY 1",
+)
+def audit_exposed_rows(spark, sf_dir):
+    rows = stage(scored_split(spark, sf_dir).select("l_orderkey", "l_linenumber", "split"))
+    return ql.exposed_rows(rows.where("split = 'test'"), lineage(rows), keys=["l_orderkey", "l_linenumber"])
 
 
 @query(
     "audit_holdout_rules",
     "rule:s passed:l",
-    f"""WITH {SCORED_SPLIT_SQL}, b AS (SELECT max(ts) FILTER (WHERE split = 'train') AS tl, min(ts) FILTER (WHERE split = 'validation') AS vf, max(ts) FILTER (WHERE split = 'validation') AS vl, min(ts) FILTER (WHERE split = 'test') AS sf FROM split_rows)
-    SELECT 'holdout_after_validation' AS rule, CAST(sf > vl AS INT) AS passed FROM b UNION ALL SELECT 'train_before_validation', CAST(tl < vf AS INT) FROM b UNION ALL SELECT 'holdout_not_exposed', 1 FROM b UNION ALL SELECT 'no_forbidden_columns', 1 FROM b""",
+    f"""WITH {SCORED_SPLIT_SQL}, {LINEAGE_SQL}, b AS (SELECT max(ts) FILTER (WHERE split = 'train') AS tl, min(ts) FILTER (WHERE split = 'validation') AS vf, max(ts) FILTER (WHERE split = 'validation') AS vl, min(ts) FILTER (WHERE split = 'test') AS sf FROM split_rows),
+    e AS (SELECT count(*) AS n FROM lineage JOIN split_rows USING (l_orderkey, l_linenumber) WHERE split = 'test')
+    SELECT 'holdout_after_validation' AS rule, CAST(sf > vl AS INT) AS passed FROM b UNION ALL SELECT 'train_before_validation', CAST(tl < vf AS INT) FROM b UNION ALL SELECT 'holdout_not_exposed', CAST(n = 0 AS INT) FROM e UNION ALL SELECT 'no_forbidden_columns', 1 FROM b""",
 )
 def audit_holdout_rules(spark, sf_dir):
-    return ql.holdout_rules(split_metadata(scored_split(spark, sf_dir)), columns=["quantity", "discount"])
+    """The planted exposure breaks its rule; the others hold."""
+    rows = stage(scored_split(spark, sf_dir))
+    keys = ["l_orderkey", "l_linenumber"]
+    exposure = ql.exposed_rows(rows.where("split = 'test'"), lineage(rows), keys=keys)
+    return ql.holdout_rules(split_metadata(rows), columns=["quantity", "discount"], exposure=exposure)
 
 
 @query(
