@@ -10,14 +10,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.operators.staging import stage, staging_dir
+from candlework.operators.staging import stage, staging_dir, unstage
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 BATCH_ROWS = 1000
 
-__all__ = ["BYTE_TOKENIZER", "PIECE_MODEL", "WORD_TOKENIZER", "arrow_schema", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path"]
+__all__ = ["BYTE_TOKENIZER", "PIECE_MODEL", "WORD_TOKENIZER", "arrow_schema", "documents", "kept", "mounted_dir", "stage", "table", "text_or_empty", "tokenizer_path", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

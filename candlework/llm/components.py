@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.common import stage
+from candlework.llm.common import stage, unstage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,12 +21,16 @@ def components(links: DataFrame) -> DataFrame:
         parent = stage(both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("a AS node", "least(a, b) AS up"))
         while True:
             top = parent.selectExpr("node AS up", "up AS higher")
-            parent = stage(parent.join(top, "up").selectExpr("node", "higher AS up", "higher < up AS moved"))
+            higher = stage(parent.join(top, "up").selectExpr("node", "higher AS up", "higher < up AS moved"))
+            unstage(parent)
+            parent = higher
             if parent.where("moved").isEmpty():
                 break
-            parent = parent.drop("moved")
         roots = parent.selectExpr("node AS label", "up")
-        labels = stage(labels.join(roots, "label", "left").selectExpr("node", "coalesce(up, label) AS label"))
+        placed = stage(labels.join(roots, "label", "left").selectExpr("node", "coalesce(up, label) AS label"))
         left, right = parent.selectExpr("node AS a", "up AS x"), parent.selectExpr("node AS b", "up AS y")
-        edges = stage(edges.join(left, "a").join(right, "b").where("x <> y").selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct())
+        open_edges = stage(edges.join(left, "a").join(right, "b").where("x <> y").selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct())
+        unstage(labels, parent, edges)
+        labels, edges = placed, open_edges
+    unstage(edges)
     return labels

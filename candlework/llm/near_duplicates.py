@@ -6,20 +6,23 @@ rank [0, R), [R, 2R), [2R, 4R) ..., each with a hashed Poisson number of darts,
 k (ln k + 3) of them, not one per shingle and coordinate.  The earliest dart below a shingle's weight in each
 of k coordinates is the signature; two texts agree in a coordinate with the probability of their weighted Jaccard
 similarity.  Bands of the signature bring texts together.  In each band bucket texts are checked (exactly, on their
-shingles) against one text first, then, where several classes are left, against the text that shares most with
-others; what stays apart is checked pair by pair, unless the weight of shingles that no other text has rules a link
-out.  So no link between texts of a bucket is lost, and a bucket of one class costs no pairs.  At similarity 0.8 a
-pair meets in no band with a probability of 8 in a million.
+shingles) against one text first, then, where several classes are left, against ``HEADS`` texts of the bucket, those
+that share most with others and then others, round after round, as long as that links many; what stays apart is
+checked pair by pair, each pair once.  Exact bounds rule pairs out before: what a text shares with any other, and the
+bits in which parities of the shingles differ.  So no link between texts of a bucket is lost, a bucket of one class
+costs no pairs, and a large group of alike texts a few pairs per text.  At similarity 0.8 a pair meets in no band with a probability of 8 in a million.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import in_small_batches, stage, text_or_empty
+from candlework.llm.common import in_small_batches, stage, text_or_empty, unstage
 from candlework.llm.components import components
 from candlework.llm.shingles import mix, shingles, weighted, word_hashes
 
@@ -30,6 +33,9 @@ FIRST_RANK = 2.0**-10
 SKETCH_BITS = 34
 #: Ids of texts that are sent to every task at most (8 bytes each).
 WANTED_ROWS = 500_000
+#: Texts of a bucket that all its others are compared with in a round; the share of open texts that a round must link to be
+#: followed by another one; 64-bit words of a parity.
+HEADS, WORTH_A_ROUND, PARITY_WORDS = 8, 0.02, 16
 SIGNATURE = "doc_id long, name string, bands array<long>, sketch1 long, sketch2 long, weight long"
 
 
@@ -143,9 +149,7 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, simil
     if near.isEmpty():
         return near
     wanted = stage(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct())
-    if wanted.count() <= WANTED_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = stage(texts.join(wanted, "rep", "left_semi"))
+    picked = stage(texts.join(F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted, "rep", "left_semi"))
 
     def compare(batches):
         import pyarrow as pa
@@ -163,8 +167,10 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, simil
             keep = pa.array(shared >= similarity * (total - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
-    return stage(near.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"))
+    left, right = picked.select(F.col("rep").alias("a"), F.col("text").alias("left")), picked.select(F.col("rep").alias("b"), F.col("text").alias("right"))
+    links = stage(near.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"))
+    unstage(near, wanted, picked)
+    return links
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -180,6 +186,16 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, r
     named = signed.where("doc_id IS NOT NULL").groupBy("name")
     one = F.min_by(F.struct("bands", "sketch1", "sketch2", "weight"), "doc_id").alias("s")
     reps = stage(named.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), one).select("name", "rep", "n_copies", "s.*"))
+    owned = stage(signed.select("doc_id", "name"))
+    unstage(signed)
+    label = linked_classes(docs, reps, similarity, docs_repeat(owned)).withColumnRenamed("node", "rep")
+    classes = stage(reps.select("name", "rep", "n_copies").join(label, "rep", "left").selectExpr("name", "coalesce(label, rep) AS class_id", "n_copies"))
+    unstage(reps)
+    return owned.join(classes, "name", "left").select("doc_id", "class_id", F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def linked_classes(docs: DataFrame, reps: DataFrame, similarity: float, repeated: bool) -> DataFrame:
+    """(node, label) of the texts that are linked to any other; ``reps`` has a row per distinct text."""
     sketches = reps.select("rep", "sketch1", "sketch2", "weight")
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).where("n > 1")
@@ -187,35 +203,95 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, r
     met = stage(hits.select("rep").distinct())
     few = met.count() <= WANTED_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(F.broadcast(met) if few else met, "rep", "left_semi")
-    texts = stage(texts.dropDuplicates(["rep"]) if docs_repeat(signed) else texts)
+    texts = stage(texts.dropDuplicates(["rep"]) if repeated else texts)
     # First every text of a bucket against the bucket's smallest id.
-    pairs = stage(hits.where("rep <> head").selectExpr("head AS a", "rep AS b").distinct())
-    links = similar_pairs(pairs, sketches, texts, similarity)
+    tested = stage(hits.where("rep <> head").selectExpr("head AS a", "rep AS b").distinct())
+    links = similar_pairs(tested, sketches, texts, similarity)
     label = components(links)
-    tested = pairs
-    # Then, in buckets that hold several classes yet, against the text that shares most with others.
+    # Then, in buckets that hold several classes yet, against more of their texts.
     open_rows = stage(several_classes(hits.select("bucket", "rep"), label))
+    unstage(hits, met)
     if not open_rows.isEmpty():
         apart = unshared_weight(texts.join(open_rows.select("rep").distinct(), "rep", "left_semi"))
         weighed = open_rows.join(apart, "rep", "left").join(reps.select("rep", "weight"), "rep").withColumn("shared", F.expr("weight - coalesce(apart, 0)"))
         # What a text shares with others bounds its similarity to any of them; without enough of it, it links nothing.
-        open_rows = stage(weighed.where(F.col("shared") >= similarity * F.col("weight")).select("bucket", "rep", "weight", "shared"))
-        centres = open_rows.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("shared") / F.col("weight"), "rep")).alias("head"))
-        pairs = open_rows.join(centres, "bucket").selectExpr("least(rep, head) AS a", "greatest(rep, head) AS b").where("a <> b").distinct()
-        pairs = stage(across(pairs, label).join(tested, ["a", "b"], "left_anti"))
-        links, tested = links.union(similar_pairs(pairs, sketches, texts, similarity)), tested.union(pairs)
-        label = components(links)
-        # Last, what is in different classes still, pair by pair.
-        left = stage(several_classes(open_rows, label))
-        other = left.selectExpr("bucket", "rep AS b", "label AS label_b", "weight AS weight_b", "shared AS shared_b")
-        both = left.join(other, "bucket").where("rep < b AND label <> label_b")
-        both = both.where(F.least("shared", "shared_b") >= similarity / (1 + similarity) * (F.col("weight") + F.col("weight_b")))
-        pairs = stage(both.selectExpr("rep AS a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        able = stage(weighed.where(F.col("shared") >= similarity * F.col("weight")).select("bucket", "rep", "weight", "shared"))
+        unstage(open_rows)
+        left = stage(several_classes(able, label))
+        unstage(able)
+        marked = stage(left.drop("label").join(parities(texts.join(left.select("rep").distinct(), "rep", "left_semi")), "rep"))
+        texts_open, turn, news = marked.select("rep").distinct().count(), 0, None
+        while news is None or news > texts_open * WORTH_A_ROUND:
+            first = F.desc(F.col("shared") / F.col("weight")) if turn == 0 else F.xxhash64(F.lit(turn), "rep")
+            placed = several_classes(marked, label)
+            chosen = placed.withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy(first, "rep"))).where(F.col("_k") <= HEADS)
+            pairs = may_link(placed, chosen, similarity).selectExpr("least(rep, rep_b) AS a", "greatest(rep, rep_b) AS b").distinct()
+            pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"))
+            found = similar_pairs(pairs, sketches, texts, similarity)
+            news, turn = found.count(), turn + 1
+            more_links, more_tested = stage(links.union(found)), stage(tested.union(pairs))
+            unstage(links, tested, found, pairs, label)
+            links, tested = more_links, more_tested
+            label = components(links)
+        # Last, what is in different classes still, pair by pair, in the first bucket that both are in.
+        bands = reps.select("rep", F.array_sort("bands").alias("bands"))
+        rest = stage(several_classes(marked, label).join(bands, "rep"))
+        unstage(left, marked)
+        left = rest
+        both = may_link(left, left, similarity, (F.col("rep") < F.col("rep_b")) & (F.array_min(F.array_intersect("bands", "bands_b")) == F.col("bucket")))
+        pairs = stage(both.selectExpr("rep AS a", "rep_b AS b").join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            label = components(links.union(similar_pairs(pairs, sketches, texts, similarity)))
-    label = label.withColumnRenamed("node", "rep")
-    classes = reps.select("name", "rep", "n_copies").join(label, "rep", "left").selectExpr("name", "coalesce(label, rep) AS class_id", "n_copies")
-    return signed.select("doc_id", "name").join(classes, "name", "left").select("doc_id", "class_id", F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+            found = similar_pairs(pairs, sketches, texts, similarity)
+            every = stage(links.union(found))
+            unstage(label, found)
+            label = components(every)
+            unstage(every)
+        unstage(left, pairs)
+    else:
+        unstage(open_rows)
+    unstage(texts, tested, links)
+    return label
+
+
+def may_link(one: DataFrame, two: DataFrame, similarity: float, *others) -> DataFrame:
+    """Pairs (rep, rep_b) of a bucket in different classes that no exact bound rules out.
+
+    Two texts that are alike differ in at most a (1 - s) / (1 + s) part of their joint weight, and in at least as many
+    shingles as bits differ in their parities; they share no more than what either shares with anyone.
+    """
+    other = two.withColumnsRenamed({c: f"{c}_b" for c in two.columns})
+    joint = F.col("weight") + F.col("weight_b")
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, PARITY_WORDS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
+    able = [
+        F.col("bucket") == F.col("bucket_b"),
+        F.col("label") != F.col("label_b"),
+        F.least("weight", "weight_b") >= similarity * F.greatest("weight", "weight_b"),
+        F.least("shared", "shared_b") >= similarity / (1 + similarity) * joint,
+        differ <= (1 - similarity) / (1 + similarity) * joint + 1e-9,
+        *others,
+    ]
+    return one.join(other, reduce(lambda a, b: a & b, able))
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """(rep, p0, p1, ...): the parity of the shingles, repeated ones as often as they come, that fall on each of 1,024 bits."""
+    bits = 64 * PARITY_WORDS
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, size_bytes=2 << 20):
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                text, ids, weights = weighted(*shingles(*word_hashes(part.column("text"))))
+                first = np.repeat(np.cumsum(weights) - weights, weights)
+                copy = (np.arange(len(first)) - first).astype(np.uint64)
+                bit = (mix(np.repeat(ids, weights) + copy * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
+                odd = np.bincount(np.repeat(text, weights) * bits + bit, minlength=part.num_rows * bits).astype(np.uint8) & 1
+                words = np.packbits(odd.reshape(part.num_rows, bits), axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column("rep"), *[pa.array(words[:, k].copy()) for k in range(PARITY_WORDS)]], names=["rep", *[f"p{k}" for k in range(PARITY_WORDS)]])
+
+    return texts.select("rep", "text").mapInArrow(rows, ", ".join(["rep long", *[f"p{k} long" for k in range(PARITY_WORDS)]]))
 
 
 def several_classes(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -244,18 +320,14 @@ def docs_repeat(signed: DataFrame) -> bool:
     return not signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose sides have different labels."""
-    first, second = label.selectExpr("node AS a", "label AS x"), label.selectExpr("node AS b", "label AS y")
-    return pairs.join(first, "a", "left").join(second, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-
-
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, that of the smallest doc_id; rows without an id stay."""
     classes = stage(near_duplicate_classes(docs, **options))
     dropped = stage(classes.where("doc_id <> class_id").select("doc_id").distinct())
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if not docs_repeat(classes):
+    repeated = docs_repeat(classes)
+    unstage(classes)
+    if not repeated:
         return kept
     named, unnamed = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
     return named.dropDuplicates(["doc_id"]).unionByName(unnamed)

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlework.llm.bpe import slices
-from candlework.llm.common import in_small_batches, stage, text_or_empty
+from candlework.llm.common import in_small_batches, stage, text_or_empty, unstage
 from candlework.llm.shingles import BASE, INVERSE, mix, powers, text_bytes
+from candlework.operators.staging import collecting
 
 LENGTH, GRAM = 400, 16
 WINDOW = LENGTH - GRAM + 1
@@ -217,6 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = GROU
     told = kinds.join(open_anchors, "anchor", "left").where("n > 1 OR kinds IS NOT NULL")
     marked = found.join(told, ["anchor", "around"])
     marked = stage(marked.select(*KEY, "place", "anchor", "before", "after", "kinds", (F.col("n") == 1).alias("single"), (F.col("kinds").isNotNull() & (row == F.col("one"))).alias("needed")))
+    unstage(found, kinds)
     places = marked.where("needed").groupBy(*KEY).agg(F.collect_set(F.struct("place", "anchor", "kinds", "single")).alias("places"))
     texts = docs.select(*KEY, "text").join(places, KEY)
 
@@ -312,7 +314,10 @@ def keys() -> list:
 def with_spans(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
     """The rows of ``docs`` with the column ``_spans`` of repeated spans, null where there are none."""
     keyed = in_small_batches(docs).select(*keys(), text_or_empty().alias("text"))
-    listed = repeated_spans(keyed, length, group_rows).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    with collecting() as made:
+        spans = repeated_spans(keyed, length, group_rows)
+    listed = stage(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("_spans")))
+    unstage(*made)
     listed = listed.withColumnsRenamed({"doc_key": "_doc_key", "text_hash": "_text_hash"})
     doc_key, text_hash = keys()
     named = docs.withColumns({"_own_key": doc_key, "_own_hash": text_hash})

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions, one after another, on a table of planted cases."""
 
 import hashlib
+import random
 
 import brute
 import numpy as np
@@ -23,7 +24,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     first = brute.classes(sorted({k for k in kept if k[0] is not None}))
     kept = [(i, t) for i, t in dict(kept).items() if i is None or first[i] == i]
     raws = []
-    for (i, t), (n, gone, _, _) in zip(kept, brute.cut([t for _, t in kept], 400)):
+    for (i, t), (n, gone, _, _) in zip(kept, brute.cut([t for _, t in kept], corpus_pipeline.PASSAGE_BYTES)):
         if gone < n:
             raws.append((i, t, gone))
     cut = {i: gone for i, _, gone in raws}
@@ -38,3 +39,27 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
         if not cut[i]:
             assert r["ids"] == library.encode(texts[i], add_special_tokens=False).ids
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_planted_passages_go(spark):
+    """Passages of 51 to 200 words that two or more documents share are cut, what stands around them is not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (51, 52, 60, 75, 120, 200) for _ in range(4)]
+    rows = [(10 * k + j, f"{text(80)} {p} {text(90)}") for k, p in enumerate(passages) for j in range(2 + k % 3)]
+    rows += [(1000 + k, text(200)) for k in range(60)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for doc_id, before in rows:
+        if doc_id >= 1000:
+            assert got[doc_id] == before
+        else:
+            passage = passages[doc_id // 10]
+            assert passage not in got[doc_id] and len(got[doc_id]) <= len(before) - len(passage)
+            assert len(got[doc_id]) >= len(before) - len(passage) - 40
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    for name, schema in (("documents", cases.SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
