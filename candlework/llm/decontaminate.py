@@ -5,7 +5,8 @@ only the seeds that look at it.  Every position of every text is hashed under ev
 seeds of the benchmark.  A hit names a diagonal (place in the text minus place in the item); on it the stretch of the highest score
 (+1 a matching word, -4 a substituted one) through the hit is taken, and it is an overlap if it has enough matching words.
 With ``share``, a diagonal without such a stretch is an overlap too, from its first matching word to its last, if that
-share of the item matches on it, or all words but one of an item of 8 to 12 words, whose halves are seeds as well.
+share of the item (of 8 words or more) matches on it.  Items of up to 20 words, of which a few changes spoil every seed
+of seven words, have seeds of four words as well.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ MASKS = ("110100110101", "111010001011", "101101011001")
 SPAN = 12
 #: Matching words an overlap needs (all the words of a shorter item), and the cost of a substitution.
 MIN_WORDS, PENALTY = 12, 4
-#: Per cent of the words of an item (of more than MIN_WORDS) that make an overlap wherever on one diagonal they match;
-#: the fewest words of a short item in which one may differ.
+#: Per cent of the words of an item that make an overlap wherever on one diagonal they match, and the fewest words of such an item.
 SHARE, ONE_OFF = 70, 8
+#: Items of up to so many words have seeds of four words under these masks as well.
+FEW_WORDS, FEW_MASKS = 20, ("1111", "110011", "10110001", "1001000101")
+#: Hits times places that are looked at together.
+PAIRS = 1 << 21
 #: Words of a piece of a long item, and the words that neighbouring pieces share.
 PIECE, SHARED = 2048, 128
 #: Benchmark words that are looked up at once.
@@ -75,16 +79,16 @@ class Seeds:
                     keys.append(got)
                     pieces.append(np.full(len(got), p))
                     places.append(np.arange(len(got)))
-        halves = set()
-        for p, (a, b) in enumerate(zip(self.first, self.last)):
-            if share and ONE_OFF <= b - a <= MIN_WORDS:
-                middle = (a + b) // 2
-                for x, y in ((a, middle), (middle, b)):
-                    keys.append(seed_hashes(hashes[x:y], list(range(y - x)), 200 + y - x))
-                    pieces.append(np.full(1, p))
-                    places.append(np.full(1, x - a))
-                    halves.add(y - x)
-        self.shapes += [(200 + n, list(range(n)), n) for n in sorted(halves)]
+        few = [(200 + k, [o for o, c in enumerate(m) if c == "1"], len(m)) for k, m in enumerate(FEW_MASKS)]
+        short = [p for p, (a, b) in enumerate(zip(self.first, self.last)) if share and ONE_OFF <= b - a <= FEW_WORDS]
+        for p in short:
+            a, b = self.first[p], self.last[p]
+            for salt, offsets, span in few:
+                got = seed_hashes(hashes[a:b], offsets, salt)
+                keys.append(got)
+                pieces.append(np.full(len(got), p))
+                places.append(np.arange(len(got)))
+        self.shapes += few if short else []
         none = [np.zeros(0, np.uint64)]
         self.keys = np.concatenate(keys or none)
         order = np.argsort(self.keys, kind="stable")
@@ -103,8 +107,29 @@ class Seeds:
         best: dict[tuple[int, int], tuple] = {}
         if not len(self.keys) or not len(hashes):
             return []
-        unique = self.keys[np.concatenate([[True], self.keys[1:] != self.keys[:-1]])]
-        tried = set()
+        for t, piece, diagonal in self.diagonals(words, hashes):
+            size = self.last[piece] - self.first[piece]
+            least = min(MIN_WORDS, size)
+            found = self.stretch(hashes, int(words[t]), int(words[t + 1]), piece, diagonal)
+            if self.share and found[3] < least and size >= ONE_OFF:
+                least = self.share * size / 100
+                found = self.spread(hashes, int(words[t]), int(words[t + 1]), piece, diagonal)
+            if found[3] >= least:
+                key = (t, self.item[piece])
+                best[key] = max(best.get(key, ()), (found[3], found[2], -found[0], -found[1]))
+        return [(t, item, -d, -i, n, m) for (t, item), (m, n, d, i) in best.items()]
+
+    def diagonals(self, words: np.ndarray, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """Each (text, piece, place in the texts minus place in the piece) with a hit, once.
+
+        Hits are paired with the places of their seed in parts of bounded size, and a part is reduced to its different
+        diagonals, so periodic texts, whose seeds hit everywhere, cost their diagonals and no list of their hits.
+        """
+        import pandas as pd
+
+        unique, first, count = np.unique(self.keys, return_index=True, return_counts=True)
+        wide = np.int64(len(hashes) + PIECE + 1)
+        found: list[np.ndarray] = []
         for salt, offsets, span in self.shapes:
             got = seed_hashes(hashes, offsets, salt)
             at = np.searchsorted(unique, got)
@@ -112,47 +137,43 @@ class Seeds:
             hit = np.flatnonzero(unique[at] == got)
             text = np.searchsorted(words, hit, "right") - 1
             inside = hit + span <= words[text + 1]
-            for p, t in zip(hit[inside].tolist(), text[inside].tolist()):
-                a, b = np.searchsorted(self.keys, got[p], "left"), np.searchsorted(self.keys, got[p], "right")
-                for piece, place in zip(self.piece[a:b].tolist(), self.place[a:b].tolist()):
-                    if (t, piece, p - place) in tried:
-                        continue
-                    found = self.stretch(hashes, int(words[t]), int(words[t + 1]), p, piece, place)
-                    if found is None or found[4] > 0:
-                        tried.add((t, piece, p - place))
-                    size = self.last[piece] - self.first[piece]
-                    least = min(MIN_WORDS, size)
-                    if self.share and found and found[3] < least and size >= ONE_OFF:
-                        least = size - 1 if size <= MIN_WORDS else self.share * size / 100
-                        found = self.spread(hashes, int(words[t]), int(words[t + 1]), p, piece, place)
-                    if found and found[3] >= least:
-                        key = (t, self.item[piece])
-                        best[key] = max(best.get(key, ()), (found[3], found[2], -found[0], -found[1]))
-        return [(t, item, -d, -i, n, m) for (t, item), (m, n, d, i) in best.items()]
-
-    def spread(self, hashes: np.ndarray, a: int, b: int, p: int, piece: int, place: int):
-        """The diagonal through a hit from its first matching word to its last."""
-        first, last = self.first[piece], self.last[piece]
-        low, high = -min(place, p - a), min(last - first - place, b - p)
-        same = np.flatnonzero(hashes[p + low : p + high] == self.hashes[first + place + low : first + place + high])
-        if not len(same):
-            return None
-        left, right = int(same[0]), int(same[-1]) + 1
-        return p + low + left - a, self.base[piece] + place + low + left, right - left, len(same)
-
-    def stretch(self, hashes, a: int, b: int, p: int, piece: int, place: int):
-        """The best-scoring stretch of the diagonal through a hit, and whether it is the best of the whole diagonal."""
-        first, last = self.first[piece], self.last[piece]
-        low = -min(place, p - a)
-        high = min(last - first - place, b - p)
-        same = hashes[p + low : p + high] == self.hashes[first + place + low : first + place + high]
+            hit, text = hit[inside], text[inside]
+            slot = at[hit]
+            upto = np.cumsum(count[slot])
+            low = 0
+            while low < len(hit):
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, "right")))
+                n = count[slot[low:high]]
+                entry = np.repeat(first[slot[low:high]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                owner = np.repeat(text[low:high], n) * len(self.item) + self.piece[entry]
+                found.append(pd.unique(owner * wide + (np.repeat(hit[low:high], n) - self.place[entry] + PIECE)))
+                if len(found) > 8:
+                    found = [pd.unique(np.concatenate(found))]
+                low = high
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        owner, diagonal = codes // wide, codes % wide - PIECE
+        return list(zip((owner // len(self.item)).tolist(), (owner % len(self.item)).tolist(), diagonal.tolist()))
+
+    def same(self, hashes: np.ndarray, a: int, b: int, piece: int, diagonal: int) -> tuple[int, np.ndarray]:
+        """First word of the piece that a text's words from ``a`` to ``b`` have a partner for, and which words are equal from there on."""
+        first, size = self.first[piece], self.last[piece] - self.first[piece]
+        low, high = max(0, a - diagonal), min(size, b - diagonal)
+        return low, hashes[diagonal + low : diagonal + high] == self.hashes[first + low : first + high]
+
+    def spread(self, hashes: np.ndarray, a: int, b: int, piece: int, diagonal: int) -> tuple[int, int, int, int]:
+        """A diagonal from its first matching word to its last."""
+        low, same = self.same(hashes, a, b, piece, diagonal)
+        at = np.flatnonzero(same)
+        left, right = int(at[0]), int(at[-1]) + 1
+        return diagonal + low + left - a, self.base[piece] + low + left, right - left, len(at)
+
+    def stretch(self, hashes: np.ndarray, a: int, b: int, piece: int, diagonal: int) -> tuple[int, int, int, int]:
+        """The best-scoring stretch of a diagonal, the first of equals."""
+        low, same = self.same(hashes, a, b, piece, diagonal)
         score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-        seat = -low
-        left = int(np.argmin(score[: seat + 1]))
-        right = seat + int(np.argmax(score[seat:]))
-        matched = int(same[left:right].sum())
-        whole = bool(score[right] - score[left] >= (score - np.minimum.accumulate(score)).max())
-        return p + low + left - a, self.base[piece] + place + low + left, right - left, matched, int(whole)
+        right = int(np.argmax(score - np.minimum.accumulate(score)))
+        left = int(np.argmin(score[: right + 1]))
+        return diagonal + low + left - a, self.base[piece] + low + left, right - left, int(same[left:right].sum())
 
 
 def benchmark_slices(benchmark: DataFrame, slice_words: int = SLICE_WORDS, share: int | None = None):

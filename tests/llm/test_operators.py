@@ -349,6 +349,23 @@ def test_planted_substitutions_are_found():
         assert got >= least, (length, rate, got)
 
 
+def test_short_items_are_found_at_fifteen_per_cent():
+    for length in (10, 12, 15, 20):
+        got = planted_copies(length, lambda rng: [p for p in range(length) if rng.random() < 0.15], random.Random(2))  # noqa: B023
+        assert got >= 0.9, (length, got)
+
+
+@pytest.mark.parametrize("pairs", [decontaminate.PAIRS, 1000])
+def test_periodic_texts_cost_their_diagonals(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    seeds = decontaminate.Seeds([(1, " ".join(["buy", "now"] * 100)), (2, "one two three four five six seven eight nine ten eleven twelve")], share=decontaminate.SHARE)
+    texts = pa.array([" ".join(["buy", "now"] * 1500), "a b c", "one two three four five six seven eight nine other eleven twelve"])
+    words, hashes = decontaminate.word_hashes(texts, lower=True)
+    met = seeds.diagonals(words, hashes)
+    assert len(met) == len(set(met)) <= 3000 + 200 + 24
+    assert sorted(seeds.overlaps(texts)) == [(0, 1, 0, 0, 200, 200), (2, 2, 0, 0, 12, 11)]
+
+
 def test_scores_equal_plain_kneser_ney(docs, rows, empty):
     got = kneser_ney.score_documents(docs).collect()
     want = brute.kneser_ney(rows, kneser_ney.discounts)
