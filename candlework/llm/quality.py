@@ -2,10 +2,11 @@
 
 Base counts and five scores are computed per document.  A score rejects a document above a cutoff.  Each cutoff is
 chosen per stratum (language) from labelled documents: a fixed grid is walked from lax to strict for as long as the
-exact binomial test refutes a false rejection rate of ``ALPHA`` or more.  The tests of one score and stratum form a
+exact binomial test refutes a false rejection rate of ``ALPHA`` or more.  ``ALPHA`` is an equal part of ``RISK``, the
+rate at which all scores together may reject good documents of a stratum.  The tests of one score and stratum form a
 fixed sequence, and the level ``DELTA`` is divided by the number of scores times strata, so with probability
-1 - DELTA no score rejects more than ``ALPHA`` of the good documents of any stratum, whichever of the cutoffs that
-passed is taken.  The one taken rejects the most bad documents, a good one counting ``GOOD_COSTS`` times against it;
+1 - DELTA no score rejects more than ``ALPHA`` of the good documents of any stratum, and all scores together no more than
+``RISK``, whichever of the cutoffs that passed is taken.  The one taken rejects the most bad documents, a good one counting ``GOOD_COSTS`` times against it;
 of equals the laxest.  A stratum with fewer than ln(DELTA / tests) / ln(1 - ALPHA) good labels that pass the base
 rule gets no cutoff (297 for 20 tests): there even no false rejection at all proves nothing.  Only DataFrame functions
 are used.
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 
 from candlework.llm.common import stage
 
-#: Highest rate of good documents that one score may reject in a stratum, and the chance that any cutoff breaks it.
-#: The rate sets how many labels a stratum needs: 0.2 % would take 2,993 good ones for 20 tests, 1 % 597, 2 % 297.
-ALPHA, DELTA = 0.02, 0.05
+#: Highest rate of good documents that the rules may reject in a stratum, and the chance that any stratum breaks it.
+RISK, DELTA = 0.10, 0.05
 GOOD_COSTS = 10
 MIN_WORDS = 50
 
@@ -33,6 +33,8 @@ SCORES = {
     "long_words": ("1000 * _q_chars div greatest(_q_words, 1)", 250, 80),
     "short_words": ("20000 - 1000 * _q_chars div greatest(_q_words, 1)", 250, 80),
 }
+#: Each score's part of the risk.  It sets how many labels a stratum needs: at 2 % 297 good ones for 20 tests, at 1 % 597.
+ALPHA = RISK / len(SCORES)
 
 
 def features(docs: DataFrame) -> DataFrame:
