@@ -16,6 +16,7 @@ from ..functions.scalar import direction_score
 from . import ecdf as ed
 from .labels import CLASS_NAMES
 from .series import same
+from .staging import stage
 
 CLASSES = (0, 1, 2)
 
@@ -102,14 +103,14 @@ def classification_report(df: DataFrame, *, keys: Sequence[str] = (), actual: st
     return melt(wide.select(*keys, *[v.alias(k) for k, v in made.items()]), list(made), keys=keys)
 
 
-def score_table(df: DataFrame, positive: Column, score: str, *, keys: Sequence[str] = (), cells: int = 32) -> DataFrame:
-    """Distribution rows of a score with groups ``pos`` and ``neg``."""
-    cut = ed.value_cells(df, [score], cells)[score][0]
-    rows = df.select(*keys, F.col(score).alias("value"), positive.alias("_pos"), cut.alias("cell"))
+def score_table(df: DataFrame, positive: Column, score: str, *, keys: Sequence[str] = (), cells: int | None = None) -> DataFrame:
+    """Distribution rows of a score with groups ``pos`` and ``neg``; the scores are stored once."""
+    rows = stage(df.select(*keys, F.col(score).alias("value"), positive.alias("_pos")))
+    rows = rows.withColumn("cell", ed.value_cells(rows, ["value"], cells)["value"][0])
     return ed.ecdf(rows, {"pos": F.col("_pos"), "neg": ~F.col("_pos")}, keys=list(keys))
 
 
-def ranking_metrics(df: DataFrame, positive: Column, score: str, *, keys: Sequence[str] = (), cells: int = 32) -> DataFrame:
+def ranking_metrics(df: DataFrame, positive: Column, score: str, *, keys: Sequence[str] = (), cells: int | None = None) -> DataFrame:
     """ROC-AUC and average precision per key (NULL when a class is missing)."""
     table = score_table(df, positive, score, keys=keys, cells=cells)
     both = (F.max("t_pos") > 0) & (F.max("t_neg") > 0)
@@ -118,7 +119,7 @@ def ranking_metrics(df: DataFrame, positive: Column, score: str, *, keys: Sequen
     )
 
 
-def one_vs_rest_auc(df: DataFrame, scores: dict[int, str], *, target: str = "target", cells: int = 32) -> DataFrame:
+def one_vs_rest_auc(df: DataFrame, scores: dict[int, str], *, target: str = "target", cells: int | None = None) -> DataFrame:
     """AUC of every class score against the rest, and their mean."""
     names = list(scores.values())
     label = F.create_map(*[x for k, n in scores.items() for x in (F.lit(n), F.lit(k))])
@@ -129,7 +130,7 @@ def one_vs_rest_auc(df: DataFrame, scores: dict[int, str], *, target: str = "tar
     return per.unionByName(mean)
 
 
-def binary_metrics(df: DataFrame, *, actual: str, score: str, threshold: float = 0.5, keys: Sequence[str] = (), cells: int = 32) -> DataFrame:
+def binary_metrics(df: DataFrame, *, actual: str, score: str, threshold: float = 0.5, keys: Sequence[str] = (), cells: int | None = None) -> DataFrame:
     """Threshold metrics, Brier, log loss, score spread, ROC-AUC and average precision."""
     y, p = F.col(actual), F.col(score)
     hat = (p >= threshold).cast("int")
@@ -187,7 +188,7 @@ def uniform_bins(score: str, n: int = 10, *, right_closed: bool = True) -> Colum
     return bins.bin_left_closed(F.col(score), edges, list(range(n)), include_highest=True)
 
 
-def quantile_calibration(df: DataFrame, *, actual: str, score: str, n: int = 10, keys: Sequence[str] = (), cells: int = 32) -> DataFrame:
+def quantile_calibration(df: DataFrame, *, actual: str, score: str, n: int = 10, keys: Sequence[str] = (), cells: int | None = None) -> DataFrame:
     """Calibration in equal-frequency bins with exact quantile edges (right-closed)."""
     from .tables import exact_quantiles
 

@@ -97,7 +97,7 @@ def session_memberships(ts: str = "ts") -> Column:
     return F.concat(F.array(_entry("utc_hour", h)), F.transform(named, lambda x: _entry("session", x)))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, keep: Column | None = None, keys: Sequence[str] = (), cells: int = 32, cuts: dict | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, keep: Column | None = None, keys: Sequence[str] = (), cells: int | None = None, cuts: dict | None = None) -> DataFrame:
     """(keys, feature, edges): exact quantiles of the kept rows per column."""
     cuts = cuts or ed.value_cells(df, columns, cells)
     rows = df if keep is None else df.where(keep)
@@ -105,7 +105,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return table.groupBy(*keys, "feature").agg(F.array(*[ed.quantile("g", p) for p in probs]).alias("edges"))
 
 
-def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str], *, cells: int = 32, cuts: dict | None = None) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str], *, cells: int | None = None, cuts: dict | None = None) -> DataFrame:
     """Exact medians of several columns per key, without holding a group in memory."""
     long = exact_quantiles(df, columns, [0.5], keys=keys, cells=cells, cuts=cuts)
     return long.groupBy(*keys).pivot("feature", list(columns)).agg(F.max(F.col("edges")[0])).withColumnsRenamed(
@@ -153,7 +153,7 @@ def regime_table(df: DataFrame, *, ts: str = "ts", target: str = "target", split
     return same(stats, medians(long, ["close", "returns"], keys, cuts=cuts), keys, "left")
 
 
-def rank_bins(df: DataFrame, columns: Sequence[str], q: int, *, tie_order: Sequence[str], keep: Sequence[str], ts: str = "ts", cells: int = 32) -> DataFrame:
+def rank_bins(df: DataFrame, columns: Sequence[str], q: int, *, tie_order: Sequence[str], keep: Sequence[str], ts: str = "ts", cells: int | None = None) -> DataFrame:
     """Long (keep, feature, value, bin): equal-frequency bins of ranks, ties by ``tie_order``.
 
     A value that fills more than one cell's share of the rows is ranked in time

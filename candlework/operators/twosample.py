@@ -36,8 +36,8 @@ def moments(df: DataFrame, features: Sequence[str], groups: dict[str, Column]) -
     return wide.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
-def _table(df: DataFrame, features: Sequence[str], groups: dict[str, Column], keep: Sequence[str], cells: int) -> DataFrame:
-    """Stored distribution rows: several statistics are read off them."""
+def _table(df: DataFrame, features: Sequence[str], groups: dict[str, Column], keep: Sequence[str], cells: int | None) -> DataFrame:
+    """Stored distribution rows: several statistics are read off them.  ``df`` is read twice and should be stored."""
     long = ed.unpivot(df, features, keep=keep, cells=ed.value_cells(df, features, cells))
     return stage(ed.ecdf(long, groups))
 
@@ -64,7 +64,7 @@ def stability_index(table: DataFrame, a: str, b: str) -> DataFrame:
     return summed.select("feature", F.when(F.col("_d") < 2, flat).otherwise(F.col("_psi")).alias("psi"))
 
 
-def drift_table(df: DataFrame, features: Sequence[str], *, split: str = "split", cells: int = 32, family=None) -> DataFrame:
+def drift_table(df: DataFrame, features: Sequence[str], *, split: str = "split", cells: int | None = None, family=None) -> DataFrame:
     """KS, PSI, Wasserstein, means and deviations of validation against train."""
     rows = df.where(F.col(split).isin("train", "validation"))
     groups = {s: F.col(split) == s for s in ("train", "validation")}
@@ -134,7 +134,7 @@ def mutual_information(table: DataFrame, groups: Sequence[str]) -> DataFrame:
 CLASS_GROUPS = {"sell": 0, "buy": 1, "none": 2}
 
 
-def class_separability(df: DataFrame, features: Sequence[str], *, target: str = "target", cells: int = 32) -> DataFrame:
+def class_separability(df: DataFrame, features: Sequence[str], *, target: str = "target", cells: int | None = None) -> DataFrame:
     """Per feature: mutual information, SMD and AUC of buy against sell and against none."""
     groups = {g: F.col(target) == k for g, k in CLASS_GROUPS.items()}
     rows = df.where(F.col(target).isin(0, 1, 2))
@@ -154,7 +154,7 @@ def class_separability(df: DataFrame, features: Sequence[str], *, target: str =
 PAIRS = (("buy", "none", "BUY_vs_NO_TRADE"), ("sell", "none", "SELL_vs_NO_TRADE"), ("buy", "sell", "BUY_vs_SELL"))
 
 
-def pairwise_separation(df: DataFrame, features: Sequence[str], *, splits: Sequence[str] = ("train", "validation"), split: str = "split", target: str = "target", cells: int = 32) -> DataFrame:
+def pairwise_separation(df: DataFrame, features: Sequence[str], *, splits: Sequence[str] = ("train", "validation"), split: str = "split", target: str = "target", cells: int | None = None) -> DataFrame:
     """KS and robust median effect for every feature, class pair and split.
 
     All classes of all splits are counted in one distribution table.

@@ -11,7 +11,8 @@ from ..operators import price_features as pf
 from ..operators import tables as tb
 from ..operators import twosample as ts
 from ..operators.staging import stage
-from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, scored
+from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, bars, scored
+from .q_features import FEATURES_ALL_SQL
 from .q_tables import scored_split
 from .registry import query
 
@@ -75,6 +76,44 @@ def drift_top_features(spark, sf_dir):
     return tb.top_rows(drift_features(spark, sf_dir), "ks_statistic", 2, tie=["feature"])
 
 
+ALL_SQL = (
+    FEATURES_ALL_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE all_features AS (WITH RECURSIVE ", 1)
+    + "), study AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-26' THEN 'validation' ELSE 'test' END AS split, CASE WHEN close > open THEN 1 WHEN close < open THEN 0 ELSE 2 END AS target FROM all_features), long AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value, split, target FROM study WHERE {f} IS NOT NULL" for f in pf.FEATURES)
+    + ")"
+)
+
+
+def feature_study(spark, sf_dir):
+    """All 42 features, split by date, with the direction of the bar as class; stored once."""
+    day = lambda d: F.lit(d).cast("timestamp")
+    split = F.when(F.col("ts") < day("2024-01-20"), "train").when(F.col("ts") < day("2024-01-26"), "validation").otherwise("test")
+    target = F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), 0).otherwise(2)
+    rows = pf.price_features(bars(spark, sf_dir), extra=lambda df, w: df.withColumns({"split": split, "target": target}))
+    return stage(rows.select("split", "target", *[F.round(F.col(f).cast("double"), 9).alias(f) for f in pf.FEATURES]))
+
+
+@query(
+    "drift_all_features",
+    "feature:s ks_statistic:d4 train_mean:d4 validation_mean:d4",
+    f"""{ALL_SQL}, k AS ({ks_sql("split = 'train'", "split = 'validation'")}),
+    m AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS train_mean, avg(value) FILTER (WHERE split = 'validation') AS validation_mean FROM long GROUP BY 1)
+    SELECT feature, ks AS ks_statistic, train_mean, validation_mean FROM k JOIN m USING (feature)""",
+)
+def drift_all_features(spark, sf_dir):
+    return ts.drift_table(feature_study(spark, sf_dir), list(pf.FEATURES), family=pf.feature_family)
+
+
+@query(
+    "separability_all_features",
+    "feature:s split:s comparison:s ks_statistic:d4",
+    f"""{ALL_SQL}, p AS ({" UNION ALL ".join(f"SELECT '{n}' AS comparison, q.* FROM ({ks_sql(f'target = {a}', f'target = {b}', 'feature, split')}) q WHERE split <> 'test'" for n, a, b in (("BUY_vs_NO_TRADE", 1, 2), ("SELL_vs_NO_TRADE", 0, 2), ("BUY_vs_SELL", 1, 0)))})
+    SELECT feature, split, comparison, ks AS ks_statistic FROM p""",
+)
+def separability_all_features(spark, sf_dir):
+    return ts.pairwise_separation(feature_study(spark, sf_dir), list(pf.FEATURES))
+
+
 def auc_sql(pos: str, neg: str, keys: str = "feature", source: str = "long", value: str = "value") -> str:
     """Rank-sum AUC by average ranks over the rows of both classes."""
     part = f"PARTITION BY {keys} " if keys else ""
@@ -440,8 +479,8 @@ MODEL_SQL = """models AS (SELECT 'stored' AS split, target, predicted FROM split
 @query(
     "comparison_models",
     "model:s metric:s value:d baseline_value:d difference:d",
-    f"""WITH {SCORED_SPLIT_SQL}, {MODEL_SQL.replace('models AS (', 'models AS MATERIALIZED (')}, {report_sql('models').replace('report AS (', 'report AS MATERIALIZED (')} SELECT a.split AS model, a.metric, a.value, b.value AS baseline_value, a.value - b.value AS difference
-    FROM report a JOIN report b ON b.metric = a.metric AND b.split = 'stored'""",
+    f"""WITH {SCORED_SPLIT_SQL}, {MODEL_SQL}, {report_sql('models')}, paired AS (SELECT split AS model, metric, value, max(value) FILTER (WHERE split = 'stored') OVER (PARTITION BY metric) AS baseline_value FROM report)
+    SELECT *, value - baseline_value AS difference FROM paired""",
 )
 def comparison_models(spark, sf_dir):
     return mt.compare_models(model_metrics(spark, sf_dir), baseline="stored")
