@@ -1,12 +1,13 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-A page is read into a small element tree.  Every subtree with text outside prose is hashed (tag, class, id, text,
-children); Spark counts on how many pages of its host each hash stands.  A subtree on many pages of its host is
-template and deleted, like elements whose kind says what they are (menus, headers, footers, sidebars, forms, scripts,
+A page is read into a small element tree.  Subtrees with text are hashed (tag, class, id, text,
+children); Spark counts on how many pages of its host each hash stands.  A subtree on ``MIN_PAGES`` pages of its host is
+template and deleted, in an article where it stands at its edge, like elements whose kind says what they are (menus, headers, footers, sidebars, forms, scripts,
 notices, adverts, comments).  A kind is a whole name of class, id or role (or one all of whose parts are kinds).
 What is left of all top-level articles (or main elements, or the body) is the text; those inside an element of such
 a kind count where the page has no others.  Prose
-(paragraphs, headings, quotes) inside an article is never taken for template, however often it is reprinted.
+(paragraphs, headings, quotes) inside an article, and what stands inside a block of it, is never taken for template,
+however often it is reprinted.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from candlework.llm.bpe import slices
 from candlework.llm.common import in_small_batches, stage
 
-#: A subtree is template on at least so many pages of its host, and at least this share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.1
+#: A subtree is template on at least so many pages of its host.
+MIN_PAGES = 8
 #: A table of templates up to this many rows travels to every task; a larger one is joined by host.
 BROADCAST_ROWS = 500_000
 
@@ -150,8 +151,8 @@ def hash_subtrees(root: Element) -> None:
         element.hash = int.from_bytes(hashlib.blake2b("\x1f".join(body).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if some else 0
 
 
-def candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees that may be template: all but prose in an article and what contains it or stands in it."""
+def counted(root: Element) -> set[int]:
+    """Hashes of the subtrees that count as evidence of a template: all but prose in an article, what it stands in, and what stands in it."""
     out, stack = set(), [(root, False)]
     while stack:
         element, inside = stack.pop()
@@ -160,14 +161,44 @@ def candidates(root: Element) -> set[int]:
             continue
         if element.hash and element is not root and not (inside and has_prose(element)):
             out.add(element.hash)
-        stack += [(c, inside) for c in element.children if isinstance(c, Element)]
+        stack += [(c, inside) for c in elements(element)]
     return out
 
 
+def candidates(root: Element) -> set[int]:
+    """Hashes of the subtrees whose recurrence decides about text: those beside the prose of an article, or any of a page without one."""
+    tops = top_elements(root)
+    if tops[0] is not root:
+        return {e.hash for top in tops for e in elements(top) if e.hash and not has_prose(e)}
+    return {e.hash for e in walk(root) if e.hash and e is not root}
+
+
+def elements(parent: Element) -> list[Element]:
+    return [c for c in parent.children if isinstance(c, Element)]
+
+
 def has_prose(element: Element) -> bool:
     return any(e.tag in PROSE or e.tag in ("article", "main") for e in walk(element))
 
 
+def template_edges(top: Element, templates: frozenset[int]) -> set[int]:
+    """Ids of the leading and trailing children of an article that are template; between other children nothing is.
+
+    A list item or a cell that recurs is content like its list, and so is prose, however often it is reprinted.
+    """
+    out: set[int] = set()
+    for children in (top.children, top.children[::-1]):
+        for c in children:
+            if isinstance(c, str):
+                if c.strip():
+                    break
+            elif c.hash in templates and not has_prose(c):
+                out.add(id(c))
+            elif c.hash:
+                break
+    return out
+
+
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text in page order, one to a line."""
     root = parse(page)
@@ -184,13 +215,14 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
 
     todo: list = tops[::-1]
     own = {id(x) for x in tops}
+    edges = {x for top in tops for x in template_edges(top, templates)} if in_article else set()
     while todo:
         node = todo.pop()
         if isinstance(node, str):
             line.append(node)
         elif node is None:
             end()
-        elif id(node) not in own and (dropped(node, in_article) or node.hash in templates and not (in_article and (node.tag in PROSE or has_prose(node)))):
+        elif id(node) not in own and (dropped(node, in_article) or (id(node) in edges if in_article else node.hash in templates)):
             if node.tag in BLOCK:
                 end()
         elif node.tag == "br":
@@ -208,11 +240,8 @@ def host_of(url: str | None):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on a host.
-
-    A host has at most (subtrees of a page) / ``min_share`` of them, so the list of a host is bounded.
-    """
+def subtree_rows(pages: DataFrame) -> DataFrame:
+    """(host, name, subtree, decides): the counted subtrees of each page; ``name`` tells pages of different html."""
 
     def hashes(batches):
         import pyarrow as pa
@@ -223,28 +252,40 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
                 for page in part.column("html").to_pylist():
                     root = parse(page)
                     hash_subtrees(root)
-                    rows.append(list(candidates(root)))
-                counts = np.array([len(r) for r in rows])
-                hosts = part.column("host").take(pa.array(np.repeat(np.arange(len(rows)), counts)))
-                yield pa.RecordBatch.from_arrays([hosts, pa.array([h for r in rows for h in r], pa.int64())], names=["host", "subtree"])
+                    own = candidates(root)
+                    rows.append([(h, h in own) for h in counted(root) | own])
+                take = pa.array(np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], np.int64)))
+                columns = [pa.array([x[k] for r in rows for x in r], t) for k, t in enumerate((pa.int64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column("host").take(take), part.column("name").take(take), *columns], names=["host", "name", "subtree", "decides"])
+
+    return pages.select("host", "name", "html").mapInArrow(hashes, "host string, name string, subtree long, decides boolean")
 
-    counted = pages.select("host", "html").mapInArrow(hashes, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    many = counted.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree): the subtrees that stand on at least ``min_pages`` pages of a host, whatever its size."""
+    per = subtree_rows(pages).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("decides").alias("decides"))
+    return per.where((F.col("n") >= min_pages) & F.col("decides")).select("host", "subtree")
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     Null html counts as empty and gives empty text; pages without a host (null or odd url) share one; repeated rows
     give repeated results (and count as pages of their own); an empty table gives none; other columns are left out.
+
+    Up to ``broadcast_rows`` templates travel to the tasks by host; more are joined with the subtrees of the pages by
+    (host, subtree), so that a page gets its own ones only.
     """
     rows = in_small_batches(pages).select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of("url").alias("host"))
-    templates = stage(site_templates(rows, min_pages, min_share))
-    if templates.select(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        templates = F.broadcast(templates)
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    rows = rows.withColumn("name", F.md5(F.col("html").cast("binary")))
+    templates = stage(site_templates(rows, min_pages))
+    if templates.count() <= broadcast_rows:
+        lists = F.broadcast(templates.groupBy("host").agg(F.collect_list("subtree").alias("templates")))
+        joined = rows.join(lists, "host", "left")
+    else:
+        own = subtree_rows(rows).where("decides").drop("decides").distinct().join(templates, ["host", "subtree"]).groupBy("host", "name").agg(F.collect_list("subtree").alias("templates"))
+        joined = rows.join(own, ["host", "name"], "left")
+    joined = joined.select("page_id", "url", "html", "templates")
 
     def texts(batches):
         import pyarrow as pa

@@ -182,3 +182,82 @@ def trie(turns, again):
         children = sum(1 for x in under if len(x) == len(node) + 1)
         out[(who[0], len(node), members[node[:-1]][0] if node else None, len(who), children, leaves, saved, hashlib.sha256(ends.encode()).hexdigest())] += 1
     return out
+
+
+def page_texts(pages, min_pages):
+    """page_id -> main text of (page_id, url, body) with plain templates: every subtree of every page is written out and counted by host.
+
+    For pages of div, ul, li, p and article elements without attributes, entities or odd nesting.
+    """
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, text):
+            super().__init__()
+            self.stack = [["html", []]]
+            self.feed(text)
+
+        def handle_starttag(self, tag, attrs):
+            self.stack[-1][1].append([tag, []])
+            self.stack.append(self.stack[-1][1][-1])
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.stack[-1][1].append(data)
+
+    def written(node):
+        return " ".join(node.split()) if isinstance(node, str) else f"<{node[0]}>" + "|".join(map(written, node[1])) + "</>"
+
+    def said(node):
+        return bool(node.strip()) if isinstance(node, str) else any(map(said, node[1]))
+
+    def below(node):
+        for c in node[1]:
+            if not isinstance(c, str):
+                yield c
+                yield from below(c)
+
+    prose = lambda node: node[0] in ("p", "article") or any(x[0] in ("p", "article") for x in below(node))
+    trees = {k: Tree(f"{body}").stack[0] for k, _, body in pages}
+    host = {k: url.split("/")[2] for k, url, _ in pages}
+
+    def evidence(node, inside):
+        """What counts: all but prose in an article, what it stands in, and what stands in it."""
+        for c in node[1]:
+            if not isinstance(c, str) and not (inside or c[0] == "article") or not isinstance(c, str) and c[0] != "p":
+                within = inside or c[0] == "article"
+                if said(c) and not (within and prose(c)):
+                    yield written(c)
+                yield from evidence(c, within)
+
+    # A subtree also counts where it decides: any one of a page without articles.
+    seen = collections.Counter((host[k], w) for k, tree in trees.items() for w in {*evidence(tree, False)})
+    out = {}
+    for k, tree in trees.items():
+        articles = [x for x in below(tree) if x[0] == "article"]
+        template = lambda x: said(x) and seen[(host[k], written(x))] >= min_pages  # noqa: B023, E731
+        blocks = []
+
+        def read(node, edges, inside):
+            for c in node[1]:
+                if isinstance(c, str):
+                    if c.strip():
+                        blocks.append(" ".join(c.split()))  # noqa: B023
+                elif not (any(c is e for e in edges) if inside else template(c)):  # noqa: B023
+                    read(c, edges, inside)
+
+        for article in articles:
+            edges = []
+            for children in (article[1], article[1][::-1]):
+                for c in children:
+                    if isinstance(c, str) and c.strip() or not isinstance(c, str) and said(c) and (prose(c) or not template(c)):
+                        break
+                    if not isinstance(c, str):
+                        edges.append(c)
+            read(article, edges, True)
+        if not articles:
+            read(tree, [], False)
+        out[k] = "\n".join(blocks)
+    return out

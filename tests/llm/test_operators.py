@@ -163,6 +163,35 @@ def test_wrappers_and_names_keep_the_article(body, want):
     assert html_text.main_text(f"<html><body>{body}</body></html>") == want
 
 
+def site(rng, n=90):
+    """Pages of three hosts (one of a few pages) put together from common and own pieces."""
+    common = ["<div>Box</div>", "<div>Share this<div>now</div></div>", "<ul><li>home</li><li>news</li></ul>", "<p>Subscribe to our letter</p>", "<li>again</li>"]
+    own = lambda k: rng.choice([f"<p>text {k} {rng.randrange(99)}</p>", f"<ul><li>item {k}</li><li>again</li></ul>", f"<div>piece {k}</div>", "<div><p>reprinted</p></div>", "<p>reprinted</p>", f"bare {k}"])
+    pages = []
+    for k in range(n):
+        host = ("big.example", "mid.example", "few.example")[0 if k % 3 else 1 if k % 9 else 2]
+        inside = "".join(rng.sample(common, rng.randint(0, 3)) + [own(k) for _ in range(rng.randint(1, 4))] + rng.sample(common, rng.randint(0, 3)))
+        around = "".join(rng.sample(common, 2))
+        pages.append((k, f"https://{host}/{k}", around + (f"<article>{inside}</article>" if k % 4 else inside) + "<div>end of page</div>"))
+    return pages
+
+
+@pytest.mark.parametrize("broadcast_rows", [html_text.BROADCAST_ROWS, 0])
+def test_templates_equal_plain_counts(spark, broadcast_rows):
+    pages = site(random.Random(6))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = brute.page_texts(pages, html_text.MIN_PAGES)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(frame, broadcast_rows=broadcast_rows).collect()}
+    assert got == want
+    assert any("again" in t for t in got.values()) and not any("end of page" in t for k, t in got.items() if k % 4 and k % 9)
+
+
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    pages = [(k, f"https://a.example/{k}", f"<article><div>note</div><p>text {k}</p></article>" if k < 9 else f"<article><p>text {k}</p></article>") for k in range(400)]
+    texts = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert texts == {k: f"text {k}" for k in range(400)}
+
+
 def test_quality_base_counts(spark, docs, rows, empty):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
     got = quality.verdicts(docs, labels)
