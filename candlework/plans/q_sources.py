@@ -240,11 +240,34 @@ def cache_contract(spark, sf_dir):
     return ql.judge_sidecars(rd.read_sidecars(spark, path), requests)
 
 
-@query("manifest_files", "file:s state:s")
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+def _copied(spark, source, target):
+    """Copy one file with the file systems of both paths."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
+@query(
+    "manifest_files",
+    "file:s state:s",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', 'same')" for t in TABLES) + ", ('copy/region.parquet', 'same'), ('copy/nation.parquet', 'changed'), ('copy/supplier.parquet', 'removed'), ('copy/part.parquet', 'added')) AS t(file, state)",
+)
 def manifest_files(spark, sf_dir):
-    """Hashes of the small input files, and the same listing compared with itself."""
-    m = stage(rd.file_manifest(spark, sf_dir, pattern="{nation,region,orders}.parquet"))
-    return rd.manifest_changes(m, m)
+    """The stored manifest of all input files against a second reading, and that of a folder before and after changes."""
+    before, after = _folder(spark), _folder(spark)
+    for folder, names in ((before, {"region": "region", "nation": "nation", "supplier": "supplier"}), (after, {"region": "region", "nation": "region", "part": "part"})):
+        for name, source in names.items():
+            _copied(spark, f"{sf_dir}/{source}.parquet", f"{folder}/{name}.parquet")
+    manifest = lambda path: rd.file_manifest(spark, path, pattern="*.parquet")
+    whole = rd.manifest_changes(stage(manifest(sf_dir)), manifest(sf_dir)).select("file", "state")
+    moved = rd.manifest_changes(stage(manifest(before)), manifest(after)).select(F.concat(F.lit("copy/"), "file").alias("file"), "state")
+    # A table that lies in several files is one entry.
+    table = F.regexp_extract("file", r"^((?:copy/)?[^/]+)", 1)
+    worst = F.max_by("state", F.when(F.col("state") == "same", 0).otherwise(1))
+    return whole.unionByName(moved).groupBy(table.alias("file")).agg(worst.alias("state"))
 
 
 @query(

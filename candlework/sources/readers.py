@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import NEW_YORK, number
+from ..operators.series import with_row_index
 from ..schema import BAR, OBSERVATION, SIDECAR
 
 PRICE = ("open", "high", "low", "close", "volume")
@@ -128,10 +129,32 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SIDECAR).option("multiLine", False).json(path)
 
 
-def file_manifest(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
-    """(file, length, sha256) of every file below ``path``; files are hashed in parallel."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+#: Digests that one digest of the next level covers.
+DIGEST_FANOUT = 4096
+
+
+def file_manifest(spark: SparkSession, path: str, *, pattern: str = "*", fanout: int = DIGEST_FANOUT) -> DataFrame:
+    """(file, length, sha256) of every file below ``path``, named relative to it; ``sha256`` is the root of a tree of digests.
+
+    A file is read in the blocks that Spark's text source deals out, cut at line feeds, whatever it contains.  The pieces
+    are numbered along the file, ``fanout`` neighbours make a range with one digest, ranges make larger ranges, and the
+    root is hashed with the length.  No value holds more than a piece (a stretch without a line feed) or ``fanout``
+    digests, and the result does not depend on how the file was dealt out.  Empty files, which Spark's readers leave out, are not listed.
+    """
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    relative = lambda c: F.substring_index(c, f"/{name}/", -1)
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    listed = spark.read.format("binaryFile").options(**options).load(path).select(relative("path").alias("file"), "length")
+    text = spark.read.format("text").options(lineSep="\n", **options).load(path)
+    pieces = text.select(
+        relative("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"), F.sha2(F.col("value").cast("binary"), 256).alias("digest")
+    )
+    ranges = with_row_index(pieces, ["file"], ["_at", "_row"], [F.col("_at"), F.shiftright("_row", 12)], index="number").select("file", "number", "digest")
+    for _ in range(3):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "digest"))), lambda x: x["digest"]), "")
+        ranges = ranges.groupBy("file", F.floor(F.col("number") / fanout).alias("number")).agg(F.sha2(joined, 256).alias("digest"))
+    root = ranges.groupBy("file").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
+    return listed.join(root, "file").select("file", "length", F.sha2(F.concat_ws(":", "length", "digest"), 256).alias("sha256"))
 
 
 def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
