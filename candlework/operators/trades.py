@@ -348,47 +348,41 @@ def threshold_grid(outcomes: DataFrame, *, score: str, thresholds: Sequence[floa
 def strategy_metrics(grid: DataFrame, *, keys: Sequence[str], order: Sequence[str], cells: Sequence[Column]) -> DataFrame:
     """Trade statistics per key from rule outcomes with a ``selected`` flag.
 
-    Drawdown runs over 1 + the cumulative return; an unselected row adds
-    nothing, so its drawdown repeats the one before it.
+    Drawdown runs over 1 + the cumulative return.  An unselected row adds nothing to it and is only counted: of the
+    copies that a grid of thresholds makes, the unselected ones never leave the task that reads them.  ``grid`` is read twice
+    and should be made of stored rows.  A key without trades has zeros, and no profit factor.
     """
     from .tables import medians
 
-    on = F.col("selected")
-    r = F.when(on, F.col("terminal_return"))
     # A NULL key (the control) must still match itself in joins.
-    keyed = grid.withColumn("_series", F.to_json(F.struct(*keys)))
-    keyed = stage(with_row_index(keyed, ["_series"], list(order), cells))
-    path = keyed.withColumn("_r", F.coalesce(r, F.lit(0.0)))
-    equity = running_sum(path, {"_cum": "_r"}, by=["_series"]).withColumn("_eq", 1.0 + F.col("_cum"))
+    named = grid.withColumn("_series", F.to_json(F.struct(*keys)))
+    signals = named.groupBy("_series", *keys).agg(F.count(F.lit(1)).alias("signals"))
+    r = F.col("terminal_return")
+    keyed = stage(with_row_index(named.where("selected").drop(*keys), ["_series"], list(order), cells))
+    equity = running_sum(keyed, {"_cum": "terminal_return"}, by=["_series"]).withColumn("_eq", 1.0 + F.col("_cum"))
     peaked = running_sum(equity, {}, by=["_series"], maximum={"_peak": "_eq"})
     peak = F.greatest(F.col("_peak"), F.lit(1.0))
     draw = peaked.groupBy("_series").agg(F.max((peak - F.col("_eq")) / peak).alias("maximum_drawdown"))
-    mids = medians(keyed.where(on), ["terminal_return"], ["_series"])
-
-    def share(cond: Column) -> Column:
-        return F.coalesce(100.0 * F.avg(F.when(on, cond.cast("double"))), F.lit(0.0))
-
-    stats = keyed.groupBy("_series", *keys).agg(
-        F.count(F.lit(1)).alias("signals"),
-        F.count_if(on).alias("trades"),
-        F.count_if(on & (F.col("direction") == 1)).alias("buy_trades"),
-        F.count_if(on & (F.col("direction") == -1)).alias("sell_trades"),
-        F.coalesce(F.avg((r > 0).cast("double")), F.lit(0.0)).alias("win_rate"),
-        F.coalesce(F.avg(r), F.lit(0.0)).alias("average_return"),
-        F.coalesce(F.sum(r), F.lit(0.0)).alias("cumulative_gross_return"),
-        (F.sum(F.when(r > 0, r).otherwise(0.0)) / F.nullif(F.sum(F.when(r < 0, -r).otherwise(0.0)), F.lit(0.0))).alias("profit_factor"),
-        F.coalesce(F.avg(F.when(on, F.col("mfe"))), F.lit(0.0)).alias("average_mfe"),
-        F.coalesce(F.avg(F.when(on, F.col("mae"))), F.lit(0.0)).alias("average_mae"),
-        share(F.col("reached_plus_1atr")).alias("reached_plus_1atr_pct"),
-        share(F.col("reached_minus_1atr")).alias("reached_minus_1atr_pct"),
-        *[share(F.col("first_passage") == v).alias(f"first_passage_{n}_pct") for v, n in (("FAVORABLE", "favorable"), ("ADVERSE", "adverse"), ("SAME_BAR_TIE", "tie"))],
-    )
-    return (
-        stats.join(draw, "_series")
-        .join(mids.withColumnRenamed("terminal_return_median", "median_return"), "_series", "left")
-        .withColumns({"trade_frequency": F.col("trades") / F.col("signals"), "median_return": F.coalesce("median_return", F.lit(0.0))})
-        .drop("_series")
-    )
+    mids = medians(keyed, ["terminal_return"], ["_series"])
+    share = lambda cond: 100.0 * F.avg(cond.cast("double"))
+    sums = {
+        "trades": F.count(F.lit(1)),
+        "buy_trades": F.count_if(F.col("direction") == 1),
+        "sell_trades": F.count_if(F.col("direction") == -1),
+        "win_rate": F.avg((r > 0).cast("double")),
+        "average_return": F.avg(r),
+        "cumulative_gross_return": F.sum(r),
+        "average_mfe": F.avg("mfe"),
+        "average_mae": F.avg("mae"),
+        "reached_plus_1atr_pct": share(F.col("reached_plus_1atr")),
+        "reached_minus_1atr_pct": share(F.col("reached_minus_1atr")),
+        **{f"first_passage_{n}_pct": share(F.col("first_passage") == v) for v, n in (("FAVORABLE", "favorable"), ("ADVERSE", "adverse"), ("SAME_BAR_TIE", "tie"))},
+    }
+    factor = F.sum(F.when(r > 0, r).otherwise(0.0)) / F.nullif(F.sum(F.when(r < 0, -r).otherwise(0.0)), F.lit(0.0))
+    stats = keyed.groupBy("_series").agg(*[v.alias(k) for k, v in sums.items()], factor.alias("profit_factor"))
+    joined = signals.join(stats, "_series", "left").join(draw, "_series", "left").join(mids.withColumnRenamed("terminal_return_median", "median_return"), "_series", "left")
+    filled = joined.withColumns({k: F.coalesce(k, F.lit(0)) for k in (*sums, "maximum_drawdown", "median_return")})
+    return filled.withColumn("trade_frequency", F.col("trades") / F.col("signals")).drop("_series")
 
 
 def control_differences(metrics: DataFrame, names: Sequence[str], *, keys: Sequence[str]) -> DataFrame:

@@ -254,7 +254,7 @@ def scored_outcomes(spark, sf_dir):
 
 
 def grid_metrics(spark, sf_dir):
-    grid = tr.threshold_grid(scored_outcomes(spark, sf_dir), score="score")
+    grid = tr.threshold_grid(stage(scored_outcomes(spark, sf_dir)), score="score")
     return tr.strategy_metrics(grid, keys=["rule", "threshold"], order=["ts", "symbol"], cells=[time_cell("ts")])
 
 
