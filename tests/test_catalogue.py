@@ -1,4 +1,4 @@
-"""Named queries against their SQL twins (a selection; set ALL_QUERIES=1 for all)."""
+"""Named queries against their SQL twins (a selection; set ALL_QUERIES=1 for all of them, a quarter of an hour)."""
 
 import os
 
@@ -11,6 +11,9 @@ SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 SELECTION = [
     "features_rsi", "features_moving_averages", "label_first_passage", "asof_observations", "calendar_days", "micro_block_features",
     "split_chronological", "table_target_drift", "metrics_binary", "trades_non_overlapping", "scan_yield_curve_xml", "validate_bars",
+    "table_quantile_target_rates", "table_regime_structure", "table_forward_relation", "comparison_models", "permutation_labels_against_theory",
+    "permutation_bijection", "model_fold_baselines", "probe_history", "audit_exposed_rows", "audit_holdout_rules", "manifest_files",
+    "features_market_context", "features_rates", "strategy_metrics_grid", "drift_features", "trades_exits_kept_open",
 ]
 NAMES = sorted(oracle_sql()) if os.environ.get("ALL_QUERIES") else SELECTION
 
