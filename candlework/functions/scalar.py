@@ -105,6 +105,11 @@ def decide_signal(buy: Column, sell: Column, buy_threshold: float, sell_threshol
     )
 
 
+def threshold_signal(score: Column, threshold: float) -> Column:
+    """1 where a single score reaches the threshold, else 0 (also without a score)."""
+    return F.coalesce((score >= threshold).cast("int"), F.lit(0))
+
+
 def signal_probability(signal: Column, buy: Column, sell: Column, none: Column) -> Column:
     return F.when(signal == 1, buy).when(signal == -1, sell).otherwise(none)
 

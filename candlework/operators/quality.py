@@ -112,6 +112,31 @@ def dataset_violations(df: DataFrame, features: Sequence[str], *, target: str =
     return wide.select(F.explode(pairs).alias("_p")).select("_p.*")
 
 
+def dataset_contract(df: DataFrame, features: Sequence[str], *, keys: Sequence[str] = ("symbol",), ts: str = "ts", target: str = "target", classes: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """(rule, violations) of a processed dataset: it has rows, times that come once per series, numeric and finite features, known labels.
+
+    Forbidden feature names raise, as they are read off the schema.  Rows repeated at a time are counted beyond the first one.
+    """
+    check_feature_names(features)
+    kinds = dict(df.dtypes)
+    numeric = [f for f in features if kinds[f].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    finite = [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f).cast("double")) < float("inf")) for f in numeric]
+    bad = F.lit(False)
+    for ok in finite:
+        bad = bad | ~ok
+    per = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"), F.count_if(bad).alias("_bad"), F.count_if(~F.coalesce(F.col(target).isin(*classes), F.lit(False))).alias("_labels"))
+    sums = per.agg(
+        (F.coalesce(F.sum("_n"), F.lit(0)) == 0).cast("long").alias("empty"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated_times"),
+        F.count_if(F.col(ts).isNull()).alias("missing_times"),
+        F.lit(len(features) - len(numeric)).cast("long").alias("not_numeric"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("not_finite_rows"),
+        F.coalesce(F.sum("_labels"), F.lit(0)).alias("unknown_labels"),
+    )
+    rules = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in sums.columns])
+    return sums.select(F.explode(rules).alias("_r")).select("_r.*")
+
+
 def observation_violations(obs: DataFrame) -> DataFrame:
     """Broken rules of the long observation contract, one row per instrument."""
     return obs.groupBy("instrument_or_event_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bins
-from ..functions.scalar import activity_score, decide_signal, direction_score, signal_probability
+from ..functions.scalar import activity_score, decide_signal, direction_score, signal_probability, threshold_signal
 from ..operators import metrics as mt
 from ..operators import price_features as pf
 from ..operators import tables as tb
@@ -432,6 +432,17 @@ def signal_frame(spark, sf_dir):
     return signals(spark, sf_dir).withColumns({"direction": direction_score(b, s), "activity": activity_score(b, s)})
 
 
+@query(
+    "signal_binary",
+    "signal:l rows:l mean_proba:d",
+    f"WITH {SCORED_SQL} SELECT CAST(buy_proba >= 0.4 AS INT) AS signal, count(*) AS rows, avg(buy_proba) AS mean_proba FROM scored GROUP BY 1",
+)
+def signal_binary(spark, sf_dir):
+    """Signals of a model with one score."""
+    rows = scored(spark, sf_dir).withColumn("signal", threshold_signal(F.col("buy_proba"), 0.4))
+    return rows.groupBy("signal").agg(F.count(F.lit(1)).alias("rows"), F.avg("buy_proba").alias("mean_proba"))
+
+
 @query(
     "signal_report",
     "rows:l buy_signals:l sell_signals:l no_trade_signals:l buy_ratio:d sell_ratio:d mean_buy_proba:d mean_sell_proba:d max_buy_proba:d max_sell_proba:d",

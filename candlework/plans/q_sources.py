@@ -201,6 +201,20 @@ def validate_dataset(spark, sf_dir):
     return ql.dataset_violations(rows, ["returns", "high_low_ratio"])
 
 
+@query(
+    "validate_dataset_contract",
+    "rule:s violations:l",
+    f"""WITH {bars_sql()}, d AS (SELECT symbol, ts, close / nullif(open - 500, 0) AS ratio, CAST(hour(ts) % 4 AS INT) AS target FROM bars UNION ALL SELECT symbol, ts, close / nullif(open - 500, 0), 0 FROM bars WHERE hour(ts) = 3)
+    SELECT 'empty' AS rule, CAST(count(*) = 0 AS INT) AS violations FROM d UNION ALL SELECT 'repeated_times', count(*) - count(DISTINCT (symbol, ts)) FROM d UNION ALL SELECT 'missing_times', 0 UNION ALL SELECT 'not_numeric', 1
+    UNION ALL SELECT 'not_finite_rows', count(*) FILTER (WHERE ratio IS NULL) FROM d UNION ALL SELECT 'unknown_labels', count(*) FILTER (WHERE target NOT IN (0, 1, 2)) FROM d""",
+)
+def validate_dataset_contract(spark, sf_dir):
+    """A dataset with planted faults: repeated times, an unknown label, a text feature."""
+    b = bars(spark, sf_dir).select("symbol", "ts", (F.col("close") / F.nullif(F.col("open") - 500, F.lit(0.0))).alias("ratio"), (F.hour("ts") % 4).cast("int").alias("target"), F.lit("text").alias("session"))
+    rows = b.unionByName(b.where(F.hour("ts") == 3).withColumn("target", F.lit(0)))
+    return ql.dataset_contract(rows, ["ratio", "session"])
+
+
 @query(
     "validate_observations",
     "instrument_or_event_id:s rows:l missing_available:l available_before_source:l bad_hash:l",
