@@ -304,8 +304,9 @@ def prior_baseline(df: DataFrame, *, row_key: Sequence[str], runs: int = 20, see
 
 
 def hashed_uniform(seed: int, *parts: Column) -> Column:
-    """Uniform number in [0, 1) from a 64-bit hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11).cast("double") / F.lit(float(1 << 53))
+    """Uniform number in [0, 1) from the first 32 bits of an MD5, which any engine can draw."""
+    name = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def class_label(c: Column) -> Column:

@@ -464,7 +464,16 @@ def baseline_majority(spark, sf_dir):
     return mt.majority_baseline(scored_split(spark, sf_dir), keys=["split"])
 
 
-@query("baseline_prior_random", "runs:l accuracy:d balanced_accuracy:d macro_f1:d")
+@query(
+    "baseline_prior_random",
+    "runs:l accuracy:d balanced_accuracy:d macro_f1:d",
+    f"""WITH {SCORED_SQL}, p AS (SELECT avg(CAST(target = 0 AS INT)) AS p0, avg(CAST(target = 1 AS INT)) AS p1 FROM scored),
+    u AS (SELECT run, target, CAST('0x' || left(md5('42|' || run || '|' || l_orderkey || '|' || l_linenumber), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM scored, range(20) AS r(run)),
+    g AS (SELECT run, target, CASE WHEN u < p0 THEN 0 WHEN u < p0 + p1 THEN 1 ELSE 2 END AS guess FROM u, p),
+    k AS (SELECT run, c, count(*) FILTER (WHERE target = c AND guess = c) AS hit, count(*) FILTER (WHERE target = c) AS support, count(*) FILTER (WHERE guess = c) AS emitted, count(*) AS n FROM g, range(3) AS t(c) GROUP BY 1, 2),
+    m AS (SELECT run, sum(hit) / max(n) AS accuracy, avg(hit / support) FILTER (WHERE support > 0) AS balanced_accuracy, avg(coalesce(2.0 * hit / nullif(emitted + support, 0), 0)) AS macro_f1 FROM k GROUP BY 1)
+    SELECT count(*) AS runs, avg(accuracy) AS accuracy, avg(balanced_accuracy) AS balanced_accuracy, avg(macro_f1) AS macro_f1 FROM m""",
+)
 def baseline_prior_random(spark, sf_dir):
     return mt.prior_baseline(scored(spark, sf_dir), row_key=["l_orderkey", "l_linenumber"])
 

@@ -205,6 +205,31 @@ def model_shuffled_target_control(spark, sf_dir):
     return mt.binary_metrics(ml.binary_score(model, validation, label="up"), actual="up", score="score")
 
 
+@query("model_shuffled_features_control", "rows:l accuracy:d roc_auc:d")
+def model_shuffled_features_control(spark, sf_dir):
+    """A model refitted on whole feature rows of other moments must lose its ranking power as well."""
+    train, validation = parts(spark, sf_dir)
+    mixed = pm.shuffled_columns(train.select("symbol", "ts", *FEATURES, "up"), FEATURES, row_key=["symbol", "ts"], permutations=1, seed=7)
+    model = ml.fit_binary(stage(mixed), FEATURES, label="up")
+    return mt.binary_metrics(ml.binary_score(model, validation, label="up"), actual="up", score="score")
+
+
+@query("study_first_passage_model", "split:s rows:l prevalence:d majority_accuracy:d accuracy:d roc_auc:d brier_score:d verdict:s")
+def study_first_passage_model(spark, sf_dir):
+    """First-passage study from bars to verdict: features, labels, split, fit on decided training rows, scores of the other splits."""
+    rows = pf.price_features(bars(spark, sf_dir), ahead=5, extra=lambda df, w: df.withColumns(lb.first_passage_columns(w, 5)))
+    rows = rows.withColumnRenamed("first_passage_target", "target").where(F.col("target").isin(0, 1))
+    kept = stage(pf.complete_rows(rows.select("symbol", "ts", *FEATURES, "target"), FEATURES))
+    split = stage(sp.chronological_split(kept))
+    train = split.where("split = 'train'")
+    scores = ml.binary_score(ml.fit_binary(train, FEATURES, label="target"), split.where("split <> 'train'"), label="target")
+    metrics = mt.binary_metrics(stage(scores.select("split", "target", "score")), actual="target", score="score", keys=["split"])
+    majority = float(train.agg(F.avg("target")).first()[0] or 0.0) >= 0.5
+    always = F.col("prevalence") if majority else 1 - F.col("prevalence")
+    better = (F.col("roc_auc") > 0.5) & (F.col("accuracy") > F.col("majority_accuracy"))
+    return metrics.withColumn("majority_accuracy", always).withColumn("verdict", F.when(better, "SKILL").otherwise("NO_SKILL"))
+
+
 @query("model_importance_by_fold", "feature:s importance_mean:d importance_std:d rank_mean:d rank_min:l rank_max:l " + " ".join(f"fold_{k}:d fold_{k}_rank:l" for k in range(1, FOLDS + 1)))
 def model_importance_by_fold(spark, sf_dir):
     train, _ = parts(spark, sf_dir)
