@@ -114,7 +114,7 @@ def model_small_network(spark, sf_dir):
     return mt.binary_metrics(ml.binary_score(model, validation, label="up"), actual="up", score="score")
 
 
-@query("model_reload", "changed_rows:l")
+@query("model_reload", "changed_rows:l", "SELECT 0 AS changed_rows")
 def model_reload(spark, sf_dir):
     train, validation = parts(spark, sf_dir)
     path = f"{staging_dir(spark)}/model-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from ..operators import tables as tb
 from ..operators.staging import stage
 from .q_features import ATR_SQL
 from .q_labels import PASSAGE, PASSAGE_CASE, atr_bars
-from .q_tables import BAR_SPLIT, study_rows
+from .q_tables import BAR_SPLIT, STUDY_SQL, study_rows
 from .registry import query
 
 PASSAGE_ROWS = f"""{ATR_SQL}, {PASSAGE}, passed AS (SELECT n.symbol, n.ts, {PASSAGE_CASE} AS target FROM atr_t n JOIN touch USING (symbol, i) WHERE atr IS NOT NULL), {BAR_SPLIT.replace('SRC', 'passed')}"""
@@ -46,6 +46,11 @@ def study_first_passage_directional(spark, sf_dir):
     return rows.groupBy("symbol", "split").agg(F.count(F.lit(1)).alias("rows"), F.avg("target").alias("buy_share"))
 
 
-@query("study_asymmetric_labels", "split:s rows:l both_zero_count:l directional_count:l label_pearson_correlation:d")
+@query(
+    "study_asymmetric_labels",
+    "split:s rows:l both_zero_count:l directional_count:l label_pearson_correlation:d",
+    f"""WITH RECURSIVE {STUDY_SQL}, x AS (SELECT split, CAST(target = 1 AS INT) AS b, CAST(target = 0 AS INT) AS s FROM bar_split)
+    SELECT split, count(*) AS rows, count(*) FILTER (WHERE b = 0 AND s = 0) AS both_zero_count, count(*) FILTER (WHERE b + s > 0) AS directional_count, corr(b, s) AS label_pearson_correlation FROM x GROUP BY 1""",
+)
 def study_asymmetric_labels(spark, sf_dir):
     return tb.label_audit(study_rows(spark, sf_dir).withColumns(asymmetric_labels()))
