@@ -173,7 +173,7 @@ def model_ablation_folds(spark, sf_dir):
 @query(
     "model_fold_baselines",
     "treatment:s fold:l accuracy:d brier_score:d",
-    f"""WITH {bars_sql()}, r AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n, CAST(high - greatest(open, close) > least(open, close) - low AS INT) AS y, close / open AS x FROM bars),
+    f"""WITH {bars_sql()}, r AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n, CAST(high - greatest(open, close) > least(open, close) - low AS INT) AS y, close / (1 + abs(open)) AS x FROM bars),
     s AS (SELECT *, CAST(greatest(0, 6 - ceil((n - i) / CAST(n // 6 AS DOUBLE))) AS BIGINT) AS segment FROM r),
     f AS (SELECT fold, avg(y) AS share, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM s, range(1, 6) AS t(fold) WHERE segment < fold GROUP BY 1),
     p AS (SELECT 'majority' AS treatment, fold, y, share AS score FROM s JOIN f ON fold = segment UNION ALL SELECT 'bar_return', fold, y, greatest(0, least(1, intercept + slope * x)) FROM s JOIN f ON fold = segment)
@@ -181,7 +181,7 @@ def model_ablation_folds(spark, sf_dir):
 )
 def model_fold_baselines(spark, sf_dir):
     """Five folds of the majority and of a one-feature score."""
-    b = bars(spark, sf_dir).select("symbol", "ts", (F.col("close") / F.col("open")).alias("bar_return"), (F.col("high") - F.greatest("open", "close") > F.least("open", "close") - F.col("low")).cast("int").alias("y"))
+    b = bars(spark, sf_dir).select("symbol", "ts", (F.col("close") / (1 + F.abs("open"))).alias("bar_return"), (F.col("high") - F.greatest("open", "close") > F.least("open", "close") - F.col("low")).cast("int").alias("y"))
     found = ln.fold_ablation(_numbered(b), {"majority": [], "bar_return": ["bar_return"]}, label="y", n_splits=FOLDS)
     wide = found.where("metric IN ('accuracy', 'brier_score')").groupBy("treatment", "fold").pivot("metric", ["accuracy", "brier_score"]).agg(F.max("value"))
     return wide

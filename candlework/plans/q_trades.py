@@ -377,14 +377,14 @@ def permutation_labels_against_theory(spark, sf_dir):
     return one.select("observed", "iterations", near.alias("mean_within"), F.col("got").between(0.75 * F.col("sd"), 1.25 * F.col("sd")).cast("int").alias("spread_within"))
 
 
-COLUMN_BARS = """WITH {bars}, b AS (SELECT row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n, close / open AS own, (high - low) / open AS other,
+COLUMN_BARS = """WITH {bars}, b AS (SELECT row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n, close / (1 + abs(open)) AS own, (high - low) / (1 + abs(open)) AS other,
         CAST(high - greatest(open, close) > least(open, close) - low AS INT) AS up FROM bars),
     spread AS (SELECT b.*, CAST(perm AS BIGINT) AS perm FROM b, range(1, 200) AS r(perm)), """.replace("{bars}", bars_sql()) + pm.permuted_numbers_sql("spread", "i", "n")
 
 
 def numbered_bars(spark, sf_dir):
     b = bars(spark, sf_dir).select(
-        F.lit(0).alias("_one"), "symbol", "ts", (F.col("close") / F.col("open")).alias("own"), ((F.col("high") - F.col("low")) / F.col("open")).alias("other"),
+        F.lit(0).alias("_one"), "symbol", "ts", (F.col("close") / (1 + F.abs("open"))).alias("own"), ((F.col("high") - F.col("low")) / (1 + F.abs("open"))).alias("other"),
         (F.col("high") - F.greatest("open", "close") > F.least("open", "close") - F.col("low")).cast("int").alias("up"),
     )
     return stage(with_row_index(b, ["_one"], ["ts", "symbol"], [time_cell("ts")], index="i"))
