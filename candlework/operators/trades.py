@@ -17,6 +17,8 @@ from .staging import stage
 FANOUT = 64
 #: Copies of a group of bars at most.
 SALTS = 4096
+#: Corners that describe the extreme bars of a group at most.
+FRONT_STEPS = 64
 CHAIN_ROWS = 4096
 
 
@@ -56,29 +58,27 @@ def _first_step(up: Column, down: Column) -> Column:
     return F.least(rising, falling)
 
 
-def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index", start: str = INDEX, levels: list[DataFrame] | None = None) -> DataFrame:
-    """Index of the first bar after ``start`` with ``high >= up`` or ``low <= down``, however far away.
+def _climb(queries: DataFrame, levels: list[DataFrame], *, by: Sequence[str], start: str, salt_by: Sequence[str], child, step, step_columns: Sequence[str]) -> DataFrame:
+    """Walk every query from bar ``start`` up the levels to the first group that holds a hit, then down to its bar.
 
-    A query climbs the levels of groups while its group holds no touch and then descends, so it meets one group per
-    level; no pair of rows is ever enumerated.  A group of a higher level covers many bars and would get all their
-    queries: each level above the first is dealt out in salted copies, one per 64 bars that a group covers (up to
-    ``SALTS``), and a query takes one of them.  So no key has many more than 64 x 64 queries, also not in a single long series.
+    ``child(k, after)`` is the first hit among the children of a group of level ``k`` beyond ``after``, ``step(k)`` the
+    first hit among all of them.  ``_cur`` is the bar met where ``_lvl`` is 0; nothing is met where it is -1.  Where a
+    group's summary promised a hit that its children do not hold, ``_cur`` is NULL and ``_from`` the group's last bar.
     """
-    levels = levels or extreme_levels(bars, by)
     # Negative keys match nothing and spread the rows that need no lookup.
     idle = -1 - F.col(INDEX)
-    q = queries.withColumns({"_cur": F.col(start), "_lvl": F.lit(-1)})
+    q = queries.withColumns({"_cur": F.col(start), "_lvl": F.lit(-1), "_from": F.lit(None).cast("long")})
 
     def looked_up(q: DataFrame, k: int, asks: Column, node: Column, columns: Sequence[str]) -> DataFrame:
         salts = min(FANOUT**k, SALTS)
         copies = levels[k].select(*by, "_node", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), *columns)
-        salt = F.when(asks, F.pmod(F.xxhash64(INDEX, up, down), F.lit(salts)).cast("int")).otherwise(0)
+        salt = F.when(asks, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).otherwise(0)
         return q.withColumns({"_node": F.when(asks, node).otherwise(idle), "_salt": salt}).join(copies, [*by, "_node", "_salt"], "left")
 
     for k in range(len(levels)):
         searching = F.col("_lvl") < 0
         here = F.shiftright("_cur", 6)
-        q = looked_up(q, k, searching, here, ["_kids"]).withColumn("_kid", _first_child(F.col(up), F.col(down), F.col("_cur") % FANOUT))
+        q = looked_up(q, k, searching, here, ["_kids"]).withColumn("_kid", child(k, F.col("_cur") % FANOUT))
         q = q.withColumns(
             {
                 "_cur": F.when(searching & F.col("_kid").isNotNull(), here * FANOUT + F.col("_kid")).when(searching, here).otherwise(F.col("_cur")),
@@ -86,29 +86,95 @@ def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("sy
             }
         ).drop("_kids", "_node", "_salt", "_kid")
     for k in range(len(levels) - 1, 0, -1):
-        inside = F.col("_lvl") == k
-        q = looked_up(q, k - 1, inside, F.col("_cur"), ["_highs", "_lows"]).withColumn("_kid", _first_step(F.col(up), F.col(down)))
+        inside = (F.col("_lvl") == k) & F.col("_cur").isNotNull()
+        q = looked_up(q, k - 1, inside, F.col("_cur"), step_columns).withColumn("_kid", step(k - 1))
         q = q.withColumns(
             {
+                "_from": F.when(inside & F.col("_kid").isNull(), F.shiftleft(F.col("_cur") + 1, 6 * k) - 1).otherwise(F.col("_from")),
                 "_cur": F.when(inside, F.col("_cur") * FANOUT + F.col("_kid")).otherwise(F.col("_cur")),
                 "_lvl": F.when(inside, F.lit(k - 1)).otherwise(F.col("_lvl")),
             }
-        ).drop("_highs", "_lows", "_node", "_salt", "_kid")
-    return q.withColumn(out, F.when(F.col("_lvl") == 0, F.col("_cur"))).drop("_cur", "_lvl")
+        ).drop(*step_columns, "_node", "_salt", "_kid")
+    return q
+
+
+def first_touch(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index") -> DataFrame:
+    """Index of the first later bar with ``high >= up`` or ``low <= down``, however far away.
+
+    A query climbs the levels of groups while its group holds no touch and then descends, so it meets one group per
+    level; no pair of rows is ever enumerated.  A group of a higher level covers many bars and would get all their
+    queries: each level above the first is dealt out in salted copies, one per 64 bars that a group covers (up to
+    ``SALTS``), and a query takes one of them.  So no key has many more than 64 x 64 queries, also not in a single long series.
+    """
+    q = _climb(
+        queries, extreme_levels(bars, by), by=by, start=INDEX, salt_by=[INDEX, up, down],
+        child=lambda k, after: _first_child(F.col(up), F.col(down), after),
+        step=lambda k: _first_step(F.col(up), F.col(down)),
+        step_columns=["_highs", "_lows"],
+    )
+    return q.withColumn(out, F.when(F.col("_lvl") == 0, F.col("_cur"))).drop("_cur", "_lvl", "_from")
+
+
+def _front(points: str, better: str) -> str:
+    """Of points in order the ones whose ``y`` is better than all before; above ``FRONT_STEPS`` a cover of them by that many corners."""
+    kept = f"aggregate({points}, cast(array() AS array<struct<x: double, y: double>>), (s, p) -> CASE WHEN size(s) = 0 OR p.y {better} element_at(s, -1).y THEN array_append(s, p) ELSE s END)"
+    n, m = "size(f)", FRONT_STEPS
+    corners = f"transform(sequence(0, {m - 1}), g -> struct(f[CAST(g * {n} DIV {m} AS INT)].x AS x, f[CAST((g + 1) * {n} DIV {m} - 1 AS INT)].y AS y))"
+    return f"transform(array({kept}), f -> CASE WHEN {n} <= {m} THEN f ELSE {corners} END)[0]"
 
 
-def _past_double_touches(touched: DataFrame, bars: DataFrame, by: Sequence[str], levels: list[DataFrame]) -> DataFrame:
-    """Move touches on from bars that reach both levels, for the trades concerned, over the same groups of bars."""
-    columns, done = touched.columns, []
-    bar = bars.select(*by, F.col(INDEX).alias("touch_index"), F.col("high").alias("_high"), F.col("low").alias("_low"))
+def one_sided_levels(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> list[DataFrame]:
+    """Groups of 64 bars, 64 groups, and so on, that tell whether a bar inside reaches exactly one of two levels.
+
+    ``high >= up`` and ``low > down`` holds for a bar of a group if it holds for one of its bars that no other one exceeds
+    in both prices (``rise``); ``low <= down`` and ``high < up`` likewise for the lowest ones (``fall``).
+    A child is kept with both fronts.  A front is cut down to ``FRONT_STEPS`` corners that cover it: it may then promise a
+    bar that is not there, but hides none.  Groups of 64 bars have whole fronts.
+    """
+    top = bars.agg(F.max(INDEX)).first()[0] or 0
+    child, levels = bars.select(*by, F.col(INDEX).alias("_at"), F.col("high").cast("double"), F.col("low").cast("double")), []
+    # An unknown price reaches no level.
+    rise = "transform(filter(_kids, b -> b.high IS NOT NULL), b -> struct(b.high AS x, coalesce(b.low, double('NaN')) AS y))"
+    fall = "transform(filter(_kids, b -> b.low IS NOT NULL), b -> struct(b.low AS x, coalesce(b.high, double('-Infinity')) AS y))"
+    while not levels or top >> (6 * len(levels)):
+        node = child.withColumn("_node", F.shiftright("_at", 6)).groupBy(*by, "_node").agg(
+            F.array_sort(F.collect_list(F.struct((F.col("_at") % FANOUT).alias("k"), *child.columns[len(by) + 1 :]))).alias("_kids")
+        )
+        node = node.withColumns({"rise": F.expr(_front(f"sort_array({rise}, false)", ">")), "fall": F.expr(_front(f"sort_array({fall}, true)", "<"))})
+        levels.append(stage(node))
+        child = levels[-1].select(*by, F.col("_node").alias("_at"), "rise", "fall")
+        rise, fall = "flatten(transform(_kids, b -> b.rise))", "flatten(transform(_kids, b -> b.fall))"
+    return levels
+
+
+def first_one_sided(queries: DataFrame, bars: DataFrame, *, by: Sequence[str] = ("symbol",), up: str = "up", down: str = "down", out: str = "touch_index") -> DataFrame:
+    """Index of the first later bar that reaches exactly one of ``up`` (by its high) and ``down`` (by its low).
+
+    Climbs ``one_sided_levels`` as ``first_touch`` does its groups, so bars that reach both levels cost nothing, however
+    many follow each other.  A query that a cut-down front has misled goes on behind that group.
+    """
+    levels, columns, done = one_sided_levels(bars, by), [*queries.columns, out], []
+    u, d = F.col(up), F.col(down)
+
+    def first_kid(k: int, after: Column) -> Column:
+        if k:
+            hit = lambda x: F.exists(x["rise"], lambda p: (p["x"] >= u) & (p["y"] > d)) | F.exists(x["fall"], lambda p: (p["x"] <= d) & (p["y"] < u))
+        else:
+            hit = lambda x: F.coalesce(x["high"] >= u, F.lit(False)) != F.coalesce(x["low"] <= d, F.lit(False))
+        return F.try_element_at(F.transform(F.filter("_kids", lambda x: (x["k"] > after) & hit(x)), lambda x: x["k"]), F.lit(1))
+
+    asked = queries.withColumn("_start", F.col(INDEX))
     while True:
-        both = F.coalesce((F.col("_high") >= F.col("up")) & (F.col("_low") <= F.col("down")), F.lit(False))
-        seen = stage(touched.join(bar, [*by, "touch_index"], "left").withColumn("_both", both))
-        done.append(seen.where("NOT _both").select(*columns))
-        again = seen.where("_both").select(*columns)
-        if again.isEmpty():
+        met = _climb(
+            asked, levels, by=by, start="_start", salt_by=[INDEX, up, down],
+            child=first_kid, step=lambda k: first_kid(k, F.lit(-1)), step_columns=["_kids"],
+        )
+        met = stage(met.withColumn(out, F.when(F.col("_lvl") == 0, F.col("_cur"))).select(*columns, "_from"))
+        done.append(met.where("_from IS NULL").select(*columns))
+        misled = met.where("_from IS NOT NULL")
+        if (len(levels) < 3 and FRONT_STEPS >= FANOUT) or misled.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        touched = first_touch(again.withColumnRenamed("touch_index", "_start"), bars, by=by, start="_start", levels=levels).drop("_start")
+        asked = misled.drop(out).withColumnRenamed("_from", "_start")
 
 
 def candidate_exits(
@@ -125,8 +191,8 @@ def candidate_exits(
 
     ``bars`` is an indexed, stored bar table.  A trade that never touches its
     levels ends at the close of the series' last bar.  A rule that names neither
-    level keeps a trade open over bars that reach both, and the search goes on
-    from there for the trades concerned until none is left.
+    level keeps a trade open over bars that reach both: it ends at the first bar
+    that reaches one of them only.
     """
     same_bar_rule = same_bar_rule.lower()
     long = F.col(signal) > 0
@@ -139,10 +205,8 @@ def candidate_exits(
         F.when(long, F.col("close") + tp).otherwise(F.col("close") + sl).alias("up"),
         F.when(long, F.col("close") - sl).otherwise(F.col("close") - tp).alias("down"),
     )
-    levels = extreme_levels(bars, by)
-    touched = first_touch(opened, bars, by=by, levels=levels)
-    if same_bar_rule not in (*TP_FIRST, *SL_FIRST):
-        touched = _past_double_touches(touched, bars, by, levels)
+    search = first_touch if same_bar_rule in (*TP_FIRST, *SL_FIRST) else first_one_sided
+    touched = search(opened, bars, by=by)
     last = bars.groupBy(*by).agg(F.max(INDEX).alias("_last"), F.max_by("close", INDEX).alias("_last_close"), F.max(ts).alias("_last_ts"))
     hit = bars.select(*by, F.col(INDEX).alias("_hit"), F.col(ts).alias("_hit_ts"), "high", "low")
     # A trade without a touch looks up a negative bar: no match, and evenly spread.
