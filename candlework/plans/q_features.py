@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import scalar
 from ..operators import price_features as pf
 from .inputs import bars, bars_sql
@@ -78,6 +80,15 @@ def features_clock(spark, sf_dir):
     return bars(spark, sf_dir).withColumns(scalar.clock_features())
 
 
+def null_at_zero(sql: str, *divisors: str) -> str:
+    """``sql`` in which a division by one of the ``divisors`` is NULL where that is zero, as ``scalar.ratio`` has it."""
+    for d in divisors:
+        sql, found = re.subn(rf"/ {re.escape(d)}(?![\w.(])", f"/ nullif({d}, 0)", sql)
+        if not found:
+            raise ValueError(f"nothing is divided by {d}")
+    return sql
+
+
 def ewm_sql(source: str, x: str, alpha: str, *, adjust: bool, out: str) -> str:
     """Recursive decayed mean over ``i`` per symbol (``source`` has symbol, i, x)."""
     if adjust:
@@ -208,11 +219,16 @@ FEATURES_ALL_SQL = f"""WITH RECURSIVE {NUMBERED}, {ewm_sql('numbered', 'gain', '
       isodow(ts) - 1 AS day_of_week, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend, hour(ts) AS hour_of_day, 1 AS is_market_open, CASE WHEN hour(ts) <= 7 THEN 1 ELSE 0 END AS is_asia_session,
       CASE WHEN hour(ts) BETWEEN 8 AND 15 THEN 1 ELSE 0 END AS is_london_session, CASE WHEN hour(ts) BETWEEN 13 AND 20 THEN 1 ELSE 0 END AS is_new_york_session FROM w1 {W}"""
 
+FEATURES_OR_NULL_SQL = null_at_zero(
+    FEATURES_ALL_SQL.replace("ln(close / before)", "CASE WHEN close / before > 0 THEN ln(close / before) END"),
+    "before", *[f"lag(close, {n}) OVER w" for n in (2, 5, 10)], "close", "open", "bm", *[f"sma_{n}" for n in pf.SMA_PERIODS],
+)
+
 
 @query(
     "features_all",
-    KEY + " ".join(f"{f}:l" if f in pf.SESSION_FEATURES else f"{f}:d4" if f in ("rsi", "macd", "macd_signal", "macd_hist", "ema_12", "ema_26", "atr", "atr_pct") else f"{f}:d" for f in pf.FEATURES),
-    FEATURES_ALL_SQL,
+    KEY + " ".join(f"{f}:l" if f in pf.SESSION_FEATURES else f"{f}:q" if f.startswith("price_to_sma") else f"{f}:d4" if f in ("rsi", "macd", "macd_signal", "macd_hist", "ema_12", "ema_26", "atr", "atr_pct") else f"{f}:d" for f in pf.FEATURES),
+    FEATURES_OR_NULL_SQL,
 )
 def features_all(spark, sf_dir):
     """All 42 features in one blocked pass."""

@@ -14,7 +14,7 @@ from ..operators.staging import stage
 from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, bars, scored
 from .q_features import FEATURES_ALL_SQL
 from .q_tables import scored_split
-from .registry import query
+from .registry import query, rounded
 
 NUMBERS = ["quantity", "extendedprice", "discount", "tax"]
 LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value, split, target FROM split_rows" for f in NUMBERS) + ")"
@@ -90,7 +90,7 @@ def feature_study(spark, sf_dir):
     split = F.when(F.col("ts") < day("2024-01-20"), "train").when(F.col("ts") < day("2024-01-26"), "validation").otherwise("test")
     target = F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), 0).otherwise(2)
     rows = pf.price_features(bars(spark, sf_dir), extra=lambda df, w: df.withColumns({"split": split, "target": target}))
-    return stage(rows.select("split", "target", *[F.round(F.col(f).cast("double"), 9).alias(f) for f in pf.FEATURES]))
+    return stage(rows.select("split", "target", *[rounded(F.col(f), 9).alias(f) for f in pf.FEATURES]))
 
 
 @query(

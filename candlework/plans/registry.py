@@ -2,7 +2,9 @@
 
 A contract such as ``"symbol:s ts:t close:d n:l"`` fixes names, types and
 rounding of a result on both sides: ``s`` string, ``t`` timestamp, ``l`` long,
-``d`` double rounded to 6 digits, ``dK`` double rounded to K digits.
+``d`` double rounded to 6 digits, ``dK`` double rounded to K digits, ``q`` double
+rounded to 12 digits and then to 6 (quotients of sums: their last bits follow the
+order of adding, which must not decide a half).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def _spark_column(name: str, kind: str) -> Column:
         return c.cast("timestamp").alias(name)
     if kind == "l":
         return c.cast("long").alias(name)
-    r = F.round(c.cast("double"), int(kind[1:] or 6))
+    r = rounded(rounded(c, 12) if kind == "q" else c, int(kind[1:] or 6))
     return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(name)
 
 
@@ -39,10 +41,21 @@ def _sql_column(name: str, kind: str) -> str:
         return f'CAST("{name}" AS TIMESTAMP) AS "{name}"'
     if kind == "l":
         return f'CAST("{name}" AS BIGINT) AS "{name}"'
-    r = f'round(CAST("{name}" AS DOUBLE), {int(kind[1:] or 6)})'
+    x = f'round(CAST("{name}" AS DOUBLE), 12)' if kind == "q" else f'CAST("{name}" AS DOUBLE)'
+    r = f'round({x}, {int(kind[1:] or 6)})'
     return f'CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS "{name}"'
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines round doubles: the scaled double itself, halves away from zero.
+
+    Spark's own ``round`` takes the shortest decimal form of the number, and differs where that ends in a 5.
+    """
+    scale = F.lit(10.0**digits)
+    x = c.cast("double")
+    return F.when(F.abs(x) < 1e290, F.round(x * scale, 0) / scale).otherwise(x)
+
+
 def shaped(df: DataFrame, contract: str) -> DataFrame:
     return df.select(*[_spark_column(*part) for part in _parse(contract)])
 
