@@ -12,7 +12,7 @@ from ..operators import tables as tb
 from ..operators import twosample as ts
 from ..operators.staging import stage
 from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, bars, scored
-from .q_features import FEATURES_ALL_SQL
+from .q_features import FEATURES_ALL_SQL, FEATURES_OR_NULL_SQL
 from .q_tables import scored_split
 from .registry import query, rounded
 
@@ -76,12 +76,16 @@ def drift_top_features(spark, sf_dir):
     return tb.top_rows(drift_features(spark, sf_dir), "ks_statistic", 2, tie=["feature"])
 
 
-ALL_SQL = (
-    FEATURES_ALL_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE all_features AS (WITH RECURSIVE ", 1)
-    + "), study AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-26' THEN 'validation' ELSE 'test' END AS split, CASE WHEN close > open THEN 1 WHEN close < open THEN 0 ELSE 2 END AS target FROM all_features), long AS ("
-    + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value, split, target FROM study WHERE {f} IS NOT NULL" for f in pf.FEATURES)
-    + ")"
-)
+def all_sql(features: str) -> str:
+    """CTEs ending in ``long``: the features of every bar, one row per value."""
+    return features.replace("WITH RECURSIVE ", "WITH RECURSIVE all_features AS (WITH RECURSIVE ", 1) + (
+        "), study AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' WHEN ts < TIMESTAMP '2024-01-26' THEN 'validation' ELSE 'test' END AS split, CASE WHEN close > open THEN 1 WHEN close < open THEN 0 ELSE 2 END AS target FROM all_features), long AS ("
+        + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(CAST({f} AS DOUBLE), 9) AS value, split, target FROM study WHERE {f} IS NOT NULL" for f in pf.FEATURES)
+        + ")"
+    )
+
+
+ALL_SQL = all_sql(FEATURES_ALL_SQL)
 
 
 def feature_study(spark, sf_dir):
@@ -96,9 +100,9 @@ def feature_study(spark, sf_dir):
 @query(
     "drift_all_features",
     "feature:s ks_statistic:d4 train_mean:d4 validation_mean:d4",
-    f"""{ALL_SQL}, k AS ({ks_sql("split = 'train'", "split = 'validation'")}),
+    f"""{all_sql(FEATURES_OR_NULL_SQL)}, k AS ({ks_sql("split = 'train'", "split = 'validation'")}),
     m AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS train_mean, avg(value) FILTER (WHERE split = 'validation') AS validation_mean FROM long GROUP BY 1)
-    SELECT feature, ks AS ks_statistic, train_mean, validation_mean FROM k JOIN m USING (feature)""",
+    SELECT feature, CASE WHEN NOT isnan(ks) THEN ks END AS ks_statistic, train_mean, validation_mean FROM k JOIN m USING (feature)""",
 )
 def drift_all_features(spark, sf_dir):
     return ts.drift_table(feature_study(spark, sf_dir), list(pf.FEATURES), family=pf.feature_family)
