@@ -116,6 +116,8 @@ atr_t AS (
   SELECT n.*, CASE WHEN n.i >= 14 THEN num / den END AS atr, CASE WHEN n.i >= 14 THEN num / den / close END AS atr_pct
   FROM numbered n JOIN atr_r USING (symbol, i))"""
 
+ATR_OR_NULL_SQL = null_at_zero(ATR_SQL, "close")
+
 
 @query(
     "features_rsi",
@@ -179,7 +181,7 @@ def features_ema(spark, sf_dir):
     return features(spark, sf_dir, "ema")
 
 
-@query("features_atr", KEY + "atr:d4 atr_pct:d4", f"WITH RECURSIVE {ATR_SQL} SELECT symbol, ts, atr, atr_pct FROM atr_t")
+@query("features_atr", KEY + "atr:d4 atr_pct:d4", f"WITH RECURSIVE {ATR_OR_NULL_SQL} SELECT symbol, ts, atr, atr_pct FROM atr_t")
 def features_atr(spark, sf_dir):
     return features(spark, sf_dir, "atr")
 

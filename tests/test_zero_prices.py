@@ -13,6 +13,7 @@ from __spark_entry__ import oracle_sql, queries
 NAMES = [
     "features_all",
     "drift_all_features",
+    "features_atr",
 ]
 
 
