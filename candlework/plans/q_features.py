@@ -41,7 +41,7 @@ def features_returns(spark, sf_dir):
 @query(
     "features_bar_ratios",
     KEY + "high_low_ratio:d close_open_ratio:d",
-    f"WITH {BARS} SELECT symbol, ts, (high - low) / close AS high_low_ratio, (close - open) / open AS close_open_ratio FROM bars",
+    f"WITH {BARS} SELECT symbol, ts, (high - low) / nullif(close, 0) AS high_low_ratio, (close - open) / nullif(open, 0) AS close_open_ratio FROM bars",
 )
 def features_bar_ratios(spark, sf_dir):
     return bars(spark, sf_dir).withColumns(scalar.bar_ratios())
