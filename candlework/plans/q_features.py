@@ -50,8 +50,8 @@ def features_bar_ratios(spark, sf_dir):
 @query(
     "features_candle_anatomy",
     KEY + "body_size:d upper_shadow:d lower_shadow:d",
-    f"""WITH {BARS} SELECT symbol, ts, abs(close - open) / open AS body_size,
-    (high - greatest(open, close)) / open AS upper_shadow, (least(open, close) - low) / open AS lower_shadow FROM bars""",
+    f"""WITH {BARS} SELECT symbol, ts, abs(close - open) / nullif(open, 0) AS body_size,
+    (high - greatest(open, close)) / nullif(open, 0) AS upper_shadow, (least(open, close) - low) / nullif(open, 0) AS lower_shadow FROM bars""",
 )
 def features_candle_anatomy(spark, sf_dir):
     return bars(spark, sf_dir).withColumns(scalar.candle_anatomy())
