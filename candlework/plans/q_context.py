@@ -11,7 +11,7 @@ from ..operators import external_features as ef
 from ..operators import micro_features as mf
 from ..operators.asof import asof_audit, asof_join
 from .inputs import OBSERVATIONS_SQL, bars, bars_sql, observations, table
-from .q_features import ATR_SQL, KEY, W, roll
+from .q_features import ATR_SQL, KEY, W, null_at_zero, roll
 from .q_labels import atr_bars
 from .registry import query
 
@@ -398,10 +398,13 @@ def market_sql(source: str) -> str:
       {roll('avg', 'rng', 12)} / nullif(CASE WHEN count(rng) OVER {f96} = 96 THEN quantile_cont(rng, 0.5) OVER {f96} END, 0) AS range_regime FROM k0 {W})"""
 
 
+MARKET_SQL = null_at_zero(market_sql("bars"), "close", "lag(close) OVER w", *[f"lag(close, {n}) OVER w" for n in (2, 4, 8, 12, 24)])
+
+
 @query(
     "features_cross_market_series",
     KEY + " ".join(f"{c}:d" for c in CROSS),
-    f"WITH {bars_sql()}, {market_sql('bars')} SELECT * FROM market",
+    f"WITH {bars_sql()}, {MARKET_SQL} SELECT * FROM market",
 )
 def features_cross_market_series(spark, sf_dir):
     return cf.market_features(bars(spark, sf_dir))
