@@ -418,7 +418,7 @@ def _cross_side(name):
 @query(
     "features_cross_market",
     "prediction_ts:t click_return_4:d view_return_4:d home_minus_click_return_4:d home_minus_click_return_12:d home_click_alignment:d click_view_alignment:d click_minus_view_return_4:d",
-    f"""WITH {bars_sql()}, {market_sql('bars')}, home AS (SELECT * FROM market WHERE symbol = 'purchase'), {_cross_side('click')}, {_cross_side('view')}
+    f"""WITH {bars_sql()}, {MARKET_SQL}, home AS (SELECT * FROM market WHERE symbol = 'purchase'), {_cross_side('click')}, {_cross_side('view')}
     SELECT h.ts AS prediction_ts, click.m.return_4 AS click_return_4, view.m.return_4 AS view_return_4,
       h.return_4 - click.m.return_4 AS home_minus_click_return_4, h.return_12 - click.m.return_12 AS home_minus_click_return_12,
       sign(h.return_4) * sign(click.m.return_4) AS home_click_alignment, sign(click.m.return_4) * sign(view.m.return_4) AS click_view_alignment,
