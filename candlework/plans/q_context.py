@@ -11,7 +11,7 @@ from ..operators import external_features as ef
 from ..operators import micro_features as mf
 from ..operators.asof import asof_audit, asof_join
 from .inputs import OBSERVATIONS_SQL, bars, bars_sql, observations, table
-from .q_features import ATR_SQL, KEY, W, null_at_zero, roll
+from .q_features import ATR_OR_NULL_SQL, ATR_SQL, KEY, W, null_at_zero, roll
 from .q_labels import atr_bars
 from .registry import query
 
@@ -51,10 +51,10 @@ def resample_completed_four_hours(spark, sf_dir):
     + " return_20:d return_40:d return_80:d "
     + " ".join(f"atr_trend_{h}:d4" for h in (5, 10, 20, 40))
     + " directional_persistence_5:d directional_persistence_10:d directional_persistence_20:d range_position_20:d range_position_50:d candle_close_location:d signed_body_range:d",
-    f"""WITH RECURSIVE {ATR_SQL}, r AS (SELECT *, close / lag(close) OVER w - 1 AS r FROM atr_t {W}),
+    f"""WITH RECURSIVE {ATR_OR_NULL_SQL}, r AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS r FROM atr_t {W}),
     x AS (SELECT *, lag(r, 1) OVER w AS return_lag_1, lag(r, 2) OVER w AS return_lag_2, lag(r, 3) OVER w AS return_lag_3,
-      lag(r, 5) OVER w AS return_lag_5, close / lag(close, 20) OVER w - 1 AS return_20, close / lag(close, 40) OVER w - 1 AS return_40,
-      close / lag(close, 80) OVER w - 1 AS return_80, """
+      lag(r, 5) OVER w AS return_lag_5, close / nullif(lag(close, 20) OVER w, 0) - 1 AS return_20,
+      close / nullif(lag(close, 40) OVER w, 0) - 1 AS return_40, close / nullif(lag(close, 80) OVER w, 0) - 1 AS return_80, """
     + ", ".join(f"coalesce((close - lag(close, {h}) OVER w) / nullif(atr, 0), 0) AS atr_trend_{h}" for h in (5, 10, 20, 40))
     + ", "
     + ", ".join(f"{roll('avg', 'sign(r)', n)} AS directional_persistence_{n}" for n in (5, 10, 20))
