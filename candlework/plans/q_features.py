@@ -30,9 +30,10 @@ def features(spark, sf_dir, *families):
 @query(
     "features_returns",
     KEY + "returns:d returns_2:d returns_5:d returns_10:d log_returns:d",
-    f"""WITH {BARS} SELECT symbol, ts, close / lag(close) OVER w - 1 AS returns,
-    close / lag(close, 2) OVER w - 1 AS returns_2, close / lag(close, 5) OVER w - 1 AS returns_5,
-    close / lag(close, 10) OVER w - 1 AS returns_10, ln(close / lag(close) OVER w) AS log_returns FROM bars {W}""",
+    f"""WITH {BARS} SELECT symbol, ts, close / nullif(lag(close) OVER w, 0) - 1 AS returns,
+    close / nullif(lag(close, 2) OVER w, 0) - 1 AS returns_2, close / nullif(lag(close, 5) OVER w, 0) - 1 AS returns_5,
+    close / nullif(lag(close, 10) OVER w, 0) - 1 AS returns_10,
+    CASE WHEN close / nullif(lag(close) OVER w, 0) > 0 THEN ln(close / nullif(lag(close) OVER w, 0)) END AS log_returns FROM bars {W}""",
 )
 def features_returns(spark, sf_dir):
     return features(spark, sf_dir, "returns")

@@ -19,6 +19,7 @@ NAMES = [
     "features_cross_market_series",
     "features_cross_market",
     "features_directional",
+    "features_returns",
 ]
 
 
