@@ -10,7 +10,7 @@ from ..operators import context_features as cf
 from ..operators import labels as lb
 from ..operators import price_features as pf
 from .inputs import bars, bars_sql
-from .q_features import ATR_SQL, KEY, NUMBERED, W, roll
+from .q_features import ATR_SQL, KEY, NUMBERED, W, null_at_zero, roll
 from .registry import query
 
 
@@ -250,7 +250,7 @@ def boundary_rows(spark, sf_dir):
 @query(
     "label_boundary_distance",
     KEY + "target:l reconstructed_target:l threshold_return:d4 forward_move_atr:d4 absolute_move_atr:d4 boundary_distance_atr:d4 threshold_price_points:d4 forward_move_price_points:d4",
-    f"WITH RECURSIVE {BOUNDARY_SQL} SELECT * FROM boundary",
+    f"WITH RECURSIVE {null_at_zero(BOUNDARY_SQL, 'close', 'lag(close, 5) OVER w', 'abs(atr_pct)', 'atr_pct')} SELECT * FROM boundary",
 )
 def label_boundary_distance(spark, sf_dir):
     return boundary_rows(spark, sf_dir)
