@@ -277,9 +277,9 @@ def label_asymmetric(spark, sf_dir):
     "symbol:s rows:l mean_signed_return:d mean_after_spread:d win_rate:d",
     f"""WITH {NUMBERED}, p AS (
       SELECT symbol, CASE WHEN close > open THEN 1 ELSE -1 END AS side, close, spread * 0.0001 AS cost, lead(close, 5) OVER w AS c5 FROM numbered {W}),
-    r AS (SELECT symbol, side * (c5 / close - 1) AS s, side * (c5 / close - 1) - cost / close AS net FROM p WHERE c5 IS NOT NULL)
+    r AS (SELECT symbol, side * (c5 / nullif(close, 0) - 1) AS s, side * (c5 / nullif(close, 0) - 1) - cost / nullif(close, 0) AS net FROM p WHERE c5 IS NOT NULL)
     SELECT symbol, count(*) AS rows, avg(s) AS mean_signed_return, avg(net) AS mean_after_spread,
-      avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM r GROUP BY 1""",
+      avg(CASE WHEN s > 0 THEN 1.0 WHEN s IS NOT NULL THEN 0.0 END) AS win_rate FROM r GROUP BY 1""",
 )
 def label_economic_sanity(spark, sf_dir):
     side = F.when(F.col("close") > F.col("open"), 1).otherwise(-1)
