@@ -192,7 +192,7 @@ long_rules AS (
 @query(
     "rules_direction",
     KEY + "rule:s direction:l",
-    f"WITH {bars_sql()}, {RULES_SQL.replace('SRC', 'bars')} SELECT symbol, ts, rule, direction FROM long_rules",
+    f"WITH {bars_sql()}, {null_at_zero(RULES_SQL, 'lag(close, 3) OVER w').replace('SRC', 'bars')} SELECT symbol, ts, rule, direction FROM long_rules",
 )
 def rules_direction(spark, sf_dir):
     return cf.long_rules(cf.direction_rules(bars(spark, sf_dir)), ["symbol", "ts"])

@@ -22,6 +22,7 @@ NAMES = [
     "features_returns",
     "label_boundary_distance",
     "label_economic_sanity",
+    "rules_direction",
 ]
 
 
