@@ -218,11 +218,13 @@ outcome_rows AS (
     CASE WHEN good IS NULL AND poor IS NULL THEN 'UNRESOLVED' WHEN good = poor THEN 'SAME_BAR_TIE'
          WHEN poor IS NULL OR good < poor THEN 'FAVORABLE' ELSE 'ADVERSE' END AS first_passage FROM outcomes)"""
 
+OUTCOMES_OR_NULL = ("close", "lag(close, 3) OVER w")
+
 
 @query(
     "rules_outcomes",
     KEY + "rule:s direction:l terminal_return:d mfe:d mae:d reached_plus_1atr:l reached_minus_1atr:l first_passage:s maximum_outcome_ts:t",
-    f"WITH RECURSIVE {OUTCOMES_SQL} SELECT *, last_ts AS maximum_outcome_ts FROM outcome_rows",
+    f"WITH RECURSIVE {null_at_zero(OUTCOMES_SQL, *OUTCOMES_OR_NULL)} SELECT *, last_ts AS maximum_outcome_ts FROM outcome_rows",
 )
 def rules_outcomes(spark, sf_dir):
     return ruled_outcomes(spark, sf_dir)

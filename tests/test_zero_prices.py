@@ -23,6 +23,7 @@ NAMES = [
     "label_boundary_distance",
     "label_economic_sanity",
     "rules_direction",
+    "rules_outcomes",
 ]
 
 
