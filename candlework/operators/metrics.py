@@ -6,6 +6,7 @@ or from distribution rows (AUC, average precision), per any set of keys.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -288,25 +289,29 @@ def prior_baseline(df: DataFrame, *, row_key: Sequence[str], runs: int = 20, see
     """Average metrics of ``runs`` random predictions drawn from the class priors.
 
     A draw is a hash of (seed, run, row key), so it does not depend on how rows
-    are partitioned.  All runs are conditional counts of one aggregation.
+    are partitioned.  Only its digest is made per row and run: shares are
+    compared as digits of the hash.  All runs are counted in one aggregation.
     """
     t = F.col(target)
     priors = df.agg(*[F.avg((t == k).cast("double")).alias(f"_p{k}") for k in (0, 1)]).first()
     p0, p1 = float(priors[0] or 0.0), float(priors[1] or 0.0)
-    draws = [F.struct(F.lit(r).alias("run"), hashed_uniform(seed, F.lit(r), *[F.col(c) for c in row_key]).alias("u")) for r in range(runs)]
-    rows = df.select(target, F.explode(F.array(*draws)).alias("_d"))
-    guess = F.when(F.col("_d.u") < p0, 0).when(F.col("_d.u") < p0 + p1, 1).otherwise(2)
-    report = rows.select(target, F.col("_d.run").alias("run"), guess.alias("predicted"))
+    # The row's part of the hashed name is put together once, before the runs are made.
+    named = df.select(target, F.concat_ws("|", F.lit(""), *[F.col(c).cast("string") for c in row_key]).alias("_row"))
+    starts = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(f"{seed}|{r}").alias("start")) for r in range(runs)])
+    digest = F.md5(F.concat("_d.start", "_row").cast("binary")).alias("_digest")
+    drawn = named.select(target, "_row", F.explode(starts).alias("_d")).select(target, F.col("_d.run").alias("run"), digest)
+    guess = F.when(hash_below("_digest", p0), 0).when(hash_below("_digest", p0 + p1), 1).otherwise(2)
+    report = drawn.select(target, "run", guess.alias("predicted"))
     wide = confusion(report, keys=["run"], actual=target)
     made = summary_scores()
     per_run = wide.select("run", *[made[m].alias(m) for m in ("accuracy", "balanced_accuracy", "macro_f1")])
     return per_run.agg(F.count(F.lit(1)).alias("runs"), *[F.avg(m).alias(m) for m in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 
-def hashed_uniform(seed: int, *parts: Column) -> Column:
-    """Uniform number in [0, 1) from the first 32 bits of an MD5, which any engine can draw."""
-    name = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def hash_below(digest: str, share: float) -> Column:
+    """Whether the first 32 bits of an MD5 in hex, as a uniform number in [0, 1), lie below ``share``."""
+    first = math.ceil(share * (1 << 32))
+    return F.lit(True) if first >= 1 << 32 else F.col(digest) < F.lit(f"{max(first, 0):08x}")
 
 
 def class_label(c: Column) -> Column:
