@@ -94,6 +94,16 @@ def _cell_starts(counts: DataFrame, by: Sequence[str], names: Sequence[str], tot
     return local.join(bases, [*by, "_chunk"]).select(*by, *names, start, *([total] if total else []))
 
 
+def cell_ranks(counted: DataFrame, by: Sequence[str], cells: Sequence[str], n: str) -> DataFrame:
+    """Counted cells with the rows of earlier cells (``_start``) and of the whole series (``_total``).
+
+    A step function of a row's position that is equal at a cell's first and last row holds for all its rows, so
+    only cells that a step cuts need an order inside.
+    """
+    starts = _cell_starts(counted.withColumn("_n", F.col(n)), by, cells, "_total")
+    return counted.join(starts, [*by, *cells])
+
+
 def block_rows(back: int, ahead: int) -> int:
     """Rows per block: long enough that copied rows stay a small share."""
     return max(MIN_BLOCK_ROWS, 4 * (back + ahead))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import bin_by_edges, rank_bin
 from . import ecdf as ed
-from .series import same, time_cell, with_row_index
+from .series import cell_ranks, placeable, same, time_cell, with_row_index
 from .staging import stage
 
 SHARES = ("sell_pct", "buy_pct", "no_trade_pct")
@@ -153,20 +153,46 @@ def regime_table(df: DataFrame, *, ts: str = "ts", target: str = "target", split
     return same(stats, medians(long, ["close", "returns"], keys, cuts=cuts), keys, "left")
 
 
+def _ranked_cells(df: DataFrame, columns: Sequence[str], names: Sequence[str], ts: str, cells: int | None, near: Sequence[float] = ()) -> tuple[DataFrame, list[str]]:
+    """Long rows with the cells (value, then time inside a very common value) that their ranks are counted by."""
+    cuts = ed.value_cells(df, columns, cells, near=near)
+    long = ed.unpivot(df, columns, keep=list(dict.fromkeys([*names, ts])), cells=cuts).where(F.col("value").isNotNull())
+    within = F.when(F.col("heavy"), time_cell(ts)).otherwise(F.lit(0).cast("long"))
+    return long.withColumnRenamed("cell", "value_cell").withColumn("time_cell", within), ["value_cell", "time_cell"]
+
+
 def rank_bins(df: DataFrame, columns: Sequence[str], q: int, *, tie_order: Sequence[str], keep: Sequence[str], ts: str = "ts", cells: int | None = None) -> DataFrame:
     """Long (keep, feature, value, bin): equal-frequency bins of ranks, ties by ``tie_order``.
 
     A value that fills more than one cell's share of the rows is ranked in time
     cells, so one very common value does not end up in one task.
     """
-    cuts = ed.value_cells(df, columns, cells)
-    names = list(dict.fromkeys([*keep, *tie_order, ts]))
-    long = ed.unpivot(df, columns, keep=names, cells=cuts).where(F.col("value").isNotNull())
-    within = F.when(F.col("heavy"), time_cell(ts)).otherwise(F.lit(0).cast("long"))
-    ranked = with_row_index(long.withColumnRenamed("cell", "value_cell"), ["feature"], ["value", *tie_order], [F.col("value_cell"), within], index="_rank", total="_n")
+    long, at = _ranked_cells(df, columns, [*keep, *tie_order], ts, cells)
+    ranked = with_row_index(long, ["feature"], ["value", *tie_order], [F.col(c) for c in at], index="_rank", total="_n")
     return ranked.withColumn("bin", rank_bin(F.col("_rank"), F.col("_n"), q)).select(*keep, "feature", "value", "bin")
 
 
+def rank_bin_totals(df: DataFrame, columns: Sequence[str], q: int, *, tie_order: Sequence[str], totals: dict[str, Column], ts: str = "ts") -> DataFrame:
+    """(feature, bin, count, totals): how many rows ``rank_bins`` puts in each bin, and sums over them.
+
+    Rows are only counted per cell.  A cell whose ranks lie in one bin is added as a whole; rows are ranked in the cells
+    that a bin edge cuts, ``q - 1`` per column at most.  ``df`` is read three times.
+    """
+    sums = [F.sum(t).alias(t) for t in totals]
+    values = df.withColumns(totals)
+    long, at = _ranked_cells(values, columns, [*totals, *tie_order], ts, None, [k / q for k in range(1, q)])
+    long = placeable(long, at)
+    placed = stage(cell_ranks(long.groupBy("feature", *at).agg(F.count(F.lit(1)).alias("count"), *sums), ["feature"], at, "count"))
+    of = lambda rank: rank_bin(rank, F.col("_total"), q)
+    last = F.col("_start") + F.col("count") - 1
+    whole = placed.where(of(F.col("_start")) == of(last)).select("feature", of(F.col("_start")).alias("bin"), "count", *totals)
+    cut = placed.where(of(F.col("_start")) != of(last)).select("feature", *at, "_start", "_total")
+    inside = long.join(F.broadcast(cut), ["feature", *at])
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy("feature", *at).orderBy("value", *tie_order)) - 1
+    split = inside.select("feature", of(rank).alias("bin"), F.lit(1).cast("long").alias("count"), *totals)
+    return whole.unionByName(split).groupBy("feature", "bin").agg(F.sum("count").alias("count"), *sums)
+
+
 def condition_rates(df: DataFrame, conditions: dict[str, Column], *, target: str = "target") -> DataFrame:
     """Class rates of the rows that satisfy each condition (they may overlap)."""
     t = F.col(target)
@@ -233,8 +259,9 @@ def forward_relation(df: DataFrame, *, horizons: Sequence[int], target: str = "t
     Needs columns ``forward_<h>``.
     """
     names = [f"forward_{h}" for h in horizons]
-    bins = rank_bins(df, names, 4, tie_order=tie_order, keep=[*tie_order, target])
-    rates = bins.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(target).alias("target_rate"))
+    t = F.col(target)
+    bins = rank_bin_totals(df, names, 4, tie_order=tie_order, totals={"_sum": t.cast("double"), "_known": t.isNotNull().cast("long")})
+    rates = bins.select("feature", "bin", "count", (F.col("_sum") / F.nullif(F.col("_known"), F.lit(0))).alias("target_rate"))
     wide = df.agg(*[F.corr(F.col(target).cast("double"), F.col(n)).alias(n) for n in names])
     corr = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("corr")) for n in names])).alias("_c")).select("_c.*")
     return rates.join(corr, "feature")
