@@ -9,12 +9,13 @@ buffer.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import same
+from .staging import stage
 
 
 #: Rows of a cell that the number of cells aims at, the fewest and the most cells, and the size of the sketches
@@ -89,18 +90,28 @@ def unpivot(df: DataFrame, columns: Sequence[str], *, keep: Sequence[str], cells
     return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
 
 
-def ecdf(df: DataFrame, groups: dict[str, Column], *, keys: Sequence[str] = ("feature",), value: str = "value", cell: str = "cell") -> DataFrame:
+def distinct_cells(hist: DataFrame, columns: Sequence[str], cells: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Cell of every distinct value of a long table; ``cells`` as from ``value_cells``."""
+    named = hist.withColumns({c: F.when(F.col("feature") == c, F.col("value")) for c in columns})
+    at = F.coalesce(*[F.when(F.col("feature") == c, cells[c][0]) for c in columns])
+    return named.withColumn("cell", at).drop(*columns)
+
+
+def ecdf(df: DataFrame, groups: dict[str, Column], *, keys: Sequence[str] = ("feature",), value: str = "value", cell: str = "cell", place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per distinct value: counts ``n_g``, cumulative ``c_g``, totals ``t_g``, ``next_value``.
 
-    ``groups`` are conditions over the rows of ``df``; NULL values are left out.
+    ``groups`` are conditions over the rows of ``df``; NULL values are left out.  ``place`` adds the cell to distinct
+    values, so that it is not computed for every row.
     """
     names = list(groups)
     keyed = [*keys, cell]
     hist = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keyed, value)
+        .groupBy(*(keys if place else keyed), value)
         .agg(*[F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long").alias(f"n_{g}") for g, cond in groups.items()])
     )
+    if place:
+        hist = stage(place(hist))
     inside = Window.partitionBy(*keyed).orderBy(value)
     along = Window.partitionBy(*keys).orderBy(cell)
     before = along.rowsBetween(Window.unboundedPreceding, -1)

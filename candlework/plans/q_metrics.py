@@ -8,12 +8,13 @@ from ..functions import bins
 from ..functions.scalar import activity_score, decide_signal, direction_score, signal_probability, threshold_signal
 from ..operators import metrics as mt
 from ..operators import price_features as pf
+from ..operators import splits as sp
 from ..operators import tables as tb
 from ..operators import twosample as ts
 from ..operators.staging import stage
-from .inputs import SCORED_SPLIT_SQL, SCORED_SQL, bars, scored
+from .inputs import SCORED_ORDER, SCORED_SPLIT_SQL, SCORED_SQL, bars, scored
 from .q_features import FEATURES_ALL_SQL, FEATURES_OR_NULL_SQL
-from .q_tables import scored_split
+from .q_tables import scored_cells, scored_split
 from .registry import query, rounded
 
 NUMBERS = ["quantity", "extendedprice", "discount", "tax"]
@@ -22,7 +23,9 @@ LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS va
 
 def study_split(spark, sf_dir):
     """Split rows stored once: the two-sample statistics read them several times."""
-    return stage(scored_split(spark, sf_dir).select("split", "target", *NUMBERS))
+    rows = scored(spark, sf_dir).withColumn("symbol", F.lit("ALL"))
+    time, band = scored_cells()
+    return stage(sp.split_labels(rows, by=["symbol"], order=SCORED_ORDER, cell=time, inner=[band]).select("split", "target", *NUMBERS))
 
 
 def ks_sql(cond_a: str, cond_b: str, keys: str = "feature", source: str = "long") -> str:
