@@ -25,7 +25,7 @@ ROWS_PER_CELL, FEWEST_CELLS, MOST_CELLS, SKETCH_K = 100_000, 8, 256, 1024
 NEAR_CELLS = 3
 
 
-def value_cells(df: DataFrame, columns: Sequence[str], cells: int | None = None, *, near: Sequence[float] = ()) -> dict[str, tuple[Column, Column]]:
+def value_cells(df: DataFrame, columns: Sequence[str], cells: int | None = None, *, near: Sequence[float] = (), of: str | None = None) -> dict[str, tuple[Column, Column]]:
     """Per column, a monotone cell number and a flag for single-value cells.
 
     Cut points come from mergeable quantile sketches, one per column, all built in one pass; ``MOST_CELLS`` numbers
@@ -33,6 +33,7 @@ def value_cells(df: DataFrame, columns: Sequence[str], cells: int | None = None,
     how work is split, never the result.  A value that takes more than a cell's
     share of the rows gets a cell of its own and is flagged.  With ``near``, cells lie close only around these quantiles
     and all values between two of them share one: short expressions for callers that look inside those cells alone.
+    ``of`` names the value column of a long table that the cells are to be read from instead.
     """
     number = lambda c: F.col(c).cast("double")
     sketches = [F.kll_sketch_agg_double(F.when(~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")), number(c)), SKETCH_K).alias(f"_k{j}") for j, c in enumerate(columns)]
@@ -51,8 +52,8 @@ def value_cells(df: DataFrame, columns: Sequence[str], cells: int | None = None,
         unique = sorted(set(edges))
         heavy = [e for k, e in enumerate(edges) if k and edges[k - 1] == e]
         out[name] = (
-            _cell(F.col(name), unique, sorted(set(heavy))),
-            F.col(name).isin(sorted(set(heavy))) if heavy else F.lit(False),
+            _cell(F.col(of or name), unique, sorted(set(heavy))),
+            F.col(of or name).isin(sorted(set(heavy))) if heavy else F.lit(False),
         )
     return out
 
@@ -90,11 +91,12 @@ def unpivot(df: DataFrame, columns: Sequence[str], *, keep: Sequence[str], cells
     return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
 
 
-def distinct_cells(hist: DataFrame, columns: Sequence[str], cells: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Cell of every distinct value of a long table; ``cells`` as from ``value_cells``."""
-    named = hist.withColumns({c: F.when(F.col("feature") == c, F.col("value")) for c in columns})
-    at = F.coalesce(*[F.when(F.col("feature") == c, cells[c][0]) for c in columns])
-    return named.withColumn("cell", at).drop(*columns)
+def distinct_cells(hist: DataFrame, cells: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Cell of every distinct value of a long table; ``cells`` from ``value_cells`` with ``of`` its value column."""
+    at = F.lit(0)
+    for name, (cell, _) in reversed(cells.items()):
+        at = F.when(F.col("feature") == name, cell).otherwise(at)
+    return hist.withColumn("cell", at)
 
 
 def ecdf(df: DataFrame, groups: dict[str, Column], *, keys: Sequence[str] = ("feature",), value: str = "value", cell: str = "cell", place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -38,9 +38,9 @@ def moments(df: DataFrame, features: Sequence[str], groups: dict[str, Column]) -
 
 def _table(df: DataFrame, features: Sequence[str], groups: dict[str, Column], keep: Sequence[str], cells: int | None) -> DataFrame:
     """Stored distribution rows: several statistics are read off them.  ``df`` is read twice and should be stored."""
-    cuts = ed.value_cells(df, features, cells)
+    cuts = ed.value_cells(df, features, cells, of="value")
     long = ed.unpivot(df, features, keep=keep).drop("cell", "heavy")
-    return stage(ed.ecdf(long, groups, place=lambda hist: ed.distinct_cells(hist, features, cuts)))
+    return stage(ed.ecdf(long, groups, place=lambda hist: ed.distinct_cells(hist, cuts)))
 
 
 def stability_index(table: DataFrame, a: str, b: str) -> DataFrame:
