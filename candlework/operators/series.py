@@ -130,6 +130,16 @@ def in_blocks(
     return spread.withColumn(HOME, F.col(BLOCK) == own)
 
 
+def block_tasks(df: DataFrame) -> int:
+    """Tasks that blocks are dealt to: a number that Spark keeps.
+
+    Blocks are small and costly, and adaptive execution would join them, by their bytes, to about one task per core;
+    one task more than cores then doubles the time.
+    """
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def over_series(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -149,7 +159,7 @@ def over_series(
     A frame that is already indexed is used as it is.
     """
     indexed = df if INDEX in df.columns else with_row_index(df, by, [ts], [time_cell(ts, cell_seconds)])
-    blocked = in_blocks(indexed, back=back, ahead=ahead, rows=rows)
+    blocked = in_blocks(indexed, back=back, ahead=ahead, rows=rows).repartition(block_tasks(df), *by, BLOCK)
     w = Window.partitionBy(*by, BLOCK).orderBy(INDEX)
     out = build(blocked, w).where(F.col(HOME))
     return out if keep_blocks else out.drop(BLOCK, HOME)
