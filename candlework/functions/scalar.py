@@ -21,6 +21,19 @@ def ratio(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0.0))
 
 
+def quotient(num: Column, den: Column) -> Column:
+    """``num / den`` in floating point: over zero it is infinite, or NaN for 0 / 0."""
+    return F.when(den == 0, num * F.lit(float("inf"))).otherwise(ratio(num, den))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; NaN where a side does not vary (Spark's ``corr`` ends with an error there)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(ratio(F.covar_pop(a, b), spread))
+
+
 def ratio_or_zero(num: Column, den: Column) -> Column:
     return F.coalesce(ratio(num, den), F.lit(0.0))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_by_edges, rank_bin
+from ..functions.scalar import correlation
 from . import ecdf as ed
 from .series import cell_ranks, placeable, same, time_cell, with_row_index
 from .staging import stage
@@ -215,7 +216,7 @@ def label_audit(df: DataFrame, *, keys: Sequence[str] = ("split",), buy: str = "
         F.count_if((b == 0) & (s == 0)).alias("both_zero_count"),
         F.count_if((b == 1) & (s == 1)).alias("both_one_count"),
         F.count_if((b == 1) | (s == 1)).alias("directional_count"),
-        F.corr(b.cast("double"), s.cast("double")).alias("label_pearson_correlation"),
+        correlation(b, s).alias("label_pearson_correlation"),
     )
     return out.withColumns(
         {
