@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -39,6 +39,9 @@ NORMALIZED_FEATURES = [
 ]
 FAMILIES = ("returns", "rsi", "macd", "bands", "averages", "ema", "atr", "volatility", "volume", "candle", "clock")
 
+#: Divides by prices: ``scalar.ratio`` (NULL over zero) or ``scalar.quotient`` (infinite or NaN).
+Divide = Callable[[Column, Column], Column]
+
 _SPANS = [2.0 / (n + 1) for n in (*EMA_SPANS, *MACD_SPANS)]
 _ALPHAS = [*_SPANS, 1.0 / RSI_PERIOD, 1.0 / ATR_PERIOD]
 #: Halo of the decayed means; the signal line is a decayed mean of another one.
@@ -52,8 +55,8 @@ def feature_family(name: str) -> str:
     return "normalized_relative" if name in NORMALIZED_FEATURES else "price_level_or_scale_dependent"
 
 
-def pct_change(x: Column, w: WindowSpec, n: int = 1) -> Column:
-    return scalar.ratio(x, F.lag(x, n).over(w)) - 1.0
+def pct_change(x: Column, w: WindowSpec, n: int = 1, divide: Divide = scalar.ratio) -> Column:
+    return divide(x, F.lag(x, n).over(w)) - 1.0
 
 
 def true_range(w: WindowSpec) -> Column:
@@ -125,10 +128,10 @@ def ema_columns(w: WindowSpec) -> dict[str, Column]:
     return {f"ema_{n}": _ewm(F.col("close"), 2.0 / (n + 1), w, adjust=False) for n in EMA_SPANS}
 
 
-def add_atr(df: DataFrame, w: WindowSpec) -> DataFrame:
+def add_atr(df: DataFrame, w: WindowSpec, divide: Divide = scalar.ratio) -> DataFrame:
     df = df.withColumn("_tr", true_range(w))
     atr = _ewm(F.col("_tr"), 1.0 / ATR_PERIOD, w, adjust=True, min_periods=ATR_PERIOD)
-    return df.withColumn("atr", atr).withColumn("atr_pct", scalar.ratio(F.col("atr"), F.col("close"))).drop("_tr")
+    return df.withColumn("atr", atr).withColumn("atr_pct", divide(F.col("atr"), F.col("close"))).drop("_tr")
 
 
 def add_volatility(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -157,11 +160,13 @@ def price_features(
     rows: int = EWM_ROWS,
     ahead: int = 0,
     extra=None,
+    divide: Divide = scalar.ratio,
 ) -> DataFrame:
     """Add the requested feature families to a bar table.
 
     ``extra(frame, window)`` may add further columns in the same pass, with
-    frames reaching at most ``ahead`` rows forward.
+    frames reaching at most ``ahead`` rows forward.  ``divide`` says what ATR
+    per close is on a bar that closes at zero.
     """
     decayed = {"rsi", "macd", "ema", "atr"} & set(families)
     back = EWM_BACK if decayed else max(SMA_PERIODS)
@@ -180,7 +185,7 @@ def price_features(
         if "ema" in families:
             df = df.withColumns(ema_columns(w))
         if "atr" in families:
-            df = add_atr(df, w)
+            df = add_atr(df, w, divide)
         if "volatility" in families:
             df = add_volatility(df, w)
         if "volume" in families:
