@@ -12,6 +12,7 @@ NAMES = [
     "study_asymmetric_labels",
     "study_label_distribution",
     "table_regime_structure",
+    "table_regimes",
 ]
 
 
