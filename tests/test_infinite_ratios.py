@@ -13,6 +13,7 @@ NAMES = [
     "study_label_distribution",
     "table_regime_structure",
     "table_regimes",
+    "table_sessions",
 ]
 
 
