@@ -14,6 +14,7 @@ NAMES = [
     "table_regime_structure",
     "table_regimes",
     "table_sessions",
+    "table_target_drift_bars",
 ]
 
 
