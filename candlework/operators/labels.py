@@ -6,7 +6,7 @@ the stated horizon and rows without enough future are NULL or INCOMPLETE.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -300,13 +300,13 @@ def rule_outcomes(
     return over_series(bars, build, by=by, ts=ts, ahead=horizon)
 
 
-def boundary_columns(multiplier: float = 1.0) -> dict[str, Column]:
+def boundary_columns(multiplier: float = 1.0, divide: Callable[[Column, Column], Column] = ratio) -> dict[str, Column]:
     """Distance of a realised forward move from the label threshold.
 
     Needs ``forward_return``, ``atr`` and ``atr_pct``.
     """
     move, rel = F.col("forward_return"), F.abs(F.col("atr_pct"))
-    in_atr = ratio(move, rel)
+    in_atr = divide(move, rel)
     limit = rel * multiplier
     return {
         "threshold_return": limit,
@@ -314,7 +314,7 @@ def boundary_columns(multiplier: float = 1.0) -> dict[str, Column]:
         "absolute_move_atr": F.abs(in_atr),
         "boundary_distance_atr": F.abs(F.abs(in_atr) - multiplier),
         "threshold_price_points": F.abs(F.col("atr")) * multiplier,
-        "forward_move_price_points": ratio(move * F.col("atr"), F.col("atr_pct")),
+        "forward_move_price_points": divide(move * F.col("atr"), F.col("atr_pct")),
         "reconstructed_target": F.when(move > limit, BUY).when(move < -limit, SELL).otherwise(NO_TRADE).cast("int"),
     }
 

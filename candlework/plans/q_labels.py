@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from ..functions.scalar import asymmetric_labels
+from ..functions.scalar import asymmetric_labels, ratio
 from ..operators import context_features as cf
 from ..operators import labels as lb
 from ..operators import price_features as pf
@@ -240,13 +240,13 @@ boundary AS (
   FROM forward WHERE forward_return IS NOT NULL AND atr_pct IS NOT NULL)"""
 
 
-def boundary_rows(spark, sf_dir):
+def boundary_rows(spark, sf_dir, divide=ratio):
     def extra(df, w):
-        df = df.withColumns({"target": lb.forward_atr_column(w), "returns_5": pf.pct_change(F.col("close"), w, 5)})
+        df = df.withColumns({"target": lb.forward_atr_column(w), "returns_5": pf.pct_change(F.col("close"), w, 5, divide)})
         return df.withColumn("forward_return", F.lead("returns_5", 5).over(w))
 
-    rows = atr_bars(spark, sf_dir, ahead=5, extra=extra)
-    return rows.where(F.col("forward_return").isNotNull() & F.col("atr_pct").isNotNull()).withColumns(lb.boundary_columns())
+    rows = atr_bars(spark, sf_dir, ahead=5, extra=extra, divide=divide)
+    return rows.where(F.col("forward_return").isNotNull() & F.col("atr_pct").isNotNull()).withColumns(lb.boundary_columns(divide=divide))
 
 
 @query(
