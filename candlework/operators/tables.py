@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_by_edges, rank_bin
-from ..functions.scalar import correlation
+from ..functions.scalar import correlation, quotient
 from . import ecdf as ed
 from .series import cell_ranks, placeable, same, time_cell, with_row_index
 from .staging import stage
@@ -240,9 +240,12 @@ def boundary_summary(rows: DataFrame, *, keys: Sequence[str] = ("split", "target
 
 
 def direction_symmetry(rows: DataFrame, *, key: str = "split", target: str = "target") -> DataFrame:
-    """Buy against sell rows: counts, ratio, median excess beyond the threshold, median move."""
+    """Buy against sell rows: counts, ratio, median excess beyond the threshold, median move.
+
+    Every key of ``rows`` is in the result; without sell rows the ratio is infinite, or NaN without either.
+    """
     sides = rows.where(F.col(target).isin(0, 1)).withColumn("excess", F.col("absolute_move_atr") - 1.0)
-    counts = sides.groupBy(key).agg(F.count_if(F.col(target) == 1).alias("buy_count"), F.count_if(F.col(target) == 0).alias("sell_count"))
+    counts = rows.groupBy(key).agg(F.count_if(F.col(target) == 1).alias("buy_count"), F.count_if(F.col(target) == 0).alias("sell_count"))
     mids = medians(sides, ["excess", "forward_move_price_points"], [key, target])
     wide = mids.groupBy(key).agg(
         *[
@@ -251,7 +254,7 @@ def direction_symmetry(rows: DataFrame, *, key: str = "split", target: str = "ta
             for c, name in (("excess", "excess_atr"), ("forward_move_price_points", "move_points"))
         ]
     )
-    return counts.join(wide, key).withColumn("buy_to_sell_count_ratio", F.col("buy_count") / F.nullif(F.col("sell_count"), F.lit(0)))
+    return same(counts, wide, [key], "left").withColumn("buy_to_sell_count_ratio", quotient(F.col("buy_count").cast("double"), F.col("sell_count")))
 
 
 def forward_relation(df: DataFrame, *, horizons: Sequence[int], target: str = "target", tie_order: Sequence[str] = ("symbol", "ts")) -> DataFrame:

@@ -22,3 +22,12 @@ def test_correlation_reads_pairs_only(spark):
     found = df.agg(correlation(df.x, df.y).alias("c"), correlation(df.x * 0, df.y).alias("flat")).first()
     assert found.c == pytest.approx(df.na.drop().corr("x", "y")) and math.isnan(found.flat)
     assert df.where("x > 99").agg(correlation(df.x, df.y)).first()[0] is None
+
+
+def test_direction_symmetry_of_splits_without_a_side(spark):
+    rows = [("train", k % 3, 1.0 + k, 2.0 * k) for k in range(9)] + [("validation", 1, 1.5, 3.0), ("validation", 2, 0.2, 0.1), ("test", 2, 0.3, 0.1)]
+    df = spark.createDataFrame(rows, "split string, target int, absolute_move_atr double, forward_move_price_points double")
+    got = {r["split"]: r for r in tb.direction_symmetry(df).collect()}
+    assert got["train"].buy_to_sell_count_ratio == 1 and got["train"].buy_median_excess_atr == 4 and got["train"].sell_median_move_points == 6
+    assert got["validation"].buy_to_sell_count_ratio == math.inf and got["validation"].buy_median_excess_atr == 0.5
+    assert (got["test"].buy_count, got["test"].sell_count, got["test"].buy_median_excess_atr) == (0, 0, None) and math.isnan(got["test"].buy_to_sell_count_ratio)
