@@ -266,7 +266,7 @@ def forward_relation(df: DataFrame, *, horizons: Sequence[int], target: str = "t
     t = F.col(target)
     bins = rank_bin_totals(df, names, 4, tie_order=tie_order, totals={"_sum": t.cast("double"), "_known": t.isNotNull().cast("long")})
     rates = bins.select("feature", "bin", "count", (F.col("_sum") / F.nullif(F.col("_known"), F.lit(0))).alias("target_rate"))
-    wide = df.agg(*[F.corr(F.col(target).cast("double"), F.col(n)).alias(n) for n in names])
+    wide = df.agg(*[correlation(t, F.col(n)).alias(n) for n in names])
     corr = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("corr")) for n in names])).alias("_c")).select("_c.*")
     return rates.join(corr, "feature")
 

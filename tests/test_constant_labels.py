@@ -31,3 +31,10 @@ def test_direction_symmetry_of_splits_without_a_side(spark):
     assert got["train"].buy_to_sell_count_ratio == 1 and got["train"].buy_median_excess_atr == 4 and got["train"].sell_median_move_points == 6
     assert got["validation"].buy_to_sell_count_ratio == math.inf and got["validation"].buy_median_excess_atr == 0.5
     assert (got["test"].buy_count, got["test"].sell_count, got["test"].buy_median_excess_atr) == (0, 0, None) and math.isnan(got["test"].buy_to_sell_count_ratio)
+
+
+def test_forward_relation_of_one_class(spark):
+    rows = [("A", k, 2, 0.01 * k) for k in range(8)]
+    df = spark.createDataFrame(rows, "symbol string, at long, target int, forward_1 double").selectExpr("symbol", "timestamp_seconds(at) AS ts", "target", "forward_1")
+    got = tb.forward_relation(df, horizons=[1]).collect()
+    assert len(got) == 4 and sum(r["count"] for r in got) == 8 and all(math.isnan(r["corr"]) and r["target_rate"] == 2 for r in got)
