@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -55,8 +55,11 @@ def directional_features(bars: DataFrame, *, atr: str = "atr", by: Sequence[str]
     return over_series(bars, build, by=by, ts=ts, back=DIRECTIONAL_BACK)
 
 
-def direction_rules(bars: DataFrame, *, by: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Four causal direction rules as columns (1, -1, 0 or NULL in the warm-up)."""
+def direction_rules(bars: DataFrame, *, by: Sequence[str] = ("symbol",), ts: str = "ts", divide: Callable[[Column, Column], Column] = ratio) -> DataFrame:
+    """Four causal direction rules as columns (1, -1, 0 or NULL in the warm-up).
+
+    ``divide`` says what the momentum over a zero close is; an undefined one has no direction (0).
+    """
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         c = F.col("close")
@@ -64,14 +67,14 @@ def direction_rules(bars: DataFrame, *, by: Sequence[str] = ("symbol",), ts: str
         full = F.count("close").over(prior) == 20
         hi, lo = F.max("high").over(prior), F.min("low").over(prior)
         fast, slow = (rolling(F.avg(c), w, n, seen=c) for n in (10, 20))
-        return df.withColumns(
+        return df.withColumn("_m3", pct_change(c, w, 3, divide)).withColumns(
             {
-                "momentum_3": F.signum(pct_change(c, w, 3)),
+                "momentum_3": F.when(F.isnan("_m3"), 0.0).otherwise(F.signum("_m3")),
                 "ma_10_20": F.signum(fast - slow),
                 "breakout_20": F.when(full & (c >= hi), 1.0).when(full & (c <= lo), -1.0).otherwise(0.0),
                 "completed_bar_direction": F.signum(c - F.col("open")),
             }
-        )
+        ).drop("_m3")
 
     return over_series(bars, build, by=by, ts=ts, back=21)
 

@@ -260,10 +260,12 @@ def rule_outcomes(
     atr: str = "atr",
     by: Sequence[str] = ("symbol",),
     ts: str = "ts",
+    divide: Callable[[Column, Column], Column] = ratio,
 ) -> DataFrame:
     """What happened in the ``horizon`` bars after a decided direction.
 
-    Rows without a direction of ±1 or without the full horizon are left out.
+    Rows without a direction of ±1 or without the full horizon are left out.  ``divide`` says what a return on a close
+    of zero is.
     """
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -286,9 +288,9 @@ def rule_outcomes(
         poor = F.when(long, F.col("_down")).otherwise(F.col("_up"))
         return df.withColumns(
             {
-                "terminal_return": ratio(d * (F.col("_end") - c), c),
-                "mfe": ratio(F.when(long, F.col("_hi") - c).otherwise(c - F.col("_lo")), c),
-                "mae": ratio(F.when(long, F.col("_lo") - c).otherwise(c - F.col("_hi")), c),
+                "terminal_return": divide(d * (F.col("_end") - c), c),
+                "mfe": divide(F.when(long, F.col("_hi") - c).otherwise(c - F.col("_lo")), c),
+                "mae": divide(F.when(long, F.col("_lo") - c).otherwise(c - F.col("_hi")), c),
                 "reached_plus_1atr": good.isNotNull(),
                 "reached_minus_1atr": poor.isNotNull(),
                 "first_passage": resolve_touch(

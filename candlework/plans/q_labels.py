@@ -198,11 +198,11 @@ def rules_direction(spark, sf_dir):
     return cf.long_rules(cf.direction_rules(bars(spark, sf_dir)), ["symbol", "ts"])
 
 
-def ruled_outcomes(spark, sf_dir):
+def ruled_outcomes(spark, sf_dir, divide=ratio):
     """Outcomes of every rule; each rule is its own series so all share one pass."""
-    ruled = cf.direction_rules(atr_bars(spark, sf_dir).drop("bar_index")).where(F.col("atr").isNotNull())
+    ruled = cf.direction_rules(atr_bars(spark, sf_dir).drop("bar_index"), divide=divide).where(F.col("atr").isNotNull())
     long = cf.long_rules(ruled, ["symbol", "ts", "high", "low", "close", "atr"])
-    return lb.rule_outcomes(long, by=("symbol", "rule"))
+    return lb.rule_outcomes(long, by=("symbol", "rule"), divide=divide)
 
 
 OUTCOMES_SQL = f"""{ATR_SQL}, {RULES_SQL.replace('SRC', 'atr_t')}, {touches_sql('atr_t', 'a.close + a.atr', 'a.close - a.atr', 5)},
