@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,17 +45,17 @@ def centred_location(num: Column, den: Column) -> Column:
     return F.coalesce(2.0 * ratio(num, den) - 1.0, F.lit(0.0))
 
 
-def bar_ratios() -> dict[str, Column]:
+def bar_ratios(divide: Callable[[Column, Column], Column] = ratio) -> dict[str, Column]:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    return {"high_low_ratio": ratio(h - l, c), "close_open_ratio": ratio(c - o, o)}
+    return {"high_low_ratio": divide(h - l, c), "close_open_ratio": divide(c - o, o)}
 
 
-def candle_anatomy() -> dict[str, Column]:
+def candle_anatomy(divide: Callable[[Column, Column], Column] = ratio) -> dict[str, Column]:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return {
-        "body_size": ratio(F.abs(c - o), o),
-        "upper_shadow": ratio(h - F.greatest(c, o), o),
-        "lower_shadow": ratio(F.least(c, o) - l, o),
+        "body_size": divide(F.abs(c - o), o),
+        "upper_shadow": divide(h - F.greatest(c, o), o),
+        "lower_shadow": divide(F.least(c, o) - l, o),
     }
 
 

@@ -64,13 +64,14 @@ def true_range(w: WindowSpec) -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def return_columns(w: WindowSpec) -> dict[str, Column]:
+def return_columns(w: WindowSpec, divide: Divide = scalar.ratio) -> dict[str, Column]:
     c = F.col("close")
+    growth = divide(c, F.lag(c).over(w))
     return {
-        "returns": pct_change(c, w),
-        **{f"returns_{n}": pct_change(c, w, n) for n in (2, 5, 10)},
-        "log_returns": F.ln(scalar.ratio(c, F.lag(c).over(w))),
-        **scalar.bar_ratios(),
+        "returns": pct_change(c, w, divide=divide),
+        **{f"returns_{n}": pct_change(c, w, n, divide) for n in (2, 5, 10)},
+        "log_returns": F.when(growth == 0, divide(F.lit(-1.0), growth)).otherwise(F.ln(growth)),
+        **scalar.bar_ratios(divide),
     }
 
 
@@ -98,7 +99,7 @@ def add_macd(df: DataFrame, w: WindowSpec) -> DataFrame:
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
-def band_columns(w: WindowSpec) -> dict[str, Column]:
+def band_columns(w: WindowSpec, divide: Divide = scalar.ratio) -> dict[str, Column]:
     c = F.col("close")
     mid = rolling(F.avg(c), w, BAND_PERIOD, seen=c)
     dev = rolling(F.stddev_samp(c), w, BAND_PERIOD, seen=c)
@@ -106,12 +107,12 @@ def band_columns(w: WindowSpec) -> dict[str, Column]:
     return {
         "bb_upper": upper,
         "bb_lower": lower,
-        "bb_width": scalar.ratio(upper - lower, mid),
+        "bb_width": divide(upper - lower, mid),
         "bb_pct": scalar.ratio(c - lower, upper - lower),
     }
 
 
-def add_averages(df: DataFrame, w: WindowSpec, periods: Sequence[int] = SMA_PERIODS) -> DataFrame:
+def add_averages(df: DataFrame, w: WindowSpec, periods: Sequence[int] = SMA_PERIODS, divide: Divide = scalar.ratio) -> DataFrame:
     """Moving averages as differences of one running sum per block.
 
     The cost per row does not depend on the period.  The running sum starts at
@@ -121,7 +122,7 @@ def add_averages(df: DataFrame, w: WindowSpec, periods: Sequence[int] = SMA_PERI
     df = df.withColumn("_run", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     total = {n: F.col("_run") - F.coalesce(F.lag("_run", n).over(w), F.lit(0.0)) for n in periods}
     df = df.withColumns({f"sma_{n}": F.when(F.col(INDEX) >= n - 1, total[n] / n) for n in periods})
-    return df.withColumns({f"price_to_sma_{n}": scalar.ratio(c, F.col(f"sma_{n}")) for n in periods}).drop("_run")
+    return df.withColumns({f"price_to_sma_{n}": divide(c, F.col(f"sma_{n}")) for n in periods}).drop("_run")
 
 
 def ema_columns(w: WindowSpec) -> dict[str, Column]:
@@ -134,8 +135,8 @@ def add_atr(df: DataFrame, w: WindowSpec, divide: Divide = scalar.ratio) -> Data
     return df.withColumn("atr", atr).withColumn("atr_pct", divide(F.col("atr"), F.col("close"))).drop("_tr")
 
 
-def add_volatility(df: DataFrame, w: WindowSpec) -> DataFrame:
-    df = df.withColumn("_r", pct_change(F.col("close"), w))
+def add_volatility(df: DataFrame, w: WindowSpec, divide: Divide = scalar.ratio) -> DataFrame:
+    df = df.withColumn("_r", pct_change(F.col("close"), w, divide=divide))
     r = F.col("_r")
     return df.withColumns({f"volatility_{n}": rolling(F.stddev_samp(r), w, n, seen=r) for n in (5, 20)}).drop("_r")
 
@@ -165,33 +166,33 @@ def price_features(
     """Add the requested feature families to a bar table.
 
     ``extra(frame, window)`` may add further columns in the same pass, with
-    frames reaching at most ``ahead`` rows forward.  ``divide`` says what ATR
-    per close is on a bar that closes at zero.
+    frames reaching at most ``ahead`` rows forward.  ``divide`` says what
+    ratios to a price of zero are.
     """
     decayed = {"rsi", "macd", "ema", "atr"} & set(families)
     back = EWM_BACK if decayed else max(SMA_PERIODS)
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         if "returns" in families:
-            df = df.withColumns(return_columns(w))
+            df = df.withColumns(return_columns(w, divide))
         if "rsi" in families:
             df = add_rsi(df, w)
         if "macd" in families:
             df = add_macd(df, w)
         if "bands" in families:
-            df = df.withColumns(band_columns(w))
+            df = df.withColumns(band_columns(w, divide))
         if "averages" in families:
-            df = add_averages(df, w)
+            df = add_averages(df, w, divide=divide)
         if "ema" in families:
             df = df.withColumns(ema_columns(w))
         if "atr" in families:
             df = add_atr(df, w, divide)
         if "volatility" in families:
-            df = add_volatility(df, w)
+            df = add_volatility(df, w, divide)
         if "volume" in families:
             df = df.withColumns({**volume_columns(w), "_signed": signed_volume(w)})
         if "candle" in families:
-            df = df.withColumns(scalar.candle_anatomy())
+            df = df.withColumns(scalar.candle_anatomy(divide))
         if "clock" in families:
             df = df.withColumns(scalar.clock_features(ts))
         return extra(df, w) if extra else df

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import reconstruct_ohlc
+from ..functions.scalar import number, quotient, reconstruct_ohlc
 from ..operators import price_features as pf
 from ..operators import quality as ql
 from ..operators.splits import split_metadata
@@ -445,12 +445,15 @@ def repeated_rows_across_splits(spark, sf_dir):
     f"WITH {NUMBERED} SELECT symbol, ts, 0 AS open_error, 0 AS high_error, 0 AS low_error, 0 AS close_error FROM numbered WHERE i >= 14",
 )
 def reconstruct_prices(spark, sf_dir):
-    """Prices rebuilt from features must equal the bars they came from."""
-    rows = pf.price_features(bars(spark, sf_dir), families=("returns", "atr", "candle")).where(F.col("atr_pct").isNotNull())
+    """Prices rebuilt from features must equal the bars they came from.
+
+    Shares of a zero price say nothing about the other prices of the bar: an error that is not known is NULL.
+    """
+    rows = pf.price_features(bars(spark, sf_dir), families=("returns", "atr", "candle"), divide=quotient).where(F.col("atr").isNotNull())
     real = {c: F.col(f"real_{c}") for c in ("open", "high", "low", "close")}
     rows = rows.withColumnsRenamed({c: f"real_{c}" for c in real})
     rebuilt = rows.withColumns(reconstruct_ohlc())
-    return rebuilt.withColumns({f"{c}_error": F.round(F.abs(F.col(c) - v), 6) for c, v in real.items()})
+    return rebuilt.withColumns({f"{c}_error": F.round(number(F.abs(F.col(c) - v)), 6) for c, v in real.items()})
 
 
 @query(

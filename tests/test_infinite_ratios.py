@@ -35,3 +35,17 @@ def test_infinite_ratios_match_sql(spark, made, name):  # noqa: F811
     path, con = made
     why, rows = oracle_check.compare(spark, con, path, queries()[name], oracle_sql()[name])
     assert why is None and rows > 0, why
+
+
+def test_every_bar_is_rebuilt_as_far_as_its_features_tell(spark, made):  # noqa: F811
+    path, con = made
+    got = {(r.symbol, r.ts): r for r in queries()["reconstruct_prices"](spark, path).collect()}
+    bars = con.execute(
+        "SELECT event_type, time_bucket(INTERVAL 15 MINUTE, events.ts) AS bar, arg_min(value, events.ts) = 0, arg_max(value, events.ts) = 0, row_number() OVER (PARTITION BY event_type ORDER BY bar) FROM events GROUP BY 1, 2"
+    ).fetchall()
+    want = {(symbol, at): (opens, closes) for symbol, at, opens, closes, i in bars if i >= 14}
+    assert got.keys() == want.keys() and any(opens and closes for opens, closes in want.values())
+    for bar, (opens, closes) in want.items():
+        row = got[bar]
+        assert row.close_error == 0 and row.open_error == (None if closes else 0)
+        assert row.high_error == row.low_error == (None if opens or closes else 0)
