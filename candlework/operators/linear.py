@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,26 +14,30 @@ from .staging import stage
 MAX_STEPS = 25
 
 
-def long_features(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(feature, x, y), a row per feature of every row; missing values are left out."""
+def long_features(rows: DataFrame, features: Sequence[str], label: str, *, undefined: bool = False) -> DataFrame:
+    """(feature, x, y), a row per feature of every row; missing values are left out, NaN too unless ``undefined``."""
     entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    return rows.select(F.explode(entries).alias("_e"), F.col(label).cast("double").alias("y")).select("_e.*", "y").where("x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL")
+    return rows.select(F.explode(entries).alias("_e"), F.col(label).cast("double").alias("y")).select("_e.*", "y").where("x IS NOT NULL AND y IS NOT NULL" + ("" if undefined else " AND NOT isnan(x)"))
 
 
-def single_feature_fits(rows: DataFrame, features: Sequence[str], *, label: str, steps: int = MAX_STEPS, tolerance: float = 1e-9) -> DataFrame:
+def single_feature_fits(rows: DataFrame, features: Sequence[str], *, label: str, steps: int = MAX_STEPS, tolerance: float = 1e-9, undefined: bool = False) -> DataFrame:
     """(feature, rows, mean, std, intercept, slope, gradient) of a logistic model per feature, on the standardised feature.
 
     All features take their Newton steps together: a step is one grouped aggregate of gradient and Hessian over the long
     table, and its five sums per feature are all that is held.  A constant feature keeps slope 0.  Steps end when no mean gradient is
     above ``tolerance``, or after ``steps`` (a feature that separates the classes has no finite fit).  ``gradient`` is the
     larger mean gradient at the coefficients returned.
+
+    A feature with an infinite value (with ``undefined``, or NaN) has no mean to be standardised by, so it has no fit: intercept NaN, slope 0 and
+    no gradient.
     """
     spark = rows.sparkSession
-    long = stage(long_features(rows, features, label))
+    long = stage(long_features(rows, features, label, undefined=undefined))
     sizes = {r["feature"]: r for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).collect()}
-    now = {f: (0.0, 0.0) for f in sizes}
+    now = {f: (0.0, 0.0) for f, r in sizes.items() if math.isfinite(r["mean"])}
     schema = "feature string, mean double, std double, b0 double, b1 double"
-    for step in range(steps + 1):
+    left: dict[str, float] = {}
+    for step in range(steps + 1 if now else 0):
         model = spark.createDataFrame([(f, sizes[f]["mean"], sizes[f]["std"], *b) for f, b in now.items()], schema)
         z = F.when(F.col("std") > 0, (F.col("x") - F.col("mean")) / F.col("std")).otherwise(0.0)
         at = long.join(F.broadcast(model), "feature").select("feature", "y", z.alias("z"), (1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * z)))).alias("p"))
@@ -45,7 +50,7 @@ def single_feature_fits(rows: DataFrame, features: Sequence[str], *, label: str,
         for f, r in found.items():
             if left[f] > tolerance:
                 now[f] = newton(now[f], r)
-    out = [(f, r["n"], r["mean"], r["std"], *now[f], left[f]) for f, r in sizes.items()]
+    out = [(f, r["n"], r["mean"], r["std"], *now.get(f, (math.nan, 0.0)), left.get(f)) for f, r in sizes.items()]
     return spark.createDataFrame(out, "feature string, rows long, mean double, std double, intercept double, slope double, gradient double")
 
 

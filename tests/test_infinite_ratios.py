@@ -1,14 +1,18 @@
 """Queries whose SQL divides by prices of zero as floating point does, on the bars of ``test_zero_prices``."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 import oracle_check
 from __spark_entry__ import oracle_sql, queries
 from candlework.functions.scalar import quotient
+from candlework.operators.linear import single_feature_fits
 from test_zero_prices import made  # noqa: F401
 
 NAMES = [
+    "model_single_feature_fits",
     "permutation_selection_counts",
     "study_asymmetric_labels",
     "study_label_distribution",
@@ -49,3 +53,15 @@ def test_every_bar_is_rebuilt_as_far_as_its_features_tell(spark, made):  # noqa:
         row = got[bar]
         assert row.close_error == 0 and row.open_error == (None if closes else 0)
         assert row.high_error == row.low_error == (None if opens or closes else 0)
+
+
+def test_a_feature_with_infinite_values_has_no_fit(spark):
+    rows = [(float("inf") if k == 3 else 1.0 * k, float("nan") if k == 5 else 1.0 * (k % 7), 1.0 * (k % 5), int(k % 3 == 0)) for k in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int")
+    got = {r.feature: r for r in single_feature_fits(df, ["a", "b", "c"], label="y", undefined=True).collect()}
+    alone = single_feature_fits(df, ["c"], label="y").first()
+    for name in "ab":
+        assert math.isnan(got[name].intercept) and (got[name].rows, got[name].slope, got[name].gradient) == (60, 0.0, None)
+    assert (got["c"].rows, got["c"].intercept, got["c"].slope) == (60, alone.intercept, alone.slope) and got["c"].gradient <= 1e-9
+    default = {r.feature: r for r in single_feature_fits(df, ["a", "b"], label="y").collect()}
+    assert math.isnan(default["a"].intercept) and default["b"].rows == 59 and default["b"].gradient <= 1e-9
